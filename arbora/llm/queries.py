@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm import exact_dedup, mixing, quality, urls
+from arbora.llm import exact_dedup, mixing, packing, quality, tokens, urls
 from arbora.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Tokens above which op6 marks a document.
+TOKEN_LIMIT = 4096
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file, the same on every machine that has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,17 +31,26 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_stop_words", "n_lines")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = tokens.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 def op9_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents")).drop("n_points")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_reputation, op2_source_mix, op5_quality_rules, op9_exact_copies)}
+    return {f.__name__: f for f in (op1_url_reputation, op2_source_mix, op3_best_fit_packing, op5_quality_rules, op6_token_counts, op9_exact_copies)}
 
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
