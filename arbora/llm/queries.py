@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm import exact_dedup, mixing, packing, quality, simhash, tokens, urls
+from arbora.llm import exact_dedup, mixing, packing, quality, rlz_dedup, simhash, suffix_dedup, tokens, urls
 from arbora.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,12 +49,20 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.strip_substrings(table(spark, sf_dir, "documents"))
+
+
+def op8_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlz_dedup.strip_word_windows(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents")).drop("n_points")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_reputation, op2_source_mix, op3_best_fit_packing, op4_simhash_copies, op5_quality_rules, op6_token_counts, op9_exact_copies)}
+    return {f.__name__: f for f in (op1_url_reputation, op2_source_mix, op3_best_fit_packing, op4_simhash_copies, op5_quality_rules, op6_token_counts, op7_suffix_dedup, op8_rlz_dedup, op9_exact_copies)}
 
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -128,6 +136,19 @@ SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
 FROM m
 """
 
+OP8_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS words FROM documents),
+w AS (SELECT r, unnest(range(1, len(words) - {rlz_dedup.WIDTH} + 2)) AS i, words FROM d WHERE len(words) >= {rlz_dedup.WIDTH}),
+g AS (SELECT r, i, array_to_string(words[i:i + {rlz_dedup.WIDTH} - 1], ' ') AS win FROM w),
+hits AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY win) AS n FROM g) WHERE n > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + {rlz_dedup.WIDTH})) AS i FROM hits),
+removed AS (SELECT r, count(*) AS n FROM gone GROUP BY r),
+each AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS text FROM each ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(removed.n, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN removed USING (r) LEFT JOIN kept USING (r)
+"""
+
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256, row_number() OVER () AS r FROM documents),
 g AS (SELECT *, count(*) OVER (PARTITION BY text_sha256) AS group_size, first_value(doc_id) OVER b AS keep_id, row_number() OVER b AS place
@@ -141,5 +162,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_url_reputation": OP1_SQL.replace("{level0}", _level("s")).replace("{level1}", _level("d")).replace("{level2}", _level("h")),
         "op2_source_mix": OP2_SQL,
         "op5_quality_rules": OP5_SQL,
+        "op8_rlz_dedup": OP8_SQL,
         "op9_exact_copies": OP9_SQL,
     }
