@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm import exact_dedup, mixing, packing, quality, rlz_dedup, simhash, suffix_dedup, tokens, urls
+from arbora.llm import exact_dedup, licenses, mixing, packing, quality, rlz_dedup, simhash, suffix_dedup, tokens, urls
 from arbora.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,8 +61,12 @@ def op9_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents")).drop("n_points")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_reputation, op2_source_mix, op3_best_fit_packing, op4_simhash_copies, op5_quality_rules, op6_token_counts, op7_suffix_dedup, op8_rlz_dedup, op9_exact_copies)}
+    return {f.__name__: f for f in (op1_url_reputation, op2_source_mix, op3_best_fit_packing, op4_simhash_copies, op5_quality_rules, op6_token_counts, op7_suffix_dedup, op8_rlz_dedup, op9_exact_copies, op10_license_scan)}
 
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
