@@ -23,18 +23,30 @@ def word_count(column: str = "text") -> Column:
     return F.regexp_count(text_of(column), F.lit(WORD)).cast("long")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute once into the shared checkpoint folder and cut the lineage there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is set only where
-    neither the session nor the context has any, as in local tests.
+    A temporary one is set only where neither the session nor its context has any, as in tests.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", "") and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="arbora-checkpoint-"))
+    context = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", "") and not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="arbora-checkpoint-"))
+    return spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute once into the shared folder, by checkpoint(), and cut the lineage there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file, the same on every machine that has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

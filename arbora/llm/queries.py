@@ -8,20 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.llm import exact_dedup, licenses, mixing, packing, quality, rlz_dedup, simhash, suffix_dedup, tokens, urls
-from arbora.llm.common import table
+from arbora.llm.common import table, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Tokens above which op6 marks a document.
 TOKEN_LIMIT = 4096
 
 
-def vocabulary(name: str) -> str:
-    """Path of a public tokenizer's file, the same on every machine that has the package."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return urls.judge(pages, urls.page_outcomes(pages, table(spark, sf_dir, "labels")))
@@ -66,7 +59,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_reputation, op2_source_mix, op3_best_fit_packing, op4_simhash_copies, op5_quality_rules, op6_token_counts, op7_suffix_dedup, op8_rlz_dedup, op9_exact_copies, op10_license_scan)}
+    import corpus_pipeline
+
+    single = (op1_url_reputation, op2_source_mix, op3_best_fit_packing, op4_simhash_copies, op5_quality_rules, op6_token_counts, op7_suffix_dedup, op8_rlz_dedup, op9_exact_copies, op10_license_scan)
+    return {**{f.__name__: f for f in single}, "pipeline": corpus_pipeline.run}
 
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"

@@ -33,28 +33,37 @@ SHARD = 512
 BLOCK = 1 << 16
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> bytes:
-    """Eight bytes: a bit is 1 if it is set in over half of the shingles' hashes, repeats included.
+def fingerprint(text: bytes, shingle: int = SHINGLE, lanes: int = 1) -> bytes:
+    """8 * ``lanes`` bytes: a bit is 1 if it is set in over half of the shingles' hashes, repeats included.
 
     Words are runs other than ASCII white space, A-Z in lower case. A text of fewer words than a
-    shingle is one shingle; one without words has fingerprint zero.
+    shingle is one shingle; one without words has fingerprint zero. The first lane's hash is the
+    shingle's XXH64; the other lanes' hashes are mixed from it, each with a factor of its own.
     """
     words = text.lower().split()
     if not words:
-        return bytes(8)
+        return bytes(8 * lanes)
     joined, hash_ = b" ".join(words), xxhash.xxh64_digest
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     starts = np.cumsum(sizes + 1) - sizes - 1
     last = min(shingle, len(words)) - 1
     ends = (starts + sizes)[last:]
     starts = starts[: len(ends)]
-    counts = np.zeros(BITS, dtype=np.int64)
+    counts = np.zeros((lanes, BITS), dtype=np.int64)
     for a in range(0, len(ends), BLOCK):
         spans = zip(starts[a : a + BLOCK].tolist(), ends[a : a + BLOCK].tolist(), strict=True)
-        digests = b"".join([hash_(joined[s:e], SEED) for s, e in spans])
-        bits = np.unpackbits(np.frombuffer(digests, dtype=np.uint8).reshape(-1, 8), axis=1)
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > len(ends)).tobytes()
+        first = np.frombuffer(b"".join([hash_(joined[s:e], SEED) for s, e in spans]), dtype=">u8")
+        for lane in range(lanes):
+            h = first if not lane else mixed(first.astype(np.uint64), lane).astype(">u8")
+            counts[lane] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(ends), axis=1).tobytes()
+
+
+def mixed(h: np.ndarray, lane: int) -> np.ndarray:
+    """Another hash from a 64-bit hash."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 * (2 * lane + 1) & (1 << 64) - 1)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,8 +111,12 @@ class BKTree:
 
 
 def spanning(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """(value, first value of its group) for all but the first of each group linked in a shard."""
+    """Places (a, b) of the links of a minimum spanning forest of all pairs within ``radius``.
+
+    Any two that the pairs connect are connected by links none of which is longer than needed.
+    """
     tree, root = BKTree(values), list(range(len(values)))
+    near = sorted(((values[k] ^ values[other]).bit_count(), other, k) for k, v in enumerate(values) for other in tree.within(v, radius) if other < k)
 
     def top(k: int) -> int:
         while root[k] != k:
@@ -111,11 +124,13 @@ def spanning(values: list[int], radius: int) -> list[tuple[int, int]]:
             k = root[k]
         return k
 
-    for k, v in enumerate(values):
-        for other in tree.within(v, radius):
-            a, b = top(k), top(other)
-            root[max(a, b)] = min(a, b)
-    return [(values[k], values[t]) for k in range(len(values)) if (t := top(k)) != k]
+    out = []
+    for _, a, b in near:
+        x, y = top(a), top(b)
+        if x != y:
+            root[y] = x
+            out.append((a, b))
+    return out
 
 
 def blocks(mask: int, parts: int) -> list[int]:
@@ -156,7 +171,7 @@ def _shards(radius: int):
 
         def solve(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
             edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            found = [x for part in np.split(fps, edges) for x in spanning(part.view(np.uint64).tolist(), radius)]
+            found = [(own[x], own[y]) for part in np.split(fps, edges) for own in [part.view(np.uint64).tolist()] for x, y in spanning(own, radius)]
             pairs = np.array(found, dtype=np.uint64).reshape(-1, 2).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
