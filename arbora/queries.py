@@ -14,7 +14,7 @@ from arbora.functions.portable import mixed_sql, uniform
 from arbora.operators import counts, graph, information, metrics, trees, weights
 from arbora.operators.encode import codebook, renamed, split
 from arbora.plans.learners import ChowLiu, ForestDensity, WalkMajority, WeightedMajority
-from arbora.sources import synthetic
+from arbora.sources import files, synthetic
 from arbora.sources.events import K, N, TREE, events, natural, plant, planted, true_tree
 from arbora.streaming import online
 
@@ -97,6 +97,31 @@ def learner_scores(s: SparkSession, d: str) -> DataFrame:
     return score.join(metrics.shd(true_tree(s), tree).withColumn("one", F.lit(1)), "one").drop("one")
 
 
+def csv_round_trip(s: SparkSession, d: str) -> DataFrame:
+    folder = scratch(s)
+    files.write_observations(planted(s, d), folder)
+    return files.read_observations(s, folder, N)
+
+
+def edge_text_round_trip(s: SparkSession, d: str) -> DataFrame:
+    folder = scratch(s)
+    files.write_edges(ChowLiu(planted(s, d), K).tree(), folder)
+    return files.read_edges(s, folder)
+
+
+def results_round_trip(s: SparkSession, d: str) -> DataFrame:
+    folder = scratch(s)
+    files.write_results(learner_scores(s, d), folder)
+    return s.read.schema("log_likelihood double, shd long").json(folder)
+
+
+def walk_counters(s: SparkSession, d: str) -> DataFrame:
+    """n_runs, all_walked, some_fell_back: counters of walks of at most 3 steps, summed over runs."""
+    drawn = trees.walk_tree(runs(edges(s, d)), N, SEED, most_steps=3, run="run")
+    per = drawn.groupBy("run").agg(F.max("fallbacks").alias("f"), F.max("walks").alias("w"))
+    return per.agg(F.count("*").alias("n_runs"), F.min((F.col("w") >= 1) & (F.col("w") <= N - 1)).alias("all_walked"), (F.sum("f") > 0).alias("some_fell_back"))
+
+
 def code_table(s: SparkSession, d: str) -> DataFrame:
     return codebook(s.read.parquet(f"{d}/orders.parquet"), ["o_orderstatus", "o_orderpriority"])
 
@@ -166,6 +191,12 @@ def queries() -> dict[str, Query]:
         "random_graph": lambda s, d: synthetic.random_graph(s, 12, 42),
         "synthetic_samples": synthetic_samples,
         "signed_rank": lambda s, d: metrics.signed_rank(s, [-3.1, -2.9, -4.0, -3.6, -3.3], [-3.0, -2.7, -4.1, -3.2, -3.1], draws=2000),
+        "csv_round_trip": csv_round_trip,
+        "edge_text_round_trip": edge_text_round_trip,
+        "results_round_trip": lambda s, d: rounded(results_round_trip(s, d), 6),
+        "walk_counters": walk_counters,
+        "initial_weights": lambda s, d: weights.initial_weights(s, N),
+        "contraction_map": lambda s, d: graph.contraction_map(edges(s, d)),
         "stream_phi": lambda s, d: rounded(stream_phi(s, d), 4),
         "stream_weights": lambda s, d: rounded(stream_weights(s, d), 4),
         "stream_event_counts": stream_event_counts,
@@ -254,7 +285,15 @@ def oracle_sql() -> dict[str, str]:
     perturbed = f"pert AS (SELECT i, j, cum_phi + (({mixed_sql(f'(n * {N} + i) * {N} + j', SEED)}) / 2147483647::DOUBLE) * {N} * sqrt(n / 2) AS weight FROM term, (SELECT count(*) AS n FROM wide))"
     grid = """SELECT g.t AS t, g.var AS var, g.val AS val, (sum(CASE WHEN l.val = g.val THEN 1 ELSE 0 END) OVER (PARTITION BY g.var, g.val ORDER BY g.t))::BIGINT AS c
     FROM (SELECT t, var, unnest(range(3))::INT AS val FROM long) g JOIN long l ON l.t = g.t AND l.var = g.var"""
+    scores = f"WITH RECURSIVE {SPLIT}, {TRUE}, {mi_sql()}, {tree_sql('mi', 'mi', True)} SELECT round(({SCORE.format(tree='tree')}), 6) AS log_likelihood, (SELECT count(*) FROM (SELECT * FROM true_edges ANTI JOIN tree USING (i, j))) + (SELECT count(*) FROM (SELECT * FROM tree ANTI JOIN true_edges USING (i, j))) AS shd"
+    chow_liu = f"WITH RECURSIVE {wide_sql()}, {pairs_sql()}, {mi_sql()}, {tree_sql('mi', 'mi', True)} SELECT i, j FROM tree"
     return {
+        "csv_round_trip": f"{w} SELECT t, {', '.join(f'v{i}' for i in range(N))} FROM wide",
+        "edge_text_round_trip": chow_liu,
+        "results_round_trip": scores,
+        "walk_counters": f"SELECT {RUNS}::BIGINT AS n_runs, true AS all_walked, true AS some_fell_back",
+        "initial_weights": f"SELECT i::INT AS i, j::INT AS j, 1.0::DOUBLE AS weight FROM (SELECT unnest(range({N})) AS i), (SELECT unnest(range({N})) AS j) WHERE i < j",
+        "contraction_map": f"{EDGES} SELECT i, j, i AS from_i, j AS from_j FROM w",
         "marginal_counts": f"{w}, {long_sql()} SELECT var, val, count(*) AS c FROM long GROUP BY ALL",
         "pair_counts": f"{w}, {pairs_sql()} SELECT i, j, u, v, count(*) AS c FROM pairs GROUP BY ALL",
         "contingency_pivot": f"{w} SELECT v1 AS cv, count(*) FILTER (v0 = 0) AS p0, count(*) FILTER (v0 = 1) AS p1, count(*) FILTER (v0 = 2) AS p2 FROM wide GROUP BY v1",
@@ -263,10 +302,10 @@ def oracle_sql() -> dict[str, str]:
         "mutual_information_natural": f"WITH {natural_wide}, {pairs_sql('nat', 5)}, {mi_sql()} {mi_out}",
         "mutual_information_lineitem": f"WITH {line_wide}, {pairs_sql('lw', 3)}, {mi_sql()} {mi_out}",
         "codebook": "SELECT var, raw, (row_number() OVER (PARTITION BY var ORDER BY raw) - 1)::INT AS code FROM (SELECT DISTINCT 0 AS var, o_orderstatus AS raw FROM orders UNION SELECT 1, o_orderpriority FROM orders)",
-        "chow_liu_tree": f"WITH RECURSIVE {wide_sql()}, {pairs_sql()}, {mi_sql()}, {tree_sql('mi', 'mi', True)} SELECT i, j FROM tree",
-        "boruvka_tree": f"WITH RECURSIVE {wide_sql()}, {pairs_sql()}, {mi_sql()}, {tree_sql('mi', 'mi', True)} SELECT i, j FROM tree",
+        "chow_liu_tree": chow_liu,
+        "boruvka_tree": chow_liu,
         "log_likelihood": f"WITH {SPLIT}, {TRUE} SELECT round(({SCORE.format(tree='true_edges')}), 6) AS log_likelihood",
-        "learner_scores": f"WITH RECURSIVE {SPLIT}, {TRUE}, {mi_sql()}, {tree_sql('mi', 'mi', True)} SELECT round(({SCORE.format(tree='tree')}), 6) AS log_likelihood, (SELECT count(*) FROM (SELECT * FROM true_edges ANTI JOIN tree USING (i, j))) + (SELECT count(*) FROM (SELECT * FROM tree ANTI JOIN true_edges USING (i, j))) AS shd",
+        "learner_scores": scores,
         "missing_edges": f"WITH RECURSIVE {EARLY} SELECT * FROM true_edges EXCEPT SELECT i, j FROM tree",
         "extra_edges": f"WITH RECURSIVE {EARLY} SELECT i, j FROM tree EXCEPT SELECT * FROM true_edges",
         "shd": f"WITH RECURSIVE {EARLY} SELECT (SELECT count(*) FROM true_edges ANTI JOIN tree USING (i, j)) + (SELECT count(*) FROM tree ANTI JOIN true_edges USING (i, j)) AS shd",
