@@ -11,9 +11,7 @@ have equal anchors at equal places. The search therefore
    returns the span of the repeated windows around each anchor.
 
 Hashes only bring texts together; solvers decide on units. A shard of too many contexts is dealt
-again: the windows around its anchors are split into those that start early and late, and each
-half is dealt by the longer core that all its windows share. A core that is a whole window needs
-no solver: all that share it are repeated. So no shard grows with the corpus and none is capped.
+again, by longer grams: see dealt_again. So no shard grows with the corpus and none is capped.
 
 Exact copies of whole texts are one text in this search, with a count.
 """
@@ -25,16 +23,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.llm.common import cut, text_of
+from arbora.llm.common import cut, text_of, written
 
 #: Units that are hashed at once; places in such a chunk take 20 bits of the keys below.
 CHUNK = 1 << 20
 PLACE = np.uint64(CHUNK - 1)
-#: Contexts in a shard beyond which it is dealt again.
-SHARD = 4096
+#: Contexts in a shard beyond which it is dealt again, and ranges that its windows are split into.
+SHARD, PARTS = 1 << 14, 4
 #: Contexts that a solver sees at once, in whole shards.
 TOGETHER = 1 << 14
 #: Odd multipliers of the rolling hash and of its finish.
@@ -108,8 +107,9 @@ class Units(NamedTuple):
     open: Callable[[bytes], object]
     size: Callable[[object], int]
     slice: Callable[[object, int, int], bytes]
-    #: The same slice in Spark: units [start, start + length) of a context.
-    core: Callable[[Column, Column, Column], Column]
+    #: The same for a context that was sliced out before: gives slice(start, end) of it, or None
+    #: where it doesn't reach that far.
+    inner: Callable[[bytes], Callable[[int, int], bytes | None]]
 
 
 class Job(NamedTuple):
@@ -147,15 +147,16 @@ def anchor_rows(texts: DataFrame, job: Job) -> DataFrame:
     return texts.select("k1", "k2", "text").mapInArrow(run, "gram long, k1 long, k2 long, place int")
 
 
-def context_rows(texts: DataFrame, places: DataFrame, job: Job) -> DataFrame:
-    """gram, k1, k2, place, units before the anchor, context: windows that may hold the anchor.
+def context_rows(marked: DataFrame, job: Job) -> DataFrame:
+    """gram, k1, k2, place, before, units, context: windows that may hold each marked anchor.
 
-    ``places`` has k1, k2 and marks, the text's (place, gram) pairs; ``texts`` has each text once.
+    ``marked`` has k1, k2, text and marks (place, gram, crowded), each text once; units is the
+    number of units of the context, before of those that lie before the anchor.
     """
     slack = job.width - job.gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["gram", "k1", "k2", "place", "before", "context"]
+        names = ["gram", "k1", "k2", "place", "before", "units", "context"]
         for b in batches:
             out: list[tuple] = []
             held = 0
@@ -165,7 +166,7 @@ def context_rows(texts: DataFrame, places: DataFrame, job: Job) -> DataFrame:
                 for m in marks.as_py():
                     p = m["place"]
                     a = max(0, p - slack)
-                    out.append((m["gram"], k1, k2, p, p - a, c := job.units.slice(opened, a, min(n, p + job.width))))
+                    out.append((m["gram"], k1, k2, p, p - a, (z := min(n, p + job.width)) - a, c := job.units.slice(opened, a, z)))
                     held += len(c)
                     if held > 1 << 23:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), TYPES, strict=True)], names)
@@ -173,11 +174,11 @@ def context_rows(texts: DataFrame, places: DataFrame, job: Job) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), TYPES, strict=True)], names)
 
-    joined = texts.join(places, ["k1", "k2"]).select("k1", "k2", "text", "marks")
-    return joined.mapInArrow(run, "gram long, k1 long, k2 long, place int, before int, context binary")
+    out = marked.select("k1", "k2", "text", "marks").mapInArrow(run, "gram long, k1 long, k2 long, place int, before int, units int, context binary")
+    return out.withColumn("low", F.lit(0)).withColumn("high", F.lit(slack))
 
 
-TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
 
 
 def solved(members: DataFrame, job: Job, keys: list[str]) -> DataFrame:
@@ -213,49 +214,100 @@ def solved(members: DataFrame, job: Job, keys: list[str]) -> DataFrame:
     return members.repartition(*keys).sortWithinPartitions(*keys).select("k1", "k2", "place", "before", "context", "low", "high", *(k for k in keys if k not in ("low", "high"))).mapInArrow(run, "k1 long, k2 long, span long")
 
 
-def dealt_again(members: DataFrame, job: Job, shard: int) -> DataFrame | None:
-    """The spans of ``members`` (with low and high, the range of windows) of overfull shards."""
-    out, keys = None, ["core1", "core2", "low", "high"]
+def core_rows(members: DataFrame, job: Job) -> DataFrame:
+    """k1, k2, place, low, high, core1, core2: what a member's windows share, by where they start.
+
+    The range is cut at PARTS + 1 points, the same for all members. A point is a window; what lies
+    between two points is a range, and its core the units that all its windows share. There is
+    no row where the text ends before the point or core does.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            digests: list[bytes] = []
+            for k1, k2, place, before, context, low, high in zip(*(b.column(c).to_pylist() for c in ("k1", "k2", "place", "before", "context", "low", "high")), strict=True):
+                inner = job.units.inner(context)
+                points = sorted({low + (high - low) * k // PARTS for k in range(PARTS + 1)})
+                ranges = [(p, p) for p in points] + [(p + 1, q - 1) for p, q in zip(points, points[1:], strict=False) if q > p + 1]
+                for a, z in ranges:
+                    if (core := inner(before - a, before - z + job.width)) is not None:
+                        out.append((k1, k2, place, a, z))
+                        digests.append(xxhash.xxh3_128_digest(core))
+            cores = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, TYPES[1:4] + (pa.int32(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(cores[:, 0].copy()), pa.array(cores[:, 1].copy())], ["k1", "k2", "place", "low", "high", "core1", "core2"])
+
+    return members.select("k1", "k2", "place", "before", "context", "low", "high").mapInArrow(run, "k1 long, k2 long, place int, low int, high int, core1 long, core2 long")
+
+
+def dealt_again(members: DataFrame, job: Job, shard: int) -> DataFrame:
+    """The spans of ``members`` (with low and high, the range of windows) of overfull shards.
+
+    All windows of a member hold its anchor, so the outermost repeated ones give its span. A round
+    tests the windows at the points, and the cores of the ranges between them: ranges that lie
+    beyond the outermost repeated point and whose core is repeated stay open. Shards of equal
+    cores in which a range is open go to the solver, or on to the next round if still too large.
+    ``members`` must be cut from their lineage, as every round reads them again.
+    """
+    out, keys, member = None, ["core1", "core2", "low", "high"], ["k1", "k2", "place"]
+    contexts = members.select(*member, "before", "context")
     while True:
-        middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
-        halves = F.array(F.struct(F.col("low").alias("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), F.col("high").alias("high")))
-        split = members.withColumn("half", F.explode(halves)).where("half.low <= half.high").withColumn("low", F.col("half.low")).withColumn("high", F.col("half.high")).drop("half", "core1", "core2")
-        start, length = F.col("before") - F.col("low"), F.lit(job.width) - (F.col("high") - F.col("low"))
-        core = job.units.core(F.col("context"), start, length)
-        # a window from `low` on must begin in the text, one from `high` on must end in it
-        split = split.where("before >= low").withColumn("core1", F.xxhash64(core)).withColumn("core2", F.xxhash64(F.lit(1), core)).where(core.isNotNull())
-        who = F.xxhash64("k1", "k2", "place")
-        sizes = cut(split.groupBy(*keys).agg(F.count("*").alias("n"), F.min(who).alias("a"), F.max(who).alias("b")).where("a <> b").select(*keys, "n"))
-        whole = split.join(sizes.where("low = high").drop("n"), keys).select("k1", "k2", (F.shiftleft((F.col("place") - F.col("low")).cast("long"), 31).bitwiseOR((F.col("place") - F.col("low") + job.width).cast("long"))).alias("span"))
-        few = solved(split.join(sizes.where((F.col("low") < F.col("high")) & (F.col("n") <= shard)).drop("n"), keys), job, keys)
-        found = whole.unionByName(few)
+        cores = core_rows(members, job)
+        who = F.xxhash64(*member)
+        sizes = cores.groupBy(*keys).agg(F.count("*").alias("n"), F.min(who).alias("a"), F.max(who).alias("b")).where("a <> b").select(*keys, "n")
+        again = written(cores.join(sizes, keys))
+        points = again.where("low = high")
+        start = (F.col("place") - F.col("low")).cast("long")
+        found = points.select("k1", "k2", F.shiftleft(start, 31).bitwiseOR(start + job.width).alias("span"))
+        outer = points.groupBy(*member).agg(F.min("low").alias("least"), F.max("low").alias("most"))
+        ranges = again.where("low < high").join(outer, member, "left").withColumn("open", F.expr("most is null or low > most or high < least")).drop("least", "most")
+        # a range that is closed for a member may hold what another one, whose range is open, repeats
+        open_ = ranges.groupBy(*keys).agg(F.max("open").alias("open")).where("open").drop("open")
+        open_ = written(ranges.drop("open").join(open_, keys))
+        found = found.unionByName(solved(open_.where(F.col("n") <= shard).join(contexts, member), job, keys))
         out = found if out is None else out.unionByName(found)
-        many = sizes.where((F.col("low") < F.col("high")) & (F.col("n") > shard)).drop("n")
+        many = open_.where(F.col("n") > shard)
         if many.isEmpty():
             return out
-        members = cut(split.join(many, keys))
+        members = many.select(*member, "low", "high").join(contexts, member)
 
 
-def repeated_spans(texts: DataFrame, docs: DataFrame, job: Job, shard: int = SHARD) -> DataFrame:
-    """k1, k2, spans: for each text with repeated windows the spans that they cover, packed.
+def crowded_spans(crowded: DataFrame, job: Job, shard: int) -> DataFrame:
+    """The spans of the contexts of overfull shards.
 
-    ``texts`` has each text once; ``docs`` may repeat texts. A span is start * 2**31 + end.
+    Contexts that are equal as a whole are repeated as a whole; one of each kind is left as a
+    partner for others, chosen with partial sums before the shuffle.
     """
-    found = anchor_rows(docs, job)
+    who, same = F.xxhash64("k1", "k2", "place"), ["c1", "c2"]
+    rows = written(crowded.withColumn("c1", F.xxhash64("context", "before")).withColumn("c2", F.xxhash64(F.lit(1), "context", "before")))
+    one = F.first(F.struct("k1", "k2", "place", "before", "context", "low", "high")).alias("one")
+    kinds = written(rows.groupBy(*same).agg(F.min(who).alias("a"), F.max(who).alias("b"), one))
+    start = (F.col("place") - F.col("before")).cast("long")
+    twins = rows.where(F.col("units") >= job.width).drop("context").join(kinds.where("a <> b").select(*same), same)
+    spans = twins.select("k1", "k2", F.shiftleft(start, 31).bitwiseOR(start + F.col("units")).alias("span"))
+    return spans.unionByName(dealt_again(kinds.select("one.*"), job, shard))
+
+
+def marks_of(rows: DataFrame, job: Job, shard: int) -> DataFrame:
+    """k1, k2, marks: each text's anchors whose gram occurs in another place, in it or elsewhere."""
+    found = anchor_rows(rows, job)
     who = F.xxhash64("k1", "k2", "place")
-    grams = cut(found.groupBy("gram").agg(F.count("*").alias("n"), F.min(who).alias("a"), F.max(who).alias("b")).where("a <> b").select("gram", "n"))
-    marked = found.join(grams, "gram")
-    mark = F.struct("place", "gram")
-
-    def contexts(which: DataFrame) -> DataFrame:
-        # each text has one entry, however many copies it has
-        places = which.groupBy("k1", "k2").agg(F.collect_set(mark).alias("marks"))
-        slack = F.lit(job.width - job.gram)
-        return context_rows(texts, places, job).withColumn("low", F.lit(0)).withColumn("high", slack)
-
-    spans = solved(contexts(marked.where(F.col("n") <= shard)), job, ["gram"])
-    if not grams.where(F.col("n") > shard).isEmpty():
-        spans = spans.unionByName(dealt_again(cut(contexts(marked.where(F.col("n") > shard))), job, shard))
+    grams = cut(found.groupBy("gram").agg(F.count("*").alias("n"), F.min(who).alias("a"), F.max(who).alias("b")).where("a <> b").select("gram", (F.col("n") > shard).alias("crowded")))
+    # each text has one entry, however many copies it has
+    return found.join(grams, "gram").groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "gram", "crowded")).alias("marks"))
+
+
+def spans_of(marked: DataFrame, job: Job, shard: int) -> DataFrame:
+    """k1, k2, spans: for each text with repeated windows the spans that they cover, packed.
+
+    A span is start * 2**31 + end.
+    """
+    some = lambda which: marked.withColumn("marks", F.filter("marks", which)).where(F.size("marks") > 0)
+    spans = solved(context_rows(some(lambda m: ~m["crowded"]), job), job, ["gram"])
+    crowded = some(lambda m: m["crowded"])
+    if not crowded.isEmpty():
+        spans = spans.unionByName(crowded_spans(context_rows(crowded, job), job, shard))
     return spans.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
 
 
@@ -274,18 +326,29 @@ def merged(spans: list[int]) -> list[tuple[int, int]]:
 def without_repeats(docs: DataFrame, job: Job, strip: Callable[[bytes, int, list[int] | None], tuple], names: str, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD) -> DataFrame:
     """doc_id and what ``strip(text, copies, spans)`` gives for the row's text, as ``names``.
 
-    The texts are shuffled once, to one row for each different text; documents then look their
-    text's result up by its two hashes.
+    The texts are shuffled once, to one row for each different text, where they meet their marks.
+    A text without any has its result there; the others are written to the shared folder, and only
+    they go on. Documents then look their text's result up by its two hashes.
     """
     rows = keyed(docs, id_col, text_col)
-    texts = rows.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    spans = repeated_spans(texts, rows, job, shard)
-    fields = ["k1", "k2", *(x.split()[0] for x in names.split(", "))]
+    texts = rows.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies")).join(marks_of(rows, job, shard), ["k1", "k2"], "left")
+    fields = [x.split()[0] for x in names.split(", ")]
+    mark = "array<struct<place:int,gram:bigint,crowded:boolean>>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [(None,) * len(fields) if m.is_valid else strip(t.as_py(), n.as_py(), None) for t, n, m in zip(*(b.column(c) for c in ("text", "copies", "marks")), strict=True)]
+            left = [t if m.is_valid else None for t, m in zip(b.column(2), b.column(4), strict=True)]
+            results = [pa.array(x, pa.string() if f.endswith("sha256") else pa.int64()) for f, x in zip(fields, zip(*own, strict=True) if own else [[]] * len(fields), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x and x.as_py() for x in left], pa.binary()), b.column(3), b.column(4), *results], ["k1", "k2", "text", "copies", "marks", *fields])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = [strip(t.as_py(), n.as_py(), s.as_py()) for t, n, s in zip(*(b.column(c) for c in ("text", "copies", "spans")), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x) for x in (zip(*own, strict=True) if own else [[]] * (len(fields) - 2)))], fields)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x) for x in (zip(*own, strict=True) if own else [[]] * len(fields)))], ["k1", "k2", *fields])
 
-    results = texts.join(spans, ["k1", "k2"], "left").select("k1", "k2", "text", "copies", "spans").mapInArrow(run, f"k1 long, k2 long, {names}")
+    table = written(texts.select("k1", "k2", "text", "copies", "marks").mapInArrow(settle, f"k1 long, k2 long, text binary, copies long, marks {mark}, {names}"))
+    marked = table.where("marks is not null").select("k1", "k2", "text", "copies", "marks")
+    others = marked.drop("marks").join(spans_of(marked, job, shard), ["k1", "k2"], "left").select("k1", "k2", "text", "copies", "spans").mapInArrow(finish, f"k1 long, k2 long, {names}")
+    results = table.where("marks is null").select("k1", "k2", *fields).unionByName(others)
     return rows.select("doc_id", "k1", "k2").join(results, ["k1", "k2"]).drop("k1", "k2")

@@ -12,16 +12,16 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from arbora.llm.repeats import CHUNK, Job, Rolling, Units, merged, powers, without_repeats
 
 #: Words of a repeated window, and of the gram at which it is anchored.
-WIDTH, GRAM = 35, 12
+WIDTH, GRAM = 35, 10
 #: Words of more bytes are hashed by their digest.
 LONG_WORD = 256
 #: Bytes of a text whose words are listed at once.
@@ -75,9 +75,9 @@ def word_chunks(texts: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np
         yield np.array(numbers), np.array(begins), word_hashes(words), np.array(sizes)
 
 
-def word_core(context: Column, start: Column, length: Column) -> Column:
-    words = F.split(context.cast("string"), " ")
-    return F.when(F.size(words) >= start + length, F.array_join(F.slice(words, (start + 1).cast("int"), length.cast("int")), " "))
+def word_slices(context: bytes):
+    ends = list(accumulate(len(w) + 1 for w in context.split(b" ")))
+    return lambda a, b: context[ends[a - 1] if a else 0 : ends[b - 1] - 1] if 0 <= a < b <= len(ends) else None
 
 
 def factors(width: int, slack: int):
@@ -120,7 +120,7 @@ def factors(width: int, slack: int):
     return solve
 
 
-UNITS = Units(word_chunks, lambda t: t.split(), len, lambda w, a, b: b" ".join(w[a:b]), word_core)
+UNITS = Units(word_chunks, lambda t: t.split(), len, lambda w, a, b: b" ".join(w[a:b]), word_slices)
 
 
 def job(width: int = WIDTH, gram: int = GRAM) -> Job:

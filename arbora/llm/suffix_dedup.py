@@ -13,8 +13,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from arbora.llm.repeats import CHUNK, Job, Units, merged, powers, without_repeats
 
@@ -47,8 +46,8 @@ def byte_chunks(texts: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np
         yield chunk()
 
 
-def byte_core(context: Column, start: Column, length: Column) -> Column:
-    return F.when(F.octet_length(context) >= start + length, F.substring(context, (start + 1).cast("int"), length.cast("int")))
+def byte_slices(context: bytes):
+    return lambda a, b: context[a:b] if a >= 0 and b <= len(context) else None
 
 
 class Node:
@@ -192,7 +191,7 @@ def equal_windows(width: int):
     return solve
 
 
-UNITS = Units(byte_chunks, lambda t: t, len, lambda t, a, b: t[a:b], byte_core)
+UNITS = Units(byte_chunks, lambda t: t, len, lambda t, a, b: t[a:b], byte_slices)
 
 
 def job(width: int = WIDTH, gram: int = GRAM) -> Job:
