@@ -44,7 +44,7 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """The same as a compressed table in the shared folder: for what checkpoint() would bloat."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
