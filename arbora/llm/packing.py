@@ -11,6 +11,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -95,18 +96,17 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
         words, last, step = encoder(WordEncoder, path), np.array([end], dtype="<u4").tobytes(), 4 * capacity
         for b in batches:
             out: list[tuple] = []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                rest, piece = b"", 0
-                for packed in words.packed(text.as_py()):
-                    rest += packed
-                    while len(rest) >= step + 4:
-                        out.append((key, piece, piece * capacity, capacity, zlib.crc32(rest[:step])))
-                        rest, piece = rest[step:], piece + 1
-                rest += last
-                for a in range(0, len(rest), step):
-                    own = rest[a : a + step]
-                    out.append((key, piece, piece * capacity, len(own) // 4, zlib.crc32(own)))
-                    piece += 1
+            keys, now, rest, piece = b.column(0).to_pylist(), 0, b"", 0
+            for i, packed in chain(words.packed(b.column(1).to_pylist()), [(len(keys), b"")]):
+                if i > now:  # the text before has ended
+                    rest += last
+                    cuts = range(0, len(rest), step)
+                    out += [(keys[now], piece + k, (piece + k) * capacity, len(own := rest[a : a + step]) // 4, zlib.crc32(own)) for k, a in enumerate(cuts)]
+                    now, rest, piece = i, b"", 0
+                rest += packed
+                while len(rest) >= step + 4:
+                    out.append((keys[i], piece, piece * capacity, capacity, zlib.crc32(rest[:step])))
+                    rest, piece = rest[step:], piece + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema) if out else pa.RecordBatch.from_pylist([], schema)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")

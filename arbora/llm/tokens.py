@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from collections.abc import Callable, Iterable, Iterator
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +24,10 @@ from arbora.llm.common import text_of
 STRETCH = 1 << 20
 #: Bytes of segments that go to the library in one call.
 CALL_BYTES = 1 << 18
+#: Characters of texts that are split and numbered together.
+GROUP = 1 << 22
 #: Segments in each half of a memo.
-MEMO = 150_000
+MEMO = 220_000
 
 
 def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
@@ -65,23 +68,38 @@ class Memo:
         self.make, self.size, self.young, self.old = make, size, {}, {}
 
     def values(self, keys: list[str]) -> list:
-        found = list(map(self.young.get, keys))
-        if None not in found:
-            return found
-        absent = dict.fromkeys(compress(keys, [x is None for x in found]))
-        new = []
-        for k in absent:
-            if (v := self.old.get(k)) is None:
-                new.append(k)
-            else:
-                absent[k] = v
-        if new:
-            absent.update(zip(new, self.make(new), strict=True))
-        self.young.update(absent)
-        out = [absent[k] if v is None else v for k, v in zip(keys, found, strict=True)]
-        if len(self.young) > self.size:
-            self.old, self.young = self.young, {}
-        return out
+        absent = set(keys).difference(self.young)
+        if absent and len(self.young) + len(absent) > self.size:
+            self.old, self.young, absent = self.young, {}, set(keys)
+        if absent:
+            again = absent & self.old.keys()
+            self.young.update(zip(again, map(self.old.__getitem__, again), strict=True))
+            new = list(absent - again)
+            self.young.update(zip(new, self.make(new), strict=True))
+        return list(map(self.young.__getitem__, keys))
+
+
+def in_batches(texts: Iterable[str], cut: Callable[[str, bool], list[str]], values: Callable[[list[str]], list]) -> Iterator[tuple[int, list]]:
+    """(text's number, values of some of its segments) in order, for many short texts at a time."""
+    keys: list[str] = []
+    ends: list[tuple[int, int]] = []
+    held = 0
+
+    def flush() -> Iterator[tuple[int, list]]:
+        found, at = values(keys), 0
+        for i, end in ends:
+            yield i, found[at:end]
+            at = end
+
+    for i, text in enumerate(texts):
+        for k, part in enumerate(stretches(text)):
+            keys += cut(part, not k)
+            ends.append((i, len(keys)))
+            held += len(part)
+            if held > CALL_BYTES:
+                yield from flush()
+                keys, ends, held = [], [], 0
+    yield from flush()
 
 
 class PieceCounter:
@@ -94,6 +112,7 @@ class PieceCounter:
     """
 
     MARK = "▁"
+    AT_END = str(b" at end", "ascii")
 
     def __init__(self, path: str, memo: int = MEMO):
         import sentencepiece
@@ -108,28 +127,34 @@ class PieceCounter:
     def _count(self, segments: list[str]) -> list[int]:
         return [len(ids) for batch in balanced(segments) for ids in self.model.encode(batch, num_threads=1)]
 
-    def count(self, text: str) -> int:
-        if not text:
-            return 0
+    def _segments(self, part: str, first: bool) -> list[str]:
+        if self.MARK in part or "  " in part:
+            segments = re.split(f"(?<=[^ {self.MARK}]) ", part)
+        else:
+            segments = part.split(" ")
+            if part[:1] == " ":
+                segments[:2] = [" " + segments[1]]
+        if not first:  # it begins with the space at which the text was cut
+            segments[0] = segments[0][1:]
+        if not segments[-1] and (len(segments) > 1 or not first):
+            segments[-1] = self.AT_END
+        return segments
+
+    def _values(self, segments: list[str]) -> list[int]:
+        """A space that ends a text is a mark alone, which no segment of letters stands for."""
+        own = self.memo.values([s for s in segments if s is not self.AT_END])
+        if len(own) == len(segments):
+            return own
+        rest = iter(own)
+        return [self.mark_alone if s is self.AT_END else next(rest) for s in segments]
+
+    def count(self, texts: list[str]) -> list[int]:
         if not self.safe:
-            return len(self.model.encode(text))
-        total = 0
-        for k, part in enumerate(stretches(text)):
-            if self.MARK in part or "  " in part:
-                segments = re.split(f"(?<=[^ {self.MARK}]) ", part)
-            else:
-                segments = part.split(" ")
-                if part[0] == " ":
-                    segments[1:2], segments[0:1] = [], [" " + segments[1]]
-            if k:  # it begins with the space at which the text was cut
-                segments[0] = segments[0][1:]
-            total += sum(self._values(segments, not k))
-        return total
-
-    def _values(self, segments: list[str], first: bool) -> list[int]:
-        """An empty segment, but for one that begins the text, is a space at the text's end."""
-        values = self.memo.values(segments)
-        return [self.mark_alone if not s and (i or not first) else v for i, (s, v) in enumerate(zip(segments, values, strict=True))] if "" in segments else values
+            return self._count(texts)
+        out = [0] * len(texts)
+        for i, values in in_batches(texts, self._segments, self._values):
+            out[i] += sum(values)
+        return out
 
 
 class WordEncoder:
@@ -140,8 +165,7 @@ class WordEncoder:
     encoded many in a call and taken apart at the tokens that end a word.
     """
 
-    LATIN = re.compile("[a-zà-öø-ÿ]+")
-    CLOSING = ".,;:!?"
+    PARTS = re.compile("([a-zà-öø-ÿ]*)([^\\n]*)\\n")
 
     def __init__(self, path: str, memo: int = MEMO):
         from tokenizers import Tokenizer
@@ -151,16 +175,16 @@ class WordEncoder:
         names = self.model.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(names.values()) + 1, dtype=bool)
         self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
-        self.segments = Memo(self._segments, memo)
         self.words = Memo(self._words, memo * 2)
+        self.tails: dict[str, bytes | None] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for batch in balanced(texts) for e in self.model.encode_batch(batch, add_special_tokens=False)]
+        return [np.array(e.ids, dtype="<u4").tobytes() for batch in balanced(texts) for e in self.model.encode_batch_fast(batch, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
         out = []
         for batch in balanced(words, CALL_BYTES // 4):
-            ids = np.array(self.model.encode(" ".join(batch), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(self.model.encode_batch_fast([" ".join(batch)], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(batch) and all(batch):
                 packed, at = ids.tobytes(), [0, *(cuts * 4).tolist()]
@@ -170,27 +194,42 @@ class WordEncoder:
         return out
 
     def _segments(self, segments: list[str]) -> list[bytes]:
-        stems, tails, odd = [], [], []
-        for s in segments:
-            low = s.lower()
-            stem = low.rstrip(self.CLOSING)
-            if self.LATIN.fullmatch(stem):
-                stems.append(stem)
-                tails.append(low[len(stem) :])
-            else:
-                odd.append(s)
-        latin = iter(a + b for a, b in zip(self.words.values(stems), self._tails(tails), strict=True))
-        others = dict(zip(odd, self._whole(odd), strict=True))
-        return [others[s] if s in others else next(latin) for s in segments]
-
-    def _tails(self, tails: list[str]) -> list[bytes]:
-        known = {t: self._whole([t])[0] if t else b"" for t in set(tails)}
-        return [known[t] for t in tails]
-
-    def packed(self, text: str) -> Iterator[bytes]:
-        """The ids of the text, some at a time."""
-        for part in stretches(text):
-            yield b"".join(self.segments.values(part.replace("\n", " ").split(" ")))
+        """One search splits all segments into the letters each begins with and the rest."""
+        split = self.PARTS.findall("\n".join(segments).lower() + "\n")
+        for tail in {t for _, t in split}.difference(self.tails):
+            plain = not tail.strip(string.punctuation)
+            self.tails[tail] = self._whole([tail])[0] if plain and tail else b"" if plain else None
+        if len(self.tails) > self.words.size:
+            self.tails = {t: self.tails[t] for _, t in split}
+        ends = [self.tails[t] if stem else None for stem, t in split]
+        latin = iter(self.words.values([stem for (stem, _), end in zip(split, ends, strict=True) if end is not None]))
+        others = iter(self._whole([s for s, end in zip(segments, ends, strict=True) if end is None]))
+        return [next(others) if end is None else next(latin) + end for end in ends]
+
+    def packed(self, texts: list[str]) -> Iterator[tuple[int, bytes]]:
+        """(text's number, ids), the ids of a long text in several parts."""
+        owners, parts, held = [], [], 0
+        for i, text in enumerate(texts):
+            for part in stretches(text):
+                owners.append(i)
+                parts.append(part)
+                held += len(part)
+                if held > GROUP:
+                    yield from zip(owners, self._packed(parts), strict=True)
+                    owners, parts, held = [], [], 0
+        if parts:
+            yield from zip(owners, self._packed(parts), strict=True)
+
+    def _packed(self, parts: list[str]) -> Iterator[bytes]:
+        """Arrow splits the parts and numbers their different segments; only those come to Python."""
+        split = pc.split_pattern(pc.replace_substring(pa.array(parts, pa.large_string()), "\n", " "), " ")
+        segments = split.flatten().dictionary_encode()
+        ids = pa.array(self._segments(segments.dictionary.to_pylist()), pa.large_binary()).take(segments.indices)
+        _, ends, data = ids.buffers()
+        cuts = np.frombuffer(ends, dtype=np.int64)[split.offsets.to_numpy()].tolist()
+        data = memoryview(data) if data else memoryview(b"")
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield bytes(data[a:b])
 
 
 _ENCODERS: dict[tuple, object] = {}
@@ -212,7 +251,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = encoder(PieceCounter, path)
         for b in batches:
-            n = [counter.count(x.as_py()) for x in b.column(2)]
+            n = [x for texts in balanced(b.column(2).to_pylist(), 1 << 24) for x in counter.count(texts)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text_of(text_col)).cast("long").alias("n_bytes"), text_of(text_col).alias("text"))
