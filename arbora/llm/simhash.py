@@ -33,8 +33,10 @@ SHARD = 512
 BLOCK = 1 << 16
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, lanes: int = 1) -> bytes:
-    """8 * ``lanes`` bytes: a bit is 1 if it is set in over half of the shingles' hashes, repeats included.
+def fingerprint(text: bytes, shingle: int = SHINGLE, lanes: int = 1, repeats: bool = True) -> bytes:
+    """8 * ``lanes`` bytes: a bit is 1 if it is set in over half of the shingles' hashes.
+
+    Shingles that repeat count as often as they occur, or once if not ``repeats``.
 
     Words are runs other than ASCII white space, A-Z in lower case. A text of fewer words than a
     shingle is one shingle; one without words has fingerprint zero. The first lane's hash is the
@@ -49,14 +51,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, lanes: int = 1) -> bytes:
     last = min(shingle, len(words)) - 1
     ends = (starts + sizes)[last:]
     starts = starts[: len(ends)]
+    spans = zip(starts.tolist(), ends.tolist(), strict=True)
+    hashes = np.frombuffer(b"".join([hash_(joined[s:e], SEED) for s, e in spans]), dtype=">u8").astype(np.uint64)
+    if not repeats:
+        hashes = np.unique(hashes)
     counts = np.zeros((lanes, BITS), dtype=np.int64)
-    for a in range(0, len(ends), BLOCK):
-        spans = zip(starts[a : a + BLOCK].tolist(), ends[a : a + BLOCK].tolist(), strict=True)
-        first = np.frombuffer(b"".join([hash_(joined[s:e], SEED) for s, e in spans]), dtype=">u8")
+    for a in range(0, len(hashes), BLOCK):
+        first = hashes[a : a + BLOCK]
         for lane in range(lanes):
-            h = first if not lane else mixed(first.astype(np.uint64), lane).astype(">u8")
+            h = (mixed(first, lane) if lane else first).astype(">u8")
             counts[lane] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > len(ends), axis=1).tobytes()
+    return np.packbits(2 * counts > len(hashes), axis=1).tobytes()
 
 
 def mixed(h: np.ndarray, lane: int) -> np.ndarray:
