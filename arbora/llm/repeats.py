@@ -27,10 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.llm.common import cut, text_of, written
+from arbora.llm.common import cut, for_python, text_of, written
 
-#: Units that are hashed at once; places in such a chunk take 20 bits of the keys below.
-CHUNK = 1 << 20
+#: Units that are hashed at once; places in such a chunk take 18 bits of the keys below.
+CHUNK = 1 << 18
 PLACE = np.uint64(CHUNK - 1)
 #: Contexts in a shard beyond which it is dealt again, and ranges that its windows are split into.
 SHARD, PARTS = 1 << 14, 4
@@ -330,7 +330,7 @@ def without_repeats(docs: DataFrame, job: Job, strip: Callable[[bytes, int, list
     A text without any has its result there; the others are written to the shared folder, and only
     they go on. Documents then look their text's result up by its two hashes.
     """
-    rows = keyed(docs, id_col, text_col)
+    rows = keyed(for_python(docs), id_col, text_col)
     texts = rows.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies")).join(marks_of(rows, job, shard), ["k1", "k2"], "left")
     fields = [x.split()[0] for x in names.split(", ")]
     mark = "array<struct<place:int,gram:bigint,crowded:boolean>>"

@@ -58,7 +58,8 @@ def word_chunks(texts: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np
         for own in words_of(t):
             own = tail + own
             if len(own) >= width:
-                for a in range(0, len(own) - width + 1, step := CHUNK // LONG_WORD):  # any step's words fit a chunk
+                step = max(1, CHUNK // (LONG_WORD + 1) - width)  # the words of a step, with spaces, fit a chunk
+                for a in range(0, len(own) - width + 1, step):
                     part = own[a : a + step + width - 1]
                     weight = sum(map(len, part)) + len(part)
                     if words and size + weight > CHUNK:
