@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of texts in an Arrow batch.
+BATCH = 4 << 20
 #: A run of those characters.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -48,6 +51,19 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def for_python(df: DataFrame) -> DataFrame:
+    """The same rows; from now on the session's Arrow batches end at BATCH bytes as well as at their rows.
+
+    Batches of long texts would else fill the memory beside the heap, by task. A lower limit that
+    the session already has stays.
+    """
+    conf = df.sparkSession.conf
+    now = re.match(r"(\d+)b?$", str(conf.get("spark.sql.execution.arrow.maxBytesPerBatch")))
+    if not now or int(now[1]) > BATCH:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH}b")
+    return df
+
+
 def vocabulary(name: str) -> str:
     """Path of a public tokenizer's file, the same on every machine that has the package."""
     import public_tokenizers

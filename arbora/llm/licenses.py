@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.llm.common import text_of
+from arbora.llm.common import for_python, text_of
 
 #: Wordings of licences and notices, by SPDX-like name.
 TEMPLATES = (
@@ -168,4 +168,4 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     hinted = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).where(F.col("text").rlike(f"(?i){HINTS}"))
-    return hinted.mapInArrow(run, "doc_id long, block int, start long, end long, license string, template int, size_alone long, size_given long, n_differences long, differences string, confirmed boolean")
+    return for_python(hinted).mapInArrow(run, "doc_id long, block int, start long, end long, license string, template int, size_alone long, size_given long, n_differences long, differences string, confirmed boolean")

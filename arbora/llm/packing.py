@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbora.llm.common import cut, text_of
+from arbora.llm.common import cut, for_python, text_of
 from arbora.llm.tokens import WordEncoder, encoder
 
 #: Tokens that a sequence holds.
@@ -109,7 +109,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
                     rest, piece = rest[step:], piece + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema) if out else pa.RecordBatch.from_pylist([], schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return for_python(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, ranked: int = RANKED) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.llm.common import cut, text_of
+from arbora.llm.common import cut, for_python, text_of
 from arbora.llm.components import components
 
 BITS = 64
@@ -51,8 +51,8 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, lanes: int = 1, repeats: bo
     last = min(shingle, len(words)) - 1
     ends = (starts + sizes)[last:]
     starts = starts[: len(ends)]
-    spans = zip(starts.tolist(), ends.tolist(), strict=True)
-    hashes = np.frombuffer(b"".join([hash_(joined[s:e], SEED) for s, e in spans]), dtype=">u8").astype(np.uint64)
+    spans = (zip(starts[a : a + BLOCK].tolist(), ends[a : a + BLOCK].tolist(), strict=True) for a in range(0, len(ends), BLOCK))
+    hashes = np.frombuffer(b"".join([b"".join([hash_(joined[s:e], SEED) for s, e in own]) for own in spans]), dtype=">u8").astype(np.uint64)
     if not repeats:
         hashes = np.unique(hashes)
     counts = np.zeros((lanes, BITS), dtype=np.int64)
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), b.column(1)], ["doc_id", "fp", "text_hash"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_hash"), text_of(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long, text_hash long")
+    return for_python(rows).mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 class BKTree:

@@ -18,16 +18,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.llm.common import text_of
+from arbora.llm.common import for_python, text_of
 
 #: Characters of a text that are worked on at once.
 STRETCH = 1 << 20
 #: Bytes of segments that go to the library in one call.
 CALL_BYTES = 1 << 18
 #: Characters of texts that are split and numbered together.
-GROUP = 1 << 22
+GROUP = 1 << 20
 #: Segments in each half of a memo.
-MEMO = 220_000
+MEMO = 70_000
 
 
 def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
@@ -255,4 +255,4 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text_of(text_col)).cast("long").alias("n_bytes"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    return for_python(rows).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
