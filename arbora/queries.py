@@ -19,7 +19,7 @@ from arbora.sources.events import K, N, TREE, events, natural, plant, planted, t
 from arbora.streaming import online
 
 Query = Callable[[SparkSession, str], DataFrame]
-#: Steps of queries that follow the learners step by step: the reference's step limit.
+#: Steps of queries that follow the learners step by step, as the command line's --T gives it.
 STEPS = 300
 #: Seeds of the draws, and independent trees of the sampler queries.
 SEED, RUNS = 7, 50
