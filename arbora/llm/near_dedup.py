@@ -5,7 +5,10 @@ in about 15 % of the fingerprint's bits, too many for blocks that must agree exa
 tables each deal the fingerprints by a random choice of bits, as many tables as a pair at the
 threshold needs to meet in one of them with the probability asked for. Where they meet, a BK-tree
 finds the pairs within the radius, a minimum spanning forest is kept of them, and its links are
-confirmed by the exact similarity of the two texts. Groups are the components of what remains.
+confirmed by the exact similarity of the two texts. What remains gives first groups; then every
+pair within the radius that has its ends in two groups and was not yet refused is confirmed as
+well, as a link that closed a cycle may hold where those of the forest did not. Groups are the
+components of all confirmed links.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ SHINGLE, SIMILARITY, MEETING = 5, 0.8, 0.99
 LANES, KEY_BITS, SHARD = 8, 14, 512
 #: Nodes up to which a list of them is broadcast: 8 bytes each.
 BROADCAST_NODES = 1_000_000
+#: Pairs beyond which they leave a Python worker.
+PAIRS = 1 << 16
 
 
 def differing(similarity: float) -> float:
@@ -71,7 +76,7 @@ def node_of(text_col: str = "text"):
 
 
 def dealt(fps: DataFrame, picks: np.ndarray) -> DataFrame:
-    """node, fp, key: each fingerprint once for each table."""
+    """node, fp, key, and other columns of ``fps`` before key: each fingerprint once for each table."""
     weights = 1 << np.arange(picks.shape[1], dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,9 +87,9 @@ def dealt(fps: DataFrame, picks: np.ndarray) -> DataFrame:
             bits = np.unpackbits(np.frombuffer(b"".join(fp.to_pylist()), dtype=np.uint8).reshape(len(fp), -1), axis=1)
             for k, pick in enumerate(picks):
                 key = bits[:, pick].astype(np.int64) @ weights + (k << 40)
-                yield pa.RecordBatch.from_arrays([node, fp, pa.array(key)], ["node", "fp", "key"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(key)], [*b.schema.names, "key"])
 
-    return fps.mapInArrow(run, "node long, fp binary, key long")
+    return fps.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in [*fps.dtypes, ("key", "bigint")]))
 
 
 def forests(most: int):
@@ -130,6 +135,55 @@ def candidates(fps: DataFrame, similarity: float = SIMILARITY, lanes: int = LANE
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def across(most: int):
+    """All pairs within ``most`` bits and of two labels, of each (key, part) in sorted rows; one part is held at a time."""
+
+    def solve(nodes: list[int], labels: list[int], fps: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if len(set(labels)) < 2:
+            return
+        node, label = np.array(nodes, dtype=np.int64), np.array(labels, dtype=np.int64)
+        lanes = np.ascontiguousarray(np.frombuffer(b"".join(fps), dtype=np.uint64).reshape(len(nodes), -1).T)
+        found, size = [], 0
+        for k in range(len(nodes) - 1):
+            bits = np.bitwise_count(lanes[:, k + 1 :] ^ lanes[:, k : k + 1]).sum(axis=0, dtype=np.uint16)
+            hits = np.flatnonzero((bits <= most) & (label[k + 1 :] != label[k])) + k + 1
+            if len(hits):
+                found.append((np.full(len(hits), node[k]), node[hits]))
+                size += len(hits)
+            if found and (size > PAIRS or k == len(nodes) - 2):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["a", "b"])
+                found, size = [], 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, ([], [], [])
+        for b in batches:
+            for key, part, *row in zip(*(b.column(c).to_pylist() for c in ("key", "part", "node", "label", "fp")), strict=True):
+                if (key, part) != now:
+                    yield from solve(*held)
+                    now, held = (key, part), ([], [], [])
+                for column, x in zip(held, row, strict=True):
+                    column.append(x)
+        yield from solve(*held)
+
+    return run
+
+
+def crossing(fps: DataFrame, links: DataFrame, groups: DataFrame, similarity: float = SIMILARITY, lanes: int = LANES, shard: int = SHARD) -> DataFrame:
+    """a, b: all pairs within the radius that meet in a table, are of two groups and not among ``links``.
+
+    Where a spanning forest was taken, each node of such a pair has a link.
+    """
+    picks = tables(fps.count(), similarity, lanes=lanes)
+    ends = cut(links.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    named = fps.join(small_enough(ends, BROADCAST_NODES), "node").join(small_enough(groups, BROADCAST_NODES), "node", "left")
+    rows = dealt(cut(named.select("node", "fp", F.coalesce("label", "node").alias("label"))), picks)
+    large = cut(rows.groupBy("key").count().where(F.col("count") > shard).select(F.col("key").alias("__key"), F.ceil(F.col("count") / shard).alias("parts")))
+    spread = rows.join(small_enough(large, BROADCAST_NODES), F.col("key") == F.col("__key"), "left")
+    spread = spread.select("key", F.coalesce(F.pmod(F.xxhash64("key", "node"), F.col("parts")), F.lit(0)).alias("part"), "node", "label", "fp")
+    pairs = spread.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(across(radius(similarity, lanes)), "a long, b long")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(links, ["a", "b"], "left_anti")
+
+
 def shingle_set(text: str, shingle: int) -> set:
     words = text.encode().lower().split()
     return set(zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) >= shingle else {tuple(words)}
@@ -163,7 +217,12 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float
     are kept as they are. An empty table gives none.
     """
     fps = cut(wide_fingerprints(docs, shingle, lanes).distinct())
-    groups = components(cut(confirmed(cut(candidates(fps, similarity, lanes, shard)), docs, shingle, similarity)))
+    links = cut(candidates(fps, similarity, lanes, shard))
+    kept = cut(confirmed(links, docs, shingle, similarity))
+    groups = cut(components(kept))
+    more = cut(crossing(fps, links, groups, similarity, lanes, shard))
+    if not more.isEmpty():
+        groups = components(cut(kept.unionByName(confirmed(more, docs, shingle, similarity))))
     ids = docs.select(node_of().alias("node"), F.col("doc_id").alias("id"), F.col("doc_id").isNull().alias("no_id")).join(groups, "node")
     best = ids.groupBy("label").agg(F.min(F.struct("no_id", "id", "node")).getField("node").alias("best"))
     gone = cut(groups.join(best, "label").where("node <> best").select(F.col("node").alias("__gone")))

@@ -428,6 +428,42 @@ def test_near_stage(spark, odd, clashing, empty):
     assert {t for _, t, _ in ODD if not WORD.search(t or "")} <= {r["text"] for r in left.collect()}
 
 
+def crowd(seed, n, twins, shared=1000, own=150, both=45):
+    """Texts of one template, near 0.8 in similarity but below, and the ids of ``twins`` pairs that are above it."""
+    rng = random.Random(seed)
+    fresh = lambda k: [f"w{rng.getrandbits(40)}" for _ in range(k)]
+    body = fresh(shared)
+    texts = {k: body + fresh(own) for k in range(n)}
+    for k in range(twins):
+        texts[n + k] = texts[k][: shared + both] + fresh(own - both)
+    return [(k, " ".join(v), "a") for k, v in texts.items()]
+
+
+def brute_kept(rows, shingle=5, similarity=0.8):
+    """Ids that stay, and the number of pairs at the similarity."""
+    sets = {d: near_dedup.shingle_set(t, shingle) for d, t, _ in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+    up = {d: d for d in sets}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((top(a), top(b)))
+        up[y] = x
+    return {d for d in sets if up[d] == d}, len(pairs)
+
+
+def test_near_stage_confirms_pairs_that_close_cycles(spark):
+    rows = crowd(1, 120, 60)
+    want, pairs = brute_kept(rows)
+    assert pairs == 60 and len(want) == 120
+    got = {r["doc_id"] for r in near_dedup.drop_near_copies(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert want <= got and len(got - want) <= 1
+
+
 # 7 and 8: substrings
 
 
