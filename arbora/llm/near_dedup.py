@@ -32,6 +32,8 @@ SHINGLE, SIMILARITY, MEETING = 5, 0.8, 0.99
 LANES, KEY_BITS, SHARD = 8, 14, 512
 #: Nodes up to which a list of them is broadcast: 8 bytes each.
 BROADCAST_NODES = 1_000_000
+#: Members of an overfull key's block; two of them are held at a time.
+BLOCK = 4096
 #: Pairs beyond which they leave a Python worker.
 PAIRS = 1 << 16
 
@@ -125,11 +127,11 @@ def candidates(fps: DataFrame, similarity: float = SIMILARITY, lanes: int = LANE
 
     A key with more than ``shard`` members is dealt to parts at random, differently in each table:
     of a large group of near copies each member meets ``shard`` others per table in which the
-    group shares a key, and its components hold together through any of them.
+    group shares a key, and its components hold together through any of them. Pairs that are dealt
+    apart are left to ``crossing``.
     """
     rows = dealt(fps, tables(fps.count(), similarity, lanes=lanes))
-    large = cut(rows.groupBy("key").count().where(F.col("count") > shard).select(F.col("key").alias("__key"), F.ceil(F.col("count") / shard).alias("parts")))
-    spread = rows.join(small_enough(large, BROADCAST_NODES), F.col("key") == F.col("__key"), "left")
+    spread = rows.join(small_enough(overfull(rows, shard), BROADCAST_NODES), F.col("key") == F.col("__key"), "left")
     spread = spread.select("key", F.coalesce(F.pmod(F.xxhash64("key", "node"), F.col("parts")), F.lit(0)).alias("part"), "node", "fp")
     links = spread.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(forests(radius(similarity, lanes)), "a long, b long")
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -168,19 +170,49 @@ def across(most: int):
     return run
 
 
-def crossing(fps: DataFrame, links: DataFrame, groups: DataFrame, similarity: float = SIMILARITY, lanes: int = LANES, shard: int = SHARD) -> DataFrame:
+def overfull(rows: DataFrame, shard: int) -> DataFrame:
+    """__key, parts: the keys of ``rows`` with more than ``shard`` members."""
+    return cut(rows.groupBy("key").count().where(F.col("count") > shard).select(F.col("key").alias("__key"), F.ceil(F.col("count") / shard).alias("parts")))
+
+
+def met(big: DataFrame, block: int) -> DataFrame:
+    """key, part, node, label, fp: rows of overfull keys, once for each two blocks that have to meet.
+
+    A label with over ``block`` members in a key has blocks of its own, which don't meet one
+    another; the others share blocks, of which each meets itself and all.
+    """
+    sizes = cut(big.groupBy("key", "label").count())
+    own = F.col("count") > block
+    zones = sizes.select("key", F.when(own, F.col("label")).alias("zone"), "count").groupBy("key", "zone").agg(F.sum("count").alias("n"))
+    zones = cut(zones.withColumn("pieces", F.ceil(F.col("n") / block)).drop("n"))
+    at = F.struct(F.col("zone").isNull().alias("mixed"), F.coalesce("zone", F.lit(0)).alias("zone"), "piece").alias("at")
+    blocks = cut(zones.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))).select("key", at))
+    two = blocks.withColumnRenamed("at", "x").join(blocks.withColumnRenamed("at", "y"), "key").where("x <= y and (x.mixed or y.mixed or x.zone <> y.zone)")
+    two = cut(two.withColumn("part", F.monotonically_increasing_id() + 1))
+    ends = two.select("key", "part", F.explode(F.array_distinct(F.array("x", "y"))).alias("at"))
+    named = big.join(small_enough(sizes.where(own).select("key", "label", F.lit(True).alias("own")), BROADCAST_NODES), ["key", "label"], "left")
+    named = named.withColumn("zone", F.when(F.col("own"), F.col("label"))).drop("own")
+    zones = zones.select(F.col("key").alias("__key"), F.col("zone").alias("__zone"), "pieces")
+    placed = named.join(small_enough(zones, BROADCAST_NODES), (F.col("key") == F.col("__key")) & F.col("zone").eqNullSafe(F.col("__zone")))
+    placed = placed.withColumn("piece", F.pmod(F.xxhash64("key", "node"), F.col("pieces"))).select("key", "node", "label", "fp", at)
+    return placed.join(small_enough(ends, BROADCAST_NODES), ["key", "at"]).select("key", "part", "node", "label", "fp")
+
+
+def crossing(fps: DataFrame, links: DataFrame, groups: DataFrame, similarity: float = SIMILARITY, lanes: int = LANES, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """a, b: all pairs within the radius that meet in a table, are of two groups and not among ``links``.
 
-    Where a spanning forest was taken, each node of such a pair has a link.
+    In a key of at most ``shard`` members a spanning forest was taken, so each node of such a pair
+    has a link. The members of a larger key are all compared, in blocks of ``block`` by ``block``.
     """
     picks = tables(fps.count(), similarity, lanes=lanes)
+    named = cut(fps.join(small_enough(groups, BROADCAST_NODES), "node", "left").select("node", "fp", F.coalesce("label", "node").alias("label")))
     ends = cut(links.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    named = fps.join(small_enough(ends, BROADCAST_NODES), "node").join(small_enough(groups, BROADCAST_NODES), "node", "left")
-    rows = dealt(cut(named.select("node", "fp", F.coalesce("label", "node").alias("label"))), picks)
-    large = cut(rows.groupBy("key").count().where(F.col("count") > shard).select(F.col("key").alias("__key"), F.ceil(F.col("count") / shard).alias("parts")))
-    spread = rows.join(small_enough(large, BROADCAST_NODES), F.col("key") == F.col("__key"), "left")
-    spread = spread.select("key", F.coalesce(F.pmod(F.xxhash64("key", "node"), F.col("parts")), F.lit(0)).alias("part"), "node", "label", "fp")
-    pairs = spread.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(across(radius(similarity, lanes)), "a long, b long")
+    rows = dealt(cut(named.join(small_enough(ends, BROADCAST_NODES), "node")), picks).select("key", F.lit(0).cast("long").alias("part"), "node", "label", "fp")
+    large = overfull(dealt(fps, picks), shard).select(F.col("__key").alias("key"))
+    if not large.isEmpty():
+        large = small_enough(large, BROADCAST_NODES)
+        rows = rows.join(large, "key", "left_anti").unionByName(met(dealt(named, picks).join(large, "key"), block))
+    pairs = rows.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(across(radius(similarity, lanes)), "a long, b long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(links, ["a", "b"], "left_anti")
 
 
@@ -209,7 +241,7 @@ def confirmed(links: DataFrame, docs: DataFrame, shingle: int = SHINGLE, similar
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, lanes: int = LANES, shard: int = SHARD) -> DataFrame:
+def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, lanes: int = LANES, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` that stay: of each group of near copies the one of the smallest doc_id.
 
     Null ids come last, then the smaller text hash decides. Texts without words are near to none
@@ -220,7 +252,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float
     links = cut(candidates(fps, similarity, lanes, shard))
     kept = cut(confirmed(links, docs, shingle, similarity))
     groups = cut(components(kept))
-    more = cut(crossing(fps, links, groups, similarity, lanes, shard))
+    more = cut(crossing(fps, links, groups, similarity, lanes, shard, block))
     if not more.isEmpty():
         groups = components(cut(kept.unionByName(confirmed(more, docs, shingle, similarity))))
     ids = docs.select(node_of().alias("node"), F.col("doc_id").alias("id"), F.col("doc_id").isNull().alias("no_id")).join(groups, "node")

@@ -464,6 +464,16 @@ def test_near_stage_confirms_pairs_that_close_cycles(spark):
     assert want <= got and len(got - want) <= 1
 
 
+def test_near_stage_compares_all_of_an_overfull_key(spark):
+    rows = crowd(2, 160, 80)
+    copies = [(1000 + k, rows[0][1] + f" end{k}", "a") for k in range(60)]
+    want, pairs = brute_kept(rows)
+    assert pairs == 80 and len(want) == 160
+    left = near_dedup.drop_near_copies(spark.createDataFrame(rows + copies, SCHEMA), shard=8, block=16)
+    got = {r["doc_id"] for r in left.collect()}
+    assert want <= got and len(got - want) <= 2
+
+
 # 7 and 8: substrings
 
 
