@@ -2,12 +2,14 @@
 
 A block that reads like a licence is compressed alone and with each template as a raw zstandard
 dictionary. The template that saves the most is the candidate; the exact differences in wording
-then confirm or refuse it.
+then confirm or refuse it. Blocks are sentences, runs of them, and places found by aligning the
+templates' words to the text, which line breaks and neighbouring text don't disturb.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -59,7 +61,7 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved."),
 )
 #: A sentence with one of these begins a block; one with those below may go on with it.
-HINTS = r"licen[cs]e|copyright|all rights reserved|creative commons|public domain|\bcc0\b|\bcc by|spdx|permission|redistribut|warrant"
+HINTS = r"licen[cs]e|copyright|all\s+rights\s+reserved|creative\s+commons|public\s+domain|\bcc0\b|\bcc\s+by|spdx|permission|redistribut|warrant"
 MORE = HINTS + r"|software|conditions|disclaim|liab|merchantab|documentation"
 #: Words of a block at most; longer runs go on in another block.
 LONGEST = 400
@@ -68,6 +70,12 @@ DIFFERING = 0.15
 #: Share of the block's compressed size that the candidate has to save.
 SAVING = 0.3
 LEVEL = 3
+#: Words in a row that a block and its template share at least: edits up to DIFFERING leave some.
+SEED = 3
+#: A word may go on in the next line after a hyphen, behind what marks a comment there.
+WORD = re.compile(r"[A-Za-z0-9]+(?:(?:\.|-(?:[ \t\r]*\n[^A-Za-z0-9\n]*)?)[A-Za-z0-9]+)*")
+WRAPPED = re.compile(r"-[ \t\r]*\n[^a-z0-9]*")
+CLOSING = re.compile(r"[^\w\s]*")
 BREAK = re.compile(r"(?<=[.!?])\s+|\n+")
 HINT, GOES_ON = re.compile(HINTS, re.I), re.compile(MORE, re.I)
 
@@ -87,7 +95,7 @@ class Found(NamedTuple):
 
 
 def words(text: str) -> list[str]:
-    return re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", text.lower())
+    return [WRAPPED.sub("-", w) for w in WORD.findall(text.lower())]
 
 
 @lru_cache(1)
@@ -130,9 +138,52 @@ def sentences(text: str) -> Iterator[tuple[int, int]]:
         yield at, len(text)
 
 
+@lru_cache(1)
+def seeds() -> dict[tuple, list[tuple[int, int]]]:
+    """Template and place of each SEED words in a row."""
+    out = defaultdict(list)
+    for k, own in enumerate(template_words()):
+        for at in range(len(own) - SEED + 1):
+            out[tuple(own[at : at + SEED])].append((k, at))
+    return dict(out)
+
+
+def aligned(text: str) -> set[tuple[int, int]]:
+    """Places where the words of a template stand with few differences, whatever breaks the lines.
+
+    An edit touches SEED seeds at most and moves later words by one, so a block with ``d`` edits
+    has all but SEED * d seeds of its template, at starts that are at most ``d`` words apart.
+    """
+    spots = [(m.start(), m.end(), WRAPPED.sub("-", m.group().lower())) for m in WORD.finditer(text)]
+    own = [w for _, _, w in spots]
+    starts = defaultdict(Counter)
+    for at, gram in enumerate(zip(*(own[k:] for k in range(SEED)), strict=False)):
+        for k, place in seeds().get(gram, ()):
+            starts[k][at - place] += 1
+    out = set()
+    for k, count in starts.items():
+        template = template_words()[k]
+        most = int(DIFFERING * len(template))
+        need = max(1, len(template) - SEED + 1 - SEED * most)
+        ranked = sorted((-n, x) for x in count if (n := sum(count[x + e] for e in range(most + 1))) >= need)
+        tried: set[int] = set()
+        for _, x in ranked:
+            if x in tried:
+                continue
+            tried.update(range(x - most, x + most + 1))
+            low = max(x, 0)
+            near = own[low : x + most + len(template)]
+            matched = [m for m in SequenceMatcher(None, template, near, autojunk=False).get_matching_blocks() if m.size]
+            if matched:
+                first, last = low + matched[0].b, low + matched[-1].b + matched[-1].size - 1
+                out.add((spots[first][0], CLOSING.match(text, spots[last][1]).end()))
+    return out
+
+
 def scan(text: str) -> list[Found]:
-    """The blocks of a text, in order: a run of sentences where a template confirms it as a whole,
-    else each of its sentences that has a hint, with its best template, confirmed or not."""
+    """The blocks of a text, in order: a run of sentences where a template confirms it as a whole;
+    else the sentences and the places aligned to a template that are confirmed, longer ones first;
+    and each other sentence that has a hint, with its best template, not confirmed."""
     runs: list[list[tuple[int, int]]] = []
     last, size = -2, 0
     for k, (a, b) in enumerate(sentences(text)):
@@ -146,11 +197,24 @@ def scan(text: str) -> list[Found]:
                 size = 0
             size += len(part.split())
             last = k
-    out = []
+    out, single = [], []
     for run in runs:
         whole = best(text, run[0][0], run[-1][1]) if len(run) > 1 else None
-        out += [whole] if whole and whole.confirmed else [best(text, a, b) for a, b in run if HINT.search(text, a, b)]
-    return out
+        if whole and whole.confirmed:
+            out.append(whole)
+        else:
+            single += [best(text, a, b) for a, b in run if HINT.search(text, a, b)]
+
+    def free(f: Found) -> bool:
+        return all(f.end <= x.start or x.end <= f.start for x in out)
+
+    known = {(f.start, f.end) for f in [*out, *single]}
+    places = [f for a, b in sorted(aligned(text) - known) if (f := best(text, a, b)).confirmed]
+    for f in sorted([f for f in [*single, *places] if f.confirmed], key=lambda f: (f.start - f.end, f.start)):
+        if free(f):
+            out.append(f)
+    out += [f for f in single if not f.confirmed and free(f)]
+    return sorted(out, key=lambda f: f.start)
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import struct
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -575,3 +576,17 @@ def test_license_scan(spark, odd, empty):
     two = next(r for r in got if r["doc_id"] == 2)
     assert two["n_differences"] == 1 and "some" in two["differences"] and rows[1][1][two["start"] : two["end"]].startswith("Permission")
     assert licenses.scan_licenses(empty).count() == 0 == licenses.scan_licenses(odd).count()
+
+
+@pytest.mark.parametrize("k", range(len(licenses.TEMPLATES)))
+@pytest.mark.parametrize("width", [30, 78])
+def test_license_scan_of_wrapped_texts(k, width):
+    name, template = licenses.TEMPLATES[k]
+    other = licenses.TEMPLATES[7 if k != 7 else 3]
+    for mark in ("", " * ", "# "):
+        block = "\n".join(mark + x for x in textwrap.wrap(template, width))
+        notice = "\n".join(mark + x for x in textwrap.wrap(other[1], width))
+        text = f"Some prose here.\nCopyright (c) 2020 The Authors\n{block}\n{notice}\nint main() {{ return 0; }}\n"
+        found = [f for f in licenses.scan(text) if f.confirmed]
+        assert [f.license for f in found] == [name, other[0]], mark
+        assert all(a.end <= b.start for a, b in zip(found, found[1:], strict=False))
