@@ -166,6 +166,7 @@ def queries() -> dict[str, Query]:
         "level_draws": lambda s, d: rounded(weights.level_draws(p(s, d), N, K, events(s, d).count(), EPSILON, SEED), 10),
         "rwm_weights_trajectory": lambda s, d: rounded(weights.weights_trajectory(p(s, d), N, K, events(s, d).count(), EPSILON, SEED), 4),
         "rwm_weights_terminal": lambda s, d: rounded(weights.weights_terminal(p(s, d).where("t <= 1000"), N, K, 1000, EPSILON, SEED), 6),
+        "rwm_weights_terminal_all": lambda s, d: weights.weights_terminal(p(s, d), N, K, events(s, d).count(), EPSILON, SEED),
         "weights_lead": lambda s, d: rounded(weights.weights_lead(weights.weights_trajectory(p(s, d), N, K, events(s, d).count(), EPSILON, SEED)), 4),
         "symmetrize": lambda s, d: rounded(graph.symmetrize(edges(s, d))),
         "neighbour_map": lambda s, d: graph.neighbours(true_tree(s)),

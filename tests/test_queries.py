@@ -44,6 +44,18 @@ def test_terminal_is_end_of_trajectory(spark):
             assert r["weight"] == pytest.approx(last[r["i"], r["j"]], rel=1e-9)
 
 
+def test_terminal_weights_of_all_events(spark):
+    from arbora.operators.weights import weights_trajectory
+    from arbora.sources.events import K, N, events, planted
+
+    d = DATA.replace("sf0.001", "sf0.01")
+    n = events(spark, d).count()
+    assert n > 1000
+    last = {(r["i"], r["j"]): r["weight"] for r in weights_trajectory(planted(spark, d), N, K, n, queries.EPSILON, queries.SEED).where(f"t = {n}").collect()}
+    got = {(r["i"], r["j"]): r["weight"] for r in queries.queries()["rwm_weights_terminal_all"](spark, d).collect()}
+    assert got == pytest.approx(last, rel=1e-9) and len(got) == N * (N - 1) // 2 and min(got.values()) > 0
+
+
 def test_blocks_of_time_change_nothing(spark):
     from pyspark.sql import functions as F
 
