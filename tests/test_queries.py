@@ -56,6 +56,13 @@ def test_terminal_weights_of_all_events(spark):
     assert got == pytest.approx(last, rel=1e-9) and len(got) == N * (N - 1) // 2 and min(got.values()) > 0
 
 
+def test_signed_rank_takes_the_default_draws(spark):
+    from arbora.operators import metrics
+
+    scores = [-3.1, -2.9, -4.0, -3.6, -3.3], [-3.0, -2.7, -4.1, -3.2, -3.1]
+    assert rows_of(queries.queries()["signed_rank"](spark, DATA)) == rows_of(metrics.signed_rank(spark, *scores))
+
+
 def test_blocks_of_time_change_nothing(spark):
     from pyspark.sql import functions as F
 
