@@ -186,6 +186,9 @@ def queries() -> dict[str, Query]:
         "ofde_trajectory": lambda s, d: trees.tree_shape(ForestDensity(p(s, d), K, SEED).trajectory(STEPS), N, "t"),
         "tree_trajectory": lambda s, d: trees.tree_shape(WalkMajority(p(s, d), K, SEED).trajectory(STEPS), N, "t"),
         "rwm_final_tree": lambda s, d: trees.tree_shape(WeightedMajority(p(s, d), K, SEED).tree(STEPS), N),
+        "ofde_trajectory_all": lambda s, d: trees.tree_shape(ForestDensity(p(s, d), K, SEED).trajectory(), N, "t"),
+        "tree_trajectory_all": lambda s, d: trees.tree_shape(WalkMajority(p(s, d), K, SEED).trajectory(), N, "t"),
+        "rwm_final_tree_all": lambda s, d: trees.tree_shape(WeightedMajority(p(s, d), K, SEED).tree(), N),
         "tree_log_partition": lambda s, d: rounded(trees.tree_log_partition(graph.contract_edge(graph.contract_edge(edges(s, d), 0, 1), 0, 1), N - 2)),
         "rounding_steps": lambda s, d: trees.rounding_steps(ForestDensity(p(s, d), K, SEED).trajectory(STEPS), N, STEPS, SEED).groupBy("t").agg(F.count("*").alias("n_entries")),
         "random_tree": lambda s, d: trees.tree_shape(synthetic.random_tree(s, 10, 42), 10),

@@ -63,6 +63,20 @@ def test_signed_rank_takes_the_default_draws(spark):
     assert rows_of(queries.queries()["signed_rank"](spark, DATA)) == rows_of(metrics.signed_rank(spark, *scores))
 
 
+@pytest.mark.parametrize("name", ["ofde_trajectory_all", "tree_trajectory_all"])
+def test_trajectories_of_all_events(spark, name):
+    got = queries.queries()[name](spark, DATA).collect()
+    assert sorted(r["t"] for r in got) == list(range(1, 1001)) and all(r["is_tree"] for r in got)
+
+
+def test_final_tree_of_all_events(spark, monkeypatch):
+    steps = []
+    step = queries.WeightedMajority.step
+    monkeypatch.setattr(queries.WeightedMajority, "step", lambda self, t=None: steps.append(step(self, t)) or steps[-1])
+    assert queries.queries()["rwm_final_tree_all"](spark, DATA).first()["is_tree"]
+    assert steps and set(steps) == {1000}
+
+
 def test_blocks_of_time_change_nothing(spark):
     from pyspark.sql import functions as F
 
