@@ -4,7 +4,8 @@ A text is a sequence of units (bytes, or words). A window is ``width`` units in
 picks one of its grams (``gram`` units in a row) as its anchor, by content alone, so equal windows
 have equal anchors at equal places. The search therefore
 
-1. finds the anchors of each text (about two in ``width - gram + 2`` units),
+1. finds the anchors of each text (about two in ``width - gram + 2`` units, and a few for each
+   periodic stretch, however long it is),
 2. keeps those whose gram occurs in another place, by an aggregate with partial sums,
 3. cuts a context around each of them, the windows that may have picked it, and
 4. brings contexts with equal grams together in a shard, where a solver compares their units and
@@ -76,10 +77,40 @@ def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
+def gaps(hashes: np.ndarray, picks: np.ndarray, begins: np.ndarray, most: int) -> np.ndarray:
+    """How far before each pick the same gram stands last in its text, 0 if not within ``most``."""
+    out = np.zeros(len(picks), dtype=np.int64)
+    open_ = np.arange(len(picks))
+    for gap in range(1, most + 1):
+        open_ = open_[picks[open_] - gap >= begins[open_]]
+        same = hashes[picks[open_] - gap] == hashes[picks[open_]]
+        out[open_[same]] = gap
+        open_ = open_[~same]
+    return out
+
+
+def runs(units: np.ndarray, picks: np.ndarray, gap: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the longest stretch with period ``gap`` around each pick, within its text."""
+    start, end = picks.copy(), picks.copy()
+    for p in np.unique(gap).tolist():
+        own = np.flatnonzero(gap == p)
+        breaks = np.concatenate([[-1], np.flatnonzero(units[p:] != units[:-p]), [len(units) - p]])
+        k = np.searchsorted(breaks, picks[own] - p)
+        start[own] = np.maximum(breaks[k - 1] + 1, begins[own])
+        end[own] = np.minimum(breaks[k] + p, ends[own])
+    return start, end
+
+
 def anchors(units: np.ndarray, sizes: np.ndarray, gram: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, place in it, gram hash) of the anchors of texts that lie in ``units`` in a row.
 
-    A window's anchor is its gram of the least hash, the last of equal ones. At most CHUNK units.
+    A window's anchor is its gram of the least hash, the last of equal ones. In a periodic stretch
+    that choice would move on with each period, so there it depends on which ends of the stretch
+    the window shows: its end (the last gram stays), only its start (the first one), or neither.
+    Of the windows that show neither all but the first ``period + 1`` are left out: each equals one
+    of those, and ``periodic_span`` gives the whole stretch once one of them is found repeated,
+    as the first always is. All of this depends on the window's units alone, so equal windows still
+    have equal anchors at equal places. At most CHUNK units.
     """
     none = np.zeros(0, dtype=np.int64)
     if len(units) < width:
@@ -93,9 +124,50 @@ def anchors(units: np.ndarray, sizes: np.ndarray, gram: int, width: int) -> tupl
     windows = np.maximum(sizes - width + 1, 0)
     starts = np.repeat(first - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
     places = (PLACE - (least[starts] & PLACE)).astype(np.int64)
-    places = places[np.flatnonzero(np.diff(places, prepend=-1))]
-    text = np.searchsorted(first, places, side="right") - 1
-    return text, places - first[text], hashes[places].view(np.int64)
+    new = np.diff(places, prepend=-1) != 0
+    picks = places[new]
+    owner = np.searchsorted(first, picks, side="right") - 1
+    gap = gaps(hashes, picks, first[owner], longest_period(gram, width))
+    if gap.any():
+        start, end = np.zeros_like(picks), np.zeros_like(picks)
+        some = np.flatnonzero(gap)
+        start[some], end[some] = runs(units, picks[some], gap[some], first[owner[some]], (first + sizes)[owner[some]])
+        pick = np.cumsum(new) - 1
+        held = np.flatnonzero((gap[pick] > 0) & (starts <= places - gap[pick]) & (end[pick] >= starts + width))
+        pick, at = pick[held], starts[held]
+        shown = start[pick] > at
+        places[held[shown]] -= ((picks - start) // np.maximum(gap, 1) * gap)[pick[shown]]
+        kept = np.ones(len(places), dtype=bool)
+        kept[held[~shown & (at > (start + gap)[pick])]] = False
+        picks = np.unique(places[kept])
+        owner = np.searchsorted(first, picks, side="right") - 1
+    return owner, picks - first[owner], hashes[picks].view(np.int64)
+
+
+def longest_period(gram: int, width: int) -> int:
+    """Periods up to which a window within a periodic stretch shows the same gram twice."""
+    return (width - gram) // 2
+
+
+def periodic_span(sequence, end: int, gram: int, width: int) -> tuple[int, int] | None:
+    """The periodic stretch that the window before ``end`` lies in, if all of it is repeated.
+
+    A stretch of period p and at least ``width`` + p units is covered by windows that also start p
+    units further on or before. ``sequence`` is sliced and compared: bytes, or a list of words.
+    """
+    tail = sequence[end - width : end]
+    for p in range(1, longest_period(gram, width) + 1):
+        if tail[0] == tail[p] and tail[-1] == tail[-1 - p] and tail[p:] == tail[:-p]:
+            break
+    else:
+        return None
+    start, n = end - width, len(sequence)
+    for step in (1 << 16, 1 << 8, 1):  # large stretches are compared in large steps
+        while end + step <= n and sequence[end : end + step] == sequence[end - p : end - p + step]:
+            end += step
+        while start >= step and sequence[start - step : start] == sequence[start - step + p : start + p]:
+            start -= step
+    return (start, end) if end - start >= width + p else None
 
 
 class Units(NamedTuple):
@@ -311,15 +383,23 @@ def spans_of(marked: DataFrame, job: Job, shard: int) -> DataFrame:
     return spans.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
 
 
-def merged(spans: list[int]) -> list[tuple[int, int]]:
-    """Packed spans as (start, end), in order, those that meet or overlap made one."""
+def merged(spans: list[int], sequence, gram: int, width: int) -> list[tuple[int, int]]:
+    """Packed spans as (start, end), in order, those that meet or overlap made one, and with them
+    the periodic stretches that they end in (see anchors)."""
     out: list[tuple[int, int]] = []
-    for s in sorted(spans):
-        a, b = s >> 31, s & (1 << 31) - 1
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
+
+    def add(a: int, b: int) -> None:
+        while out and a <= out[-1][1]:
+            last = out.pop()
+            a, b = min(a, last[0]), max(b, last[1])
+        out.append((a, b))
+
+    todo = sorted((s >> 31, s & (1 << 31) - 1) for s in spans)
+    for k, (a, b) in enumerate(todo):
+        add(a, b)
+        end = out[-1][1]
+        if (k + 1 == len(todo) or todo[k + 1][0] > end) and (whole := periodic_span(sequence, end, gram, width)):
+            add(*whole)
     return out
 
 

@@ -128,10 +128,10 @@ def job(width: int = WIDTH, gram: int = GRAM) -> Job:
     return Job(UNITS, width, gram, factors(width, width - gram))
 
 
-def stripping(width: int):
+def stripping(width: int, gram: int):
     def strip(text: bytes, copies: int, spans: list[int] | None) -> tuple[int, int, str]:
         words = text.split()
-        own = [(0, len(words))] if copies > 1 and len(words) >= width else merged(spans or [])
+        own = [(0, len(words))] if copies > 1 and len(words) >= width else merged(spans or [], words, gram, width)
         kept, at = [], 0
         for a, b in own:
             kept += words[at:a]
@@ -150,4 +150,4 @@ def strip_word_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, **
     have no words. Ids may be null or repeat; rows that repeat a text are copies of each other.
     An empty table gives none.
     """
-    return without_repeats(docs, job(width, gram), stripping(width), "n_words long, n_removed long, kept_sha256 string", **options)
+    return without_repeats(docs, job(width, gram), stripping(width, gram), "n_words long, n_removed long, kept_sha256 string", **options)

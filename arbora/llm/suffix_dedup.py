@@ -198,9 +198,9 @@ def job(width: int = WIDTH, gram: int = GRAM) -> Job:
     return Job(UNITS, width, gram, equal_windows(width))
 
 
-def stripping(width: int):
+def stripping(width: int, gram: int):
     def strip(text: bytes, copies: int, spans: list[int] | None) -> tuple[int, int, int, str]:
-        own = [(0, len(text))] if copies > 1 and len(text) >= width else merged(spans or [])
+        own = [(0, len(text))] if copies > 1 and len(text) >= width else merged(spans or [], text, gram, width)
         kept, at = hashlib.sha256(), 0
         for a, b in own:
             kept.update(text[at:a])
@@ -219,4 +219,4 @@ def strip_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, **op
     null or repeat; rows that repeat a text are copies of each other, so that texts of at least
     ``width`` bytes lose everything. An empty table gives none.
     """
-    return without_repeats(docs, job(width, gram), stripping(width), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", **options)
+    return without_repeats(docs, job(width, gram), stripping(width, gram), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", **options)

@@ -546,6 +546,45 @@ def test_equal_windows_have_equal_anchors():
         assert own & other
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.sampled_from([(6, 2), (8, 3), (12, 4), (20, 5)]), st.lists(st.lists(st.tuples(st.sampled_from([b"a", b"ab", b"aab", b"abcab", b"bacbbca"]), st.integers(0, 14), st.binary(max_size=5).map(lambda b: bytes(97 + x % 3 for x in b))), max_size=4), min_size=1, max_size=5))
+def test_periodic_texts_keep_every_repeat(shape, parts):
+    """The windows that anchors bring together, and the periodic stretches, cover what brute force does."""
+    width, gram = shape
+    data = [b"".join(unit * n + tail for unit, n, tail in text) for text in parts]
+    met = defaultdict(set)
+    for i, t in enumerate(data):
+        _, place, grams = repeats.anchors(suffix_dedup.BYTES[np.frombuffer(t, dtype=np.uint8)], np.array([len(t)]), gram, width)
+        for p, g in zip(place.tolist(), grams.tolist(), strict=True):
+            for a in range(max(0, p - width + gram), min(p, len(t) - width) + 1):
+                met[g, p - a, t[a : a + width]].add((i, a))
+    for i, (t, gone) in enumerate(zip(data, covered(data, width), strict=True)):
+        spans = [a << 31 | a + width for found in met.values() if len(found) > 1 for k, a in found if k == i]
+        own = [False] * len(t)
+        for a, b in repeats.merged(spans, t, gram, width):
+            own[a:b] = [True] * (b - a)
+        assert own == gone
+
+
+@pytest.mark.parametrize("unit", [b"a", b"abc ", bytes(range(100)), bytes(range(152))])
+def test_periodic_texts_have_few_anchors(unit):
+    text = unit * (600_000 // len(unit))
+    n = sum(len(repeats.anchors(units, sizes, 96, 400)[0]) for _, _, units, sizes in suffix_dedup.byte_chunks([text], 400))
+    assert 2 <= n <= 12
+    assert repeats.periodic_span(text, 500, 96, 400) == (0, len(text))
+
+
+def test_very_long_repetitive_texts(spark):
+    """10 MB of one byte, 10 MB of four and a million equal words, beside a few that share a stretch of them."""
+    long_ = ["a" * 10_000_000, "abc " * 2_500_000, "again " * 1_000_000]
+    rows = [*enumerate(long_), (3, "<" + "a" * 450), (4, ">" + "a" * 399), (5, "x " + "abc " * 40), (6, "again " * 36 + "end"), (7, "again " * 34 + "end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.strip_substrings(df).collect()}
+    assert got == {0: 10_000_000, 1: 10_000_000, 2: 6_000_000, 3: 450, 4: 0, 5: 0, 6: 0, 7: 0}
+    got = {r["doc_id"]: r["n_removed"] for r in rlz_dedup.strip_word_windows(df).collect()}
+    assert got == {0: 0, 1: 2_500_000, 2: 1_000_000, 3: 0, 4: 0, 5: 40, 6: 36, 7: 0}
+
+
 def test_long_words_and_texts(monkeypatch):
     monkeypatch.setattr(rlz_dedup, "STRETCH", 50)
     text = b"a " * 40 + b"L" * 1000 + b" b" * 40
