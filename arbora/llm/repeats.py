@@ -37,6 +37,10 @@ PLACE = np.uint64(CHUNK - 1)
 SHARD, PARTS = 1 << 14, 4
 #: Contexts that a solver sees at once, in whole shards.
 TOGETHER = 1 << 14
+#: Anchors of one period that are followed one by one.
+FEW = 256
+#: Anchors that are looked at together for periods.
+STEP = 1 << 12
 #: Odd multipliers of the rolling hash and of its finish.
 BASE, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -79,25 +83,41 @@ def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
 
 def gaps(hashes: np.ndarray, picks: np.ndarray, begins: np.ndarray, most: int) -> np.ndarray:
     """How far before each pick the same gram stands last in its text, 0 if not within ``most``."""
-    out = np.zeros(len(picks), dtype=np.int64)
-    open_ = np.arange(len(picks))
-    for gap in range(1, most + 1):
-        open_ = open_[picks[open_] - gap >= begins[open_]]
-        same = hashes[picks[open_] - gap] == hashes[picks[open_]]
-        out[open_[same]] = gap
-        open_ = open_[~same]
+    out, back = np.zeros(len(picks), dtype=np.int64), np.arange(1, most + 1)
+    for a in range(0, len(picks), STEP):
+        own = picks[a : a + STEP, None]
+        at = own - back
+        same = (hashes[np.maximum(at, 0)] == hashes[own]) & (at >= begins[a : a + STEP, None])
+        out[a : a + STEP] = np.where(same.any(axis=1), same.argmax(axis=1) + 1, 0)
     return out
 
 
-def runs(units: np.ndarray, picks: np.ndarray, gap: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, end) of the longest stretch with period ``gap`` around each pick, within its text."""
-    start, end = picks.copy(), picks.copy()
-    for p in np.unique(gap).tolist():
+def leading(same: np.ndarray) -> np.ndarray:
+    """How many of each row's first values are true."""
+    return np.where(same.all(axis=1), same.shape[1], same.argmin(axis=1))
+
+
+def runs(units: np.ndarray, picks: np.ndarray, gap: np.ndarray, begins: np.ndarray, ends: np.ndarray, gram: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the stretch with period ``gap`` around each pick, as far as windows with that pick see.
+
+    Where many picks have the same period, the whole of ``units`` is compared at once instead.
+    """
+    start, end = np.zeros_like(picks), np.zeros_like(picks)
+    periods, kind, size = np.unique(gap, return_inverse=True, return_counts=True)
+    for p in periods[size > FEW].tolist():
         own = np.flatnonzero(gap == p)
         breaks = np.concatenate([[-1], np.flatnonzero(units[p:] != units[:-p]), [len(units) - p]])
         k = np.searchsorted(breaks, picks[own] - p)
         start[own] = np.maximum(breaks[k - 1] + 1, begins[own])
         end[own] = np.minimum(breaks[k] + p, ends[own])
+    few, back, ahead = np.flatnonzero(size[kind] <= FEW), np.arange(1, width - gram + 2), np.arange(width + 1)
+    for a in range(0, len(few), STEP):
+        own = few[a : a + STEP]
+        at, p = (picks - gap)[own, None], gap[own, None]
+        i, j = at - back, at + ahead
+        start[own] = (at - leading((i >= begins[own, None]) & (units[np.maximum(i, 0)] == units[np.maximum(i, 0) + p]))[:, None])[:, 0]
+        last = len(units) - 1
+        end[own] = (at + p + leading((j + p < ends[own, None]) & (units[np.minimum(j, last)] == units[np.minimum(j + p, last)]))[:, None])[:, 0]
     return start, end
 
 
@@ -131,10 +151,13 @@ def anchors(units: np.ndarray, sizes: np.ndarray, gram: int, width: int) -> tupl
     if gap.any():
         start, end = np.zeros_like(picks), np.zeros_like(picks)
         some = np.flatnonzero(gap)
-        start[some], end[some] = runs(units, picks[some], gap[some], first[owner[some]], (first + sizes)[owner[some]])
-        pick = np.cumsum(new) - 1
-        held = np.flatnonzero((gap[pick] > 0) & (starts <= places - gap[pick]) & (end[pick] >= starts + width))
-        pick, at = pick[held], starts[held]
+        start[some], end[some] = runs(units, picks[some], gap[some], first[owner[some]], (first + sizes)[owner[some]], gram, width)
+        each = np.diff(np.append(np.flatnonzero(new), len(places)))
+        held = np.flatnonzero(np.repeat(gap > 0, each))
+        pick = np.repeat(some, each[some])
+        seen = (starts[held] <= places[held] - gap[pick]) & (end[pick] >= starts[held] + width)
+        held, pick = held[seen], pick[seen]
+        at = starts[held]
         shown = start[pick] > at
         places[held[shown]] -= ((picks - start) // np.maximum(gap, 1) * gap)[pick[shown]]
         kept = np.ones(len(places), dtype=bool)
