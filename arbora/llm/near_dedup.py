@@ -4,11 +4,11 @@ Two texts whose sets of ``shingle``-word shingles have a Jaccard similarity of 0
 in about 15 % of the fingerprint's bits, too many for blocks that must agree exactly. So several
 tables each deal the fingerprints by a random choice of bits, as many tables as a pair at the
 threshold needs to meet in one of them with the probability asked for. Where they meet, a BK-tree
-finds the pairs within the radius, a minimum spanning forest is kept of them, and its links are
-confirmed by the exact similarity of the two texts. What remains gives first groups; then every
-pair within the radius that has its ends in two groups and was not yet refused is confirmed as
-well, as a link that closed a cycle may hold where those of the forest did not. Groups are the
-components of all confirmed links.
+finds the pairs within the radius, and a minimum spanning forest of them gives links. What links
+connect is a crowd: all pairs that meet within the radius lie in one. Links are confirmed on the
+texts, which gives first groups; crowds that hold more than one group then have all their pairs
+of two groups compared, and groups that a similar pair links are joined at once, so that no pair
+within a group is looked at again and no pair is a row.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.llm.common import cut, for_python, small_enough, text_of
+from arbora.llm.common import cut, for_python, small_enough, text_of, written
 from arbora.llm.components import components
-from arbora.llm.simhash import fingerprint, spanning
+from arbora.llm.simhash import fingerprint, shingle_hashes, spanning
 
 #: Words of a shingle, Jaccard similarity of near duplicates, and the probability that a pair at
 #: that similarity meets in a table.
@@ -34,8 +34,8 @@ LANES, KEY_BITS, SHARD = 8, 14, 512
 BROADCAST_NODES = 1_000_000
 #: Members of an overfull key's block; two of them are held at a time.
 BLOCK = 4096
-#: Pairs beyond which they leave a Python worker.
-PAIRS = 1 << 16
+#: Bytes of texts in a block of a crowd, each counted as so many more for the time that it takes.
+TEXT_BLOCK, TEXT_BYTES = 1 << 22, 1 << 12
 
 
 def differing(similarity: float) -> float:
@@ -122,50 +122,110 @@ def forests(most: int):
     return run
 
 
-def candidates(fps: DataFrame, similarity: float = SIMILARITY, lanes: int = LANES, shard: int = SHARD) -> DataFrame:
-    """a, b: links between nodes whose fingerprints are near, from all tables, each once.
+def candidates(fps: DataFrame, similarity: float = SIMILARITY, lanes: int = LANES, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+    """a, b: links whose components are those of all pairs within the radius that meet in a table.
 
-    A key with more than ``shard`` members is dealt to parts at random, differently in each table:
-    of a large group of near copies each member meets ``shard`` others per table in which the
-    group shares a key, and its components hold together through any of them. Pairs that are dealt
-    apart are left to ``crossing``.
+    A key with more than ``shard`` members is first dealt to parts at random, differently in each
+    table: of a large group of near copies each member meets ``shard`` others per table, and its
+    crowd holds together through any of them. Then all members of such a key that are not in
+    one crowd by that meet, in blocks of ``block`` by ``block``.
     """
-    rows = dealt(fps, tables(fps.count(), similarity, lanes=lanes))
-    spread = rows.join(small_enough(overfull(rows, shard), BROADCAST_NODES), F.col("key") == F.col("__key"), "left")
+    picks, most = tables(fps.count(), similarity, lanes=lanes), radius(similarity, lanes)
+    rows = dealt(fps, picks)
+    large = overfull(rows, shard)
+    spread = rows.join(small_enough(large, BROADCAST_NODES), F.col("key") == F.col("__key"), "left")
     spread = spread.select("key", F.coalesce(F.pmod(F.xxhash64("key", "node"), F.col("parts")), F.lit(0)).alias("part"), "node", "fp")
-    links = spread.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(forests(radius(similarity, lanes)), "a long, b long")
-    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = spread.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(forests(most), "a long, b long")
+    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    if large.isEmpty():
+        return links
+    links = cut(links)
+    named = fps.join(small_enough(cut(components(links)), BROADCAST_NODES), "node", "left").select("node", "fp", F.coalesce("label", "node").alias("label"))
+    keys = small_enough(large.select(F.col("__key").alias("key")), BROADCAST_NODES)
+    members = dealt(cut(named), picks).join(keys, "key").withColumn("weight", F.lit(1))
+    return links.unionByName(met(members, block).mapInArrow(across(most), "a long, b long"))
+
+
+def tiles(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], make=None) -> Iterator[tuple[list, ...]]:
+    """The columns of each (key, part) in sorted rows, the last of them through ``make``."""
+    now, held = None, tuple([] for _ in columns)
+    for b in batches:
+        for key, part, *row in zip(*(b.column(c).to_pylist() for c in ("key", "part")), *(b.column(c) for c in columns), strict=True):
+            if (key, part) != now:
+                if now is not None:
+                    yield held
+                now, held = (key, part), tuple([] for _ in columns)
+            for column, x in zip(held, row, strict=True):
+                column.append(x.as_py())
+            if make:
+                held[-1][-1] = make(held[-1][-1])
+    if now is not None:
+        yield held
+
+
+def bits_of(fps: list[bytes]) -> np.ndarray:
+    """A row for each 64 bits of the fingerprints, a column for each fingerprint."""
+    return np.ascontiguousarray(np.frombuffer(b"".join(fps), dtype=np.uint64).reshape(len(fps), -1).T)
+
+
+def apart(lanes: np.ndarray, label: np.ndarray, k: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places behind ``k`` of another label within ``most`` bits, and their differing bits."""
+    other = np.flatnonzero(label[k + 1 :] != label[k]) + k + 1
+    bits = np.bitwise_count(lanes[:, other] ^ lanes[:, k : k + 1]).sum(axis=0, dtype=np.uint16)
+    return other[bits <= most], bits[bits <= most]
+
+
+def links_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    ends = np.array(found, dtype=np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1))], ["a", "b"])
 
 
 def across(most: int):
-    """All pairs within ``most`` bits and of two labels, of each (key, part) in sorted rows; one part is held at a time."""
-
-    def solve(nodes: list[int], labels: list[int], fps: list[bytes]) -> Iterator[pa.RecordBatch]:
-        if len(set(labels)) < 2:
-            return
-        node, label = np.array(nodes, dtype=np.int64), np.array(labels, dtype=np.int64)
-        lanes = np.ascontiguousarray(np.frombuffer(b"".join(fps), dtype=np.uint64).reshape(len(nodes), -1).T)
-        found, size = [], 0
-        for k in range(len(nodes) - 1):
-            bits = np.bitwise_count(lanes[:, k + 1 :] ^ lanes[:, k : k + 1]).sum(axis=0, dtype=np.uint16)
-            hits = np.flatnonzero((bits <= most) & (label[k + 1 :] != label[k])) + k + 1
-            if len(hits):
-                found.append((np.full(len(hits), node[k]), node[hits]))
-                size += len(hits)
-            if found and (size > PAIRS or k == len(nodes) - 2):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["a", "b"])
-                found, size = [], 0
+    """Links that join the labels of each (key, part) as all its pairs within ``most`` bits would."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, ([], [], [])
-        for b in batches:
-            for key, part, *row in zip(*(b.column(c).to_pylist() for c in ("key", "part", "node", "label", "fp")), strict=True):
-                if (key, part) != now:
-                    yield from solve(*held)
-                    now, held = (key, part), ([], [], [])
-                for column, x in zip(held, row, strict=True):
-                    column.append(x)
-        yield from solve(*held)
+        for nodes, labels, fps in tiles(batches, ("node", "label", "fp")):
+            if len(set(labels)) < 2:
+                continue
+            lanes, label, found = bits_of(fps), np.array(labels, dtype=np.int64), []
+            for k in range(len(nodes) - 1):
+                near, _ = apart(lanes, label, k, most)
+                if len(near):
+                    others, first = np.unique(label[near], return_index=True)
+                    found += [(nodes[k], nodes[j]) for j in near[first].tolist()]
+                    label[np.isin(label, others)] = label[k]
+            yield links_of(found)
+
+    return run
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have that Jaccard similarity."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
+
+
+def joining(most: int, shingle: int, similarity: float):
+    """Links that join the labels of each (key, part) as all its similar pairs would.
+
+    The nearest pairs of two labels come first; once one is similar, its labels are one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nodes, labels, fps, sets in tiles(batches, ("node", "label", "fp", "text"), lambda text: np.unique(shingle_hashes(text, shingle))):
+            lanes, label, found = bits_of(fps), np.array(labels, dtype=np.int64), []
+            size = np.array([len(x) for x in sets])
+            for k in range(len(nodes) - 1):
+                near, bits = apart(lanes, label, k, most)
+                may = np.minimum(size[near], size[k]) >= similarity * np.maximum(size[near], size[k])
+                near = near[may][np.argsort(bits[may], kind="stable")]
+                while len(near):
+                    j, near = near[0], near[1:]
+                    if similar(sets[k], sets[j], similarity):
+                        found.append((nodes[k], nodes[j]))
+                        label[label == label[j]] = label[k]
+                        near = near[label[near] != label[k]]
+            yield links_of(found)
 
     return run
 
@@ -175,45 +235,39 @@ def overfull(rows: DataFrame, shard: int) -> DataFrame:
     return cut(rows.groupBy("key").count().where(F.col("count") > shard).select(F.col("key").alias("__key"), F.ceil(F.col("count") / shard).alias("parts")))
 
 
-def met(big: DataFrame, block: int) -> DataFrame:
-    """key, part, node, label, fp: rows of overfull keys, once for each two blocks that have to meet.
+def met(rows: DataFrame, block: int) -> DataFrame:
+    """``rows`` (key, label, node, weight and others), dealt and sorted by key and part: once for
+    each two blocks of a key that have to meet, a block being rows of about ``block`` in weight.
 
-    A label with over ``block`` members in a key has blocks of its own, which don't meet one
-    another; the others share blocks, of which each meets itself and all.
+    A label of more than a block in a key has blocks of its own, which don't meet one another; the
+    others share blocks, of which each meets itself and all. Keys of one label are left out.
     """
-    sizes = cut(big.groupBy("key", "label").count())
-    own = F.col("count") > block
-    zones = sizes.select("key", F.when(own, F.col("label")).alias("zone"), "count").groupBy("key", "zone").agg(F.sum("count").alias("n"))
-    zones = cut(zones.withColumn("pieces", F.ceil(F.col("n") / block)).drop("n"))
+    sizes = cut(rows.groupBy("key", "label").agg(F.sum("weight").alias("n")))
+    own = F.col("n") > block
+    zones = sizes.select("key", "label", F.when(own, F.col("label")).alias("zone"), "n").groupBy("key", "zone").agg(F.sum("n").alias("n"), F.min("label").alias("a"), F.max("label").alias("b"))
+    keys = zones.groupBy("key").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("key")
+    zones = cut(zones.join(keys, "key").select("key", "zone", F.ceil(F.col("n") / block).alias("pieces")))
     at = F.struct(F.col("zone").isNull().alias("mixed"), F.coalesce("zone", F.lit(0)).alias("zone"), "piece").alias("at")
     blocks = cut(zones.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))).select("key", at))
     two = blocks.withColumnRenamed("at", "x").join(blocks.withColumnRenamed("at", "y"), "key").where("x <= y and (x.mixed or y.mixed or x.zone <> y.zone)")
     two = cut(two.withColumn("part", F.monotonically_increasing_id() + 1))
     ends = two.select("key", "part", F.explode(F.array_distinct(F.array("x", "y"))).alias("at"))
-    named = big.join(small_enough(sizes.where(own).select("key", "label", F.lit(True).alias("own")), BROADCAST_NODES), ["key", "label"], "left")
+    named = rows.join(small_enough(sizes.where(own).select("key", "label", F.lit(True).alias("own")), BROADCAST_NODES), ["key", "label"], "left")
     named = named.withColumn("zone", F.when(F.col("own"), F.col("label"))).drop("own")
     zones = zones.select(F.col("key").alias("__key"), F.col("zone").alias("__zone"), "pieces")
     placed = named.join(small_enough(zones, BROADCAST_NODES), (F.col("key") == F.col("__key")) & F.col("zone").eqNullSafe(F.col("__zone")))
-    placed = placed.withColumn("piece", F.pmod(F.xxhash64("key", "node"), F.col("pieces"))).select("key", "node", "label", "fp", at)
-    return placed.join(small_enough(ends, BROADCAST_NODES), ["key", "at"]).select("key", "part", "node", "label", "fp")
-
+    placed = placed.withColumn("piece", F.pmod(F.xxhash64("key", "node"), F.col("pieces"))).select(*rows.columns, at)
+    return placed.join(small_enough(ends, BROADCAST_NODES), ["key", "at"]).drop("at").repartition("key", "part").sortWithinPartitions("key", "part")
 
-def crossing(fps: DataFrame, links: DataFrame, groups: DataFrame, similarity: float = SIMILARITY, lanes: int = LANES, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
-    """a, b: all pairs within the radius that meet in a table, are of two groups and not among ``links``.
 
-    In a key of at most ``shard`` members a spanning forest was taken, so each node of such a pair
-    has a link. The members of a larger key are all compared, in blocks of ``block`` by ``block``.
-    """
-    picks = tables(fps.count(), similarity, lanes=lanes)
-    named = cut(fps.join(small_enough(groups, BROADCAST_NODES), "node", "left").select("node", "fp", F.coalesce("label", "node").alias("label")))
-    ends = cut(links.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    rows = dealt(cut(named.join(small_enough(ends, BROADCAST_NODES), "node")), picks).select("key", F.lit(0).cast("long").alias("part"), "node", "label", "fp")
-    large = overfull(dealt(fps, picks), shard).select(F.col("__key").alias("key"))
-    if not large.isEmpty():
-        large = small_enough(large, BROADCAST_NODES)
-        rows = rows.join(large, "key", "left_anti").unionByName(met(dealt(named, picks).join(large, "key"), block))
-    pairs = rows.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(across(radius(similarity, lanes)), "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(links, ["a", "b"], "left_anti")
+def joined(crowds: DataFrame, groups: DataFrame, fps: DataFrame, docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, lanes: int = LANES, block: int = TEXT_BLOCK, text_col: str = "text") -> DataFrame:
+    """a, b: links between the groups of each crowd (node, label) that has several."""
+    named = crowds.withColumnRenamed("label", "key").join(groups, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    several = cut(named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key"))
+    nodes = cut(named.join(small_enough(several, BROADCAST_NODES), "key"))
+    texts = docs.select(node_of(text_col).alias("node"), text_of(text_col).cast("binary").alias("text")).join(small_enough(nodes.select("node"), BROADCAST_NODES), "node").groupBy("node").agg(F.first("text").alias("text"))
+    rows = written(nodes.join(fps, "node").join(texts, "node").withColumn("weight", F.octet_length("text") + TEXT_BYTES))
+    return for_python(met(rows, block)).mapInArrow(joining(radius(similarity, lanes), shingle, similarity), "a long, b long")
 
 
 def shingle_set(text: str, shingle: int) -> set:
@@ -241,20 +295,20 @@ def confirmed(links: DataFrame, docs: DataFrame, shingle: int = SHINGLE, similar
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, lanes: int = LANES, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, lanes: int = LANES, shard: int = SHARD, block: int = BLOCK, text_block: int = TEXT_BLOCK) -> DataFrame:
     """The rows of ``docs`` that stay: of each group of near copies the one of the smallest doc_id.
 
     Null ids come last, then the smaller text hash decides. Texts without words are near to none
-    and all stay; rows with equal texts share a fate (exact dedup tells them apart). All columns
-    are kept as they are. An empty table gives none.
+    and all stay; rows with equal texts share a fate (exact dedup tells them apart). Very long
+    texts are read whole. All columns are kept as they are. An empty table gives none.
     """
     fps = cut(wide_fingerprints(docs, shingle, lanes).distinct())
-    links = cut(candidates(fps, similarity, lanes, shard))
+    links = cut(candidates(fps, similarity, lanes, shard, block))
     kept = cut(confirmed(links, docs, shingle, similarity))
     groups = cut(components(kept))
-    more = cut(crossing(fps, links, groups, similarity, lanes, shard, block))
+    more = cut(joined(components(links), groups, fps, docs, shingle, similarity, lanes, text_block))
     if not more.isEmpty():
-        groups = components(cut(kept.unionByName(confirmed(more, docs, shingle, similarity))))
+        groups = components(cut(kept.unionByName(more)))
     ids = docs.select(node_of().alias("node"), F.col("doc_id").alias("id"), F.col("doc_id").isNull().alias("no_id")).join(groups, "node")
     best = ids.groupBy("label").agg(F.min(F.struct("no_id", "id", "node")).getField("node").alias("best"))
     gone = cut(groups.join(best, "label").where("node <> best").select(F.col("node").alias("__gone")))

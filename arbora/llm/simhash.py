@@ -33,18 +33,15 @@ SHARD = 512
 BLOCK = 1 << 16
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, lanes: int = 1, repeats: bool = True) -> bytes:
-    """8 * ``lanes`` bytes: a bit is 1 if it is set in over half of the shingles' hashes.
-
-    Shingles that repeat count as often as they occur, or once if not ``repeats``.
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each shingle of a text, in order: ``shingle`` words in a row, joined by a space.
 
     Words are runs other than ASCII white space, A-Z in lower case. A text of fewer words than a
-    shingle is one shingle; one without words has fingerprint zero. The first lane's hash is the
-    shingle's XXH64; the other lanes' hashes are mixed from it, each with a factor of its own.
+    shingle is one shingle; one without words has none.
     """
     words = text.lower().split()
     if not words:
-        return bytes(8 * lanes)
+        return np.zeros(0, dtype=np.uint64)
     joined, hash_ = b" ".join(words), xxhash.xxh64_digest
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     starts = np.cumsum(sizes + 1) - sizes - 1
@@ -52,7 +49,19 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, lanes: int = 1, repeats: bo
     ends = (starts + sizes)[last:]
     starts = starts[: len(ends)]
     spans = (zip(starts[a : a + BLOCK].tolist(), ends[a : a + BLOCK].tolist(), strict=True) for a in range(0, len(ends), BLOCK))
-    hashes = np.frombuffer(b"".join([b"".join([hash_(joined[s:e], SEED) for s, e in own]) for own in spans]), dtype=">u8").astype(np.uint64)
+    return np.frombuffer(b"".join([b"".join([hash_(joined[s:e], SEED) for s, e in own]) for own in spans]), dtype=">u8").astype(np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE, lanes: int = 1, repeats: bool = True) -> bytes:
+    """8 * ``lanes`` bytes: a bit is 1 if it is set in over half of the shingles' hashes.
+
+    Shingles that repeat count as often as they occur, or once if not ``repeats``. A text without
+    words has fingerprint zero. The first lane's hash is the shingle's XXH64; the other lanes'
+    hashes are mixed from it, each with a factor of its own.
+    """
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return bytes(8 * lanes)
     if not repeats:
         hashes = np.unique(hashes)
     counts = np.zeros((lanes, BITS), dtype=np.int64)

@@ -470,11 +470,49 @@ def test_near_stage_compares_all_of_an_overfull_key(spark):
     copies = [(1000 + k, rows[0][1] + f" end{k}", "a") for k in range(60)]
     want, pairs = brute_kept(rows)
     assert pairs == 80 and len(want) == 160
-    left = near_dedup.drop_near_copies(spark.createDataFrame(rows + copies, SCHEMA), shard=8, block=16)
+    left = near_dedup.drop_near_copies(spark.createDataFrame(rows + copies, SCHEMA), shard=8, block=16, text_block=1 << 18)
     got = {r["doc_id"] for r in left.collect()}
     assert want <= got and len(got - want) <= 2
 
 
+def test_near_stage_finds_pairs_just_over_the_threshold(spark):
+    rng = random.Random(5)
+    fresh = lambda k: [f"w{rng.getrandbits(40)}" for _ in range(k)]
+    rows = []
+    for k in range(500):
+        words, changed = fresh(600), rng.randint(58, 66)  # similarities of 0.80 to 0.83
+        rows += [(k, " ".join(words), "a"), (1000 + k, " ".join(words[:-changed] + fresh(changed)), "a")]
+    want, pairs = brute_kept(rows)
+    assert pairs == 500 == len(want)
+    got = {r["doc_id"] for r in near_dedup.drop_near_copies(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert want <= got and len(got - want) <= 0.05 * 500
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_joining_gives_the_components_of_similar_pairs(seed):
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(120)]
+    texts = [" ".join(base[: (a := rng.randint(60, 120))] + [f"x{rng.randint(0, 9)}" for _ in range(rng.randint(0, 30))]).encode() for _ in range(60)]
+    fps = [simhash.fingerprint(t, 5, 8, repeats=False) for t in texts]
+    labels = [rng.choice([k, 0, 7]) for k in range(60)]
+    import pyarrow as pa
+
+    b = pa.RecordBatch.from_pylist([{"key": 1, "part": 0, "node": k, "label": labels[k], "fp": f, "text": t} for k, (f, t) in enumerate(zip(fps, texts, strict=True))])
+    out = [x for r in near_dedup.joining(512, 5, 0.8)([b]) for x in r.to_pylist()]
+    sets = [near_dedup.shingle_set(t.decode(), 5) for t in texts]
+
+    def parts(pairs):
+        up = list(range(60))
+        for a, c in pairs:
+            up = [up[a] if x == up[c] else x for x in up]
+        return {frozenset(k for k in range(60) if up[k] == x) for x in set(up)}
+
+    same = [(a, c) for a in range(60) for c in range(a) if labels[a] == labels[c]]
+    close = [(a, c) for a in range(60) for c in range(a) if len(sets[a] & sets[c]) >= 0.8 * len(sets[a] | sets[c])]
+    assert parts([*same, *((x["a"], x["b"]) for x in out)]) == parts([*same, *close])
+    assert len(out) < 60
+
+
 # 7 and 8: substrings
 
 
@@ -577,7 +615,7 @@ def test_periodic_texts_have_few_anchors(unit):
 def test_very_long_repetitive_texts(spark):
     """10 MB of one byte, 10 MB of four and a million equal words, beside a few that share a stretch of them."""
     long_ = ["a" * 10_000_000, "abc " * 2_500_000, "again " * 1_000_000]
-    rows = [*enumerate(long_), (3, "<" + "a" * 450), (4, ">" + "a" * 399), (5, "x " + "abc " * 40), (6, "again " * 36 + "end"), (7, "again " * 34 + "end")]
+    rows = [*enumerate(long_), (3, "<" + "a" * 450), (4, ">" + "a" * 399), (5, "x " + "abc " * 40), (6, "again " * 36 + "end"), (7, "again " * 34 + "stop")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.strip_substrings(df).collect()}
     assert got == {0: 10_000_000, 1: 10_000_000, 2: 6_000_000, 3: 450, 4: 0, 5: 0, 6: 0, 7: 0}
