@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of texts in an Arrow batch.
 BATCH = 4 << 20
+#: Groups of a larger share of all rows than one in so many are joined apart from the others.
+HOT = 1000
 #: A run of those characters.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -30,10 +34,13 @@ def word_count(column: str = "text") -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    A temporary one is set only where neither the session nor its context has any, as in tests.
+    Where neither the session nor its context has any, a local master gets a temporary one, as in
+    tests; on any other it is an error, as executors can't see a folder of the driver's machine.
     """
     context = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", "") and not context.getCheckpointDir():
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="arbora-checkpoint-"))
     return spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()
 
@@ -82,3 +89,21 @@ def small_enough(df: DataFrame, rows: int) -> DataFrame:
     bound the caller's join is planned (and re-planned at run time) as a shuffled join.
     """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def join_by_size(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """``rows`` joined with their group; ``size`` is the number of rows that each group has.
+
+    Groups of over 1/HOT of all rows, of which there are fewer than HOT, are broadcast, and their
+    rows stay where they are; the others meet in a shuffle, in which no key has more than that
+    share. Null keys are keys, and a row without a group stays, with nulls. ``groups`` has one row for
+    each key and is read several times.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot, names = F.col(size) * HOT > total, [f"__{k}" for k in keys]
+    groups = groups.withColumnsRenamed(dict(zip(keys, names, strict=True)))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)))
+    large = F.broadcast(groups.where(hot))
+    near = rows.join(large, same)
+    rest = rows.join(large.select(*names), same, "left_anti").join(groups.where(~hot), same, "left")
+    return near.unionByName(rest).drop(*names)
