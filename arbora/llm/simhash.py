@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.llm.common import cut, for_python, text_of
+from arbora.llm.common import cut, for_python, join_by_size, text_of
 from arbora.llm.components import components
 
 BITS = 64
@@ -217,12 +217,12 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, s
 
     The component is that of the fingerprint; its id the smallest doc_id in it (null only if all
     ids are null). Null texts are empty; texts without words share fingerprint zero, which is
-    linked like any other. Repeated rows repeat in the result. An empty table gives none.
+    linked like any other. Very long texts are hashed whole, some shingles at a time. Repeated rows repeat in the result. An empty table gives none.
     """
     rows = cut(fingerprints(docs, shingle))
-    per = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    per = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")))
     linked = classes(per, radius, shard).join(per, F.col("node") == F.col("fp")).select("fp", "label", "least")
     named = linked.join(linked.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("fp", "component_id")
-    ids = per.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    out = rows.join(ids, "fp")
+    ids = cut(per.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "size"))
+    out = join_by_size(rows, ids, ["fp"], "size")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
