@@ -76,14 +76,15 @@ fits AS (SELECT page_id, first(rhost || rpath ORDER BY length(rhost || rpath) DE
          FROM parts JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id),
 marks AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY doc_id),
 pagedoc AS (SELECT host, TRY_CAST(nullif(regexp_extract(path, '/([0-9]{{1,18}})[^/]*/?$', 1), '') AS BIGINT) AS doc_id FROM parts),
-hosts AS (SELECT host, regexp_extract(host, '{urls.SECOND_LEVEL}', 2) AS two, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM pagedoc LEFT JOIN marks USING (doc_id) GROUP BY host),
-named AS (SELECT host, n, bad, CASE WHEN two <> '' THEN two ELSE regexp_extract(host, '([^.]*)$', 1) END AS suffix,
-                 CASE WHEN two <> '' THEN regexp_extract(host, '([^.]*\.?[^.]*\.[^.]*)$', 1) ELSE regexp_extract(host, '([^.]*\.?[^.]*)$', 1) END AS domain FROM hosts),
+bare AS (SELECT host, regexp_replace(host, '{urls.BESIDE}', '', 'g') AS name, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM pagedoc LEFT JOIN marks USING (doc_id) GROUP BY host),
+hosts AS (SELECT *, regexp_extract(name, '{urls.SECOND_LEVEL}', 2) AS two, regexp_matches(name, '{urls.ADDRESS}') AS address FROM bare),
+named AS (SELECT host, n, bad, CASE WHEN address THEN '{urls.ADDRESSES}' WHEN two <> '' THEN two ELSE regexp_extract(name, '([^.]*)$', 1) END AS suffix,
+                 CASE WHEN address THEN name WHEN two <> '' THEN regexp_extract(name, '([^.]*\.?[^.]*\.[^.]*)$', 1) ELSE regexp_extract(name, '([^.]*\.?[^.]*)$', 1) END AS domain FROM hosts),
 s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0.5) FROM named) AS prior FROM named GROUP BY suffix),
 {{level0}},
 d0 AS (SELECT suffix, domain, sum(named.n) AS n, sum(named.bad) AS bad, any_value(s1.a / (s1.a + s1.b)) AS prior FROM named JOIN s1 USING (suffix) GROUP BY suffix, domain),
 {{level1}},
-h0 AS (SELECT host, named.n AS n, named.bad AS bad, d1.a / (d1.a + d1.b) AS prior FROM named JOIN d1 USING (domain)),
+h0 AS (SELECT host, named.n AS n, named.bad AS bad, d1.a / (d1.a + d1.b) AS prior FROM named JOIN d1 USING (suffix, domain)),
 {{level2}},
 bounds AS (SELECT host, a / (a + b) - {urls.Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM h1)
 SELECT page_id, host, path, rule, CASE WHEN action IS NOT NULL THEN action WHEN bound > {urls.THRESHOLD} THEN 'block' ELSE 'allow' END AS verdict, round(bound, 6) AS bound

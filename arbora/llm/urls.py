@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbora.llm.common import cut
+from arbora.llm.common import cut, join_by_size
 
 
 class UrlRule(NamedTuple):
@@ -45,6 +45,12 @@ RHO = (0.0001, 0.5)
 SECOND_LEVEL = r"(^|\.)((ac|co|com|edu|gov|net|org)\.[a-z][a-z])$"
 
 
+#: What stands beside a host's name: a user name before it, a port behind it.
+BESIDE = r"^(?s:.*)@|:[0-9]*\z"
+#: Hosts that are addresses, and the suffix that they are given.
+ADDRESS, ADDRESSES = r"^([0-9]+(\.[0-9]+){3}|\[[^\]]*\])\z", "[]"
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -73,10 +79,16 @@ def rule_of(rules: tuple[UrlRule, ...], found: str) -> Column:
 
 
 def domain_and_suffix(host: Column) -> tuple[Column, Column]:
-    two = F.regexp_extract(host, SECOND_LEVEL, 2)
-    suffix = F.when(two != "", two).otherwise(F.regexp_extract(host, r"([^.]*)$", 1))
-    domain = F.when(two != "", F.regexp_extract(host, r"([^.]*\.?[^.]*\.[^.]*)$", 1)).otherwise(F.regexp_extract(host, r"([^.]*\.?[^.]*)$", 1))
-    return domain, suffix
+    """The registered domain and the suffix of a host, user names and ports aside.
+
+    An address (digits and dots, or in brackets) is its own domain, under the suffix of all addresses.
+    """
+    name = F.regexp_replace(host, BESIDE, "")
+    two = F.regexp_extract(name, SECOND_LEVEL, 2)
+    last = F.when(two != "", two).otherwise(F.regexp_extract(name, r"([^.]*)$", 1))
+    labels = F.when(two != "", F.regexp_extract(name, r"([^.]*\.?[^.]*\.[^.]*)$", 1)).otherwise(F.regexp_extract(name, r"([^.]*\.?[^.]*)$", 1))
+    address = name.rlike(ADDRESS)
+    return F.when(address, name).otherwise(labels), F.when(address, F.lit(ADDRESSES)).otherwise(last)
 
 
 def strength(level: DataFrame) -> float:
@@ -99,16 +111,16 @@ def shrunk(level: DataFrame) -> DataFrame:
 
 
 def reputations(outcomes: DataFrame) -> DataFrame:
-    """host, n, bad, mean, bound: one row for every host of ``outcomes``.
+    """host, pages, n, bad, mean, bound: one row for every host of ``outcomes``.
 
-    ``outcomes`` has host, labelled and bad (0 or 1 per page; null counts as 0). Sums are taken
+    ``outcomes`` has host and numbers of pages, labelled and bad ones (null counts as 0). Sums are taken
     before anything is shuffled, so a host with a third of the pages costs one row per task.
     Hosts without labels get their domain's prior. Without any label the mean is one half.
     """
     domain, suffix = domain_and_suffix(F.col("host"))
     sums = lambda: (F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     hosts = cut(
-        outcomes.groupBy("host").agg(F.sum(F.coalesce("labelled", F.lit(0))).alias("n"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad")).withColumn("domain", domain).withColumn("suffix", suffix)
+        outcomes.groupBy("host").agg(F.sum(F.coalesce("pages", F.lit(0))).alias("pages"), F.sum(F.coalesce("labelled", F.lit(0))).alias("n"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad")).withColumn("domain", domain).withColumn("suffix", suffix)
     )
     whole = hosts.agg(*sums()).first()
     mean = whole["bad"] / whole["n"] if whole["n"] else 0.5
@@ -116,34 +128,39 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     prior = F.col("a") / (F.col("a") + F.col("b"))
     domains = hosts.groupBy("suffix", "domain").agg(*sums()).join(suffixes.select("suffix", prior.alias("prior")), "suffix")
     domains = cut(shrunk(domains))
-    each = shrunk(hosts.join(domains.select("domain", prior.alias("prior")), "domain"))
+    each = shrunk(hosts.join(domains.select("suffix", "domain", prior.alias("prior")), ["suffix", "domain"]))
     total = F.col("a") + F.col("b")
     sd = F.sqrt(F.col("a") * F.col("b") / (total * total * (total + 1)))
-    return each.select("host", "n", "bad", (F.col("a") / total).alias("mean"), (F.col("a") / total - F.lit(Z) * sd).alias("bound"))
+    return each.select("host", "pages", "n", "bad", (F.col("a") / total).alias("mean"), (F.col("a") / total - F.lit(Z) * sd).alias("bound"))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[UrlRule, ...] = RULES, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, host, path, rule, verdict, bound for every row of ``pages``.
 
     The verdict is the rule's action, where one fits, else block if the host's bound is above
-    the threshold. ``outcomes`` must hold every host of ``pages`` (see reputations); a host that
-    it lacks is allowed. Null urls have host and path "" and are judged as the host "".
+    the threshold. ``outcomes`` should hold every page of ``pages`` (see page_outcomes); a host that
+    it lacks is allowed. Null urls have host and path "" and are judged as the host "". Very long urls are read whole, repeated
+    pages repeat in the result, other columns are ignored, and an empty table gives none.
     """
-    hosts = reputations(outcomes).select(F.col("host").alias("__host"), "bound")
+    hosts = cut(reputations(outcomes).select("host", "pages", "bound"))
     rows = parsed(pages).select("page_id", "host", "path", rule_of(rules, "text").alias("rule"), rule_of(rules, "action").alias("action"))
-    rows = rows.join(hosts, rows["host"] == F.col("__host"), "left")
+    rows = join_by_size(rows, hosts, ["host"], "pages")
     verdict = F.coalesce(F.col("action"), F.when(F.col("bound") > threshold, "block").otherwise("allow"))
     return rows.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.round("bound", 6).alias("bound"))
 
 
 def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """host, labelled, bad per page: its document is the last number of the url's path.
+    """host, pages, labelled, bad: a page's document is the last number of its url's path.
 
     A page is bad if its document is labelled low quality or toxic. A document with several
     labels counts as bad if any says so; null labels and unlabelled documents count for nothing.
+    Pages are counted by host and document before they meet the labels; those without a number, of
+    which there may be any share, don't meet them.
     """
     number = F.regexp_extract("path", r"/([0-9]{1,18})[^/]*/?$", 1)
-    docs = parsed(pages.select("url")).select("host", F.when(number != "", number.cast("long")).alias("doc_id"))
+    docs = parsed(pages.select("url")).groupBy("host", F.when(number != "", number.cast("long")).alias("doc_id")).agg(F.count("*").alias("pages"))
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
     marks = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(F.max(bad).alias("bad"))
-    return docs.join(marks, "doc_id", "left").select("host", F.col("bad").isNotNull().cast("long").alias("labelled"), F.coalesce("bad", F.lit(0)).cast("long").alias("bad"))
+    none = F.lit(0).cast("long")
+    marked = docs.where("doc_id is not null").join(marks, "doc_id").select("host", none.alias("pages"), F.col("pages").alias("labelled"), (F.col("pages") * F.col("bad")).alias("bad"))
+    return docs.select("host", "pages", none.alias("labelled"), none.alias("bad")).unionByName(marked)
