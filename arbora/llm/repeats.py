@@ -11,10 +11,11 @@ have equal anchors at equal places. The search therefore
 4. brings contexts with equal grams together in a shard, where a solver compares their units and
    returns the span of the repeated windows around each anchor.
 
-Hashes only bring texts together; solvers decide on units. A shard of too many contexts is dealt
-again, by longer grams: see dealt_again. So no shard grows with the corpus and none is capped.
+Solvers compare units. A shard of too many contexts is dealt again, by longer grams: see
+crowded_spans and dealt_again; there contexts (by two 64-bit hashes) and windows (by a 128-bit
+one) count as equal if their hashes are. So no shard grows with the corpus and none is capped.
 
-Exact copies of whole texts are one text in this search, with a count.
+Exact copies of whole texts (two 64-bit hashes) are one text in this search, with a count.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.llm.common import cut, for_python, text_of, written
+from arbora.llm.common import cut, for_python, join_by_size, text_of, written
 
 #: Units that are hashed at once; places in such a chunk take 18 bits of the keys below.
 CHUNK = 1 << 18
@@ -210,16 +211,16 @@ class Units(NamedTuple):
 class Job(NamedTuple):
     """Windows of ``width`` units, anchored at grams of ``gram``; solve works on whole shards.
 
-    solve(keys, contexts, lefts, low, high) gets contexts sorted by shard key, the units that each
-    has before its anchor, and the least and greatest distance of a window's start before the
-    anchor. It returns the greatest and least such distance of each context's repeated windows,
-    or -1 where it has none.
+    solve(shard, t) gets the members of whole shards, in order of the shard's number: k1 and k2 of
+    the text, the anchor's place, the context, the units that it has before its anchor, and the least
+    and greatest distance of the start of a window that is asked for before the anchor. It returns
+    rows of t, and starts and ends of stretches of their texts that repeated windows cover.
     """
 
     units: Units
     width: int
     gram: int
-    solve: Callable[[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+    solve: Callable[[np.ndarray, pa.Table], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -281,14 +282,9 @@ def solved(members: DataFrame, job: Job, keys: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(t: pa.Table, key: np.ndarray) -> pa.RecordBatch:
-            place, before, low, high = (t[c].to_numpy().astype(np.int64) for c in ("place", "before", "low", "high"))
-            edges = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            shard = np.zeros(len(key), dtype=np.int64)
-            shard[edges] = 1
-            most, least = job.solve(np.cumsum(shard), t["context"].to_pylist(), before, low, high)
-            hit = np.flatnonzero(most >= 0)
-            spans = (place - most)[hit] << 31 | (place - least + job.width)[hit]
-            return pa.RecordBatch.from_arrays([pa.array(t[c].to_numpy()[hit]) for c in ("k1", "k2")] + [pa.array(spans)], ["k1", "k2", "span"])
+            shard = np.insert(np.cumsum((key[1:] != key[:-1]).any(axis=1)), 0, 0)
+            row, start, end = (x.astype(np.int64) for x in job.solve(shard, t))
+            return pa.RecordBatch.from_arrays([pa.array(t[c].to_numpy()[row]) for c in ("k1", "k2")] + [pa.array(start << 31 | end)], ["k1", "k2", "span"])
 
         held: list[pa.RecordBatch] = []
         for b in batches:
@@ -448,10 +444,10 @@ def without_repeats(docs: DataFrame, job: Job, strip: Callable[[bytes, int, list
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = [strip(t.as_py(), n.as_py(), s.as_py()) for t, n, s in zip(*(b.column(c) for c in ("text", "copies", "spans")), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x) for x in (zip(*own, strict=True) if own else [[]] * len(fields)))], ["k1", "k2", *fields])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *(pa.array(x) for x in (zip(*own, strict=True) if own else [[]] * len(fields)))], ["k1", "k2", "copies", *fields])
 
     table = written(texts.select("k1", "k2", "text", "copies", "marks").mapInArrow(settle, f"k1 long, k2 long, text binary, copies long, marks {mark}, {names}"))
     marked = table.where("marks is not null").select("k1", "k2", "text", "copies", "marks")
-    others = marked.drop("marks").join(spans_of(marked, job, shard), ["k1", "k2"], "left").select("k1", "k2", "text", "copies", "spans").mapInArrow(finish, f"k1 long, k2 long, {names}")
-    results = table.where("marks is null").select("k1", "k2", *fields).unionByName(others)
-    return rows.select("doc_id", "k1", "k2").join(results, ["k1", "k2"]).drop("k1", "k2")
+    others = marked.drop("marks").join(spans_of(marked, job, shard), ["k1", "k2"], "left").select("k1", "k2", "text", "copies", "spans").mapInArrow(finish, f"k1 long, k2 long, copies long, {names}")
+    results = written(table.where("marks is null").select("k1", "k2", "copies", *fields).unionByName(others))
+    return join_by_size(rows.select("doc_id", "k1", "k2"), results, ["k1", "k2"], "copies").select("doc_id", *fields)

@@ -1,20 +1,23 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
-Each shard's contexts are its reference block, indexed by a suffix array at every place where a
-window may start. A context is factored greedily against the block: a factor is the longest match
-with any other context. Factors of at least a window become spans. The next factor is looked for
-at the first window that crosses the factor's end, so that no window that straddles a boundary
-is missed.
+A shard's reference block is made of the stretches of texts around one anchor gram, each place of
+a text once. Its suffix array, by doubling prefixes, gives for every place the longest match at
+any other place of the block. Stretches are factored against it greedily, from left to right.
+Factors of at least a window become spans, and the next factor is looked for at the first window
+that crosses the factor's end, so that no window that straddles a boundary is missed; where
+there is no such factor the parsing goes on with the next word.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
@@ -81,42 +84,82 @@ def word_slices(context: bytes):
     return lambda a, b: context[ends[a - 1] if a else 0 : ends[b - 1] - 1] if 0 <= a < b <= len(ends) else None
 
 
-def factors(width: int, slack: int):
-    """The solver: the greatest and least start of repeated windows before each anchor."""
+def longest_matches(block: np.ndarray, levels: int) -> np.ndarray:
+    """For each place of a block the length of its longest match at any other place, up to 2 ** ``levels``.
 
-    def solve(shard: np.ndarray, contexts: list[bytes], before: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n, columns = len(contexts), slack + width
+    Ranks of the 2 ** k numbers from each place on, by doubling, give the order of all suffixes;
+    the longest match of a suffix is with a neighbour in that order.
+    """
+    n = len(block)
+    ranks = [np.unique(block, return_inverse=True)[1].astype(np.int32)]
+    for k in range(levels):
+        ahead = np.zeros(n, dtype=np.int64)
+        ahead[: max(0, n - (1 << k))] = ranks[-1][1 << k :] + 1
+        ranks.append(np.unique(ranks[-1] * np.int64(n + 1) + ahead, return_inverse=True)[1].astype(np.int32))
+    order = np.argsort(ranks[-1], kind="stable")
+    a, b = order[1:].copy(), order[:-1].copy()
+    length, open_ = np.zeros(n - 1, dtype=np.int64), np.ones(n - 1, dtype=bool)
+    for k in range(levels, -1, -1):
+        rank = np.append(ranks[k], -1)
+        same = open_ & (rank[np.minimum(a, n)] == rank[np.minimum(b, n)]) & (a < n) & (b < n)
+        step = same.astype(np.int64) << k
+        a, b, length = a + step, b + step, length + step
+        if k == levels:
+            open_ = ~same
+    out = np.zeros(n, dtype=np.int64)
+    out[order[1:]] = length
+    out[order[:-1]] = np.maximum(out[order[:-1]], length)
+    return out
+
+
+def factored(longest: np.ndarray, width: int) -> tuple[list[int], list[int]]:
+    """Starts and ends of the factors of at least ``width``, in order, of a greedy parsing."""
+    hits = np.flatnonzero(longest >= width).tolist()
+    starts, ends, k = [], [], 0
+    while k < len(hits):
+        at, end = hits[k], hits[k] + int(longest[hits[k]])
+        starts.append(at)
+        ends.append(end)
+        k = bisect_left(hits, end - width + 1, k + 1)
+    return starts, ends
+
+
+def parsing(width: int):
+    """The solver: shards' contexts become reference blocks, which their own stretches are factored against."""
+
+    def solve(shard: np.ndarray, t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        k1, k2, place, before = (t[c].to_numpy().astype(np.int64) for c in ("k1", "k2", "place", "before"))
+        contexts, start = t["context"], place - before
         numbers: dict[bytes, int] = {}
-        block = np.repeat(-1 - np.arange(n, dtype=np.int64)[:, None], columns, axis=1)  # where a text ends nothing matches
-        for row, (c, b) in enumerate(zip(contexts, before.tolist(), strict=True)):
-            words = [numbers.setdefault(w, len(numbers)) for w in c.split(b" ")]
-            block[row, slack - b : slack - b + len(words)] = words
-        block = block.astype(np.int32)
-        most, least = np.full(n, -1), np.full(n, -1)
-        longest = np.zeros((slack + 1, n), dtype=np.int64)
-        rank = np.zeros(n, dtype=np.int64)
-        for c in range(columns - 1, -1, -1):
-            order = np.lexsort((rank, block[:, c], shard))
-            a, b = order[1:], order[:-1]
-            new = (rank[a] != rank[b]) | (block[a, c] != block[b, c]) | (shard[a] != shard[b])
-            if c <= slack:
-                same = block[a, c:] == block[b, c:]
-                match = np.where(same.all(axis=1), columns - c, same.argmin(axis=1)) * (shard[a] == shard[b])
-                longest[c, a] = match
-                longest[c, b] = np.maximum(longest[c, b], match)
-            rank = np.empty(n, dtype=np.int64)
-            rank[order] = np.insert(np.cumsum(new), 0, 0)
-        at = slack - np.minimum(high, before)  # the first window that may be repeated
-        for c in range(slack + 1):
-            here = np.flatnonzero((at == c) & (slack - c >= low))
-            factor = longest[c, here]
-            span = factor >= width
-            hit, last = here[span], c + factor[span] - width
-            most[hit] = np.where(most[hit] < 0, slack - c, most[hit])
-            least[hit] = np.maximum(slack - last, low[hit])
-            at[here] = c + 1
-            at[hit] = last + 1
-        return most, least
+        block: list[int] = []
+        base = 0
+        rows, firsts, sizes = [], [], []  # of each stretch: its row, its first word's place in the text, its words
+        last, end = None, 0
+        for row in np.lexsort((start, k2, k1, shard)).tolist():
+            words = contexts[row].as_py().split(b" ")
+            key, a = (shard[row], k1[row], k2[row]), int(start[row])
+            if key == last and a <= end:
+                words = words[end - a :]
+                sizes[-1] += len(words)
+            else:
+                if last is not None:
+                    block.append(-len(rows))  # a number of its own ends each stretch
+                if last is None or key[0] != last[0]:
+                    numbers, base = {}, base + len(numbers)  # words of two shards never match
+                rows.append(row)
+                firsts.append(a)
+                sizes.append(len(words))
+                end = a
+            block += [numbers.setdefault(w, base + len(numbers)) for w in words]
+            last, end = key, end + len(words)
+        block.append(-len(rows))
+        starts, ends = map(np.array, factored(longest_matches(np.array(block), width.bit_length()), width))
+        if not len(starts):
+            return starts, starts, starts
+        begins = np.cumsum(np.array(sizes) + 1) - np.array(sizes) - 1
+        own = np.searchsorted(begins, starts, side="right") - 1
+        shift = np.array(firsts)[own] - begins[own]
+        return np.array(rows)[own], starts + shift, ends + shift
 
     return solve
 
@@ -125,7 +168,7 @@ UNITS = Units(word_chunks, lambda t: t.split(), len, lambda w, a, b: b" ".join(w
 
 
 def job(width: int = WIDTH, gram: int = GRAM) -> Job:
-    return Job(UNITS, width, gram, factors(width, width - gram))
+    return Job(UNITS, width, gram, parsing(width))
 
 
 def stripping(width: int, gram: int):

@@ -13,6 +13,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from arbora.llm.repeats import CHUNK, Job, Units, merged, powers, without_repeats
@@ -154,9 +155,16 @@ def deep_shallow(strings: list[bytes], group: np.ndarray, shallow: int = SHALLOW
 
 
 def equal_windows(width: int):
-    """The solver: for each context the greatest and least start of repeated windows, before it."""
+    """The solver: for each context with repeated windows the span from the first to the last of them."""
 
-    def solve(shard: np.ndarray, contexts: list[bytes], before: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def solve(shard: np.ndarray, t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        place, before, low, high = (t[c].to_numpy().astype(np.int64) for c in ("place", "before", "low", "high"))
+        most, least = distances(shard, t["context"].to_pylist(), before, low, high)
+        hit = np.flatnonzero(most >= 0)
+        return hit, (place - most)[hit], (place - least + width)[hit]
+
+    def distances(shard: np.ndarray, contexts: list[bytes], before: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The greatest and least distance of a repeated window's start before the anchor, -1 if there is none."""
         n = len(contexts)
         most, least = np.full(n, -1), np.full(n, -1)
         ahead = [c[b:] for c, b in zip(contexts, before.tolist(), strict=True)]
