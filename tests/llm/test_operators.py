@@ -105,7 +105,7 @@ def test_tree_merge_has_any_number_of_rounds(spark):
     from pyspark.sql import functions as F
 
     for partitions in (1, 3, 40, 5000):
-        base = df.select(F.col("text").alias("digest"), F.lit(1).alias("check"), F.pmod("doc_id", F.lit(partitions)).alias("node"), F.col("doc_id").alias("best"))
+        base = df.select(F.col("text").alias("digest"), F.lit(1).alias("check"), F.lit(1).alias("points"), F.pmod("doc_id", F.lit(partitions)).alias("node"), F.col("doc_id").alias("best"))
         assert rows_of(exact_dedup.tree_merge(base, partitions, 2).select("digest", "best", "size")) == Counter((i, f"t{i}", sum(j % 7 == i for j in range(200))) for i in range(7))
 
 
@@ -221,11 +221,32 @@ def test_urls(spark):
 
 def test_reputation_shrinks(spark):
     rows = [("good.a.com", 1, 0)] * 200 + [("bad.b.com", 1, 1)] * 200 + [("new.b.com", 1, 1)] * 2 + [("new.a.com", 1, 1)] * 2 + [("none.a.com", 0, 0)] * 3 + [("x.co.uk", 1, 0)]
-    got = {r["host"]: r for r in urls.reputations(spark.createDataFrame(rows, "host string, labelled long, bad long")).collect()}
+    rows += [("a.b.com:8080", 1, 1), ("u@a.b.com", 1, 1), ("10.0.0.1", 1, 0), ("10.2.0.1:80", 1, 0)]
+    outcomes = spark.createDataFrame([(h, 1, n, b) for h, n, b in rows], "host string, pages long, labelled long, bad long")
+    got = {r["host"]: r for r in urls.reputations(outcomes).collect()}
     assert got["bad.b.com"]["bound"] > urls.THRESHOLD > got["good.a.com"]["mean"]
     assert got["new.b.com"]["mean"] > got["new.a.com"]["mean"]
     assert 0 < got["none.a.com"]["mean"] < got["new.a.com"]["mean"]
-    assert [x for x in spark.sql("SELECT 'a.b.co.uk' AS h").select(*urls.domain_and_suffix(__import__("pyspark.sql.functions", fromlist=["col"]).col("h"))).first()] == ["b.co.uk", "co.uk"]
+    assert got["none.a.com"]["pages"] == 3
+    from pyspark.sql import functions as F
+
+    hosts = spark.createDataFrame([("a.b.co.uk",), ("A:x@www.b.com:8080",), ("10.0.0.1:80",), ("[::1]:8080",), ("com",), ("",)], "h string")
+    parts = {r[0]: (r[1], r[2]) for r in hosts.select("h", *urls.domain_and_suffix(F.col("h"))).collect()}
+    assert parts == {"a.b.co.uk": ("b.co.uk", "co.uk"), "A:x@www.b.com:8080": ("b.com", "com"), "10.0.0.1:80": ("10.0.0.1", "[]"), "[::1]:8080": ("[::1]", "[]"), "com": ("com", "com"), "": ("", "")}
+
+
+def test_join_by_size(spark):
+    """Large groups are joined apart; null keys are keys; no row is lost or repeated."""
+    from pyspark.sql import functions as F
+
+    from arbora.llm import common
+
+    rows = [("hot", k) for k in range(3000)] + [(None, k) for k in range(500)] + [(f"k{k}", k) for k in range(1500)] + [("alone", 1)]
+    df = spark.createDataFrame(rows, "key string, n int")
+    groups = df.where("key <> 'alone' or key is null").groupBy("key").agg(F.count("*").alias("size")).withColumn("extra", F.concat(F.lit("of "), F.col("key")))
+    want = Counter((f"of {k}" if k and k != "alone" else None, k, n, {"hot": 3000, None: 500, "alone": None}.get(k, 1)) for k, n in rows)
+    assert rows_of(common.join_by_size(df, groups, ["key"], "size").select("key", "n", "size", "extra")) == want
+    assert common.join_by_size(df.limit(0), groups.limit(0), ["key"], "size").count() == 0
 
 
 # 6 and 3: tokens and packing
