@@ -25,9 +25,9 @@ STRETCH = 1 << 20
 #: Bytes of segments that go to the library in one call.
 CALL_BYTES = 1 << 18
 #: Characters of texts that are split and numbered together.
-GROUP = 1 << 20
-#: Segments in each half of a memo.
-MEMO = 70_000
+GROUP = 1 << 22
+#: Segments in each half of a memo of counts, and words in one of ids.
+MEMO, MEMO_WORDS = 70_000, 240_000
 
 
 def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
@@ -167,7 +167,7 @@ class WordEncoder:
 
     PARTS = re.compile("([a-zà-öø-ÿ]*)([^\\n]*)\\n")
 
-    def __init__(self, path: str, memo: int = MEMO):
+    def __init__(self, path: str, memo: int = MEMO_WORDS):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -175,7 +175,7 @@ class WordEncoder:
         names = self.model.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(names.values()) + 1, dtype=bool)
         self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
-        self.words = Memo(self._words, memo * 2)
+        self.words = Memo(self._words, memo)
         self.tails: dict[str, bytes | None] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -245,7 +245,8 @@ def encoder(kind: type, path: str):
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens per row, by the sentencepiece model at ``path``.
 
-    Null texts are empty and have 0 tokens. Ids may be null or repeat. Nothing is shuffled.
+    Null texts are empty and have 0 tokens. Very long texts are split where no token crosses.
+    Ids may be null or repeat, other columns are ignored, an empty table gives none. Nothing is shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
