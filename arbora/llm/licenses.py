@@ -3,7 +3,8 @@
 A block that reads like a licence is compressed alone and with each template as a raw zstandard
 dictionary. The template that saves the most is the candidate; the exact differences in wording
 then confirm or refuse it. Blocks are sentences, runs of them, and places found by aligning the
-templates' words to the text, which line breaks and neighbouring text don't disturb.
+templates' words to the text, which line breaks and neighbouring text don't disturb. An SPDX tag
+with the identifier behind it is such a place; of an expression the first identifier counts.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from arbora.llm.common import for_python, text_of
 
 #: Wordings of licences and notices, by SPDX-like name.
-TEMPLATES = (
+WORDINGS = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "This project is licensed under the terms of the MIT license."),
@@ -60,6 +61,47 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "All rights reserved."),
 )
+#: Parts of the BSD licences and the disclaimer of the ISC licence.
+BSD_TERMS = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+BSD_DISCLAIMER = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+ISC_TERMS = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+ISC_DISCLAIMER = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+#: How the texts of long licences begin, and another notice.
+HEADINGS = (
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions 1.1. \"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software."),
+)
+#: The notice of a GNU licence of another kind or version than the one above.
+GNU = (("GPL-2.0", "General", "2"), ("LGPL-2.1", "Lesser General", "2.1"), ("LGPL-3.0", "Lesser General", "3"), ("AGPL-3.0", "Affero General", "3"))
+GNU_NOTICE = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} Public License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} Public License for more details."
+#: A licence's words that any may stand beside: they name none where another is found.
+NOBODYS = "Proprietary"
+TAG = "SPDX-License-Identifier"
+
+
+def templates() -> tuple[tuple[str, str], ...]:
+    """Name and wording of each template: those listed, and an SPDX tag for each name."""
+    listed = [
+        *WORDINGS,
+        ("BSD-2-Clause", f"{BSD_TERMS} {BSD_DISCLAIMER}"),
+        ("BSD-3-Clause", f"{BSD_TERMS} {BSD_NAMES} {BSD_DISCLAIMER}"),
+        ("ISC", f"{ISC_TERMS} {ISC_DISCLAIMER}"),
+        *HEADINGS,
+        *((name, GNU_NOTICE.format(kind=kind, version=version)) for name, kind, version in GNU),
+    ]
+    tags = []
+    for name in dict.fromkeys(name for name, _ in listed if name != NOBODYS):
+        tags += [(name, f"{TAG}: {name}{end}") for end in (("", "-only", "-or-later") if "GPL" in name else ("",))]
+    return (*listed, *tags)
+
+
+TEMPLATES = templates()
 #: A sentence with one of these begins a block; one with those below may go on with it.
 HINTS = r"licen[cs]e|copyright|all\s+rights\s+reserved|creative\s+commons|public\s+domain|\bcc0\b|\bcc\s+by|spdx|permission|redistribut|warrant"
 MORE = HINTS + r"|software|conditions|disclaim|liab|merchantab|documentation"
@@ -69,6 +111,8 @@ LONGEST = 400
 DIFFERING = 0.15
 #: Share of the block's compressed size that the candidate has to save.
 SAVING = 0.3
+#: Bytes, or share of the block's compressed size, within which two savings are a draw.
+DRAW, DRAW_SHARE = 8, 0.0625
 LEVEL = 3
 #: Words in a row that a block and its template share at least: edits up to DIFFERING leave some.
 SEED = 3
@@ -116,10 +160,9 @@ def best(text: str, start: int, end: int) -> Found:
     block = text[start:end].encode()
     own, size = words(text[start:end]), len(alone.compress(block))
     sizes = [len(c.compress(block)) for c in given]
-    least = min(sizes)
-    # what saves within two bytes of the best is a draw, which wording decides
-    scored = []
-    for k in (k for k, x in enumerate(sizes) if x <= least + 2):
+    # what saves nearly as much as the best is a draw, which wording decides
+    most, scored = min(sizes) + max(DRAW, int(DRAW_SHARE * size)), []
+    for k in (k for k, x in enumerate(sizes) if x <= most):
         ops = [o for o in SequenceMatcher(None, template_words()[k], own, autojunk=False).get_opcodes() if o[0] != "equal"]
         scored.append((sum(max(b - a, d - c) for _, a, b, c, d in ops), sizes[k], k, ops))
     n, given_size, k, ops = min(scored, key=lambda x: x[:3])
@@ -156,11 +199,11 @@ def aligned(text: str) -> set[tuple[int, int]]:
     """
     spots = [(m.start(), m.end(), WRAPPED.sub("-", m.group().lower())) for m in WORD.finditer(text)]
     own = [w for _, _, w in spots]
+    out = {(a, b) for (a, _, w), (_, b, _) in zip(spots, spots[1:], strict=False) if w == TAG.lower()}
     starts = defaultdict(Counter)
     for at, gram in enumerate(zip(*(own[k:] for k in range(SEED)), strict=False)):
         for k, place in seeds().get(gram, ()):
             starts[k][at - place] += 1
-    out = set()
     for k, count in starts.items():
         template = template_words()[k]
         most = int(DIFFERING * len(template))
@@ -183,7 +226,8 @@ def aligned(text: str) -> set[tuple[int, int]]:
 def scan(text: str) -> list[Found]:
     """The blocks of a text, in order: a run of sentences where a template confirms it as a whole;
     else the sentences and the places aligned to a template that are confirmed, longer ones first;
-    and each other sentence that has a hint, with its best template, not confirmed."""
+    and each other sentence that has a hint, with its best template, not confirmed. Reserved rights
+    beside a confirmed licence in one run of sentences are part of its notice and no block."""
     runs: list[list[tuple[int, int]]] = []
     last, size = -2, 0
     for k, (a, b) in enumerate(sentences(text)):
@@ -214,12 +258,15 @@ def scan(text: str) -> list[Found]:
         if free(f):
             out.append(f)
     out += [f for f in single if not f.confirmed and free(f)]
-    return sorted(out, key=lambda f: f.start)
+    named = [f for f in out if f.confirmed and f.license != NOBODYS]
+    beside = [(r[0][0], r[-1][1]) for r in runs if any(f.start < r[-1][1] and r[0][0] < f.end for f in named)]
+    return sorted((f for f in out if f.license != NOBODYS or not any(a <= f.start < b for a, b in beside)), key=lambda f: f.start)
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, block and the fields of Found: one row per block of each text, null texts have none.
 
+    Very long texts are read whole; repeated rows repeat in the result, other columns are ignored.
     Texts without a hint are left out by a filter in Spark, before any goes to Python; nothing is
     shuffled. Ids may be null or repeat. An empty table gives none.
     """
