@@ -25,6 +25,28 @@ def uniform(key: Column, salt: int | Column) -> Column:
     return mixed(key, salt) / F.lit(float(PRIME))
 
 
+class Draws:
+    """Numbers in [0, 1) for one run: ``uniform`` of run * STRIDE + 0, 1, 2 ... in plain Python.
+
+    A run of more than STRIDE draws goes on with the numbers of the next run.
+    """
+
+    STRIDE = 4096
+
+    def __init__(self, seed: int, run: int):
+        self.seed, self.at = seed, run * self.STRIDE
+
+    def random(self) -> float:
+        a = (self.at % PRIME * 48271 + self.seed * 69621 + 12345) % PRIME
+        self.at += 1
+        return (a * a % PRIME * 16807 + self.seed * 7919 + 1) % PRIME / PRIME
+
+
+def uniform_sql(run: str, draw: str, salt: str | int) -> str:
+    """What Draws(salt, run) gives as number ``draw``, in SQL."""
+    return f"(({mixed_sql(f'({run})::BIGINT * {Draws.STRIDE} + {draw}', salt)}) / {PRIME}::DOUBLE)"
+
+
 def mixed_sql(key: str, salt: str | int) -> str:
     """``mixed`` in SQL, for keys that are not negative."""
     a = f"((({key}) % {PRIME})::BIGINT * 48271 + ({salt})::BIGINT * 69621 + 12345) % {PRIME}"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbora.functions.portable import uniform
+
 
 def canonical(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
     """i, j with i < j, each edge once."""
@@ -47,21 +49,38 @@ def delete_edge(w: DataFrame, i: int, j: int) -> DataFrame:
     return w.where(~((F.col("i") == a) & (F.col("j") == b)))
 
 
+def moved(c: str, i: int, j: int):
+    """A vertex after i < j became one at place j - 1 and those above i moved down by one."""
+    x = F.col(c)
+    return F.when(x.isin(i, j), j - 1).when(x > i, x - 1).otherwise(x)
+
+
 def contract_edge(w: DataFrame, i: int, j: int) -> DataFrame:
     """Vertices i < j become one at place j - 1; those above i move down by one; weights add up."""
     a, b = min(i, j), max(i, j)
-
-    def moved(c: str):
-        x = F.col(c)
-        return F.when(x.isin(a, b), b - 1).when(x > a, x - 1).otherwise(x)
-
-    x = w.select(moved("i").alias("a"), moved("j").alias("b"), "weight").where("a <> b")
+    x = w.select(moved("i", a, b).alias("a"), moved("j", a, b).alias("b"), "weight").where("a <> b")
     return x.groupBy(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).agg(F.sum("weight").alias("weight"))
 
 
 def contraction_map(w: DataFrame) -> DataFrame:
-    """i, j, from_i, from_j: before any contraction each edge stands for itself."""
-    return w.select("i", "j", F.col("i").alias("from_i"), F.col("j").alias("from_j"))
+    """i, j, weight, from_i, from_j: before any contraction each edge stands for itself."""
+    return w.select("i", "j", "weight", F.col("i").alias("from_i"), F.col("j").alias("from_j"))
+
+
+def contract_mapped(m: DataFrame, i: int, j: int, seed: int, epsilon: float = 0.1) -> DataFrame:
+    """A contraction map after vertices i < j became one, as contract_edge has it.
+
+    Of two edges that meet by this one is drawn to stand for both, by weight, the first by its
+    ends with ``epsilon`` added to the draw's total; their weights add up. The draw depends on
+    the seed and the edge's new ends.
+    """
+    a, b = min(i, j), max(i, j)
+    x = m.withColumn("a", moved("i", a, b)).withColumn("b", moved("j", a, b)).where("a <> b")
+    own = F.struct("i", "j", "weight", "from_i", "from_j")
+    both = x.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min(own).alias("one"), F.max(own).alias("two"), F.sum("weight").alias("weight"), F.count("*").alias("n"))
+    first = (F.col("n") == 1) | (uniform(F.col("x") * (1 << 15) + F.col("y"), seed) < F.col("one.weight") / (F.col("weight") + epsilon))
+    kept = lambda c: F.when(first, F.col(f"one.{c}")).otherwise(F.col(f"two.{c}")).alias(c)
+    return both.select(F.col("x").alias("i"), F.col("y").alias("j"), "weight", kept("from_i"), kept("from_j"))
 
 
 def walk_transition_probs(w: DataFrame) -> DataFrame:

@@ -7,12 +7,19 @@ the work of one task, and many trees (one per run or step) are grouped by their
 from __future__ import annotations
 
 from collections.abc import Iterable
+from typing import Protocol
 
 import numpy as np
 
 Edge = tuple[int, int]
 
 
+class Random(Protocol):
+    """Anything that draws from [0, 1): a generator of numpy, or portable.Draws."""
+
+    def random(self) -> float: ...
+
+
 class Forest:
     """Disjoint sets; ``join`` tells whether the two were apart."""
 
@@ -67,7 +74,7 @@ def log_minor(w: np.ndarray, floor: float = 0.1) -> float:
     return float(value)
 
 
-def tree_by_determinants(w: np.ndarray, rng: np.random.Generator, epsilon: float = 0.1) -> list[Edge]:
+def tree_by_determinants(w: np.ndarray, rng: Random, epsilon: float = 0.1) -> list[Edge]:
     """A spanning tree drawn with probability proportional to the product of its weights.
 
     Edges at vertex 0 are looked at in turn. One is left out with the probability that a tree
@@ -107,7 +114,7 @@ def tree_by_determinants(w: np.ndarray, rng: np.random.Generator, epsilon: float
     return [(min(e), max(e)) for e in tree]
 
 
-def tree_by_walks(w: np.ndarray, rng: np.random.Generator, root: int = 0, most_steps: int | None = None) -> tuple[list[Edge], int, int]:
+def tree_by_walks(w: np.ndarray, rng: Random, root: int = 0, most_steps: int | None = None) -> tuple[list[Edge], int, int]:
     """Wilson's loop-erased walks: (tree, walks that fell back to uniform steps, walks).
 
     A walk of more than ``most_steps`` steps (2 * n * n), and any step from a vertex without
@@ -130,7 +137,7 @@ def tree_by_walks(w: np.ndarray, rng: np.random.Generator, root: int = 0, most_s
             if steps < most and total[v] > 0:
                 u = int(np.searchsorted(cdf[v], rng.random() * total[v], side="right"))
             else:
-                u = int(rng.integers(n - 1))
+                u = int(rng.random() * (n - 1))
                 u += u >= v
             step_to[v] = min(u, n - 1)  # the last exit from a vertex is what loop erasure leaves
             v, steps = int(step_to[v]), steps + 1
@@ -144,26 +151,31 @@ def tree_by_walks(w: np.ndarray, rng: np.random.Generator, root: int = 0, most_s
     return tree, fallbacks, walks
 
 
-def swap_rounded(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Pairs of fractional entries trade mass, keeping sum and mean, until one at most is left."""
+def swap_rounded(x: np.ndarray, rng: Random) -> np.ndarray:
+    """Pairs of fractional entries trade mass, keeping sum and mean, until one at most is left.
+
+    Of a pair one entry rises and the other falls by the same amount until either is 0 or 1; which
+    one rises is drawn such that neither moves on average. One trade settles an entry at least.
+    """
     x = x.astype(float).copy()
     for _ in range(2 * len(x)):
         open_ = np.flatnonzero((x > 1e-10) & (x < 1 - 1e-10))
         if len(open_) < 2:
             break
-        i, j = rng.choice(open_, size=2, replace=False)
+        i = open_[int(rng.random() * len(open_))]
+        others = open_[open_ != i]
+        j = others[int(rng.random() * len(others))]
+        rise, fall = min(1 - x[i], x[j]), min(x[i], 1 - x[j])  # what i may gain, or lose, to j
         total = x[i] + x[j]
-        if total <= 1:
-            first, high, low = rng.random() < x[i] / total, total, 0.0
-        else:
-            first, high, low = rng.random() < (1 - x[j]) / (2 - total), 1.0, total - 1
-        x[i], x[j] = (high, low) if first else (low, high)
+        up = rng.random() * (rise + fall) < fall
+        x[i] = x[i] + rise if up else x[i] - fall
+        x[j] = total - x[i]
     return x
 
 
 def tree_from_code(code: np.ndarray) -> list[Edge]:
     """The labelled tree that a Pruefer code of length n - 2 stands for."""
-    n = len(code) + 2
+    n, code = len(code) + 2, np.asarray(code, dtype=np.int64)
     left = np.bincount(code, minlength=n) + 1
     out = []
     for x in code.tolist():

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arbora.functions.portable import uniform
 from arbora.functions.special import PROB_FLOOR, floored_ln
 from arbora.operators.counts import pair_counts
 from arbora.operators.graph import canonical
@@ -49,30 +50,27 @@ def shd(true: DataFrame, found: DataFrame, same_direction: bool = True) -> DataF
     return both.agg(F.count("*").alias("shd"))
 
 
-def signed_rank(spark: SparkSession, first: list[float], second: list[float], rope: float = 0.0, draws: int = 50_000, prior: float = 1.0, seed: int = 1) -> DataFrame:
+def signed_rank(spark: SparkSession, first: list[float], second: list[float], rope: float = 0.0, draws: int = 50_000, prior: int = 1, seed: int = 1) -> DataFrame:
     """p_left, p_rope, p_right of a Bayesian signed-rank test over paired scores.
 
-    Each draw weighs the differences (and one prior difference of 0) by a Dirichlet variate and
-    sums the weights of pairs whose mean difference lies below, within or above the rope; the
-    result is how often each of the three is the largest.
+    Each draw weighs the differences (and a prior difference of 0, ``prior`` times) by a Dirichlet
+    variate, that is by exponential ones up to their sum, and adds the weights of pairs whose mean
+    difference lies below, within or above the rope; the result is how often each is the largest.
     """
     if len(first) != len(second) or not first:
         raise ValueError("two score lists of the same length are needed")
-    z = np.concatenate([[0.0], np.array(second, dtype=float) - np.array(first, dtype=float)])
+    z = np.concatenate([np.zeros(prior), np.array(second, dtype=float) - np.array(first, dtype=float)])
     means = (z[:, None] + z[None, :]) / 2
     masks = [(means < -rope).astype(float), ((means >= -rope) & (means <= rope)).astype(float), (means > rope).astype(float)]
-    alpha = np.concatenate([[prior], np.ones(len(z) - 1)])
+    keys = F.array(*(-F.ln(1 - uniform(F.col("id") * len(z) + k, seed)) for k in range(len(z))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for x in b.column(0).to_pylist():
-                w = np.random.default_rng([seed, x]).dirichlet(alpha)
-                out.append(int(np.argmax([w @ m @ w for m in masks])))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int32())], ["most"])
+            w = b.column(0).flatten().to_numpy().reshape(-1, len(z))
+            yield pa.RecordBatch.from_arrays([pa.array(np.argmax([((w @ m) * w).sum(axis=1) for m in masks], axis=0).astype(np.int32))], ["most"])
 
     share = lambda k: F.avg((F.col("most") == k).cast("double"))
-    return spark.range(draws).mapInArrow(run, "most int").agg(share(0).alias("p_left"), share(1).alias("p_rope"), share(2).alias("p_right"))
+    return spark.range(draws).select(keys.alias("w")).mapInArrow(run, "most int").agg(share(0).alias("p_left"), share(1).alias("p_rope"), share(2).alias("p_right"))
 
 
 def difference_histogram(spark: SparkSession, first: list[float], second: list[float], bins: int = 10) -> DataFrame:

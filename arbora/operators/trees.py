@@ -2,37 +2,72 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbora.functions.portable import Draws
 from arbora.operators import local_trees as local
+from arbora.session import cut
 
+#: Result rows that leave a Python worker together, and time steps whose trees are rounded in one task.
+TOGETHER, STEPS = 1 << 14, 1 << 16
+#: Edges of one run: ends and weights, in order of the ends.
+Edges = tuple[np.ndarray, np.ndarray, np.ndarray]
+TYPES = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
 
-def by_run(w: DataFrame, run: str | None, work: Callable[[int, pd.DataFrame], list[tuple]], schema: str) -> DataFrame:
-    """``work(run, edges)`` for each run of ``w`` (run, i, j, weight); all of it is run 0 without one."""
-    rows = w.select((F.col(run) if run else F.lit(0)).cast("long").alias("run"), "i", "j", "weight")
-    names = ["run", *(x.split()[0] for x in schema.split(", "))]
 
-    def apply(key: tuple, edges: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *x) for x in work(int(key[0]), edges)], columns=names)
+def by_run(w: DataFrame, run: str | None, work: Callable[[int, Edges], list[tuple]], schema: str) -> DataFrame:
+    """``work(run, edges)`` for each run of ``w`` (run, i, j, weight); all of it is run 0 without one.
 
-    out = rows.groupBy("run").applyInPandas(apply, f"run long, {schema}")
-    return out.withColumnRenamed("run", run) if run else out.drop("run")
+    Runs are dealt and sorted, and streamed through Arrow: a task holds the edges of one run, a
+    batch and its results, however many runs it gets.
+    """
+    rows = w.select((F.col(run) if run else F.lit(0)).cast("long").alias("run"), F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("weight").cast("double").alias("weight"))
+    names, types = zip(*(x.split() for x in f"run long, {schema}".split(", ")), strict=True)
+    out_schema = pa.schema([(n, TYPES[t]) for n, t in zip(names, types, strict=True)])
+
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), out_schema, strict=True)], schema=out_schema)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        held: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * 4
+
+        def solve(key: int, edges: Edges) -> None:
+            out.extend((key, *x) for x in work(key, edges))
+
+        for b in batches:
+            held = [np.concatenate([x, c.to_numpy(zero_copy_only=False)]) for x, c in zip(held, b.columns, strict=True)]
+            edges = [0, *(np.flatnonzero(np.diff(held[0])) + 1).tolist()]  # the last run may go on
+            for a, z in zip(edges, edges[1:], strict=False):
+                solve(int(held[0][a]), tuple(x[a:z] for x in held[1:]))
+                if len(out) > TOGETHER:
+                    yield packed(out)
+                    out.clear()
+            held = [x[edges[-1] :] for x in held]
+        if len(held[0]):
+            solve(int(held[0][0]), tuple(held[1:]))
+        if out:
+            yield packed(out)
 
+    dealt = rows.repartition("run") if run else rows.coalesce(1)
+    found = dealt.sortWithinPartitions("run", "i", "j").mapInArrow(apply, f"run long, {schema}")
+    return found.withColumnRenamed("run", run) if run else found.drop("run")
 
-def _matrix(edges: pd.DataFrame, n: int) -> np.ndarray:
-    return local.matrix(edges["i"].to_numpy(), edges["j"].to_numpy(), edges["weight"].to_numpy(), n)
+
+def _matrix(edges: Edges, n: int) -> np.ndarray:
+    return local.matrix(*edges, n)
 
 
 def spanning_tree(w: DataFrame, n: int, largest: bool = False, skip_zero: bool = False, run: str | None = None) -> DataFrame:
     """[run,] i, j: Kruskal's tree, a forest where edges are missing or zero ones are skipped."""
 
-    def work(_: int, e: pd.DataFrame) -> list[tuple]:
-        return local.spanning_forest(zip(e["weight"], e["i"], e["j"], strict=True), n, largest, skip_zero)
+    def work(_: int, e: Edges) -> list[tuple]:
+        return local.spanning_forest(zip(*(x.tolist() for x in (e[2], e[0], e[1])), strict=True), n, largest, skip_zero)
 
     return by_run(w, run, work, "i int, j int")
 
@@ -40,8 +75,8 @@ def spanning_tree(w: DataFrame, n: int, largest: bool = False, skip_zero: bool =
 def determinant_tree(w: DataFrame, n: int, seed: int, epsilon: float = 0.1, run: str | None = None) -> DataFrame:
     """[run,] i, j: a random tree by determinants; seeded by run, so independent of partitions."""
 
-    def work(key: int, e: pd.DataFrame) -> list[tuple]:
-        return local.tree_by_determinants(_matrix(e, n), np.random.default_rng([seed, key]), epsilon)
+    def work(key: int, e: Edges) -> list[tuple]:
+        return local.tree_by_determinants(_matrix(e, n), Draws(seed, key), epsilon)
 
     return by_run(w, run, work, "i int, j int")
 
@@ -49,48 +84,72 @@ def determinant_tree(w: DataFrame, n: int, seed: int, epsilon: float = 0.1, run:
 def walk_tree(w: DataFrame, n: int, seed: int, root: int = 0, most_steps: int | None = None, run: str | None = None) -> DataFrame:
     """[run,] i, j, fallbacks, walks: a random tree by loop-erased walks."""
 
-    def work(key: int, e: pd.DataFrame) -> list[tuple]:
-        tree, fallbacks, walks = local.tree_by_walks(_matrix(e, n), np.random.default_rng([seed, key]), root, most_steps)
+    def work(key: int, e: Edges) -> list[tuple]:
+        tree, fallbacks, walks = local.tree_by_walks(_matrix(e, n), Draws(seed, key), root, most_steps)
         return [(i, j, fallbacks, walks) for i, j in tree]
 
     return by_run(w, run, work, "i int, j int, fallbacks int, walks int")
 
 
-def tree_log_partition(w: DataFrame, n: int, run: str | None = None) -> DataFrame:
-    """[run,] log_z: ln of the sum over spanning trees of the products of their weights."""
-    return by_run(w, run, lambda _, e: [(local.log_minor(_matrix(e, n), 0.0),)], "log_z double")
+def tree_log_partition(w: DataFrame, n: int, run: str | None = None, floor: float = 0.0) -> DataFrame:
+    """[run,] log_z: ln of the sum over spanning trees of the products of their weights.
+
+    Without any tree it is minus infinity, or that of the minor with ``floor`` added to its diagonal.
+    """
+    return by_run(w, run, lambda _, e: [(local.log_minor(_matrix(e, n), floor),)], "log_z double")
 
 
 def swap_rounding(p: DataFrame, seed: int, run: str | None = None) -> DataFrame:
     """[run,] i, j, x: the rounded vector."""
 
-    def work(key: int, e: pd.DataFrame) -> list[tuple]:
-        e = e.sort_values(["i", "j"])
-        return list(zip(e["i"], e["j"], local.swap_rounded(e["weight"].to_numpy(), np.random.default_rng([seed, key])), strict=True))
+    def work(key: int, e: Edges) -> list[tuple]:
+        return list(zip(e[0].tolist(), e[1].tolist(), local.swap_rounded(e[2], Draws(seed, key)).tolist(), strict=True))
 
     return by_run(p.withColumnRenamed("x", "weight"), run, work, "i int, j int, x double")
 
 
-def rounding_steps(trees: DataFrame, n: int, steps: int, seed: int) -> DataFrame:
-    """t, i, j, x: the rounded point after each step. It depends on the step before, so one task."""
+def rounding_steps(trees: DataFrame, n: int, steps: int, seed: int, block: int = STEPS) -> DataFrame:
+    """t, i, j, x: the rounded point after each step, from ``trees`` (t, i, j).
 
-    def work(_: int, e: pd.DataFrame) -> list[tuple]:
-        pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
-        p, out = np.zeros(len(pairs)), []
-        chosen = {t: set(zip(g["i"], g["j"], strict=True)) for t, g in e.groupby("weight")}
-        for t in range(1, steps + 1):
-            alpha = 1 / (4 * np.sqrt(2 * t))
-            f = np.array([x in chosen.get(t, ()) for x in pairs], dtype=float)
-            p = local.swap_rounded(alpha * p + (1 - alpha) * f, np.random.default_rng([seed, t]))
-            out += [(t, *x, y) for x, y in zip(pairs, p, strict=True)]
-        return out
-
-    return by_run(trees.where(F.col("t") <= steps).select("i", "j", F.col("t").cast("double").alias("weight")), None, work, "t long, i int, j int, x double")
+    A point depends on the one before, so steps follow each other; ``block`` of them are the work of
+    one task, which starts from the last point of the block before: n * (n - 1) / 2 numbers that
+    pass through the driver.
+    """
+    pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
+
+    def rounded(first: int, last: int, start: list[float]) -> DataFrame:
+        def work(_: int, e: Edges) -> list[tuple]:
+            p, out, at = np.array(start), [], 0
+            cuts = np.searchsorted(e[2], np.arange(first, last + 2))
+            for t in range(first, last + 1):
+                alpha, at = 1 / (4 * np.sqrt(2 * t)), t - first
+                chosen = set(zip(e[0][cuts[at] : cuts[at + 1]].tolist(), e[1][cuts[at] : cuts[at + 1]].tolist(), strict=True))
+                f = np.array([x in chosen for x in pairs], dtype=float)
+                p = local.swap_rounded(alpha * p + (1 - alpha) * f, Draws(seed, t))
+                out += [(t, *x, y) for x, y in zip(pairs, p.tolist(), strict=True)]
+            return out
+
+        def in_order(run: int, e: Edges) -> list[tuple]:
+            by = np.argsort(e[2], kind="stable")
+            return work(run, tuple(x[by] for x in e))
+
+        own = trees.where(F.col("t").between(first, last)).select("i", "j", F.col("t").cast("double").alias("weight"))
+        return by_run(own, None, in_order, "t long, i int, j int, x double")
+
+    out, start = None, [0.0] * len(pairs)
+    for first in range(1, steps + 1, block):
+        last = min(first + block - 1, steps)
+        part = rounded(first, last, start)
+        if last < steps:
+            part = cut(part)
+            start = [r["x"] for r in part.where(F.col("t") == last).orderBy("i", "j").collect()]
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def tree_shape(trees: DataFrame, n: int, run: str | None = None) -> DataFrame:
     """[run,] n_edges, n_vertices, is_tree: what every spanning tree of n vertices agrees on."""
-    return by_run(trees.withColumn("weight", F.lit(1.0)), run, lambda _, e: [(len(e), len({*e["i"], *e["j"]}), local.is_tree(list(zip(e["i"], e["j"], strict=True)), n))], "n_edges long, n_vertices long, is_tree boolean")
+    return by_run(trees.withColumn("weight", F.lit(1.0)), run, lambda _, e: [(len(e[0]), len({*e[0].tolist(), *e[1].tolist()}), local.is_tree(list(zip(e[0].tolist(), e[1].tolist(), strict=True)), n))], "n_edges long, n_vertices long, is_tree boolean")
 
 
 def boruvka(w: DataFrame, largest: bool = False) -> DataFrame:
@@ -112,7 +171,7 @@ def boruvka(w: DataFrame, largest: bool = False) -> DataFrame:
             a, b = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ij")
             open_ = edges.join(a, "i", "left").join(b, "j", "left").withColumn("a", F.coalesce("li", "i")).withColumn("b", F.coalesce("lj", "j")).where("a <> b")
         both = open_.select(F.col("a").alias("part"), "cost", "ti", "tj", "i", "j").unionByName(open_.select(F.col("b").alias("part"), "cost", "ti", "tj", "i", "j"))
-        best = both.groupBy("part").agg(F.min(F.struct("cost", "ti", "tj", "i", "j")).alias("e")).select("e.i", "e.j").distinct().checkpoint()
+        best = cut(both.groupBy("part").agg(F.min(F.struct("cost", "ti", "tj", "i", "j")).alias("e")).select("e.i", "e.j").distinct())
         if best.isEmpty():
             return chosen if chosen is not None else best
-        chosen = best if chosen is None else chosen.unionByName(best).distinct().checkpoint()
+        chosen = best if chosen is None else cut(chosen.unionByName(best).distinct())

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,19 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arbora.functions.portable import mixed_sql, uniform
+from arbora.functions.portable import mixed_sql, uniform, uniform_sql
 from arbora.operators import counts, graph, information, metrics, trees, weights
 from arbora.operators.encode import codebook, renamed, split
-from arbora.plans.learners import ChowLiu, ForestDensity, WalkMajority, WeightedMajority
+from arbora.plans.learners import ChowLiu, ForestDensity, WalkMajority, WeightedMajority, evaluate
+from arbora.session import shared_folder
 from arbora.sources import files, synthetic
 from arbora.sources.events import K, N, TREE, events, natural, plant, planted, true_tree
 from arbora.streaming import online
 
 Query = Callable[[SparkSession, str], DataFrame]
-#: Steps of queries that follow the learners step by step, as the command line's --T gives it.
-STEPS = 300
 #: Seeds of the draws, and independent trees of the sampler queries.
 SEED, RUNS = 7, 50
+#: Steps of a walk in the query of walks that fall back to uniform steps.
+FEW_STEPS = 3
+#: The synthetic data set: columns, rows, seed and noise. Scores of two methods that are compared.
+SAMPLES = (10, 500, 42, 0.3)
+SCORES = ([-3.1, -2.9, -4.0, -3.6, -3.3], [-3.0, -2.7, -4.1, -3.2, -3.1])
+DRAWS, BINS = 50_000, 4
 EPSILON = 0.9
 
 
@@ -39,9 +43,9 @@ def train_test(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return split(planted(s, d), (F.col("t") - 1) % 10 >= 7)
 
 
-def early_tree(s: SparkSession, d: str) -> DataFrame:
-    """A tree that is not yet right: learned from the first 17 rows."""
-    return ChowLiu(planted(s, d), K).tree(17)
+def wrong_tree(s: SparkSession, d: str) -> DataFrame:
+    """A tree that is not the planted one: learned from all rows, but without the edge (0, 1)."""
+    return trees.spanning_tree(graph.delete_edge(edges(s, d), 0, 1), N, largest=True)
 
 
 def runs(w: DataFrame, n: int = RUNS) -> DataFrame:
@@ -55,9 +59,8 @@ def mixed_point(s: SparkSession, d: str) -> DataFrame:
 
 
 def scratch(s: SparkSession) -> str:
-    """A new folder under the shared checkpoint folder; a temporary one where none is set."""
-    base = s.conf.get("spark.checkpoint.dir", "") or s.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="arbora-")
-    return f"{base}/{uuid.uuid4().hex}"
+    """A new folder under the folder that driver and executors share."""
+    return f"{shared_folder(s)}/{uuid.uuid4().hex}"
 
 
 def streamed(s: SparkSession, d: str) -> DataFrame:
@@ -76,6 +79,24 @@ def stream_weights(s: SparkSession, d: str) -> DataFrame:
     return out.groupBy("i", "j").agg(F.max_by("weight", "t").alias("weight"))
 
 
+def stream_trees(s: SparkSession, d: str) -> DataFrame:
+    """The perturbed leader's tree of every step, drawn batch by batch from the stream of losses."""
+
+    def structure(batch: DataFrame) -> DataFrame:
+        return trees.spanning_tree(information.perturbed(batch, N, F.col("t"), SEED), N, run="t")
+
+    return online.trees_of(online.phi_stream(streamed(s, d), K), structure, scratch(s))
+
+
+def stream_walk_trees(s: SparkSession, d: str) -> DataFrame:
+    """The random tree after every step, by walks over the stream of weights."""
+
+    def structure(batch: DataFrame) -> DataFrame:
+        return trees.walk_tree(batch.select((F.col("t") + 1).alias("t"), "i", "j", "weight"), N, SEED, run="t").select("t", "i", "j")
+
+    return online.trees_of(online.weights_stream(streamed(s, d), N, K, events(s, d).count(), EPSILON, SEED), structure, scratch(s))
+
+
 def stream_event_counts(s: SparkSession, d: str) -> DataFrame:
     schema = T.StructType([T.StructField("ts", T.TimestampNTZType()), T.StructField("event_type", T.StringType())])
     rows = online.read_stream(s, d, "events*.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
@@ -86,7 +107,19 @@ def stream_event_counts(s: SparkSession, d: str) -> DataFrame:
 
 
 def synthetic_samples(s: SparkSession, d: str) -> DataFrame:
-    return synthetic.dataset(s, 10, 500, 2, True, 42, noise=0.3)[0]
+    n, rows, seed, noise = SAMPLES
+    return synthetic.dataset(s, n, rows, 2, True, seed, noise=noise)[0]
+
+
+def command_line(s: SparkSession, d: str) -> DataFrame:
+    """The scores of a run over files as the command line reads them: CSV rows and a text of edges."""
+    train, test = train_test(s, d)
+    folder = scratch(s)
+    for name, rows in (("train", train), ("test", test)):
+        files.write_observations(rows, f"{folder}/{name}")
+    files.write_edges(true_tree(s), f"{folder}/edges")
+    read = lambda name: files.read_observations(s, f"{folder}/{name}", N)
+    return evaluate(read("train"), read("test"), files.read_edges(s, f"{folder}/edges"), "Chow-Liu", K).withColumnRenamed("log-likelihood", "log_likelihood")
 
 
 def learner_scores(s: SparkSession, d: str) -> DataFrame:
@@ -116,10 +149,27 @@ def results_round_trip(s: SparkSession, d: str) -> DataFrame:
 
 
 def walk_counters(s: SparkSession, d: str) -> DataFrame:
-    """n_runs, all_walked, some_fell_back: counters of walks of at most 3 steps, summed over runs."""
-    drawn = trees.walk_tree(runs(edges(s, d)), N, SEED, most_steps=3, run="run")
-    per = drawn.groupBy("run").agg(F.max("fallbacks").alias("f"), F.max("walks").alias("w"))
-    return per.agg(F.count("*").alias("n_runs"), F.min((F.col("w") >= 1) & (F.col("w") <= N - 1)).alias("all_walked"), (F.sum("f") > 0).alias("some_fell_back"))
+    """run, fallbacks, walks: counters of walks of at most FEW_STEPS steps."""
+    drawn = trees.walk_tree(runs(edges(s, d)), N, SEED, most_steps=FEW_STEPS, run="run")
+    return drawn.select("run", "fallbacks", "walks").distinct()
+
+
+def contraction_steps(s: SparkSession, d: str) -> DataFrame:
+    """The edges that stand for those left after (1, 3) and then the first two vertices became one."""
+    once = graph.contract_mapped(graph.contraction_map(edges(s, d)), 1, 3, SEED)
+    return graph.contract_mapped(once, 0, 1, SEED + 1)
+
+
+def singular_partition(s: SparkSession, d: str) -> DataFrame:
+    """The floored log-determinant of four vertices of which the last has no edge."""
+    w = graph.contract_edge(graph.contract_edge(edges(s, d), 0, 1), 0, 1)
+    return trees.tree_log_partition(w.withColumn("weight", F.when(F.col("j") == 3, 0.0).otherwise(F.col("weight"))), N - 2, floor=0.1)
+
+
+def rwm_weights_terminal(s: SparkSession, d: str) -> DataFrame:
+    """i, j, log_weight over all events: logarithms, as weights reach down to 1e-89 at 100,000 events."""
+    w = weights.weights_terminal(planted(s, d), N, K, events(s, d).count(), EPSILON, SEED)
+    return w.select("i", "j", F.round(F.ln("weight"), 6).alias("log_weight"))
 
 
 def code_table(s: SparkSession, d: str) -> DataFrame:
@@ -153,9 +203,9 @@ def queries() -> dict[str, Query]:
         "boruvka_tree": lambda s, d: trees.boruvka(edges(s, d), largest=True),
         "log_likelihood": lambda s, d: rounded(metrics.log_likelihood(train_test(s, d)[1], counts.cpt(train_test(s, d)[0], N, K), true_tree(s)), 6),
         "learner_scores": lambda s, d: rounded(learner_scores(s, d), 6),
-        "missing_edges": lambda s, d: metrics.missing_edges(true_tree(s), early_tree(s, d)),
-        "extra_edges": lambda s, d: metrics.extra_edges(true_tree(s), early_tree(s, d)),
-        "shd": lambda s, d: metrics.shd(true_tree(s), early_tree(s, d)),
+        "missing_edges": lambda s, d: metrics.missing_edges(true_tree(s), wrong_tree(s, d)),
+        "extra_edges": lambda s, d: metrics.extra_edges(true_tree(s), wrong_tree(s, d)),
+        "shd": lambda s, d: metrics.shd(true_tree(s), wrong_tree(s, d)),
         "running_counts_1var": lambda s, d: counts.running_counts_1var(p(s, d)),
         "running_counts_2var": lambda s, d: counts.running_counts_2var(p(s, d)),
         "count_grid": lambda s, d: counts.count_grid(p(s, d), K),
@@ -165,8 +215,7 @@ def queries() -> dict[str, Query]:
         "level_table": lambda s, d: rounded(weights.level_table(s, 2).unionByName(weights.level_table(s, 3)).unionByName(weights.level_table(s, 4)).unionByName(weights.level_table(s, 5)), 10),
         "level_draws": lambda s, d: rounded(weights.level_draws(p(s, d), N, K, events(s, d).count(), EPSILON, SEED), 10),
         "rwm_weights_trajectory": lambda s, d: rounded(weights.weights_trajectory(p(s, d), N, K, events(s, d).count(), EPSILON, SEED), 4),
-        "rwm_weights_terminal": lambda s, d: rounded(weights.weights_terminal(p(s, d).where("t <= 1000"), N, K, 1000, EPSILON, SEED), 6),
-        "rwm_weights_terminal_all": lambda s, d: weights.weights_terminal(p(s, d), N, K, events(s, d).count(), EPSILON, SEED),
+        "rwm_weights_terminal": rwm_weights_terminal,
         "weights_lead": lambda s, d: rounded(weights.weights_lead(weights.weights_trajectory(p(s, d), N, K, events(s, d).count(), EPSILON, SEED)), 4),
         "symmetrize": lambda s, d: rounded(graph.symmetrize(edges(s, d))),
         "neighbour_map": lambda s, d: graph.neighbours(true_tree(s)),
@@ -179,30 +228,32 @@ def queries() -> dict[str, Query]:
         "walk_cdf": lambda s, d: rounded(graph.walk_cdf(edges(s, d))),
         "mix_vector": lambda s, d: rounded(mixed_point(s, d)),
         "fractional_entries": lambda s, d: rounded(graph.fractional(mixed_point(s, d))),
-        "rwm_tree": lambda s, d: trees.tree_shape(trees.determinant_tree(runs(edges(s, d)), N, SEED, run="run"), N, "run"),
-        "wilson_tree": lambda s, d: trees.tree_shape(trees.walk_tree(runs(edges(s, d)), N, SEED, run="run"), N, "run"),
-        "wilson_fast_tree": lambda s, d: trees.tree_shape(trees.walk_tree(runs(edges(s, d)), N, SEED, most_steps=3, run="run"), N, "run"),
-        "swap_rounding": lambda s, d: rounded(trees.swap_rounding(runs(mixed_point(s, d)), SEED, "run").groupBy("run").agg(F.sum("x").alias("total"), F.sum(((F.col("x") > 1e-9) & (F.col("x") < 1 - 1e-9)).cast("long")).alias("n")).select("run", "total", (F.col("n") <= 1).alias("is_rounded")), 6),
-        "ofde_trajectory": lambda s, d: trees.tree_shape(ForestDensity(p(s, d), K, SEED).trajectory(STEPS), N, "t"),
-        "tree_trajectory": lambda s, d: trees.tree_shape(WalkMajority(p(s, d), K, SEED).trajectory(STEPS), N, "t"),
-        "rwm_final_tree": lambda s, d: trees.tree_shape(WeightedMajority(p(s, d), K, SEED).tree(STEPS), N),
-        "ofde_trajectory_all": lambda s, d: trees.tree_shape(ForestDensity(p(s, d), K, SEED).trajectory(), N, "t"),
-        "tree_trajectory_all": lambda s, d: trees.tree_shape(WalkMajority(p(s, d), K, SEED).trajectory(), N, "t"),
-        "rwm_final_tree_all": lambda s, d: trees.tree_shape(WeightedMajority(p(s, d), K, SEED).tree(), N),
+        "rwm_tree": lambda s, d: trees.determinant_tree(runs(edges(s, d)), N, SEED, run="run"),
+        "wilson_tree": lambda s, d: trees.walk_tree(runs(edges(s, d)), N, SEED, run="run").select("run", "i", "j"),
+        "wilson_fast_tree": lambda s, d: trees.walk_tree(runs(edges(s, d)), N, SEED, most_steps=FEW_STEPS, run="run").select("run", "i", "j"),
+        "swap_rounding": lambda s, d: rounded(trees.swap_rounding(runs(mixed_point(s, d)), SEED, "run"), 6),
+        "ofde_trajectory": lambda s, d: ForestDensity(p(s, d), K, SEED).trajectory(),
+        "tree_trajectory": lambda s, d: WalkMajority(p(s, d), K, SEED, EPSILON).trajectory(),
+        "rwm_final_tree": lambda s, d: WeightedMajority(p(s, d), K, SEED, EPSILON).tree(),
         "tree_log_partition": lambda s, d: rounded(trees.tree_log_partition(graph.contract_edge(graph.contract_edge(edges(s, d), 0, 1), 0, 1), N - 2)),
-        "rounding_steps": lambda s, d: trees.rounding_steps(ForestDensity(p(s, d), K, SEED).trajectory(STEPS), N, STEPS, SEED).groupBy("t").agg(F.count("*").alias("n_entries")),
-        "random_tree": lambda s, d: trees.tree_shape(synthetic.random_tree(s, 10, 42), 10),
+        "tree_log_partition_floor": lambda s, d: rounded(singular_partition(s, d)),
+        "rounding_steps": lambda s, d: rounded(trees.rounding_steps(ForestDensity(p(s, d), K, SEED).trajectory(), N, events(s, d).count(), SEED), 6),
+        "random_tree": lambda s, d: synthetic.random_tree(s, SAMPLES[0], SAMPLES[2]),
         "random_graph": lambda s, d: synthetic.random_graph(s, 12, 42),
         "synthetic_samples": synthetic_samples,
-        "signed_rank": lambda s, d: metrics.signed_rank(s, [-3.1, -2.9, -4.0, -3.6, -3.3], [-3.0, -2.7, -4.1, -3.2, -3.1]),
+        "signed_rank": lambda s, d: metrics.signed_rank(s, *SCORES, draws=DRAWS),
+        "difference_histogram": lambda s, d: rounded(metrics.difference_histogram(s, *SCORES, bins=BINS)),
+        "command_line_scores": lambda s, d: rounded(command_line(s, d), 6),
         "csv_round_trip": csv_round_trip,
         "edge_text_round_trip": edge_text_round_trip,
         "results_round_trip": lambda s, d: rounded(results_round_trip(s, d), 6),
         "walk_counters": walk_counters,
         "initial_weights": lambda s, d: weights.initial_weights(s, N),
-        "contraction_map": lambda s, d: graph.contraction_map(edges(s, d)),
+        "contraction_map": lambda s, d: rounded(contraction_steps(s, d)),
         "stream_phi": lambda s, d: rounded(stream_phi(s, d), 4),
         "stream_weights": lambda s, d: rounded(stream_weights(s, d), 4),
+        "stream_trees": stream_trees,
+        "stream_walk_trees": stream_walk_trees,
         "stream_event_counts": stream_event_counts,
     }
 
@@ -269,9 +320,59 @@ def draws_sql(rows: str, source: str = "pairs") -> str:
 
 CELLS = ", ".join(f"sum(CASE WHEN v * {K} + u = {m} THEN eta * ln(greatest(p, 1e-300::DOUBLE)) ELSE 0 END) OVER o AS c{m}" for m in range(K * K))
 TRAJ = f"{wide_sql()}, {pairs_sql()}, {draws_sql('(SELECT count(*) FROM wide)')}, cum AS (SELECT t, i, j, {CELLS} FROM draws, eta WINDOW o AS (PARTITION BY i, j ORDER BY t)), traj AS (SELECT t, i, j, {' + '.join(f'exp(c{m})' for m in range(K * K))} AS weight FROM cum)"
-TREES = "SELECT unnest(range({n}))::BIGINT{plus} AS {run}, 5::BIGINT AS n_edges, 6::BIGINT AS n_vertices, true AS is_tree"
+
+
+def step_trees_sql(source: str, name: str = "steps") -> str:
+    """The minimum spanning tree of each t of ``source`` (t, i, j, weight), as tree_sql states one."""
+    return f"""{name}r AS MATERIALIZED (SELECT t, i, j, row_number() OVER (PARTITION BY t ORDER BY weight, i, j) AS r FROM {source}),
+{name}b AS MATERIALIZED (SELECT t, i AS a, j AS b, r FROM {name}r UNION ALL SELECT t, j, i, r FROM {name}r),
+{name}x(t, r, node) AS (SELECT t, r, i FROM {name}r UNION SELECT x.t, x.r, e.b FROM {name}x x JOIN {name}b e ON e.t = x.t AND e.a = x.node AND e.r < x.r),
+{name} AS (SELECT q.t, q.i, q.j FROM {name}r q ANTI JOIN {name}x x ON x.t = q.t AND x.r = q.r AND x.node = q.j)"""
+
+
+def walks_sql(source: str, run: str, most: int, seed: int = SEED, n: int = N) -> str:
+    """Wilson's walks over ``source`` (run, i, j, weight), a row for each move of each run.
+
+    mode 0 walks to the next vertex, and mode 1 goes along the last exits from where the walk began;
+    inside is a set of vertices as bits, nxt has the last exits, k counts draws.
+    """
+    sides = f"SELECT {run} AS run, i AS u, j AS v, weight FROM {source} UNION ALL SELECT {run}, j, i, weight FROM {source} UNION ALL SELECT DISTINCT {run}, x, x, 0 FROM {source}, (SELECT unnest(range({n})) AS x)"
+    draw = uniform_sql("s.run", "s.k", seed)
+    isin = "(s.inside >> s.v) & 1 = 1"
+    nearest = f"CASE WHEN s.steps < {most} AND c.total > 0 THEN len(list_filter(c.cdf, lambda y: y <= {draw} * c.total)) ELSE floor({draw} * {n - 1})::INT + CASE WHEN floor({draw} * {n - 1}) >= s.v THEN 1 ELSE 0 END END"
+    first = f"list_min(list_filter(range({n}), lambda y: (s.inside >> y) & 1 = 0))"
+    return f"""side AS ({sides}),
+cdf AS MATERIALIZED (SELECT run, u, list(up ORDER BY v) AS cdf, max(up) AS total FROM (SELECT run, u, v, sum(weight) OVER (PARTITION BY run, u ORDER BY v ROWS UNBOUNDED PRECEDING) AS up FROM side) GROUP BY run, u),
+moves(run, k, mode, start, v, steps, inside, nxt, fell, walks) AS (
+  SELECT DISTINCT {run}::BIGINT, 0, 0, 1, 1, 0, 1, [{', '.join(['-1'] * n)}], 0, 1 FROM {source}
+  UNION ALL
+  SELECT run, k + moved::INT, CASE WHEN mode = 0 THEN CASE WHEN isin THEN 1 ELSE 0 END WHEN isin THEN 0 ELSE 1 END,
+         CASE WHEN mode = 1 AND isin THEN fresh ELSE start END, CASE WHEN mode = 0 THEN CASE WHEN isin THEN start ELSE u END WHEN isin THEN fresh ELSE nxt[v + 1] END,
+         CASE WHEN moved THEN steps + 1 WHEN mode = 1 AND isin THEN 0 ELSE steps END, CASE WHEN mode = 1 AND NOT isin THEN inside | (1 << v) ELSE inside END,
+         CASE WHEN moved THEN nxt[1:v] || [u] || nxt[v + 2:] ELSE nxt END, fell + CASE WHEN mode = 0 AND isin AND steps > {most} THEN 1 ELSE 0 END, walks + CASE WHEN mode = 1 AND isin THEN 1 ELSE 0 END
+  FROM (SELECT s.*, {isin} AS isin, s.mode = 0 AND NOT ({isin}) AS moved, least({nearest}, {n - 1})::INT AS u, {first}::INT AS fresh FROM moves s JOIN cdf c ON c.run = s.run AND c.u = s.v)
+  WHERE NOT (mode = 1 AND isin AND fresh IS NULL))"""
+
+
+#: The edges that the walks leave: in mode 1, from a vertex outside the tree along its last exit.
+WALKED = "SELECT run AS {run}, least(v, nxt[v + 1])::INT AS i, greatest(v, nxt[v + 1])::INT AS j FROM moves WHERE mode = 1 AND (inside >> v) & 1 = 0"
+
+
+def rounding_sql(start: str, key: str, size: int, seed: int = SEED) -> str:
+    """Trades between fractional entries of each vector of ``start`` (key, x), a row for each trade.
+
+    Draws are numbered k; a row has no pair (i, j) when its vector is rounded.
+    """
+    draw = lambda more: uniform_sql("key", f"k + {more}", seed)
+    is_open = f"list_filter(range(1, {size + 1}), lambda y: x[y] > 1e-10 AND x[y] < 1 - 1e-10)"
+    return f"""SELECT {key}, k + 3 AS k, list_transform(range(1, {size + 1}), lambda y: CASE WHEN y = i THEN a WHEN y = j THEN total - a ELSE x[y] END) AS x FROM (
+  SELECT *, CASE WHEN {draw(2)} * (least(1 - x[i], x[j]) + least(x[i], 1 - x[j])) < least(x[i], 1 - x[j]) THEN x[i] + least(1 - x[i], x[j]) ELSE x[i] - least(x[i], 1 - x[j]) END AS a, x[i] + x[j] AS total FROM (
+    SELECT *, list_filter(o, lambda y: y <> i)[1 + floor({draw(1)} * (len(o) - 1))::INT] AS j FROM (
+      SELECT *, o[1 + floor({draw(0)} * len(o))::INT] AS i FROM (SELECT {key}, key, k, x, {is_open} AS o FROM {start}) WHERE len(o) > 1)))"""
+
+
 POINT = f"{EDGES}, x AS (SELECT w.i AS i, w.j AS j, 0.5::DOUBLE * (({mixed_sql(f'w.i * {N} + w.j', 3)}) / 2147483647::DOUBLE) + 0.5::DOUBLE * (CASE WHEN e.i IS NULL THEN 0 ELSE 1 END) AS x FROM w LEFT JOIN ({'SELECT * FROM (VALUES ' + ', '.join(f'({a}, {b})' for a, b in TREE) + ') v(i, j)'}) e ON e.i = w.i AND e.j = w.j)"
-EARLY = f"{wide_sql()}, {pairs_sql('(SELECT * FROM wide WHERE t <= 17)')}, {mi_sql()}, {tree_sql('mi', 'mi', True)}, {TRUE}"
+WRONG = f"{wide_sql()}, {pairs_sql()}, {mi_sql()}, without AS (SELECT * FROM mi WHERE NOT (i = 0 AND j = 1)), {tree_sql('without', 'mi', True)}, {TRUE}"
 SPLIT = f"{wide_sql()}, train AS (SELECT * FROM wide WHERE (t - 1) % 10 < 7), test AS (SELECT * FROM wide WHERE (t - 1) % 10 >= 7), {pairs_sql('train')}, {pairs_sql('test', name='tp')}, {CPT.format(n='cpt', pairs='pairs')}"
 SCORE = "SELECT sum(ln(greatest(prob, 1e-10::DOUBLE))) / (SELECT count(*) FROM test) FROM tp JOIN {tree} e ON e.i = tp.i AND e.j = tp.j JOIN cpt ON parent = tp.i AND child = tp.j AND pv = tp.u AND cv = tp.v"
 
@@ -295,9 +396,10 @@ def oracle_sql() -> dict[str, str]:
         "csv_round_trip": f"{w} SELECT t, {', '.join(f'v{i}' for i in range(N))} FROM wide",
         "edge_text_round_trip": chow_liu,
         "results_round_trip": scores,
-        "walk_counters": f"SELECT {RUNS}::BIGINT AS n_runs, true AS all_walked, true AS some_fell_back",
+        "walk_counters": f"{RUN_EDGES}, {walks_sql('rw', 'run', FEW_STEPS)} SELECT run, max(fell)::INT AS fallbacks, max(walks)::INT AS walks FROM moves GROUP BY run",
+        "command_line_scores": scores,
         "initial_weights": f"SELECT i::INT AS i, j::INT AS j, 1.0::DOUBLE AS weight FROM (SELECT unnest(range({N})) AS i), (SELECT unnest(range({N})) AS j) WHERE i < j",
-        "contraction_map": f"{EDGES} SELECT i, j, i AS from_i, j AS from_j FROM w",
+        "contraction_map": f"{EDGES}, m0 AS (SELECT i, j, weight, i AS from_i, j AS from_j FROM w), {mapped_sql('m0', 'm1', 1, 3, SEED)}, {mapped_sql('m1', 'm2', 0, 1, SEED + 1)} SELECT i::INT AS i, j::INT AS j, round(weight, 8) AS weight, from_i::INT AS from_i, from_j::INT AS from_j FROM m2",
         "marginal_counts": f"{w}, {long_sql()} SELECT var, val, count(*) AS c FROM long GROUP BY ALL",
         "pair_counts": f"{w}, {pairs_sql()} SELECT i, j, u, v, count(*) AS c FROM pairs GROUP BY ALL",
         "contingency_pivot": f"{w} SELECT v1 AS cv, count(*) FILTER (v0 = 0) AS p0, count(*) FILTER (v0 = 1) AS p1, count(*) FILTER (v0 = 2) AS p2 FROM wide GROUP BY v1",
@@ -310,9 +412,9 @@ def oracle_sql() -> dict[str, str]:
         "boruvka_tree": chow_liu,
         "log_likelihood": f"WITH {SPLIT}, {TRUE} SELECT round(({SCORE.format(tree='true_edges')}), 6) AS log_likelihood",
         "learner_scores": scores,
-        "missing_edges": f"WITH RECURSIVE {EARLY} SELECT * FROM true_edges EXCEPT SELECT i, j FROM tree",
-        "extra_edges": f"WITH RECURSIVE {EARLY} SELECT i, j FROM tree EXCEPT SELECT * FROM true_edges",
-        "shd": f"WITH RECURSIVE {EARLY} SELECT (SELECT count(*) FROM true_edges ANTI JOIN tree USING (i, j)) + (SELECT count(*) FROM tree ANTI JOIN true_edges USING (i, j)) AS shd",
+        "missing_edges": f"WITH RECURSIVE {WRONG} SELECT * FROM true_edges EXCEPT SELECT i, j FROM tree",
+        "extra_edges": f"WITH RECURSIVE {WRONG} SELECT i, j FROM tree EXCEPT SELECT * FROM true_edges",
+        "shd": f"WITH RECURSIVE {WRONG} SELECT (SELECT count(*) FROM true_edges ANTI JOIN tree USING (i, j)) + (SELECT count(*) FROM tree ANTI JOIN true_edges USING (i, j)) AS shd",
         "running_counts_1var": f"{w}, {long_sql()} SELECT t, var, val, row_number() OVER (PARTITION BY var, val ORDER BY t) - 1 AS prior FROM long",
         "running_counts_2var": f"{w}, {pairs_sql()} SELECT t, i, j, u, v, row_number() OVER (PARTITION BY i, j, u, v ORDER BY t) - 1 AS prior FROM pairs",
         "count_grid": f"{w}, {long_sql()} {grid}",
@@ -323,7 +425,7 @@ def oracle_sql() -> dict[str, str]:
         "level_table": levels,
         "level_draws": f"{w}, {pairs_sql()}, {draws_sql('1')} SELECT t, i, j, u, v, round(p, 10) AS p FROM draws",
         "rwm_weights_trajectory": f"WITH {TRAJ} SELECT t, i, j, round(weight, 4) AS weight FROM traj",
-        "rwm_weights_terminal": f"{w}, {pairs_sql('(SELECT * FROM wide WHERE t <= 1000)')}, {draws_sql('1000')}, logs AS (SELECT i, j, u, v, sum(eta * ln(greatest(p, 1e-300::DOUBLE))) AS s FROM draws, eta GROUP BY i, j, u, v) SELECT i, j, round({K * K} - count(*) + sum(exp(s)), 6) AS weight FROM logs GROUP BY i, j",
+        "rwm_weights_terminal": f"{w}, {pairs_sql()}, {draws_sql('(SELECT count(*) FROM wide)')}, logs AS (SELECT i, j, u, v, sum(eta * ln(greatest(p, 1e-300::DOUBLE))) AS s FROM draws, eta GROUP BY i, j, u, v) SELECT i, j, round(ln({K * K} - count(*) + sum(exp(s))), 6) AS log_weight FROM logs GROUP BY i, j",
         "weights_lead": f"WITH {TRAJ} SELECT t, i, j, round(weight, 4) AS weight, round(lead(weight) OVER (PARTITION BY i, j ORDER BY t), 4) AS next_weight FROM traj",
         "stream_weights": f"WITH {TRAJ} SELECT i, j, round(arg_max(weight, t), 4) AS weight FROM traj GROUP BY i, j",
         "symmetrize": f"{EDGES} SELECT u, v, round(weight, 8) AS weight FROM sym",
@@ -337,16 +439,19 @@ def oracle_sql() -> dict[str, str]:
         "walk_cdf": f"{EDGES} SELECT u, v, round(sum(weight / s) OVER (PARTITION BY u ORDER BY v), 8) AS cdf FROM (SELECT *, sum(weight) OVER (PARTITION BY u) AS s FROM sym)",
         "mix_vector": f"{POINT} SELECT i, j, round(x, 8) AS x FROM x",
         "fractional_entries": f"{POINT} SELECT i, j, round(x, 8) AS x FROM x WHERE x > 1e-10 AND x < 1 - 1e-10",
-        "rwm_tree": TREES.format(n=RUNS, plus="", run="run"),
-        "wilson_tree": TREES.format(n=RUNS, plus="", run="run"),
-        "wilson_fast_tree": TREES.format(n=RUNS, plus="", run="run"),
-        "swap_rounding": f"{POINT} SELECT unnest(range({RUNS}))::BIGINT AS run, total, true AS is_rounded FROM (SELECT round(sum(x), 6) AS total FROM x)",
-        "ofde_trajectory": TREES.format(n=STEPS, plus=" + 1", run="t"),
-        "tree_trajectory": TREES.format(n=STEPS, plus=" + 1", run="t"),
-        "rwm_final_tree": "SELECT 5::BIGINT AS n_edges, 6::BIGINT AS n_vertices, true AS is_tree",
+        "wilson_tree": f"{RUN_EDGES}, {walks_sql('rw', 'run', 2 * N * N)} {WALKED.format(run='run')}",
+        "wilson_fast_tree": f"{RUN_EDGES}, {walks_sql('rw', 'run', FEW_STEPS)} {WALKED.format(run='run')}",
+        "swap_rounding": f"{POINT.replace('WITH', 'WITH RECURSIVE', 1)}, trades(key, k, x) AS (SELECT unnest(range({RUNS}))::BIGINT, 0, (SELECT list(x ORDER BY i, j) FROM x) UNION ALL {rounding_sql('trades', 'key', len(PAIRS))}), {LAST_POINTS} SELECT key AS run, i, j, round(x, 6) + 0.0::DOUBLE AS x FROM points",
+        "ofde_trajectory": f"WITH RECURSIVE {PHI}, {STEP_PERTURBED}, {step_trees_sql('pert')} SELECT t, i, j FROM steps",
+        "stream_trees": f"WITH RECURSIVE {PHI}, {STEP_PERTURBED}, {step_trees_sql('pert')} SELECT t, i, j FROM steps",
+        "tree_trajectory": f"WITH RECURSIVE {TRAJ}, {W1}, rw AS (SELECT 1::BIGINT AS t, i, j, 1.0::DOUBLE AS weight FROM w1 UNION ALL SELECT t + 1, i, j, weight FROM traj WHERE t < (SELECT count(*) FROM wide)), {walks_sql('rw', 't', 2 * N * N)} {WALKED.format(run='t')}",
+        "stream_walk_trees": f"WITH RECURSIVE {TRAJ}, rw AS (SELECT t + 1 AS t, i, j, weight FROM traj), {walks_sql('rw', 't', 2 * N * N)} {WALKED.format(run='t')}",
+        "tree_log_partition_floor": singular_sql(),
         "tree_log_partition": log_partition_sql(),
-        "rounding_steps": f"SELECT unnest(range({STEPS}))::BIGINT + 1 AS t, 15::BIGINT AS n_entries",
-        "random_tree": "SELECT 9::BIGINT AS n_edges, 10::BIGINT AS n_vertices, true AS is_tree",
+        "random_tree": f"WITH RECURSIVE {random_tree_sql()} SELECT i, j FROM planted",
+        "synthetic_samples": samples_sql(),
+        "signed_rank": signed_rank_sql(),
+        "difference_histogram": histogram_sql(),
         "random_graph": f"SELECT i::INT AS i, j::INT AS j FROM (SELECT unnest(range(12)) AS i), (SELECT unnest(range(12)) AS j) WHERE i < j AND ({mixed_sql('i * 12 + j', 42)}) / 2147483647::DOUBLE < 0.6",
         "stream_event_counts": "SELECT event_type, sum(n)::BIGINT AS n, count(*) AS windows FROM (SELECT event_type, date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY ALL) GROUP BY event_type",
     }
@@ -362,5 +467,70 @@ def log_partition_sql() -> str:
     return f"{EDGES}, m AS (SELECT {to.format(c='i')} AS a, {to.format(c='j')} AS b, weight FROM w), s AS (SELECT {pick} FROM m) SELECT round(ln({total}), 8) AS log_z FROM s"
 
 
+def mapped_sql(source: str, name: str, a: int, b: int, seed: int) -> str:
+    to = lambda c: f"(CASE WHEN {c} IN ({a}, {b}) THEN {b - 1} WHEN {c} > {a} THEN {c} - 1 ELSE {c} END)"
+    row = "struct_pack(i := i, j := j, weight := weight, from_i := from_i, from_j := from_j)"
+    draw = f"({mixed_sql(f'x * {1 << 15} + y', seed)}) / 2147483647::DOUBLE"
+    return f"""{name}g AS (SELECT least(a, b) AS x, greatest(a, b) AS y, min({row}) AS one, max({row}) AS two, sum(weight) AS weight, count(*) AS n FROM (SELECT *, {to('i')} AS a, {to('j')} AS b FROM {source}) WHERE a <> b GROUP BY ALL),
+{name}p AS (SELECT *, n = 1 OR {draw} < one.weight / (weight + 0.1::DOUBLE) AS own FROM {name}g),
+{name} AS (SELECT x AS i, y AS j, weight, CASE WHEN own THEN one.from_i ELSE two.from_i END AS from_i, CASE WHEN own THEN one.from_j ELSE two.from_j END AS from_j FROM {name}p)"""
+
+
+def singular_sql() -> str:
+    """ln det of the minor of four vertices, the last without edges, with 0.1 on its diagonal."""
+    to = "(CASE WHEN {c} <= 2 THEN 0 ELSE {c} - 2 END)"
+    pick = ", ".join(f"sum(weight) FILTER (a = {i} AND b = {j}) AS w{i}{j}" for i, j in E4 if j < 3)
+    return f"{EDGES}, m AS (SELECT {to.format(c='i')} AS a, {to.format(c='j')} AS b, weight FROM w), s AS (SELECT {pick} FROM m) SELECT round(ln(((w01 + w12 + 0.1::DOUBLE) * (w02 + w12 + 0.1::DOUBLE) - w12 * w12) * 0.1::DOUBLE), 8) AS log_z FROM s"
+
+
+def random_tree_sql() -> str:
+    """planted(i, j): Pruefer's decoding, a row for each leaf that is taken off."""
+    n, _, seed, _ = SAMPLES
+    code = f"[{', '.join(f'floor({uniform_sql(0, k, seed)} * {n})::INT' for k in range(n - 2))}]"
+    leaf = f"list_min(list_filter(range({n}), lambda y: deg[y + 1] = 1))"
+    return f"""code AS (SELECT {code} AS code),
+takes(k, leaf, x, deg) AS (
+  SELECT 0, NULL::BIGINT, NULL::INT, list_transform(range({n}), lambda y: 1 + len(list_filter(code, lambda c: c = y))) FROM code
+  UNION ALL SELECT k + 1, leaf, code[k + 1], list_transform(range({n}), lambda y: CASE WHEN y = leaf THEN 0 WHEN y = code[k + 1] THEN deg[y + 1] - 1 ELSE deg[y + 1] END)
+  FROM (SELECT k, deg, code, {leaf} AS leaf FROM takes, code WHERE k < {n - 2})),
+planted AS (SELECT least(leaf, x)::INT AS i, greatest(leaf, x)::INT AS j FROM takes WHERE k > 0
+  UNION ALL SELECT list_min(o)::INT, list_max(o)::INT FROM (SELECT list_filter(range({n}), lambda y: deg[y + 1] = 1) AS o FROM takes WHERE k = {n - 2}))"""
+
+
+def samples_sql() -> str:
+    """A value for each vertex in order, the root first: mostly that of a neighbour that has one."""
+    n, rows, seed, noise = SAMPLES
+    draw = lambda k: uniform_sql("t", k, seed)
+    # the draws: 0 the root, 1 its value, one for each other vertex in order, then one for each column's noise
+    own = f"SELECT s.*, (SELECT list(CASE WHEN e.i = s.v THEN e.j ELSE e.i END) FROM planted e WHERE e.i = s.v OR e.j = s.v) AS near FROM state s WHERE v < {n}"
+    seen = "list_filter(list_transform(near, lambda y: x[y + 1]), lambda y: y >= 0)"
+    zero = f"CASE WHEN len(seen) = 0 THEN 0.5::DOUBLE ELSE {synthetic.INFLUENCE}::DOUBLE * len(list_filter(seen, lambda y: y = 0)) / len(seen) + {1 - synthetic.INFLUENCE}::DOUBLE / 2 END"
+    value = f"CASE WHEN {draw('2 + v - CASE WHEN v > root THEN 1 ELSE 0 END')} < {zero} THEN 0 ELSE 1 END"
+    flip = ", ".join(f"CASE WHEN {draw(1 + n + v)} > {noise}::DOUBLE THEN x[{v + 1}] ELSE 1 - x[{v + 1}] END::INT AS v{v}" for v in range(n))
+    return f"""WITH RECURSIVE {random_tree_sql()},
+roots AS (SELECT t, floor({draw(0)} * {n})::INT AS root, CASE WHEN {draw(1)} > {synthetic.ROOT_ZERO}::DOUBLE THEN 1 ELSE 0 END AS first FROM (SELECT unnest(range(1, {rows + 1})) AS t)),
+state(t, root, v, x) AS (SELECT t, root, 0, list_transform(range({n}), lambda y: CASE WHEN y = root THEN first ELSE -1 END) FROM roots
+  UNION ALL SELECT t, root, v + 1, CASE WHEN v = root THEN x ELSE x[1:v] || [{value}] || x[v + 2:] END FROM (SELECT *, {seen} AS seen FROM ({own})))
+SELECT t, {flip} FROM state WHERE v = {n}"""
+
+
+def signed_rank_sql() -> str:
+    m = len(SCORES[0]) + 1
+    z = f"[0.0::DOUBLE, {', '.join(f'{b}::DOUBLE - {a}::DOUBLE' for a, b in zip(*SCORES, strict=True))}]"
+    return f"""WITH w AS (SELECT d, k, -ln(1 - ({mixed_sql(f'd * {m} + k', 1)}) / 2147483647::DOUBLE) AS w, {z}[k + 1] AS z FROM (SELECT unnest(range({DRAWS})) AS d), (SELECT unnest(range({m})) AS k)),
+sums AS (SELECT a.d, sum(CASE WHEN (a.z + b.z) / 2 < 0 THEN a.w * b.w ELSE 0 END) AS l, sum(CASE WHEN (a.z + b.z) / 2 = 0 THEN a.w * b.w ELSE 0 END) AS e, sum(CASE WHEN (a.z + b.z) / 2 > 0 THEN a.w * b.w ELSE 0 END) AS r FROM w a JOIN w b ON a.d = b.d GROUP BY a.d)
+SELECT avg((l >= e AND l >= r)::INT) AS p_left, avg((e > l AND e >= r)::INT) AS p_rope, avg((r > l AND r > e)::INT) AS p_right FROM sums"""
+
+
+def histogram_sql() -> str:
+    z = ", ".join(f"({b}::DOUBLE - {a}::DOUBLE)" for a, b in zip(*SCORES, strict=True))
+    return f"""WITH z AS (SELECT unnest([{z}]) AS z), e AS (SELECT min(z) AS a, (max(z) - min(z)) / {BINS} AS h FROM z), b AS (SELECT unnest(range({BINS})) AS k)
+SELECT round(a + k * h, 8) AS low, round(a + (k + 1) * h, 8) AS high, (SELECT count(*) FROM z WHERE least(floor((z - a) / h), {BINS - 1}) = k) AS n FROM b, e"""
+
+
+RUN_EDGES = f"{EDGES.replace('WITH', 'WITH RECURSIVE', 1)}, rw AS (SELECT unnest(range({RUNS}))::BIGINT AS run, i, j, weight FROM w)"
+W1 = f"w1 AS (SELECT i::INT AS i, j::INT AS j FROM (SELECT unnest(range({N})) AS i), (SELECT unnest(range({N})) AS j) WHERE i < j)"
+STEP_PERTURBED = f"pert AS (SELECT t, i, j, cum_phi + (({mixed_sql(f'(t * {N} + i) * {N} + j', SEED)}) / 2147483647::DOUBLE) * {N} * sqrt(t / 2) AS weight FROM traj)"
+LAST_POINTS = "points AS (SELECT key, unnest([" + ", ".join(str(i) for i, _ in PAIRS) + "])::INT AS i, unnest([" + ", ".join(str(j) for _, j in PAIRS) + "])::INT AS j, unnest(x) AS x FROM (SELECT key, arg_max(x, k) AS x FROM trades GROUP BY key))"
 E4 = [(i, j) for i in range(4) for j in range(i + 1, 4)]
 TRIANGLES = [((0, 1), (0, 2), (1, 2)), ((0, 1), (0, 3), (1, 3)), ((0, 2), (0, 3), (2, 3)), ((1, 2), (1, 3), (2, 3))]

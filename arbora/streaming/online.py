@@ -7,13 +7,13 @@ a gap, is an error: the estimators need every earlier row.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
@@ -34,14 +34,15 @@ def phi_stream(wide: DataFrame, k: int) -> DataFrame:
         joint = np.array(counts, dtype=np.int64).reshape(k, k)
         rows = pd.concat([x for x in batches if len(x)]).sort_values("t")
         in_order(rows["t"].to_numpy(), last)
-        sums = []
-        for t, u, v in zip(rows["t"].tolist(), rows["u"].tolist(), rows["v"].tolist(), strict=True):
-            a, b, c = joint[u].sum(), joint[:, v].sum(), joint[u, v]
-            one, two = t - 1 + k / 2, t - 1 + k * k / 2
-            total += math.log(max((a + 0.5) / one * (b + 0.5) / one / ((c + 0.5) / two), 1e-300))
-            joint[u, v] += 1
-            sums.append(total)
-        state.update((int(rows["t"].iloc[-1]), float(total), joint.ravel().tolist()))
+        t, cells = rows["t"].to_numpy(), rows["u"].to_numpy() * k + rows["v"].to_numpy()
+        hits = np.zeros((len(t), k * k), dtype=np.int64)
+        hits[np.arange(len(t)), cells] = 1
+        before = joint.ravel() + np.cumsum(hits, axis=0) - hits  # counts of each cell before each row
+        grid, at = before.reshape(-1, k, k), np.arange(len(t))
+        a, b, c = grid[at, cells // k].sum(axis=1), grid[at, :, cells % k].sum(axis=1), before[at, cells]
+        one, two = t - 1 + k / 2, t - 1 + k * k / 2
+        sums = total + np.cumsum(np.log(np.maximum((a + 0.5) / one * ((b + 0.5) / one) / ((c + 0.5) / two), 1e-300)))
+        state.update((int(t[-1]), float(sums[-1]), (joint.ravel() + hits.sum(axis=0)).tolist()))
         yield pd.DataFrame({"t": rows["t"], "i": key[0], "j": key[1], "cum_phi": sums})
 
     out, held = "t long, i int, j int, cum_phi double", "last long, total double, counts array<long>"
@@ -68,6 +69,28 @@ def weights_stream(wide: DataFrame, n: int, k: int, rows: int, epsilon: float =
     return drawn.groupBy("i", "j").applyInPandasWithState(update, out, held, "append", GroupStateTimeout.NoTimeout)
 
 
+def tree_stream(weights: DataFrame, structure: Callable[[DataFrame], DataFrame], folder: str) -> StreamingQuery:
+    """Start the second stage of a learner: the tree of each step of a stream of weights (t, i, j, ...).
+
+    Every micro-batch holds whole steps. Their trees, ``structure`` of the batch, are written to a
+    folder named by the batch, over what a run that failed there has left: each step comes once.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        structure(batch).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    return weights.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+
+
+def trees_of(weights: DataFrame, structure: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """t, i, j: the trees of what is there now, read back once the stream has come to its end."""
+    query = tree_stream(weights, structure, folder)
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+    return weights.sparkSession.read.schema("t long, i int, j int").parquet(f"{folder}/out").select("t", "i", "j")
+
+
 def event_counts(events: DataFrame, window: str = "1 hour", late: str = "1 day") -> DataFrame:
     """window start, event_type, n: a tumbling count with a watermark."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")

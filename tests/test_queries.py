@@ -1,5 +1,9 @@
 """Each query of the engine against its SQL, run by another engine over the same tables."""
 
+import itertools
+import math
+from collections import defaultdict
+
 import pytest
 
 from arbora import queries
@@ -52,29 +56,126 @@ def test_terminal_weights_of_all_events(spark):
     n = events(spark, d).count()
     assert n > 1000
     last = {(r["i"], r["j"]): r["weight"] for r in weights_trajectory(planted(spark, d), N, K, n, queries.EPSILON, queries.SEED).where(f"t = {n}").collect()}
-    got = {(r["i"], r["j"]): r["weight"] for r in queries.queries()["rwm_weights_terminal_all"](spark, d).collect()}
-    assert got == pytest.approx(last, rel=1e-9) and len(got) == N * (N - 1) // 2 and min(got.values()) > 0
+    got = {(r["i"], r["j"]): math.exp(r["log_weight"]) for r in queries.queries()["rwm_weights_terminal"](spark, d).collect()}
+    assert got == pytest.approx(last, rel=1e-5) and len(got) == N * (N - 1) // 2 and min(got.values()) > 0
 
 
 def test_signed_rank_takes_the_default_draws(spark):
     from arbora.operators import metrics
 
-    scores = [-3.1, -2.9, -4.0, -3.6, -3.3], [-3.0, -2.7, -4.1, -3.2, -3.1]
-    assert rows_of(queries.queries()["signed_rank"](spark, DATA)) == rows_of(metrics.signed_rank(spark, *scores))
+    assert rows_of(queries.queries()["signed_rank"](spark, DATA)) == rows_of(metrics.signed_rank(spark, *queries.SCORES))
 
 
-@pytest.mark.parametrize("name", ["ofde_trajectory_all", "tree_trajectory_all"])
+@pytest.mark.parametrize("name", ["ofde_trajectory", "tree_trajectory", "stream_trees", "stream_walk_trees"])
 def test_trajectories_of_all_events(spark, name):
-    got = queries.queries()[name](spark, DATA).collect()
-    assert sorted(r["t"] for r in got) == list(range(1, 1001)) and all(r["is_tree"] for r in got)
+    from arbora.operators.local_trees import is_tree
+
+    steps = defaultdict(list)
+    for r in queries.queries()[name](spark, DATA).collect():
+        steps[r["t"]].append((r["i"], r["j"]))
+    first = 2 if name == "stream_walk_trees" else 1
+    assert sorted(steps) == list(range(first, first + 1000)) and all(is_tree(x, 6) for x in steps.values())
+
+
+def spanning_trees(n):
+    pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
+    from arbora.operators.local_trees import is_tree
+
+    return [t for t in itertools.combinations(pairs, n - 1) if is_tree(list(t), n)]
+
+
+def tree_by_enumeration(weight, n, draws, epsilon=0.1):
+    """The determinant sampler stated over lists of trees: each determinant as the sum that it stands for.
+
+    A singular graph has no tree, and its determinant that of the minor with epsilon on the diagonal.
+    """
+    names = {(a, b): (a, b) for a in range(n) for b in range(a + 1, n)}
+    w = dict(weight)
+    known = {m: spanning_trees(m) for m in range(2, n + 1)}
+
+    def total(w, m):
+        z = sum(math.prod(w[e] for e in t) for t in known[m])
+        if z > 0:
+            return z
+        minor = [[(sum(w[min(a, c), max(a, c)] for c in range(m) if c != a) + epsilon) if a == b else -w[min(a, b), max(a, b)] for b in range(1, m)] for a in range(1, m)]
+        return determinant(minor)
+
+    out, at, m = [], 1, n
+    while m > 1:
+        near = [b for b in range(1, m) if w[0, b]]
+        if len(near) == 1:
+            at = near[0]
+        elif at >= m:
+            at = 1
+        if len(near) > 1:
+            without = {**w, (0, at): 0.0}
+            if w[0, at] == 0 or draws.random() <= total(without, m) / total(w, m):
+                w, at = without, at + 1
+                continue
+        out.append(names[0, at])
+        rest = [x for x in range(1, m) if x != at]
+        new_w, new_names = {}, {}
+        for a, x in enumerate(rest):
+            for b, y in enumerate(rest):
+                if a < b:
+                    new_w[a + 1, b + 1], new_names[a + 1, b + 1] = w[x, y], names[x, y]
+        for a, x in enumerate(rest):
+            other = (min(at, x), max(at, x))
+            own = draws.random() < w[0, x] / (w[0, x] + w[other] + epsilon)
+            new_w[0, a + 1], new_names[0, a + 1] = w[0, x] + w[other], names[0, x] if own else names[other]
+        w, names, at, m = new_w, new_names, 1, m - 1
+    return {(min(e), max(e)) for e in out}
+
+
+def determinant(m):
+    """By the first row's minors."""
+    return m[0][0] if len(m) == 1 else sum((-1) ** k * x * determinant([r[:k] + r[k + 1 :] for r in m[1:]]) for k, x in enumerate(m[0]))
+
+
+@pytest.mark.parametrize("name", ["rwm_tree", "rwm_final_tree"])
+def test_determinant_trees_by_enumeration(spark, name):
+    from arbora.functions.portable import Draws
+    from arbora.plans.learners import WeightedMajority
+    from arbora.sources.events import K, N, planted
 
+    by = defaultdict(set)
+    rows = queries.queries()[name](spark, DATA).collect()
+    for r in rows:
+        by[r["run"] if name == "rwm_tree" else 1000].add((r["i"], r["j"]))
+    source = queries.edges(spark, DATA) if name == "rwm_tree" else WeightedMajority(planted(spark, DATA), K, queries.SEED, queries.EPSILON).weights()
+    weight = {(r["i"], r["j"]): r["weight"] for r in source.collect()}
+    assert len(by) == (queries.RUNS if name == "rwm_tree" else 1)
+    for run, tree in by.items():
+        assert tree == tree_by_enumeration(weight, N, Draws(queries.SEED, run))
+
+
+def test_rounding_steps_by_a_plain_loop(spark):
+    """Each point from the one before, trades stated by where they end; blocks of steps change nothing."""
+    from arbora.functions.portable import Draws
+    from arbora.operators import trees
+    from arbora.plans.learners import ForestDensity
+    from arbora.sources.events import K, N, planted
 
-def test_final_tree_of_all_events(spark, monkeypatch):
-    steps = []
-    step = queries.WeightedMajority.step
-    monkeypatch.setattr(queries.WeightedMajority, "step", lambda self, t=None: steps.append(step(self, t)) or steps[-1])
-    assert queries.queries()["rwm_final_tree_all"](spark, DATA).first()["is_tree"]
-    assert steps and set(steps) == {1000}
+    chosen = defaultdict(set)
+    trajectory = ForestDensity(planted(spark, DATA), K, queries.SEED).trajectory(300)
+    for r in trajectory.collect():
+        chosen[r["t"]].add((r["i"], r["j"]))
+    p, want = {e: 0.0 for e in queries.PAIRS}, {}
+    for t in range(1, 301):
+        alpha, draws = 1 / (4 * math.sqrt(2 * t)), Draws(queries.SEED, t)
+        p = {e: alpha * x + (1 - alpha) * (e in chosen[t]) for e, x in p.items()}
+        while len(open_ := [e for e in queries.PAIRS if 1e-10 < p[e] < 1 - 1e-10]) > 1:
+            a = open_.pop(int(draws.random() * len(open_)))
+            b = open_[int(draws.random() * len(open_))]
+            s = p[a] + p[b]
+            # the two places where one of them is settled, and the chance of the one in which a is higher
+            high, low = min(1.0, s), max(0.0, s - 1)
+            p[a] = high if draws.random() < (p[a] - low) / (high - low) else low
+            p[b] = s - p[a]
+        want.update({(t, *e): p[e] for e in queries.PAIRS})
+    for block in (1 << 16, 70):
+        got = {(r["t"], r["i"], r["j"]): r["x"] for r in trees.rounding_steps(trajectory, N, 300, queries.SEED, block).collect()}
+        assert got == pytest.approx(want, abs=1e-9)
 
 
 def test_blocks_of_time_change_nothing(spark):
