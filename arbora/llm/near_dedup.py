@@ -5,10 +5,11 @@ in about 15 % of the fingerprint's bits, too many for blocks that must agree exa
 tables each deal the fingerprints by a random choice of bits, as many tables as a pair at the
 threshold needs to meet in one of them with the probability asked for. Where they meet, a BK-tree
 finds the pairs within the radius, and a minimum spanning forest of them gives links. What links
-connect is a crowd: all pairs that meet within the radius lie in one. Links are confirmed on the
-texts, which gives first groups; crowds that hold more than one group then have all their pairs
-of two groups compared, and groups that a similar pair links are joined at once, so that no pair
-within a group is looked at again and no pair is a row.
+connect is a crowd: all pairs that meet within the radius lie in one. A crowd's texts come to one
+task, which compares all pairs within the radius and joins the groups of a similar pair at once, so
+that no pair within a group is looked at again and no pair is a row. The texts of a crowd that is
+too large for that are dealt to blocks, of which each two meet; its links are confirmed before,
+and a large group that they give doesn't meet itself.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ SHINGLE, SIMILARITY, MEETING = 5, 0.8, 0.99
 LANES, KEY_BITS, SHARD = 8, 14, 512
 #: Nodes up to which a list of them is broadcast: 8 bytes each.
 BROADCAST_NODES = 1_000_000
+#: Tables in which overfull keys are dealt at random.
+FIRST = 6
 #: Members of an overfull key's block; two of them are held at a time.
 BLOCK = 4096
 #: Bytes of texts in a block of a crowd, each counted as so many more for the time that it takes.
@@ -122,28 +125,37 @@ def forests(most: int):
     return run
 
 
-def candidates(fps: DataFrame, similarity: float = SIMILARITY, lanes: int = LANES, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
-    """a, b: links whose components are those of all pairs within the radius that meet in a table.
+def candidates(fps: DataFrame, similarity: float = SIMILARITY, lanes: int = LANES, shard: int = SHARD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) whose components are those of all pairs within the radius that meet in a table,
+    and those components, the crowds (node, label); both cut from their lineage.
 
-    A key with more than ``shard`` members is first dealt to parts at random, differently in each
-    table: of a large group of near copies each member meets ``shard`` others per table, and its
-    crowd holds together through any of them. Then all members of such a key that are not in
+    A key with more than ``shard`` members is first dealt to parts at random, in FIRST tables: of a
+    large group of near copies each member meets ``shard`` others in each, and its crowd holds
+    together through any of them. Then all members of such a key, in any table, that are not in
     one crowd by that meet, in blocks of ``block`` by ``block``.
     """
     picks, most = tables(fps.count(), similarity, lanes=lanes), radius(similarity, lanes)
     rows = dealt(fps, picks)
     large = overfull(rows, shard)
-    spread = rows.join(small_enough(large, BROADCAST_NODES), F.col("key") == F.col("__key"), "left")
+    spread = rows.join(small_enough(large, BROADCAST_NODES), F.col("key") == F.col("__key"), "left").where(F.col("parts").isNull() | (F.shiftright("key", 40) < FIRST))
     spread = spread.select("key", F.coalesce(F.pmod(F.xxhash64("key", "node"), F.col("parts")), F.lit(0)).alias("part"), "node", "fp")
     links = spread.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(forests(most), "a long, b long")
-    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    crowds = cut(components(links))
     if large.isEmpty():
-        return links
-    links = cut(links)
-    named = fps.join(small_enough(cut(components(links)), BROADCAST_NODES), "node", "left").select("node", "fp", F.coalesce("label", "node").alias("label"))
+        return links, crowds
+    named = fps.join(small_enough(crowds, BROADCAST_NODES), "node", "left").select("node", "fp", F.coalesce("label", "node").alias("label"))
     keys = small_enough(large.select(F.col("__key").alias("key")), BROADCAST_NODES)
     members = dealt(cut(named), picks).join(keys, "key").withColumn("weight", F.lit(1))
-    return links.unionByName(met(members, block).mapInArrow(across(most), "a long, b long"))
+    more = cut(met(members, block).mapInArrow(across(most), "a long, b long"))
+    if more.isEmpty():
+        return links, crowds
+    return links.unionByName(more), cut(components(stars(crowds).unionByName(more)))
+
+
+def stars(groups: DataFrame) -> DataFrame:
+    """a, b: links that give the same components in fewer rounds than those they came from."""
+    return groups.select(F.col("node").alias("a"), F.col("label").alias("b"))
 
 
 def tiles(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], make=None) -> Iterator[tuple[list, ...]]:
@@ -260,14 +272,17 @@ def met(rows: DataFrame, block: int) -> DataFrame:
     return placed.join(small_enough(ends, BROADCAST_NODES), ["key", "at"]).drop("at").repartition("key", "part").sortWithinPartitions("key", "part")
 
 
-def joined(crowds: DataFrame, groups: DataFrame, fps: DataFrame, docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, lanes: int = LANES, block: int = TEXT_BLOCK, text_col: str = "text") -> DataFrame:
-    """a, b: links between the groups of each crowd (node, label) that has several."""
-    named = crowds.withColumnRenamed("label", "key").join(groups, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    several = cut(named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key"))
-    nodes = cut(named.join(small_enough(several, BROADCAST_NODES), "key"))
-    texts = docs.select(node_of(text_col).alias("node"), text_of(text_col).cast("binary").alias("text")).join(small_enough(nodes.select("node"), BROADCAST_NODES), "node").groupBy("node").agg(F.first("text").alias("text"))
-    rows = written(nodes.join(fps, "node").join(texts, "node").withColumn("weight", F.octet_length("text") + TEXT_BYTES))
-    return for_python(met(rows, block)).mapInArrow(joining(radius(similarity, lanes), shingle, similarity), "a long, b long")
+def crowded(crowds: DataFrame, fps: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """key, node, fp, text, weight: the members of crowds (node, label), each text once."""
+    texts = docs.select(node_of(text_col).alias("node"), text_of(text_col).cast("binary").alias("text")).join(small_enough(crowds, BROADCAST_NODES), "node")
+    texts = texts.groupBy("node", F.col("label").alias("key")).agg(F.first("text").alias("text"))
+    return texts.join(fps, "node").select("key", "node", "fp", "text", (F.octet_length("text") + TEXT_BYTES).alias("weight"))
+
+
+def joined(members: DataFrame, groups: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, lanes: int = LANES, block: int = TEXT_BLOCK) -> DataFrame:
+    """a, b: links between the groups of each crowd's members; a node in none is a group of its own."""
+    named = members.join(small_enough(groups, BROADCAST_NODES), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return for_python(met(named, block)).mapInArrow(joining(radius(similarity, lanes), shingle, similarity), "a long, b long")
 
 
 def shingle_set(text: str, shingle: int) -> set:
@@ -275,24 +290,22 @@ def shingle_set(text: str, shingle: int) -> set:
     return set(zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) >= shingle else {tuple(words)}
 
 
-def confirmed(links: DataFrame, docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, text_col: str = "text") -> DataFrame:
-    """The links whose texts have that Jaccard similarity. Only texts that have a link are moved."""
-    ends = cut(links.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    texts = docs.select(node_of(text_col).alias("node"), text_of(text_col).alias("text")).join(small_enough(ends, BROADCAST_NODES), "node").groupBy("node").agg(F.first("text").alias("text"))
-    both = links.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+def confirmed(links: DataFrame, members: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The links whose texts, of ``members`` (node, text), have that Jaccard similarity."""
+    both = links.join(members.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(members.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep, last, own = [], None, set()
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                if (x := x.as_py()) != last:
+                if (x := x.as_py().decode()) != last:
                     last, own = x, shingle_set(x, shingle)
-                other = shingle_set(y.as_py(), shingle)
+                other = shingle_set(y.as_py().decode(), shingle)
                 keep.append(len(own & other) >= similarity * len(own | other))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return for_python(both.select("a", "b", "ta", "tb")).mapInArrow(run, "a long, b long")
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, lanes: int = LANES, shard: int = SHARD, block: int = BLOCK, text_block: int = TEXT_BLOCK) -> DataFrame:
@@ -303,12 +316,14 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float
     texts are read whole. All columns are kept as they are. An empty table gives none.
     """
     fps = cut(wide_fingerprints(docs, shingle, lanes).distinct())
-    links = cut(candidates(fps, similarity, lanes, shard, block))
-    kept = cut(confirmed(links, docs, shingle, similarity))
-    groups = cut(components(kept))
-    more = cut(joined(components(links), groups, fps, docs, shingle, similarity, lanes, text_block))
-    if not more.isEmpty():
-        groups = components(cut(kept.unionByName(more)))
+    links, crowds = candidates(fps, similarity, lanes, shard, block)
+    members = written(crowded(crowds, fps, docs))
+    large = cut(members.groupBy("key").agg(F.sum("weight").alias("n")).where(F.col("n") > text_block).select("key"))
+    groups = crowds.limit(0)
+    if not large.isEmpty():
+        inside = crowds.join(small_enough(large, BROADCAST_NODES), F.col("label") == F.col("key")).select(F.col("node").alias("a"))
+        groups = cut(components(confirmed(links.join(inside, "a"), members, shingle, similarity)))
+    groups = cut(components(stars(groups).unionByName(joined(members, groups, shingle, similarity, lanes, text_block))))
     ids = docs.select(node_of().alias("node"), F.col("doc_id").alias("id"), F.col("doc_id").isNull().alias("no_id")).join(groups, "node")
     best = ids.groupBy("label").agg(F.min(F.struct("no_id", "id", "node")).getField("node").alias("best"))
     gone = cut(groups.join(best, "label").where("node <> best").select(F.col("node").alias("__gone")))

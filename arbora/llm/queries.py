@@ -59,10 +59,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    import corpus_pipeline
-
     single = (op1_url_reputation, op2_source_mix, op3_best_fit_packing, op4_simhash_copies, op5_quality_rules, op6_token_counts, op7_suffix_dedup, op8_rlz_dedup, op9_exact_copies, op10_license_scan)
-    return {**{f.__name__: f for f in single}, "pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in single}
 
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"

@@ -427,7 +427,9 @@ def test_components(spark, seed):
     want = Counter((top(x), x) for e in edges if e[0] != e[1] for x in e)
     got = rows_of(components.components(spark.createDataFrame(edges, "a long, b long")))
     assert got == Counter(set(want))
-    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert rows_of(components.components(spark.createDataFrame(edges, "a long, b long"), local=0)) == Counter(set(want))
+    for local in (0, 100):
+        assert components.components(spark.createDataFrame([], "a long, b long"), local).count() == 0
 
 
 def test_near_stage(spark, odd, clashing, empty):
