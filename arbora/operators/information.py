@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from arbora.functions.portable import uniform
 from arbora.functions.special import RATIO_FLOOR, floored_ln, lgamma
-from arbora.operators.counts import marginal_counts, pair_counts, running_counts_1var
-from arbora.operators.running import prior_count, running_sums
+from arbora.operators.counts import marginal_counts, pair_counts
+from arbora.operators.encode import cell, pair_form
+from arbora.operators.running import running_sums
 
 #: Mutual information below this is that of an independent pair.
 MI_ZERO = 1e-12
@@ -33,17 +34,20 @@ def theta(count: Column, before: Column, cells: float) -> Column:
 def phi_trajectory(wide: DataFrame, k: int) -> DataFrame:
     """t, i, j, phi, cum_phi: ln(theta_i * theta_j / theta_ij) at each step, and its running sum.
 
-    Counts of single variables are taken once per variable and brought back to their row, so that
-    pairs come from the row and not from a join.
+    Pairs come from the row. The k * k cells of a pair are running sums over one dealing of the
+    rows, by pair and block of time; the counts of its two variables are sums of cells.
     """
-    single = running_counts_1var(wide).groupBy("t").agg(F.sort_array(F.collect_list(F.struct("var", "val", "prior"))).alias("x"))
-    first = single.select("t", "x", F.posexplode("x").alias("i", "a"))
-    pairs = first.select("t", "i", "a", F.posexplode(F.slice("x", F.col("i") + 2, F.size("x"))).alias("d", "b"))
-    pairs = pairs.select("t", "i", (F.col("i") + 1 + F.col("d")).alias("j"), F.col("a.val").alias("u"), F.col("b.val").alias("v"), F.col("a.prior").alias("ci"), F.col("b.prior").alias("cj"))
-    both = prior_count(pairs, ["i", "j", "u", "v"], "cij")
+    cells = [(u, v) for u in range(k) for v in range(k)]
+    hit = {f"c{u}_{v}": ((F.col("u") == u) & (F.col("v") == v)).cast("long") for u, v in cells}
+    counts = running_sums(pair_form(wide), ["i", "j"], hit, exclusive=True)
+    total = lambda names: sum((F.col(x) for x in names[1:]), F.col(names[0]))
+    pick = lambda columns, at: F.get(F.array(*columns), at)
+    ci = pick([total([f"c{u}_{v}" for v in range(k)]) for u in range(k)], F.col("u"))
+    cj = pick([total([f"c{u}_{v}" for u in range(k)]) for v in range(k)], F.col("v"))
+    cij = pick([F.col(f"c{u}_{v}") for u, v in cells], cell(F.col("u"), F.col("v"), k))
     before = F.col("t") - 1
-    value = theta(F.col("ci"), before, k) * theta(F.col("cj"), before, k) / theta(F.col("cij"), before, k * k)
-    rows = both.select("t", "i", "j", floored_ln(value, RATIO_FLOOR).alias("phi"))
+    value = theta(ci, before, k) * theta(cj, before, k) / theta(cij, before, k * k)
+    rows = counts.select("t", "i", "j", floored_ln(value, RATIO_FLOOR).alias("phi"))
     return running_sums(rows, ["i", "j"], {"cum_phi": F.col("phi")})
 
 

@@ -14,6 +14,10 @@ from arbora.operators.encode import cell, pair_form
 from arbora.operators.running import running_sums
 
 
+#: Values of a variable up to which a row's levels are written out.
+PLAIN = 8
+
+
 class Constants(NamedTuple):
     eta: float
     tau: float
@@ -47,6 +51,11 @@ def observed_factor(n: int, k: int, c: Constants, seed: int, retries: int = 1) -
     base = (((t * n + i) * n + j) * k + v) * k
     draw = lambda entry, attempt: F.lit(c.tau) * F.pow(F.lit(1 + c.gamma), mixed(base + entry, F.lit(seed) + attempt) % c.levels)
 
+    if retries == 1 and k <= PLAIN:  # the same without arrays, within generated code
+        levels = [draw(F.when(v > x, F.lit(x)).otherwise(F.lit(x + 1)).cast("long"), F.lit(0)) for x in range(k - 1)]
+        rest = F.lit(1.0) - sum(levels, F.lit(0.0))
+        return F.when(rest < 0, F.lit(1.0 / k)).when(u == v, rest).otherwise(draw(u, F.lit(0)))
+
     def attempt(a: Column) -> Column:
         # the row's k - 1 levels, in order of the entries other than v
         row = F.transform(F.sequence(F.lit(0), F.lit(k - 2)), lambda x: draw(F.when(x < v, x).otherwise(x + 1).cast("long"), a))
