@@ -98,8 +98,8 @@ def joined(rows: DataFrame, per_source: DataFrame) -> DataFrame:
 def mix_counts(docs: DataFrame, **options) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken: one row per document.
 
-    A null text has size 0. Rows that repeat an id share its trial. Null ids count as id 0. An
-    empty table gives an empty result. Reruns agree: the trial depends on id and seed only.
+    A null text has size 0; very long texts are counted whole. Rows that repeat an id share its
+    trial. Null ids count as id 0. Other columns are ignored. An empty table gives an empty result. Reruns agree: the trial depends on id and seed only.
     """
     sizes = cut(docs.select("doc_id", "source", word_count().alias("size")))
     n = copies(F.col("rate"), F.col("seed"))

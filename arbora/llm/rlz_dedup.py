@@ -190,7 +190,8 @@ def strip_word_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, **
 
     Each word covered by ``width`` consecutive words that also start anywhere else, in any row or
     the same one, is removed. Words are runs other than ASCII white space, unchanged. Null texts
-    have no words. Ids may be null or repeat; rows that repeat a text are copies of each other.
-    An empty table gives none.
+    have no words. Very long texts and words are read whole, a chunk at a time, and periodic
+    stretches cost no more than others. Ids may be null or repeat; rows that repeat a text are
+    copies of each other. Other columns are ignored. An empty table gives none.
     """
     return without_repeats(docs, job(width, gram), stripping(width, gram), "n_words long, n_removed long, kept_sha256 string", **options)

@@ -223,8 +223,9 @@ def strip_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, **op
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per row of ``docs``.
 
     Each UTF-8 byte covered by a string of ``width`` bytes that also starts anywhere else, in any
-    row or the same one, is removed; matches don't cross rows. Null texts are empty. Ids may be
+    row or the same one, is removed; matches don't cross rows. Null texts are empty. Very long texts
+    are read whole, a chunk at a time, and periodic stretches cost no more than others. Ids may be
     null or repeat; rows that repeat a text are copies of each other, so that texts of at least
-    ``width`` bytes lose everything. An empty table gives none.
+    ``width`` bytes lose everything. Other columns are ignored. An empty table gives none.
     """
     return without_repeats(docs, job(width, gram), stripping(width, gram), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", **options)

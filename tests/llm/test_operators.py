@@ -746,3 +746,34 @@ def test_license_candidates_by_brute_force(spark):
             assert f.confirmed == (differing(k) <= 0.15 * len(licenses.words(licenses.TEMPLATES[k][1])) and alone - sizes[k] >= 0.3 * alone)
             n += 1
     assert n > 0
+
+
+# all: clashing names and very long texts
+
+
+def test_clashing_columns_change_nothing(odd, clashing):
+    path = vocabulary("word_bpe_49k.json")
+    for apply in (
+        lambda d: packing.pieces(d, path),
+        lambda d: tokens.count_tokens(d, vocabulary("piece_bpe_32k.model")),
+        suffix_dedup.strip_substrings,
+        rlz_dedup.strip_word_windows,
+        licenses.scan_licenses,
+    ):
+        assert rows_of(apply(clashing)) == rows_of(apply(odd))
+    assert packing.pack_documents(clashing, path).columns == packing.pack_documents(odd, path).columns
+
+
+def test_very_long_texts(spark):
+    """Two megabytes in one text, and a near copy of it, through the operators that have no test of their own for this."""
+    rng = random.Random(8)
+    words = [f"w{rng.getrandbits(20)}" for _ in range(240_000)]
+    notice = f"\n{licenses.TAG}: MIT\n"
+    rows = [(1, " ".join(words) + notice, "a"), (2, " ".join(words[:-500] + ["other"] * 20) + notice, "b"), (3, "a short text of some few words", "a")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r["doc_id"]: r["fingerprint"] for r in simhash.near_copies(df).collect()} == {d: simhash.fingerprint(t.encode()).hex() for d, t, _ in rows}
+    assert {r["doc_id"]: r["text_sha256"] for r in exact_dedup.mark_copies(df).collect()} == {d: hashlib.sha256("".join(t.split()).encode()).hexdigest() for d, t, _ in rows}
+    assert {r["doc_id"]: r["n_words"] for r in quality.judge(df).collect()} == {d: len(t.split()) for d, t, _ in rows}
+    assert {r["doc_id"]: r["size"] for r in mixing.mix_counts(df).collect()} == {d: len(t.split()) for d, t, _ in rows}
+    assert {(r["doc_id"], r["license"], r["start"]) for r in licenses.scan_licenses(df).collect()} == {(d, "MIT", rows[d - 1][1].index(licenses.TAG)) for d in (1, 2)}
+    assert {r["doc_id"] for r in near_dedup.drop_near_copies(df).collect()} == {1, 3}
