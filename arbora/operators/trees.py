@@ -54,7 +54,7 @@ def by_run(w: DataFrame, run: str | None, work: Callable[[int, Edges], list[tupl
         if out:
             yield packed(out)
 
-    dealt = rows.repartition("run") if run else rows.coalesce(1)
+    dealt = rows.repartition("run") if run else rows.repartition(1)  # what comes before keeps its tasks
     found = dealt.sortWithinPartitions("run", "i", "j").mapInArrow(apply, f"run long, {schema}")
     return found.withColumnRenamed("run", run) if run else found.drop("run")
 
