@@ -748,6 +748,21 @@ def test_license_candidates_by_brute_force(spark):
     assert n > 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 2), max_size=40), st.integers(1, 4))
+def test_longest_matches(numbers, levels):
+    block = [*numbers, -1]
+
+    def common(i, j):
+        n = 0
+        while max(i, j) + n < len(block) and block[i + n] == block[j + n]:
+            n += 1
+        return n
+
+    want = [max((common(i, j) for j in range(len(block)) if j != i), default=0) for i in range(len(block))]
+    assert rlz_dedup.longest_matches(np.array(block), levels).tolist() == [min(x, 1 << levels) for x in want]
+
+
 # all: clashing names and very long texts
 
 
