@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm import exact_dedup, licenses, mixing, packing, quality, rlz_dedup, simhash, suffix_dedup, tokens, urls
+from arbora.llm import exact_dedup, filter_audit, hard_negatives, licenses, mixing, packing, pieces, quality, rlz_dedup, simhash, suffix_dedup, tokens, urls
 from arbora.llm.common import table, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,8 +58,22 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+def op12_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_decode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    single = (op1_url_reputation, op2_source_mix, op3_best_fit_packing, op4_simhash_copies, op5_quality_rules, op6_token_counts, op7_suffix_dedup, op8_rlz_dedup, op9_exact_copies, op10_license_scan)
+    single = (op1_url_reputation, op2_source_mix, op3_best_fit_packing, op4_simhash_copies, op5_quality_rules, op6_token_counts, op7_suffix_dedup, op8_rlz_dedup, op9_exact_copies, op10_license_scan, op11_hard_negatives, op12_piece_round_trip, op13_filter_audit)
     return {f.__name__: f for f in single}
 
 
@@ -155,6 +169,33 @@ g AS (SELECT *, count(*) OVER (PARTITION BY text_sha256) AS group_size, first_va
 SELECT doc_id, keep_id, group_size::BIGINT AS group_size, place = 1 AS kept, text_sha256 FROM g
 """
 
+OP11_SQL = """
+WITH rows0 AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+               WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score FROM rows0 a, rows0 b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id) WHERE NOT same AND 100 * score BETWEEN 50 * positive_score AND 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 3
+"""
+
+_ORDERS = ", ".join(f"('{o}', {k + 1}, '{o[k]}', '{o[:k]}')" for o in filter_audit.ORDERS for k in range(5))
+OP13_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {WORDS} AS words, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS low FROM documents),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+failed AS (SELECT part, good, toxic, concat(CASE WHEN len(words) < 50 THEN 'A' END, CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' END,
+                  CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 'C' END, CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' END, CASE WHEN doc_id > low THEN 'E' END) AS f
+           FROM d LEFT JOIN marks USING (doc_id)),
+cells AS (SELECT part, f, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM failed GROUP BY part, f),
+orders(filter_order, step, own, earlier) AS (VALUES {_ORDERS}),
+met AS (SELECT part, filter_order, step, own, f, n, good, toxic, contains(f, own) AS has, len(list_filter(string_split(earlier, ''), lambda c: c <> '' AND contains(f, c))) > 0 AS gone FROM cells, orders),
+steps AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT has AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (has AND NOT gone), 0) AS removed, coalesce(sum(n) FILTER (has AND gone), 0) AS redundant,
+                 coalesce(sum(n) FILTER (f = own), 0) AS unique_fails, coalesce(sum(good) FILTER (has AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (has AND NOT gone), 0) AS toxic_lost
+          FROM met GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM steps
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -163,4 +204,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_quality_rules": OP5_SQL,
         "op8_rlz_dedup": OP8_SQL,
         "op9_exact_copies": OP9_SQL,
+        "op11_hard_negatives": OP11_SQL,
+        "op13_filter_audit": OP13_SQL,
     }
