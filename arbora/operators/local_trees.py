@@ -1,5 +1,7 @@
 """Spanning-tree algorithms over one small weight matrix: what runs inside a group.
 
+Random trees and their sums take the logarithms of weights, as weights may lie below any double.
+
 An edge relation has n * (n - 1) / 2 rows whatever the number of observations, so one tree is
 the work of one task, and many trees (one per run or step) are grouped by their key.
 """
@@ -57,37 +59,57 @@ def spanning_forest(edges: Iterable[tuple[float, int, int]], n: int, largest: bo
     return out
 
 
-def matrix(i: np.ndarray, j: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-    w = np.zeros((n, n))
-    w[i, j] = w[j, i] = weight
+def matrix(i: np.ndarray, j: np.ndarray, log_weight: np.ndarray, n: int) -> np.ndarray:
+    """Logarithms of a symmetric matrix of weights; minus infinity where there is no edge."""
+    w = np.full((n, n), -np.inf)
+    w[i, j] = w[j, i] = log_weight
+    np.fill_diagonal(w, -np.inf)
     return w
 
 
+def log_sum(x: np.ndarray) -> float:
+    top = x.max(initial=-np.inf)
+    return float(top + np.log(np.exp(x - top).sum())) if top > -np.inf else -np.inf
+
+
 def log_minor(w: np.ndarray, floor: float = 0.1) -> float:
-    """ln det of the Laplacian without row and column 0; a singular one gets ``floor`` added to its diagonal."""
-    minor = (np.diag(w.sum(axis=1)) - w)[1:, 1:]
-    if not minor.size:
-        return 0.0
-    sign, value = np.linalg.slogdet(minor)
-    if sign <= 0 or not np.isfinite(value):
-        value = np.linalg.slogdet(minor + floor * np.eye(len(minor)))[1] if floor else -np.inf
-    return float(value)
+    """ln det of the Laplacian without row and column 0, from the logarithms of the weights.
+
+    Vertices are taken out one by one: the weights at one are added up to a pivot, and every two of its
+    neighbours get an edge of the product of theirs, divided by the pivot. Nothing is subtracted, so
+    no digit is lost however far the weights lie apart. A singular minor, that of a graph that is not
+    connected, gets ``floor`` added to its diagonal: an edge of that weight from each vertex to 0.
+    """
+    a, total = w.copy(), 0.0
+    for v in range(len(a) - 1, 0, -1):
+        near = a[v, :v]
+        pivot = log_sum(near)
+        if pivot == -np.inf:
+            if not floor:
+                return -np.inf
+            grounded = w.copy()
+            grounded[0, 1:] = grounded[1:, 0] = np.logaddexp(w[0, 1:], np.log(floor))
+            return log_minor(grounded, 0.0)
+        total += pivot
+        a[:v, :v] = np.logaddexp(a[:v, :v], near[:, None] + (near[None, :] - pivot))
+    return total
 
 
 def tree_by_determinants(w: np.ndarray, rng: Random, epsilon: float = 0.1) -> list[Edge]:
-    """A spanning tree drawn with probability proportional to the product of its weights.
+    """A spanning tree drawn with probability proportional to the product of its weights; ``w`` has their logarithms.
 
     Edges at vertex 0 are looked at in turn. One is left out with the probability that a tree
     avoids it (a ratio of determinants) or else taken, and its ends become one vertex. Of two
     edges that meet by this, one is drawn to stand for both, by weight; ``epsilon`` is added to
     that draw's total and to singular minors (0 is the exact law).
     """
-    w = w.astype(float).copy()
+    w = w.copy()
     names = {(a, b): (a, b) for a in range(len(w)) for b in range(a + 1, len(w))}
+    extra = np.log(epsilon) if epsilon else -np.inf
     tree: list[Edge] = []
     at = 1
     while len(w) > 1:
-        near = np.flatnonzero(w[0])
+        near = np.flatnonzero(w[0] > -np.inf)
         if not len(near):
             raise ValueError("the graph is not connected: no tree can be drawn")
         if len(near) == 1:
@@ -96,33 +118,34 @@ def tree_by_determinants(w: np.ndarray, rng: Random, epsilon: float = 0.1) -> li
             at = 1
         if len(near) > 1:
             without = w.copy()
-            without[0, at] = without[at, 0] = 0
-            if w[0, at] == 0 or np.log(rng.random()) <= log_minor(without, epsilon) - log_minor(w, epsilon):
+            without[0, at] = without[at, 0] = -np.inf
+            if w[0, at] == -np.inf or rng.random() < np.exp(log_minor(without, epsilon) - log_minor(w, epsilon)):
                 w, at = without, at + 1
                 continue
         tree.append(names[0, at])
         # the two ends become vertex 0; the others keep their order
         rest = [x for x in range(1, len(w)) if x != at]
-        merged = np.zeros((len(rest) + 1, len(rest) + 1))
+        merged = np.full((len(rest) + 1, len(rest) + 1), -np.inf)
         merged[1:, 1:] = w[np.ix_(rest, rest)]
-        merged[0, 1:] = merged[1:, 0] = w[0, rest] + w[at, rest]
+        merged[0, 1:] = merged[1:, 0] = np.logaddexp(w[0, rest], w[at, rest])
         renamed = {(a + 1, b + 1): names[rest[a], rest[b]] for a in range(len(rest)) for b in range(a + 1, len(rest))}
         for a, x in enumerate(rest):
-            own = rng.random() < w[0, x] / max(w[0, x] + w[at, x] + epsilon, 1e-300)
+            own = rng.random() < (np.exp(w[0, x] - np.logaddexp(merged[0, a + 1], extra)) if w[0, x] > -np.inf else 0.0)
             renamed[0, a + 1] = names[0, x] if own else names[min(at, x), max(at, x)]
         w, names, at = merged, renamed, 1
     return [(min(e), max(e)) for e in tree]
 
 
 def tree_by_walks(w: np.ndarray, rng: Random, root: int = 0, most_steps: int | None = None) -> tuple[list[Edge], int, int]:
-    """Wilson's loop-erased walks: (tree, walks that fell back to uniform steps, walks).
+    """Wilson's loop-erased walks over the logarithms of weights: (tree, walks that fell back to uniform steps, walks).
 
-    A walk of more than ``most_steps`` steps (2 * n * n), and any step from a vertex without
-    weight, goes on uniformly.
+    A step depends on the weights at one vertex only, which are raised relative to their largest. A walk of more
+    than ``most_steps`` steps (2 * n * n), and any step from a vertex without weight, goes on uniformly.
     """
     n = len(w)
     most = 2 * n * n if most_steps is None else most_steps
-    w = np.where(np.isfinite(w), w, 0.0) * (1 - np.eye(n))
+    top = w.max(axis=1)
+    w = np.exp(w - np.where(top > -np.inf, top, 0.0)[:, None])
     cdf, total = np.cumsum(w, axis=1), w.sum(axis=1)
     inside = np.zeros(n, dtype=bool)
     inside[root] = True

@@ -59,6 +59,17 @@ def by_run(w: DataFrame, run: str | None, work: Callable[[int, Edges], list[tupl
     return found.withColumnRenamed("run", run) if run else found.drop("run")
 
 
+def logs(w: DataFrame) -> DataFrame:
+    """``w`` with logarithms as what by_run takes for weights: its log_weight, or else those of its weight.
+
+    Weights that are not positive and finite are no edges.
+    """
+    if "log_weight" in w.columns:
+        return w.withColumn("weight", F.col("log_weight"))
+    x = F.col("weight").cast("double")
+    return w.withColumn("weight", F.when((x > 0) & (x < float("inf")), F.ln(x)).otherwise(float("-inf")))
+
+
 def _matrix(edges: Edges, n: int) -> np.ndarray:
     return local.matrix(*edges, n)
 
@@ -73,22 +84,25 @@ def spanning_tree(w: DataFrame, n: int, largest: bool = False, skip_zero: bool =
 
 
 def determinant_tree(w: DataFrame, n: int, seed: int, epsilon: float = 0.1, run: str | None = None) -> DataFrame:
-    """[run,] i, j: a random tree by determinants; seeded by run, so independent of partitions."""
+    """[run,] i, j: a random tree by determinants; seeded by run, so independent of partitions.
+
+    ``w`` has [run,] i, j and log_weight, or weight. ``epsilon`` counts as the weights do (0 is the exact law).
+    """
 
     def work(key: int, e: Edges) -> list[tuple]:
         return local.tree_by_determinants(_matrix(e, n), Draws(seed, key), epsilon)
 
-    return by_run(w, run, work, "i int, j int")
+    return by_run(logs(w), run, work, "i int, j int")
 
 
 def walk_tree(w: DataFrame, n: int, seed: int, root: int = 0, most_steps: int | None = None, run: str | None = None) -> DataFrame:
-    """[run,] i, j, fallbacks, walks: a random tree by loop-erased walks."""
+    """[run,] i, j, fallbacks, walks: a random tree by loop-erased walks over log_weight, or weight."""
 
     def work(key: int, e: Edges) -> list[tuple]:
         tree, fallbacks, walks = local.tree_by_walks(_matrix(e, n), Draws(seed, key), root, most_steps)
         return [(i, j, fallbacks, walks) for i, j in tree]
 
-    return by_run(w, run, work, "i int, j int, fallbacks int, walks int")
+    return by_run(logs(w), run, work, "i int, j int, fallbacks int, walks int")
 
 
 def tree_log_partition(w: DataFrame, n: int, run: str | None = None, floor: float = 0.0) -> DataFrame:
@@ -96,7 +110,7 @@ def tree_log_partition(w: DataFrame, n: int, run: str | None = None, floor: floa
 
     Without any tree it is minus infinity, or that of the minor with ``floor`` added to its diagonal.
     """
-    return by_run(w, run, lambda _, e: [(local.log_minor(_matrix(e, n), floor),)], "log_z double")
+    return by_run(logs(w), run, lambda _, e: [(local.log_minor(_matrix(e, n), floor),)], "log_z double")
 
 
 def swap_rounding(p: DataFrame, seed: int, run: str | None = None) -> DataFrame:

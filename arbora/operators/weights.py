@@ -1,15 +1,19 @@
-"""Edge weights of the randomised weighted majority learner."""
+"""Edge weights of the randomised weighted majority learner, as logarithms.
+
+A weight is a sum of products of one probability for each row, so it shrinks without bound as rows
+come in: at millions of rows no double holds it. Only logarithms leave this module.
+"""
 
 from __future__ import annotations
 
 import math
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbora.functions.portable import mixed
-from arbora.functions.special import RATIO_FLOOR, floored_ln
+from arbora.functions.special import RATIO_FLOOR, floored_ln, log_sum_exp
 from arbora.operators.encode import cell, pair_form
 from arbora.operators.running import running_sums
 
@@ -51,20 +55,24 @@ def observed_factor(n: int, k: int, c: Constants, seed: int, retries: int = 1) -
     base = (((t * n + i) * n + j) * k + v) * k
     draw = lambda entry, attempt: F.lit(c.tau) * F.pow(F.lit(1 + c.gamma), mixed(base + entry, F.lit(seed) + attempt) % c.levels)
 
-    if retries == 1 and k <= PLAIN:  # the same without arrays, within generated code
-        levels = [draw(F.when(v > x, F.lit(x)).otherwise(F.lit(x + 1)).cast("long"), F.lit(0)) for x in range(k - 1)]
-        rest = F.lit(1.0) - sum(levels, F.lit(0.0))
-        return F.when(rest < 0, F.lit(1.0 / k)).when(u == v, rest).otherwise(draw(u, F.lit(0)))
-
     def attempt(a: Column) -> Column:
         # the row's k - 1 levels, in order of the entries other than v
         row = F.transform(F.sequence(F.lit(0), F.lit(k - 2)), lambda x: draw(F.when(x < v, x).otherwise(x + 1).cast("long"), a))
         rest = F.lit(1.0) - F.aggregate(row, F.lit(0.0), lambda s, x: s + x)
         return F.struct(rest.alias("rest"), F.when(u == v, rest).otherwise(draw(u, a)).alias("p"))
 
-    tries = F.transform(F.sequence(F.lit(0), F.lit(retries - 1)), lambda a: attempt(a.cast("long")))
-    good = F.filter(tries, lambda x: x["rest"] >= 0)
-    return F.coalesce(F.get(good, F.lit(0))["p"], F.lit(1.0 / k))
+    def attempts(first: int) -> Column:
+        if first == retries:
+            return F.lit(1.0 / k)
+        tries = F.transform(F.sequence(F.lit(first), F.lit(retries - 1)), lambda a: attempt(a.cast("long")))
+        return F.coalesce(F.get(F.filter(tries, lambda x: x["rest"] >= 0), F.lit(0))["p"], F.lit(1.0 / k))
+
+    if k > PLAIN:
+        return attempts(0)
+    # the first attempt without arrays, within generated code; few rows need another one
+    levels = [draw(F.when(v > x, F.lit(x)).otherwise(F.lit(x + 1)).cast("long"), F.lit(0)) for x in range(k - 1)]
+    rest = F.lit(1.0) - sum(levels, F.lit(0.0))
+    return F.when(rest < 0, attempts(1)).when(u == v, rest).otherwise(draw(u, F.lit(0)))
 
 
 def level_draws(wide: DataFrame, n: int, k: int, rows: int, epsilon: float = 0.9, seed: int = 7, retries: int = 1) -> DataFrame:
@@ -74,29 +82,36 @@ def level_draws(wide: DataFrame, n: int, k: int, rows: int, epsilon: float = 0.9
 
 
 def weights_trajectory(wide: DataFrame, n: int, k: int, rows: int, epsilon: float = 0.9, seed: int = 7, retries: int = 1) -> DataFrame:
-    """t, i, j, weight after each step: the sum over cells of the products of their factors.
+    """t, i, j, log_weight after each step: ln of the sum over cells of the products of their factors.
 
     The k * k cells of an edge are columns of one running sum of logarithms, not k * k rows.
     """
     eta = constants(n, k, rows, epsilon).eta
     x = level_draws(wide, n, k, rows, epsilon, seed, retries).withColumn("log", floored_ln(F.col("p"), RATIO_FLOOR) * eta).withColumn("cell", cell(F.col("v"), F.col("u"), k))
-    sums = running_sums(x.select("t", "i", "j", "cell", "log"), ["i", "j"], {f"c{m}": F.when(F.col("cell") == m, F.col("log")).otherwise(0.0) for m in range(k * k)})
-    total = sum((F.exp(f"c{m}") for m in range(1, k * k)), F.exp("c0"))
-    return sums.select("t", "i", "j", total.alias("weight"))
+    cells = [f"c{m}" for m in range(k * k)]
+    sums = running_sums(x.select("t", "i", "j", "cell", "log"), ["i", "j"], {c: F.when(F.col("cell") == m, F.col("log")).otherwise(0.0) for m, c in enumerate(cells)})
+    return sums.withColumn("top", F.greatest(*cells)).select("t", "i", "j", log_sum_exp(cells, F.col("top")).alias("log_weight"))
 
 
 def weights_terminal(wide: DataFrame, n: int, k: int, rows: int, epsilon: float = 0.9, seed: int = 7, retries: int = 1) -> DataFrame:
-    """i, j, weight after the rows given, by a plain GROUP BY; a cell never seen counts 1."""
+    """i, j, log_weight after the rows given, by a plain GROUP BY; a cell never seen counts 1.
+
+    The largest of an edge's k * k logarithms is taken out before they are raised and summed.
+    """
     eta = constants(n, k, rows, epsilon).eta
     x = level_draws(wide, n, k, rows, epsilon, seed, retries)
     by = x.groupBy("i", "j", "u", "v").agg(F.sum(floored_ln(F.col("p"), RATIO_FLOOR) * eta).alias("log"))
-    return by.groupBy("i", "j").agg((F.lit(float(k * k)) - F.count("*") + F.sum(F.exp("log"))).alias("weight"))
+    edge = Window.partitionBy("i", "j")
+    unseen = F.lit(k * k) - F.count("*").over(edge)
+    by = by.withColumn("unseen", unseen).withColumn("top", F.greatest(F.max("log").over(edge), F.when(F.col("unseen") > 0, 0.0)))
+    sums = by.groupBy("i", "j", "unseen", "top").agg(F.sum(F.exp(F.col("log") - F.col("top"))).alias("sum"))
+    return sums.select("i", "j", (F.col("top") + F.ln(F.col("sum") + F.when(F.col("unseen") > 0, F.col("unseen") * F.exp(-F.col("top"))).otherwise(0.0))).alias("log_weight"))
 
 
 def weights_lead(trajectory: DataFrame) -> DataFrame:
-    """t, i, j, weight, next_weight: an equality join on the step after, null at the last."""
-    after = trajectory.select((F.col("t") - 1).alias("t"), "i", "j", F.col("weight").alias("next_weight"))
-    return trajectory.join(after, ["t", "i", "j"], "left").select("t", "i", "j", "weight", "next_weight")
+    """t, i, j, log_weight, next_log_weight: an equality join on the step after, null at the last."""
+    after = trajectory.select((F.col("t") - 1).alias("t"), "i", "j", F.col("log_weight").alias("next_log_weight"))
+    return trajectory.join(after, ["t", "i", "j"], "left").select("t", "i", "j", "log_weight", "next_log_weight")
 
 
 def initial_weights(spark: SparkSession, n: int) -> DataFrame:

@@ -24,7 +24,10 @@ RETRIES = 100
 
 @dataclass(frozen=True)
 class Learner:
-    """Subclasses give edge weights at a step (``weights``) or at all steps (``all_weights``)."""
+    """Subclasses give edge weights at a step (``weights``) or at all steps (``all_weights``).
+
+    A column is named weight, or log_weight where weights are logarithms.
+    """
 
     wide: DataFrame
     k: int
@@ -100,24 +103,30 @@ class PlainForestDensity(ForestDensity):
 
 
 class WeightedMajority(Learner):
-    """Weights of the step before, as the first tree is drawn before any row is seen."""
+    """Weights of the step before, as the first tree is drawn before any row is seen. Weights are logarithms."""
 
     retries = 1
+    #: What is added to the weights when one of two edges is drawn to stand for both. Weights fall below any
+    #: constant as rows come in, so anything but 0, the exact law, would in time decide every draw.
+    epsilon_of_draws = 0.0
+
+    def first(self) -> DataFrame:
+        return initial_weights(self.wide.sparkSession, self.n).select("i", "j", F.ln("weight").alias("log_weight"))
 
     def weights(self, t: int | None = None) -> DataFrame:
         step = self.step(t)
         if step <= 1:
-            return initial_weights(self.wide.sparkSession, self.n)
+            return self.first()
         return weights_terminal(upto(self.wide, step - 1), self.n, self.k, self.rows(), self.epsilon, self.seed, self.retries)
 
     def all_weights(self, steps: int | None = None) -> DataFrame:
         last = self.step(steps)
-        first = initial_weights(self.wide.sparkSession, self.n).select(F.lit(1).cast("long").alias("t"), "i", "j", "weight")
+        first = self.first().select(F.lit(1).cast("long").alias("t"), "i", "j", "log_weight")
         later = weights_trajectory(upto(self.wide, last - 1), self.n, self.k, self.rows(), self.epsilon, self.seed, self.retries)
-        return first.unionByName(later.select((F.col("t") + 1).alias("t"), "i", "j", "weight"))
+        return first.unionByName(later.select((F.col("t") + 1).alias("t"), "i", "j", "log_weight"))
 
     def structure(self, weights: DataFrame, run: str | None = None) -> DataFrame:
-        return determinant_tree(weights, self.n, self.seed, run=run)
+        return determinant_tree(weights, self.n, self.seed, self.epsilon_of_draws, run=run)
 
 
 class PlainWeightedMajority(WeightedMajority):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,8 @@ from pyspark.sql import types as T
 from arbora.functions.portable import mixed_sql, uniform, uniform_sql
 from arbora.operators import counts, graph, information, metrics, trees, weights
 from arbora.operators.encode import codebook, renamed, split
-from arbora.plans.learners import ChowLiu, ForestDensity, WalkMajority, WeightedMajority, evaluate
+from arbora.operators.local_trees import is_tree
+from arbora.plans.learners import RETRIES, ChowLiu, ForestDensity, WalkMajority, WeightedMajority, evaluate
 from arbora.session import shared_folder
 from arbora.sources import files, synthetic
 from arbora.sources.events import K, N, TREE, events, natural, plant, planted, true_tree
@@ -28,6 +30,8 @@ SAMPLES = (10, 500, 42, 0.3)
 SCORES = ([-3.1, -2.9, -4.0, -3.6, -3.3], [-3.0, -2.7, -4.1, -3.2, -3.1])
 DRAWS, BINS = 50_000, 4
 EPSILON = 0.9
+#: Variables of the natural columns, and values of each.
+NATURAL, FOUR = 5, 4
 
 
 def rounded(df: DataFrame, digits: int = 8) -> DataFrame:
@@ -76,7 +80,7 @@ def stream_phi(s: SparkSession, d: str) -> DataFrame:
 def stream_weights(s: SparkSession, d: str) -> DataFrame:
     rows = events(s, d).count()
     out = online.drained(online.weights_stream(streamed(s, d), N, K, rows, EPSILON, SEED), scratch(s))
-    return out.groupBy("i", "j").agg(F.max_by("weight", "t").alias("weight"))
+    return out.groupBy("i", "j").agg(F.max_by("log_weight", "t").alias("log_weight"))
 
 
 def stream_trees(s: SparkSession, d: str) -> DataFrame:
@@ -92,7 +96,7 @@ def stream_walk_trees(s: SparkSession, d: str) -> DataFrame:
     """The random tree after every step, by walks over the stream of weights."""
 
     def structure(batch: DataFrame) -> DataFrame:
-        return trees.walk_tree(batch.select((F.col("t") + 1).alias("t"), "i", "j", "weight"), N, SEED, run="t").select("t", "i", "j")
+        return trees.walk_tree(batch.select((F.col("t") + 1).alias("t"), "i", "j", "log_weight"), N, SEED, run="t").select("t", "i", "j")
 
     return online.trees_of(online.weights_stream(streamed(s, d), N, K, events(s, d).count(), EPSILON, SEED), structure, scratch(s))
 
@@ -100,10 +104,8 @@ def stream_walk_trees(s: SparkSession, d: str) -> DataFrame:
 def stream_event_counts(s: SparkSession, d: str) -> DataFrame:
     schema = T.StructType([T.StructField("ts", T.TimestampNTZType()), T.StructField("event_type", T.StringType())])
     rows = online.read_stream(s, d, "events*.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"events_{uuid.uuid4().hex}"
-    query = online.event_counts(rows).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return s.table(name).groupBy("event_type").agg(F.sum("n").alias("n"), F.count("*").alias("windows"))
+    counted = online.last_updates(online.event_counts(rows), ["start", "event_type"], "n", scratch(s))
+    return counted.groupBy("event_type").agg(F.sum("n").alias("n"), F.count("*").alias("windows"))
 
 
 def synthetic_samples(s: SparkSession, d: str) -> DataFrame:
@@ -166,12 +168,6 @@ def singular_partition(s: SparkSession, d: str) -> DataFrame:
     return trees.tree_log_partition(w.withColumn("weight", F.when(F.col("j") == 3, 0.0).otherwise(F.col("weight"))), N - 2, floor=0.1)
 
 
-def rwm_weights_terminal(s: SparkSession, d: str) -> DataFrame:
-    """i, j, log_weight over all events: logarithms, as weights reach down to 1e-89 at 100,000 events."""
-    w = weights.weights_terminal(planted(s, d), N, K, events(s, d).count(), EPSILON, SEED)
-    return w.select("i", "j", F.round(F.ln("weight"), 6).alias("log_weight"))
-
-
 def code_table(s: SparkSession, d: str) -> DataFrame:
     return codebook(s.read.parquet(f"{d}/orders.parquet"), ["o_orderstatus", "o_orderpriority"])
 
@@ -214,9 +210,10 @@ def queries() -> dict[str, Query]:
         "ofde_tree": lambda s, d: ForestDensity(p(s, d), K, SEED).tree(),
         "level_table": lambda s, d: rounded(weights.level_table(s, 2).unionByName(weights.level_table(s, 3)).unionByName(weights.level_table(s, 4)).unionByName(weights.level_table(s, 5)), 10),
         "level_draws": lambda s, d: rounded(weights.level_draws(p(s, d), N, K, events(s, d).count(), EPSILON, SEED), 10),
-        "rwm_weights_trajectory": lambda s, d: rounded(weights.weights_trajectory(p(s, d), N, K, events(s, d).count(), EPSILON, SEED), 4),
-        "rwm_weights_terminal": rwm_weights_terminal,
-        "weights_lead": lambda s, d: rounded(weights.weights_lead(weights.weights_trajectory(p(s, d), N, K, events(s, d).count(), EPSILON, SEED)), 4),
+        "rwm_weights_trajectory": lambda s, d: rounded(weights.weights_trajectory(p(s, d), N, K, events(s, d).count(), EPSILON, SEED), 6),
+        "rwm_weights_terminal": lambda s, d: rounded(weights.weights_terminal(p(s, d), N, K, events(s, d).count(), EPSILON, SEED), 6),
+        "rwm_weights_natural": lambda s, d: rounded(weights.weights_terminal(natural(s, d), NATURAL, FOUR, events(s, d).count(), EPSILON, SEED, RETRIES), 6),
+        "weights_lead": lambda s, d: rounded(weights.weights_lead(weights.weights_trajectory(p(s, d), N, K, events(s, d).count(), EPSILON, SEED)), 6),
         "symmetrize": lambda s, d: rounded(graph.symmetrize(edges(s, d))),
         "neighbour_map": lambda s, d: graph.neighbours(true_tree(s)),
         "weighted_degree": lambda s, d: rounded(graph.weighted_degree(edges(s, d))),
@@ -251,7 +248,7 @@ def queries() -> dict[str, Query]:
         "initial_weights": lambda s, d: weights.initial_weights(s, N),
         "contraction_map": lambda s, d: rounded(contraction_steps(s, d)),
         "stream_phi": lambda s, d: rounded(stream_phi(s, d), 4),
-        "stream_weights": lambda s, d: rounded(stream_weights(s, d), 4),
+        "stream_weights": lambda s, d: rounded(stream_weights(s, d), 6),
         "stream_trees": stream_trees,
         "stream_walk_trees": stream_walk_trees,
         "stream_event_counts": stream_event_counts,
@@ -318,8 +315,30 @@ def draws_sql(rows: str, source: str = "pairs") -> str:
     return f"draws AS (SELECT t, i, j, u, v, CASE WHEN u = v THEN {rest} ELSE {p('u')} END AS p FROM {source}), eta AS (SELECT sqrt(8 * {N - 2} * ln({N}) / {rows}) AS eta)"
 
 
+def retried_sql(rows: str, n: int, k: int, tries: int, source: str = "pairs") -> str:
+    """draws(t, i, j, u, v, p) where a row of levels that add up to over 1 is drawn again, and is uniform after all tries."""
+    c = weights.constants(n, k, 1, EPSILON)
+    level = lambda entry: f"{c.tau}::DOUBLE * pow({1 + c.gamma}::DOUBLE, ({mixed_sql(f'base + {entry}', f'({SEED} + a)')}) % {c.levels})"
+    tried = f"list_reduce(list_prepend(1.0::DOUBLE, list_transform(list_filter(range({k}), lambda e: e <> v), lambda e: {level('e')})), lambda x, y: x - y)"
+    entry = f"CASE WHEN u = v THEN rest ELSE {level('u')} END"
+    return f"""keyed AS (SELECT *, (((t * {n} + i) * {n} + j) * {k} + v) * {k} AS base FROM {source}),
+one AS (SELECT *, 0 AS a, {tried.replace(' + a)', ' + 0)')} AS rest FROM keyed),
+more AS (SELECT t, i, j, u, v, base, a, {tried} AS rest FROM (SELECT one.* EXCLUDE (a, rest), unnest(range(1, {tries})) AS a FROM one WHERE rest < 0)),
+again AS (SELECT t, i, j, u, v, base, a, rest FROM more WHERE rest >= 0 QUALIFY row_number() OVER (PARTITION BY t, i, j ORDER BY a) = 1),
+draws AS (SELECT t, i, j, u, v, {entry} AS p FROM one WHERE rest >= 0 UNION ALL SELECT t, i, j, u, v, {entry} FROM again
+          UNION ALL SELECT t, i, j, u, v, {1 / k}::DOUBLE FROM one ANTI JOIN again USING (t, i, j) WHERE rest < 0),
+eta AS (SELECT sqrt(8 * {n - 2} * ln({n}) / {rows}) AS eta)"""
+
+
+def log_sum_sql(k: int = K) -> str:
+    """i, j, log_weight from draws: the largest logarithm of an edge's cells is taken out; a cell never seen counts 1."""
+    return f"""logs AS (SELECT i, j, u, v, sum(eta * ln(greatest(p, 1e-300::DOUBLE))) AS s FROM draws, eta GROUP BY i, j, u, v),
+tops AS (SELECT i, j, {k * k} - count(*) AS unseen, greatest(max(s), CASE WHEN count(*) < {k * k} THEN 0 END) AS top FROM logs GROUP BY i, j),
+finals AS (SELECT i, j, any_value(top) + ln(sum(exp(s - top)) + any_value(CASE WHEN unseen > 0 THEN unseen * exp(-top) ELSE 0 END)) AS log_weight FROM logs JOIN tops USING (i, j) GROUP BY i, j)"""
+
+
 CELLS = ", ".join(f"sum(CASE WHEN v * {K} + u = {m} THEN eta * ln(greatest(p, 1e-300::DOUBLE)) ELSE 0 END) OVER o AS c{m}" for m in range(K * K))
-TRAJ = f"{wide_sql()}, {pairs_sql()}, {draws_sql('(SELECT count(*) FROM wide)')}, cum AS (SELECT t, i, j, {CELLS} FROM draws, eta WINDOW o AS (PARTITION BY i, j ORDER BY t)), traj AS (SELECT t, i, j, {' + '.join(f'exp(c{m})' for m in range(K * K))} AS weight FROM cum)"
+TRAJ = f"{wide_sql()}, {pairs_sql()}, {draws_sql('(SELECT count(*) FROM wide)')}, cum AS (SELECT t, i, j, {CELLS} FROM draws, eta WINDOW o AS (PARTITION BY i, j ORDER BY t)), high AS (SELECT *, greatest({', '.join(f'c{m}' for m in range(K * K))}) AS top FROM cum), traj AS (SELECT t, i, j, top + ln({' + '.join(f'exp(c{m} - top)' for m in range(K * K))}) AS log_weight FROM high)"
 
 
 def step_trees_sql(source: str, name: str = "steps") -> str:
@@ -331,12 +350,13 @@ def step_trees_sql(source: str, name: str = "steps") -> str:
 
 
 def walks_sql(source: str, run: str, most: int, seed: int = SEED, n: int = N) -> str:
-    """Wilson's walks over ``source`` (run, i, j, weight), a row for each move of each run.
+    """Wilson's walks over ``source`` (run, i, j, log_weight), a row for each move of each run.
 
     mode 0 walks to the next vertex, and mode 1 goes along the last exits from where the walk began;
     inside is a set of vertices as bits, nxt has the last exits, k counts draws.
     """
-    sides = f"SELECT {run} AS run, i AS u, j AS v, weight FROM {source} UNION ALL SELECT {run}, j, i, weight FROM {source} UNION ALL SELECT DISTINCT {run}, x, x, 0 FROM {source}, (SELECT unnest(range({n})) AS x)"
+    both = f"SELECT {run} AS run, i AS u, j AS v, log_weight AS l FROM {source} UNION ALL SELECT {run}, j, i, log_weight FROM {source} UNION ALL SELECT DISTINCT {run}, x, x, '-infinity'::DOUBLE FROM {source}, (SELECT unnest(range({n})) AS x)"
+    sides = f"SELECT run, u, v, CASE WHEN isfinite(l) THEN exp(l - max(l) OVER (PARTITION BY run, u)) ELSE 0 END AS weight FROM ({both})"
     draw = uniform_sql("s.run", "s.k", seed)
     isin = "(s.inside >> s.v) & 1 = 1"
     nearest = f"CASE WHEN s.steps < {most} AND c.total > 0 THEN len(list_filter(c.cdf, lambda y: y <= {draw} * c.total)) ELSE floor({draw} * {n - 1})::INT + CASE WHEN floor({draw} * {n - 1}) >= s.v THEN 1 ELSE 0 END END"
@@ -354,6 +374,38 @@ moves(run, k, mode, start, v, steps, inside, nxt, fell, walks) AS (
   WHERE NOT (mode = 1 AND isin AND fresh IS NULL))"""
 
 
+def determinants_sql(source: str, epsilon: float, seed: int = SEED, n: int = N) -> str:
+    """The determinant sampler over ``source`` (run, i, j, weight), a row for each test or merger of each run.
+
+    A determinant is the sum over the spanning trees that it stands for, which forests lists for each number
+    m of vertices. w and names are matrices in one list; taken has what was drawn, k counts draws.
+    """
+    kept = lambda m: [[a * n + b + 1 for a, b in t] for t in combinations([(a, b) for a in range(m) for b in range(a + 1, m)], m - 1) if is_tree(list(t), m)]
+    forests = " UNION ALL ".join(f"SELECT {m} AS m, {kept(m)} AS forest" for m in range(2, n + 1))
+    total = lambda of: f"list_sum(list_transform({of}, lambda y: list_product(list_transform(y, lambda e: w[e]))))"
+    old = lambda z: f"place[{z} + 1]"
+    other = old(f"(z // {n} + z % {n})")
+    merged = f"list_transform(range({n * n}), lambda z: CASE WHEN z // {n} >= m - 1 OR z % {n} >= m - 1 OR z // {n} = z % {n} THEN 0 WHEN z // {n} = 0 OR z % {n} = 0 THEN w[{other} + 1] + w[a * {n} + {other} + 1] ELSE w[{old(f'(z // {n})')} * {n} + {old(f'(z % {n})')} + 1] END)"
+    at = old(f"(z % {n})")
+    one = f"w[{at} + 1] > 0 AND {uniform_sql('run', f'(k + drawn + z % {n} - 1)', seed)} < w[{at} + 1] / (w[{at} + 1] + w[a * {n} + {at} + 1] + {epsilon}::DOUBLE)"
+    renamed = f"list_transform(range({n * n}), lambda z: CASE WHEN z // {n} >= z % {n} OR z % {n} >= m - 1 THEN 0 WHEN z // {n} > 0 THEN names[{old(f'(z // {n})')} * {n} + {at} + 1] WHEN {one} THEN names[{at} + 1] ELSE names[least(a, {at}) * {n} + greatest(a, {at}) + 1] END)"
+    return f"""forests AS MATERIALIZED ({forests}),
+grid AS (SELECT DISTINCT run, x // {n} AS a, x % {n} AS b FROM {source}, (SELECT unnest(range({n * n})) AS x)),
+dense AS (SELECT g.run AS run, list(coalesce(s.weight, 0.0::DOUBLE) ORDER BY a, b) AS w FROM grid g LEFT JOIN {source} s ON s.run = g.run AND s.i = least(a, b) AND s.j = greatest(a, b) GROUP BY g.run),
+mergers(run, k, m, spot, w, names, taken) AS (
+  SELECT run::BIGINT, 0::BIGINT, {n}::BIGINT, 1::BIGINT, w, range({n * n}), []::BIGINT[] FROM dense
+  UNION ALL
+  SELECT run, k + drawn + CASE WHEN gone THEN 0 ELSE m - 2 END, CASE WHEN gone THEN m ELSE m - 1 END, CASE WHEN gone THEN a + 1 ELSE 1 END,
+         CASE WHEN gone THEN list_transform(range({n * n}), lambda z: CASE WHEN z IN (a, a * {n}) THEN 0 ELSE w[z + 1] END) ELSE {merged} END,
+         CASE WHEN gone THEN names ELSE {renamed} END, CASE WHEN gone THEN taken ELSE taken || [names[a + 1]] END
+  FROM (SELECT *, several AND (w[a + 1] = 0 OR {uniform_sql('run', 'k', seed)} < {total('list_filter(forest, lambda y: NOT list_contains(y, a + 1))')} / {total('forest')}) AS gone,
+               CASE WHEN several AND w[a + 1] <> 0 THEN 1 ELSE 0 END AS drawn, [0] || list_filter(range(1, m), lambda y: y <> a) AS place
+        FROM (SELECT *, len(near) > 1 AS several, CASE WHEN len(near) = 1 THEN near[1] WHEN spot >= m THEN 1 ELSE spot END AS a
+              FROM (SELECT s.*, forest, list_filter(range(1, s.m), lambda y: w[y + 1] > 0) AS near FROM mergers s JOIN forests f ON f.m = s.m))))"""
+
+
+#: The edges that the sampler took.
+DRAWN = f"SELECT run, (e // {N})::INT AS i, (e % {N})::INT AS j FROM (SELECT run, unnest(taken) AS e FROM mergers WHERE m = 1)"
 #: The edges that the walks leave: in mode 1, from a vertex outside the tree along its last exit.
 WALKED = "SELECT run AS {run}, least(v, nxt[v + 1])::INT AS i, greatest(v, nxt[v + 1])::INT AS j FROM moves WHERE mode = 1 AND (inside >> v) & 1 = 0"
 
@@ -424,10 +476,13 @@ def oracle_sql() -> dict[str, str]:
         "ofde_tree": f"WITH RECURSIVE {TERMINAL}, {perturbed}, {tree_sql('pert', 'weight', False)} SELECT i, j FROM tree",
         "level_table": levels,
         "level_draws": f"{w}, {pairs_sql()}, {draws_sql('1')} SELECT t, i, j, u, v, round(p, 10) AS p FROM draws",
-        "rwm_weights_trajectory": f"WITH {TRAJ} SELECT t, i, j, round(weight, 4) AS weight FROM traj",
-        "rwm_weights_terminal": f"{w}, {pairs_sql()}, {draws_sql('(SELECT count(*) FROM wide)')}, logs AS (SELECT i, j, u, v, sum(eta * ln(greatest(p, 1e-300::DOUBLE))) AS s FROM draws, eta GROUP BY i, j, u, v) SELECT i, j, round(ln({K * K} - count(*) + sum(exp(s))), 6) AS log_weight FROM logs GROUP BY i, j",
-        "weights_lead": f"WITH {TRAJ} SELECT t, i, j, round(weight, 4) AS weight, round(lead(weight) OVER (PARTITION BY i, j ORDER BY t), 4) AS next_weight FROM traj",
-        "stream_weights": f"WITH {TRAJ} SELECT i, j, round(arg_max(weight, t), 4) AS weight FROM traj GROUP BY i, j",
+        "rwm_weights_trajectory": f"WITH {TRAJ} SELECT t, i, j, round(log_weight, 6) AS log_weight FROM traj",
+        "rwm_weights_terminal": f"{w}, {pairs_sql()}, {draws_sql('(SELECT count(*) FROM wide)')}, {log_sum_sql()} SELECT i, j, round(log_weight, 6) AS log_weight FROM finals",
+        "rwm_weights_natural": f"WITH {natural_wide}, {pairs_sql('nat', NATURAL)}, {retried_sql('(SELECT count(*) FROM nat)', NATURAL, FOUR, RETRIES)}, {log_sum_sql(FOUR)} SELECT i, j, round(log_weight, 6) AS log_weight FROM finals",
+        "rwm_tree": f"{RUN_EDGES}, {determinants_sql('rw', 0.1)} {DRAWN} ",
+        "rwm_final_tree": f"WITH RECURSIVE {wide_sql()}, {pairs_sql()}, upto AS (SELECT * FROM pairs WHERE t < (SELECT count(*) FROM wide)), {draws_sql('(SELECT count(*) FROM wide)', 'upto')}, {log_sum_sql()}, rw AS (SELECT (SELECT count(*) FROM wide) AS run, i, j, exp(log_weight - max(log_weight) OVER ()) AS weight FROM finals), {determinants_sql('rw', 0)} {DRAWN.replace('run, ', '')}",
+        "weights_lead": f"WITH {TRAJ} SELECT t, i, j, round(log_weight, 6) AS log_weight, round(lead(log_weight) OVER (PARTITION BY i, j ORDER BY t), 6) AS next_log_weight FROM traj",
+        "stream_weights": f"WITH {TRAJ} SELECT i, j, round(arg_max(log_weight, t), 6) AS log_weight FROM traj GROUP BY i, j",
         "symmetrize": f"{EDGES} SELECT u, v, round(weight, 8) AS weight FROM sym",
         "neighbour_map": f"WITH {TRUE}, s AS (SELECT i AS u, j AS v FROM true_edges UNION SELECT j, i FROM true_edges) SELECT u, list_sort(list(v)) AS near FROM s GROUP BY u",
         "weighted_degree": f"{EDGES} SELECT u, round(sum(weight), 8) AS degree FROM sym GROUP BY u",
@@ -444,8 +499,8 @@ def oracle_sql() -> dict[str, str]:
         "swap_rounding": f"{POINT.replace('WITH', 'WITH RECURSIVE', 1)}, trades(key, k, x) AS (SELECT unnest(range({RUNS}))::BIGINT, 0, (SELECT list(x ORDER BY i, j) FROM x) UNION ALL {rounding_sql('trades', 'key', len(PAIRS))}), {LAST_POINTS} SELECT key AS run, i, j, round(x, 6) + 0.0::DOUBLE AS x FROM points",
         "ofde_trajectory": f"WITH RECURSIVE {PHI}, {STEP_PERTURBED}, {step_trees_sql('pert')} SELECT t, i, j FROM steps",
         "stream_trees": f"WITH RECURSIVE {PHI}, {STEP_PERTURBED}, {step_trees_sql('pert')} SELECT t, i, j FROM steps",
-        "tree_trajectory": f"WITH RECURSIVE {TRAJ}, {W1}, rw AS (SELECT 1::BIGINT AS t, i, j, 1.0::DOUBLE AS weight FROM w1 UNION ALL SELECT t + 1, i, j, weight FROM traj WHERE t < (SELECT count(*) FROM wide)), {walks_sql('rw', 't', 2 * N * N)} {WALKED.format(run='t')}",
-        "stream_walk_trees": f"WITH RECURSIVE {TRAJ}, rw AS (SELECT t + 1 AS t, i, j, weight FROM traj), {walks_sql('rw', 't', 2 * N * N)} {WALKED.format(run='t')}",
+        "tree_trajectory": f"WITH RECURSIVE {TRAJ}, {W1}, rw AS (SELECT 1::BIGINT AS t, i, j, 0.0::DOUBLE AS log_weight FROM w1 UNION ALL SELECT t + 1, i, j, log_weight FROM traj WHERE t < (SELECT count(*) FROM wide)), {walks_sql('rw', 't', 2 * N * N)} {WALKED.format(run='t')}",
+        "stream_walk_trees": f"WITH RECURSIVE {TRAJ}, rw AS (SELECT t + 1 AS t, i, j, log_weight FROM traj), {walks_sql('rw', 't', 2 * N * N)} {WALKED.format(run='t')}",
         "tree_log_partition_floor": singular_sql(),
         "tree_log_partition": log_partition_sql(),
         "random_tree": f"WITH RECURSIVE {random_tree_sql()} SELECT i, j FROM planted",
@@ -528,7 +583,7 @@ def histogram_sql() -> str:
 SELECT round(a + k * h, 8) AS low, round(a + (k + 1) * h, 8) AS high, (SELECT count(*) FROM z WHERE least(floor((z - a) / h), {BINS - 1}) = k) AS n FROM b, e"""
 
 
-RUN_EDGES = f"{EDGES.replace('WITH', 'WITH RECURSIVE', 1)}, rw AS (SELECT unnest(range({RUNS}))::BIGINT AS run, i, j, weight FROM w)"
+RUN_EDGES = f"{EDGES.replace('WITH', 'WITH RECURSIVE', 1)}, rw AS (SELECT unnest(range({RUNS}))::BIGINT AS run, i, j, weight, CASE WHEN weight > 0 THEN ln(weight) ELSE '-infinity'::DOUBLE END AS log_weight FROM w)"
 W1 = f"w1 AS (SELECT i::INT AS i, j::INT AS j FROM (SELECT unnest(range({N})) AS i), (SELECT unnest(range({N})) AS j) WHERE i < j)"
 STEP_PERTURBED = f"pert AS (SELECT t, i, j, cum_phi + (({mixed_sql(f'(t * {N} + i) * {N} + j', SEED)}) / 2147483647::DOUBLE) * {N} * sqrt(t / 2) AS weight FROM traj)"
 LAST_POINTS = "points AS (SELECT key, unnest([" + ", ".join(str(i) for i, _ in PAIRS) + "])::INT AS i, unnest([" + ", ".join(str(j) for _, j in PAIRS) + "])::INT AS j, unnest(x) AS x FROM (SELECT key, arg_max(x, k) AS x FROM trades GROUP BY key))"

@@ -50,7 +50,7 @@ def phi_stream(wide: DataFrame, k: int) -> DataFrame:
 
 
 def weights_stream(wide: DataFrame, n: int, k: int, rows: int, epsilon: float = 0.9, seed: int = 7, retries: int = 1) -> DataFrame:
-    """t, i, j, weight for each new row: the state is the logarithm of each cell's product."""
+    """t, i, j, log_weight for each new row: the state is the logarithm of each cell's product."""
     c = constants(n, k, rows, epsilon)
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -62,9 +62,10 @@ def weights_stream(wide: DataFrame, n: int, k: int, rows: int, epsilon: float =
         steps[np.arange(len(x)), x["v"].to_numpy() * k + x["u"].to_numpy()] = c.eta * np.log(np.maximum(x["p"].to_numpy(), 1e-300))
         path = logs + np.cumsum(steps, axis=0)
         state.update((int(x["t"].iloc[-1]), path[-1].tolist()))
-        yield pd.DataFrame({"t": x["t"], "i": key[0], "j": key[1], "weight": np.exp(path).sum(axis=1)})
+        top = path.max(axis=1)
+        yield pd.DataFrame({"t": x["t"], "i": key[0], "j": key[1], "log_weight": top + np.log(np.exp(path - top[:, None]).sum(axis=1))})
 
-    out, held = "t long, i int, j int, weight double", "last long, logs array<double>"
+    out, held = "t long, i int, j int, log_weight double", "last long, logs array<double>"
     drawn = pair_form(wide, k).withColumn("p", observed_factor(n, k, c, seed, retries))
     return drawn.groupBy("i", "j").applyInPandasWithState(update, out, held, "append", GroupStateTimeout.NoTimeout)
 
@@ -96,6 +97,24 @@ def event_counts(events: DataFrame, window: str = "1 hour", late: str = "1 day")
     return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
+def last_updates(stream: DataFrame, keys: list[str], value: str, folder: str) -> DataFrame:
+    """The last value of each key of an aggregate that is given in update mode, over what is there now.
+
+    Each micro-batch writes the rows that it changed to a folder named by the batch, over what a run
+    that failed there has left; nothing is held by the driver.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").outputMode("update").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+    rows = stream.sparkSession.read.schema(stream.schema.add("batch", "long")).parquet(f"{folder}/out")
+    return rows.groupBy(*keys).agg(F.max_by(value, "batch").alias(value))
+
+
 def read_stream(spark: SparkSession, folder: str, pattern: str, schema: StructType) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
 

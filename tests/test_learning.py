@@ -109,11 +109,32 @@ def test_forest_of_zero_weights(spark):
     assert trees.boruvka(w).count() == 2
 
 
+def logs(w):
+    with np.errstate(divide="ignore"):
+        return np.log(w)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(2, 6), st.floats(0.01, 1), st.integers(0, 99))
+def test_log_minor_is_the_determinant(n, floor, seed):
+    """As numpy's, also where the graph is not connected; a factor of all weights only adds its logarithm."""
+    rng = np.random.default_rng(seed)
+    w = np.triu(rng.uniform(0.1, 3, (n, n)) * (rng.random((n, n)) < 0.7), 1)
+    w += w.T
+    minor = (np.diag(w.sum(axis=1)) - w)[1:, 1:]
+    connected = abs(np.linalg.det(minor)) > 1e-9
+    assert local.log_minor(logs(w), 0.0) == (pytest.approx(np.linalg.slogdet(minor)[1]) if connected else -np.inf)
+    assert local.log_minor(logs(w), floor) == pytest.approx(np.linalg.slogdet(minor + floor * np.eye(n - 1) * (not connected))[1])
+    if connected:
+        assert local.log_minor(logs(w) - 2000, 0.0) == pytest.approx(local.log_minor(logs(w), 0.0) - 2000 * (n - 1))
+
+
 @pytest.mark.parametrize("draw", [lambda w, r: local.tree_by_determinants(w, r, 0.0), lambda w, r: local.tree_by_walks(w, r)[0]])
 def test_sampler_law(draw):
     w = np.zeros((4, 4))
     for (i, j), x in K4.items():
         w[i, j] = w[j, i] = x
+    w = logs(w)
     rng, n, seen = np.random.default_rng(3), 4000, dict.fromkeys(K4, 0)
     for _ in range(n):
         tree = draw(w, rng)
@@ -128,11 +149,11 @@ def test_sampler_law(draw):
 def test_sampler_edges():
     rng = np.random.default_rng(1)
     with pytest.raises(ValueError, match="connected"):
-        local.tree_by_determinants(np.zeros((3, 3)), rng)
-    tree, fallbacks, walks = local.tree_by_walks(np.zeros((5, 5)), rng)
+        local.tree_by_determinants(logs(np.zeros((3, 3))), rng)
+    tree, fallbacks, walks = local.tree_by_walks(logs(np.zeros((5, 5))), rng)
     assert local.is_tree(tree, 5) and walks and not fallbacks
     line = np.diag([1.0, 1.0, 1.0], 1)
-    assert sorted(local.tree_by_determinants(line + line.T, rng)) == [(0, 1), (1, 2), (2, 3)]
+    assert sorted(local.tree_by_determinants(logs(line + line.T), rng)) == [(0, 1), (1, 2), (2, 3)]
 
 
 @settings(max_examples=60, deadline=None)
@@ -172,7 +193,7 @@ def test_methods_recover_the_planted_tree(spark):
 def test_steps_and_rows_must_agree(micro):
     with pytest.raises(ValueError, match="steps"):
         ForestDensity(micro, 2).tree(9)
-    assert WeightedMajority(micro, 2).all_weights(4).where("t = 1 and weight = 1").count() == 3
+    assert WeightedMajority(micro, 2).all_weights(4).where("t = 1 and log_weight = 0").count() == 3
     assert WeightedMajority(micro, 2).tree(1).count() == 2
 
 

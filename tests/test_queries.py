@@ -43,9 +43,9 @@ def test_terminal_is_end_of_trajectory(spark):
     for r in phi_terminal(wide, K).collect():
         assert r["cum_phi"] == pytest.approx(last[r["i"], r["j"]], abs=1e-8)
     for retries in (1, 3):
-        last = {(r["i"], r["j"]): r["weight"] for r in weights_trajectory(wide, N, K, 1000, retries=retries).where("t = 999").collect()}
+        last = {(r["i"], r["j"]): r["log_weight"] for r in weights_trajectory(wide, N, K, 1000, retries=retries).where("t = 999").collect()}
         for r in weights_terminal(wide.where(F.col("t") <= 999), N, K, 1000, retries=retries).collect():
-            assert r["weight"] == pytest.approx(last[r["i"], r["j"]], rel=1e-9)
+            assert r["log_weight"] == pytest.approx(last[r["i"], r["j"]], rel=1e-9)
 
 
 def test_terminal_weights_of_all_events(spark):
@@ -55,9 +55,9 @@ def test_terminal_weights_of_all_events(spark):
     d = DATA.replace("sf0.001", "sf0.01")
     n = events(spark, d).count()
     assert n > 1000
-    last = {(r["i"], r["j"]): r["weight"] for r in weights_trajectory(planted(spark, d), N, K, n, queries.EPSILON, queries.SEED).where(f"t = {n}").collect()}
-    got = {(r["i"], r["j"]): math.exp(r["log_weight"]) for r in queries.queries()["rwm_weights_terminal"](spark, d).collect()}
-    assert got == pytest.approx(last, rel=1e-5) and len(got) == N * (N - 1) // 2 and min(got.values()) > 0
+    last = {(r["i"], r["j"]): r["log_weight"] for r in weights_trajectory(planted(spark, d), N, K, n, queries.EPSILON, queries.SEED).where(f"t = {n}").collect()}
+    got = {(r["i"], r["j"]): r["log_weight"] for r in queries.queries()["rwm_weights_terminal"](spark, d).collect()}
+    assert got == pytest.approx(last, abs=1e-6) and len(set(got.values())) == N * (N - 1) // 2
 
 
 def test_signed_rank_takes_the_default_draws(spark):
@@ -95,7 +95,7 @@ def tree_by_enumeration(weight, n, draws, epsilon=0.1):
 
     def total(w, m):
         z = sum(math.prod(w[e] for e in t) for t in known[m])
-        if z > 0:
+        if z > 0 or not epsilon:
             return z
         minor = [[(sum(w[min(a, c), max(a, c)] for c in range(m) if c != a) + epsilon) if a == b else -w[min(a, b), max(a, b)] for b in range(1, m)] for a in range(1, m)]
         return determinant(minor)
@@ -108,8 +108,8 @@ def tree_by_enumeration(weight, n, draws, epsilon=0.1):
         elif at >= m:
             at = 1
         if len(near) > 1:
-            without = {**w, (0, at): 0.0}
-            if w[0, at] == 0 or draws.random() <= total(without, m) / total(w, m):
+            without = {**w, (0, at): w[0, at] * 0}
+            if w[0, at] == 0 or draws.random() < total(without, m) / total(w, m):
                 w, at = without, at + 1
                 continue
         out.append(names[0, at])
@@ -121,7 +121,7 @@ def tree_by_enumeration(weight, n, draws, epsilon=0.1):
                     new_w[a + 1, b + 1], new_names[a + 1, b + 1] = w[x, y], names[x, y]
         for a, x in enumerate(rest):
             other = (min(at, x), max(at, x))
-            own = draws.random() < w[0, x] / (w[0, x] + w[other] + epsilon)
+            own = draws.random() < w[0, x] / max(w[0, x] + w[other] + epsilon, type(w[0, x])(1e-320))
             new_w[0, a + 1], new_names[0, a + 1] = w[0, x] + w[other], names[0, x] if own else names[other]
         w, names, at, m = new_w, new_names, 1, m - 1
     return {(min(e), max(e)) for e in out}
@@ -132,21 +132,69 @@ def determinant(m):
     return m[0][0] if len(m) == 1 else sum((-1) ** k * x * determinant([r[:k] + r[k + 1 :] for r in m[1:]]) for k, x in enumerate(m[0]))
 
 
-@pytest.mark.parametrize("name", ["rwm_tree", "rwm_final_tree"])
-def test_determinant_trees_by_enumeration(spark, name):
+def test_determinant_trees_by_enumeration(spark):
     from arbora.functions.portable import Draws
-    from arbora.plans.learners import WeightedMajority
-    from arbora.sources.events import K, N, planted
 
     by = defaultdict(set)
-    rows = queries.queries()[name](spark, DATA).collect()
-    for r in rows:
-        by[r["run"] if name == "rwm_tree" else 1000].add((r["i"], r["j"]))
-    source = queries.edges(spark, DATA) if name == "rwm_tree" else WeightedMajority(planted(spark, DATA), K, queries.SEED, queries.EPSILON).weights()
-    weight = {(r["i"], r["j"]): r["weight"] for r in source.collect()}
-    assert len(by) == (queries.RUNS if name == "rwm_tree" else 1)
+    for r in queries.queries()["rwm_tree"](spark, DATA).collect():
+        by[r["run"]].add((r["i"], r["j"]))
+    weight = {(r["i"], r["j"]): r["weight"] for r in queries.edges(spark, DATA).collect()}
+    assert len(by) == queries.RUNS
     for run, tree in by.items():
-        assert tree == tree_by_enumeration(weight, N, Draws(queries.SEED, run))
+        assert tree == tree_by_enumeration(weight, 6, Draws(queries.SEED, run))
+
+
+def walked_tree(weight, n, draws):
+    """Loop-erased walks from vertex 0's tree, one step after another, in the arithmetic of the weights; uniform after 2 n n steps."""
+    tree, inside = set(), {0}
+    for start in range(n):
+        v, exits, steps = start, {}, 0
+        while v not in inside:
+            near = [(u, weight[min(u, v), max(u, v)]) for u in range(n) if u != v]
+            if steps >= 2 * n * n:
+                near = [(u, type(near[0][1])(1)) for u, _ in near]
+            left = type(near[0][1])(draws.random()) * sum(x for _, x in near)
+            for u, x in near:
+                left -= x
+                if left < 0:
+                    break
+            exits[v] = v = u
+            steps += 1
+        v = start
+        while v not in inside:
+            inside.add(v)
+            tree.add((min(v, exits[v]), max(v, exits[v])))
+            v = exits[v]
+    return tree
+
+
+def test_weights_and_trees_of_millions_of_rows(spark):
+    """Weights far below any double: finite logarithms, and the trees that 60 digits give."""
+    from decimal import Decimal, localcontext
+
+    from arbora.functions.portable import Draws
+    from arbora.operators import trees
+    from arbora.operators.weights import weights_terminal
+    from arbora.sources.events import K, N, plant
+
+    rows = 3_000_000
+    w = weights_terminal(plant(spark.range(rows).withColumnRenamed("id", "event_id")), N, K, rows, queries.EPSILON, queries.SEED).cache()
+    logs = {(r["i"], r["j"]): r["log_weight"] for r in w.collect()}
+    assert len(set(logs.values())) == 15 and all(math.isfinite(x) for x in logs.values())
+    assert sum(math.exp(x) == 0 for x in logs.values()) > 10  # as numbers most of them are gone
+    runs = queries.runs(w, 20)
+    drawn, walked = defaultdict(set), defaultdict(set)
+    for r in trees.determinant_tree(runs, N, 5, 0.0, "run").collect():
+        drawn[r["run"]].add((r["i"], r["j"]))
+    for r in trees.walk_tree(runs, N, 5, run="run").collect():
+        walked[r["run"]].add((r["i"], r["j"]))
+    with localcontext() as c:
+        c.prec = 60
+        exact = {e: Decimal(x).exp() for e, x in logs.items()}
+        for run in range(20):
+            assert drawn[run] == tree_by_enumeration(exact, N, Draws(5, run), Decimal(0))
+            assert walked[run] == walked_tree(exact, N, Draws(5, run))
+    w.unpersist()
 
 
 def test_rounding_steps_by_a_plain_loop(spark):
