@@ -6,13 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbora.functions.portable import uniform
 from arbora.functions.special import PROB_FLOOR, floored_ln
-from arbora.operators.counts import pair_counts
-from arbora.operators.graph import canonical
+from arbora.operators.components import connected
+from arbora.operators.counts import cpt, marginal_counts, pair_counts
+from arbora.operators.graph import canonical, symmetrize
+from arbora.session import cut
 
 
 def log_likelihood(test: DataFrame, table: DataFrame, tree: DataFrame, canonical_edges: bool = True) -> DataFrame:
@@ -34,6 +36,44 @@ def log_likelihood(test: DataFrame, table: DataFrame, tree: DataFrame, canonical
     return one.select(F.when(F.col("rows") > 0, F.coalesce("total", F.lit(0.0)) / F.col("rows")).alias("log_likelihood"))
 
 
+def oriented(tree: DataFrame, root: int) -> DataFrame:
+    """parent, child of a forest's edges (i, j), away from ``root``; other components go away from their smallest vertex.
+
+    A level of the tree is one join of its vertices with the edges, so a tree of any size may be a relation.
+    Edges that close a cycle are an error.
+    """
+    edges = cut(tree.select("i", "j").withColumn("weight", F.lit(1.0)))
+    both = symmetrize(edges).select(F.col("u").cast("int").alias("parent"), F.col("v").cast("int").alias("child"))
+    labels = connected(edges.select(F.col("i").cast("long").alias("a"), F.col("j").cast("long").alias("b")))
+    own = labels.where(F.col("node") == root).select("label")
+    level = labels.join(own, "label", "left_anti").where("node = label").select(F.col("node").cast("int").alias("child"))
+    level = cut(level.unionByName(own.select(F.lit(root).alias("child"))).withColumn("parent", F.lit(None).cast("int")))
+    out = level.where("parent is not null")
+    while not level.isEmpty():
+        at = level.select(F.col("child").alias("parent"), F.col("parent").alias("above"))
+        level = cut(both.join(at, "parent").where("above is null or child <> above").select("parent", "child"))
+        out = cut(out.unionByName(level))
+        if out.groupBy("child").count().where("count > 1").limit(1).count():
+            raise ValueError("the edges close a cycle: there is no direction away from the root")
+    return out.select("parent", "child")
+
+
+def rooted_log_likelihood(test: DataFrame, train: DataFrame, tree: DataFrame, n: int, k: int, root: int = 0) -> DataFrame:
+    """log_likelihood: the mean over test rows of ln P(row) under the forest as a directed model of ``train``.
+
+    Each child has one parent, the one towards the root; a vertex without parent (the root, and one of each
+    other component) has its own distribution. Probabilities are at least 1e-10; without test rows null.
+    """
+    edges = oriented(tree, root)
+    inner = log_likelihood(test, cpt(train, n, k), edges.select(F.col("parent").alias("i"), F.col("child").alias("j")))
+    tops = test.sparkSession.range(n).select(F.col("id").cast("int").alias("var")).join(edges.select(F.col("child").alias("var")), "var", "left_anti")
+    known = marginal_counts(train, k).select("var", "val", (F.col("c") / F.sum("c").over(Window.partitionBy("var"))).alias("prob"))
+    seen = marginal_counts(test).join(tops, "var").join(known, ["var", "val"], "left")
+    own = seen.agg(F.sum(F.col("c") * floored_ln(F.coalesce("prob", F.lit(0.0)), PROB_FLOOR)).alias("own")).withColumn("one", F.lit(1))
+    rows = test.agg(F.count("*").alias("rows")).withColumn("one", F.lit(1))
+    return inner.withColumn("one", F.lit(1)).join(own, "one").join(rows, "one").select((F.col("log_likelihood") + F.col("own") / F.col("rows")).alias("log_likelihood"))
+
+
 def missing_edges(true: DataFrame, found: DataFrame, same_direction: bool = True) -> DataFrame:
     """i, j of true edges that were not found. Unless told otherwise (1, 0) differs from (0, 1)."""
     a, b = (x.select("i", "j") if same_direction else canonical(x, "i", "j") for x in (true, found))

@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arbora.functions.portable import mixed_sql, uniform, uniform_sql
-from arbora.operators import counts, graph, information, metrics, trees, weights
+from arbora.operators import counts, graph, information, large_graphs, metrics, trees, weights
 from arbora.operators.encode import codebook, renamed, split
 from arbora.operators.local_trees import is_tree
 from arbora.plans.learners import RETRIES, ChowLiu, ForestDensity, WalkMajority, WeightedMajority, evaluate
-from arbora.session import shared_folder
+from arbora.session import cut, shared_folder
 from arbora.sources import files, synthetic
-from arbora.sources.events import K, N, TREE, events, natural, plant, planted, true_tree
-from arbora.streaming import online
+from arbora.sources.events import K, N, TREE, events, natural, natural_columns, plant, planted, true_tree
+from arbora.streaming import online, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Seeds of the draws, and independent trees of the sampler queries.
@@ -32,6 +32,10 @@ DRAWS, BINS = 50_000, 4
 EPSILON = 0.9
 #: Variables of the natural columns, and values of each.
 NATURAL, FOUR = 5, 4
+#: Nations, and rows of the blocks that their matrix is eliminated by.
+NATIONS, ROWS_OF_BLOCK = 25, 7
+#: The vertex that a tree of the natural columns is directed away from.
+ROOT = 3
 
 
 def rounded(df: DataFrame, digits: int = 8) -> DataFrame:
@@ -77,6 +81,27 @@ def stream_phi(s: SparkSession, d: str) -> DataFrame:
     return out.groupBy("i", "j").agg(F.max_by("cum_phi", "t").alias("cum_phi"))
 
 
+def stream_phi_state(s: SparkSession, d: str) -> DataFrame:
+    """The natural columns' losses after all events, from typed state in RocksDB."""
+    schema = s.read.parquet(f"{d}/events.parquet").schema
+    rows = natural_columns(online.read_stream(s, d, "events*.parquet", schema))
+    out = stateful.drained_with_rocksdb(stateful.loss_stream(rows, FOUR), scratch(s))
+    return out.groupBy("i", "j").agg(F.max_by("cum_phi", "t").alias("cum_phi"))
+
+
+def natural_split(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return split(natural(s, d), (F.col("t") - 1) % 10 >= 7)
+
+
+def natural_scores(s: SparkSession, d: str) -> DataFrame:
+    """log_likelihood and rooted: scores of the natural columns' Chow-Liu tree, edges as they are and away from vertex ROOT."""
+    train, test = natural_split(s, d)
+    tree = cut(ChowLiu(train, FOUR).tree())
+    plain = metrics.log_likelihood(test, counts.cpt(train, NATURAL, FOUR), tree).withColumn("one", F.lit(1))
+    rooted = metrics.rooted_log_likelihood(test, train, tree, NATURAL, FOUR, ROOT).select(F.col("log_likelihood").alias("rooted"), F.lit(1).alias("one"))
+    return plain.join(rooted, "one").select("log_likelihood", "rooted")
+
+
 def stream_weights(s: SparkSession, d: str) -> DataFrame:
     rows = events(s, d).count()
     out = online.drained(online.weights_stream(streamed(s, d), N, K, rows, EPSILON, SEED), scratch(s))
@@ -184,6 +209,15 @@ def order_tree(s: SparkSession, d: str) -> DataFrame:
     return information.mutual_information(wide)
 
 
+def trade(s: SparkSession, d: str) -> DataFrame:
+    """i, j, weight: nations linked by the lines that one's suppliers deliver to the other's customers."""
+    read = lambda name: s.read.parquet(f"{d}/{name}.parquet")
+    lines = read("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey")).join(read("supplier").select("s_suppkey", F.col("s_nationkey").cast("int").alias("a")), "s_suppkey")
+    orders = read("orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")).join(read("customer").select("c_custkey", F.col("c_nationkey").cast("int").alias("b")), "c_custkey")
+    both = lines.join(orders, "o_orderkey").where("a <> b")
+    return both.groupBy(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).agg(F.count("*").cast("double").alias("weight"))
+
+
 def queries() -> dict[str, Query]:
     p = planted
     return {
@@ -228,6 +262,8 @@ def queries() -> dict[str, Query]:
         "rwm_tree": lambda s, d: trees.determinant_tree(runs(edges(s, d)), N, SEED, run="run"),
         "wilson_tree": lambda s, d: trees.walk_tree(runs(edges(s, d)), N, SEED, run="run").select("run", "i", "j"),
         "wilson_fast_tree": lambda s, d: trees.walk_tree(runs(edges(s, d)), N, SEED, most_steps=FEW_STEPS, run="run").select("run", "i", "j"),
+        "popped_tree": lambda s, d: large_graphs.popped_tree(trade(s, d), NATIONS, SEED),
+        "block_log_partition": lambda s, d: rounded(large_graphs.log_partition(trade(s, d), NATIONS, block=ROWS_OF_BLOCK)),
         "swap_rounding": lambda s, d: rounded(trees.swap_rounding(runs(mixed_point(s, d)), SEED, "run"), 6),
         "ofde_trajectory": lambda s, d: ForestDensity(p(s, d), K, SEED).trajectory(),
         "tree_trajectory": lambda s, d: WalkMajority(p(s, d), K, SEED, EPSILON).trajectory(),
@@ -248,6 +284,10 @@ def queries() -> dict[str, Query]:
         "initial_weights": lambda s, d: weights.initial_weights(s, N),
         "contraction_map": lambda s, d: rounded(contraction_steps(s, d)),
         "stream_phi": lambda s, d: rounded(stream_phi(s, d), 4),
+        "stream_phi_state": lambda s, d: rounded(stream_phi_state(s, d), 4),
+        "chow_liu_natural": lambda s, d: ChowLiu(natural(s, d), FOUR).tree(),
+        "ofde_natural": lambda s, d: ForestDensity(natural(s, d), FOUR, SEED).tree(),
+        "natural_scores": lambda s, d: rounded(natural_scores(s, d), 6),
         "stream_weights": lambda s, d: rounded(stream_weights(s, d), 6),
         "stream_trees": stream_trees,
         "stream_walk_trees": stream_walk_trees,
@@ -293,7 +333,7 @@ def tree_sql(source: str, weight: str, largest: bool, name: str = "tree") -> str
 TRUE = "true_edges(i, j) AS (VALUES " + ", ".join(f"({a}, {b})" for a, b in TREE) + ")"
 BASE = f"{wide_sql()}, {long_sql()}, {pairs_sql()}"
 EDGES = f"WITH {wide_sql()}, {pairs_sql()}, {mi_sql()}, w AS (SELECT i, j, mi AS weight FROM mi), sym AS (SELECT i AS u, j AS v, weight FROM w UNION ALL SELECT j, i, weight FROM w)"
-CPT = """{n}g AS (SELECT a.x AS parent, b.x AS child, p.x AS pv, c.x AS cv FROM (SELECT unnest(range(6))::INT AS x) a, (SELECT unnest(range(6))::INT AS x) b, (SELECT unnest(range(3))::INT AS x) p, (SELECT unnest(range(3))::INT AS x) c WHERE a.x <> b.x),
+CPT = """{n}g AS (SELECT a.x AS parent, b.x AS child, p.x AS pv, c.x AS cv FROM (SELECT unnest(range({vars}))::INT AS x) a, (SELECT unnest(range({vars}))::INT AS x) b, (SELECT unnest(range({k}))::INT AS x) p, (SELECT unnest(range({k}))::INT AS x) c WHERE a.x <> b.x),
 {n}c AS (SELECT i AS parent, j AS child, u AS pv, v AS cv, count(*) AS c FROM {pairs} GROUP BY ALL UNION ALL SELECT j, i, v, u, count(*) FROM {pairs} GROUP BY ALL),
 {n} AS (SELECT parent, child, pv, cv, coalesce(coalesce(c, 0)::DOUBLE / nullif(sum(coalesce(c, 0)) OVER (PARTITION BY parent, child, pv), 0), 0) AS prob FROM {n}g LEFT JOIN {n}c USING (parent, child, pv, cv))"""
 PHI = f"""{BASE}, one AS (SELECT t, var, val, row_number() OVER (PARTITION BY var, val ORDER BY t) - 1 AS c FROM long),
@@ -301,12 +341,19 @@ two AS (SELECT *, row_number() OVER (PARTITION BY i, j, u, v ORDER BY t) - 1 AS
 phi AS (SELECT two.t AS t, i, j, ln(greatest((a.c + 0.5::DOUBLE) / (two.t - 1 + {K / 2}::DOUBLE) * ((b.c + 0.5::DOUBLE) / (two.t - 1 + {K / 2}::DOUBLE)) / ((two.c + 0.5::DOUBLE) / (two.t - 1 + {K * K / 2}::DOUBLE)), 1e-300::DOUBLE)) AS phi
         FROM two JOIN one a ON a.t = two.t AND a.var = i JOIN one b ON b.t = two.t AND b.var = j),
 traj AS (SELECT t, i, j, phi, sum(phi) OVER (PARTITION BY i, j ORDER BY t) AS cum_phi FROM phi)"""
-TERMINAL = f"""{BASE}, m1 AS (SELECT var, val, count(*) AS c FROM long GROUP BY ALL), m2 AS (SELECT i, j, u, v, count(*) AS c FROM pairs GROUP BY ALL),
-s1 AS (SELECT var, sum(lgamma(c + 0.5::DOUBLE) - lgamma(0.5::DOUBLE)) - (lgamma(sum(c) + {K / 2}::DOUBLE) - lgamma({K / 2}::DOUBLE)) AS s FROM m1 GROUP BY var),
-s2 AS (SELECT i, j, sum(lgamma(c + 0.5::DOUBLE) - lgamma(0.5::DOUBLE)) - (lgamma(sum(c) + {K * K / 2}::DOUBLE) - lgamma({K * K / 2}::DOUBLE)) AS s FROM m2 GROUP BY i, j),
+
+
+def terminal_sql(k: int = K) -> str:
+    """term(i, j, cum_phi): the losses of the pairs after all rows, in closed form from counts of long and pairs."""
+    return f"""m1 AS (SELECT var, val, count(*) AS c FROM long GROUP BY ALL), m2 AS (SELECT i, j, u, v, count(*) AS c FROM pairs GROUP BY ALL),
+s1 AS (SELECT var, sum(lgamma(c + 0.5::DOUBLE) - lgamma(0.5::DOUBLE)) - (lgamma(sum(c) + {k / 2}::DOUBLE) - lgamma({k / 2}::DOUBLE)) AS s FROM m1 GROUP BY var),
+s2 AS (SELECT i, j, sum(lgamma(c + 0.5::DOUBLE) - lgamma(0.5::DOUBLE)) - (lgamma(sum(c) + {k * k / 2}::DOUBLE) - lgamma({k * k / 2}::DOUBLE)) AS s FROM m2 GROUP BY i, j),
 term AS (SELECT s2.i AS i, s2.j AS j, a.s + b.s - s2.s AS cum_phi FROM s2 JOIN s1 a ON a.var = s2.i JOIN s1 b ON b.var = s2.j)"""
 
 
+TERMINAL = f"{BASE}, {terminal_sql()}"
+
+
 def draws_sql(rows: str, source: str = "pairs") -> str:
     c = weights.constants(N, K, 1, EPSILON)
     base = f"(((t * {N} + i) * {N} + j) * {K} + v) * {K}"
@@ -404,6 +451,47 @@ mergers(run, k, m, spot, w, names, taken) AS (
               FROM (SELECT s.*, forest, list_filter(range(1, s.m), lambda y: w[y + 1] > 0) AS near FROM mergers s JOIN forests f ON f.m = s.m))))"""
 
 
+#: The nations' graph; the most draws of a vertex that popped_sql lists.
+TRADE = "trade AS (SELECT least(c_nationkey, s_nationkey)::INT AS i, greatest(c_nationkey, s_nationkey)::INT AS j, count(*)::DOUBLE AS weight FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey WHERE c_nationkey <> s_nationkey GROUP BY ALL)"
+LISTED = 300
+
+
+def popped_sql(source: str, n: int, seed: int = SEED) -> str:
+    """Exits of all vertices of ``source`` (i, j, weight) with root 0, a row for each round in which cycles are popped.
+
+    rings has a vertex's exits in the order of its draws.
+    """
+    drawn = mixed_sql(f"u + ({mixed_sql('c', seed)})", seed + 1)
+    ring = mixed_sql(mixed_sql(f"v + ({drawn})", seed + 2), seed + 4)
+    return f"""sides AS (SELECT i::BIGINT AS u, j::BIGINT AS v, weight FROM {source} UNION ALL SELECT j, i, weight FROM {source}),
+chosen AS (SELECT u, c, arg_min(v, (ln(-ln((({ring}) + 1) / 2147483648::DOUBLE)) - ln(weight), v)) AS v FROM sides, (SELECT unnest(range({LISTED})) AS c) GROUP BY u, c),
+rings AS MATERIALIZED (SELECT list(r ORDER BY u) AS rings FROM (SELECT u, list(v ORDER BY c) AS r FROM chosen GROUP BY u)),
+pops(k, pops, nxt) AS (
+  SELECT 0, list_transform(range({n}), lambda v: 0::BIGINT), list_transform(range({n}), lambda v: CASE WHEN v = 0 THEN 0 ELSE rings[v + 1][1] END) FROM rings
+  UNION ALL
+  SELECT k + 1, more, list_transform(range({n}), lambda v: CASE WHEN v = 0 THEN 0 ELSE rings[v + 1][more[v + 1] + 1] END)
+  FROM (SELECT k, rings, list_transform(range({n}), lambda v: pops[v + 1] + CASE WHEN list_contains(loops, v) THEN 1 ELSE 0 END) AS more
+        FROM (SELECT *, list_filter(far{n.bit_length()}, lambda v: v <> 0) AS loops FROM ({squared_sql(n)})) WHERE len(loops) > 0))"""
+
+
+def squared_sql(n: int) -> str:
+    """Rows of pops with far1, far2 ..: where 2 ** m steps along nxt lead."""
+    rows = "SELECT *, nxt AS far0 FROM pops, rings"
+    for m in range(n.bit_length()):
+        rows = f"SELECT *, list_transform(far{m}, lambda x: far{m}[x + 1]) AS far{m + 1} FROM ({rows})"
+    return rows
+
+
+def eliminated_sql(source: str, n: int) -> str:
+    """A row for each eliminated row of the Laplacian minor of ``source`` (i, j, weight) without vertex 0."""
+    m = n - 1
+    return f"""sides AS (SELECT i AS u, j AS v, weight FROM {source} UNION ALL SELECT j, i, weight FROM {source}),
+grid AS (SELECT x, 1 + x // {m} AS a, 1 + x % {m} AS b FROM (SELECT unnest(range({m * m})) AS x)),
+dense AS (SELECT list(value ORDER BY x) AS m FROM (SELECT x, CASE WHEN a = b THEN (SELECT sum(weight) FROM sides WHERE u = a) ELSE -coalesce(any_value(weight), 0) END AS value FROM grid LEFT JOIN sides ON u = a AND v = b GROUP BY x, a, b)),
+steps(k, z, m) AS (SELECT 0::BIGINT, 0.0::DOUBLE, m FROM dense UNION ALL
+  SELECT k + 1, z + ln(m[k * {m} + k + 1]), list_transform(range({m * m}), lambda x: m[x + 1] - m[(x // {m}) * {m} + k + 1] * m[k * {m} + x % {m} + 1] / m[k * {m} + k + 1]) FROM steps WHERE k < {m})"""
+
+
 #: The edges that the sampler took.
 DRAWN = f"SELECT run, (e // {N})::INT AS i, (e % {N})::INT AS j FROM (SELECT run, unnest(taken) AS e FROM mergers WHERE m = 1)"
 #: The edges that the walks leave: in mode 1, from a vertex outside the tree along its last exit.
@@ -425,7 +513,7 @@ def rounding_sql(start: str, key: str, size: int, seed: int = SEED) -> str:
 
 POINT = f"{EDGES}, x AS (SELECT w.i AS i, w.j AS j, 0.5::DOUBLE * (({mixed_sql(f'w.i * {N} + w.j', 3)}) / 2147483647::DOUBLE) + 0.5::DOUBLE * (CASE WHEN e.i IS NULL THEN 0 ELSE 1 END) AS x FROM w LEFT JOIN ({'SELECT * FROM (VALUES ' + ', '.join(f'({a}, {b})' for a, b in TREE) + ') v(i, j)'}) e ON e.i = w.i AND e.j = w.j)"
 WRONG = f"{wide_sql()}, {pairs_sql()}, {mi_sql()}, without AS (SELECT * FROM mi WHERE NOT (i = 0 AND j = 1)), {tree_sql('without', 'mi', True)}, {TRUE}"
-SPLIT = f"{wide_sql()}, train AS (SELECT * FROM wide WHERE (t - 1) % 10 < 7), test AS (SELECT * FROM wide WHERE (t - 1) % 10 >= 7), {pairs_sql('train')}, {pairs_sql('test', name='tp')}, {CPT.format(n='cpt', pairs='pairs')}"
+SPLIT = f"{wide_sql()}, train AS (SELECT * FROM wide WHERE (t - 1) % 10 < 7), test AS (SELECT * FROM wide WHERE (t - 1) % 10 >= 7), {pairs_sql('train')}, {pairs_sql('test', name='tp')}, {CPT.format(n='cpt', pairs='pairs', vars=N, k=K)}"
 SCORE = "SELECT sum(ln(greatest(prob, 1e-10::DOUBLE))) / (SELECT count(*) FROM test) FROM tp JOIN {tree} e ON e.i = tp.i AND e.j = tp.j JOIN cpt ON parent = tp.i AND child = tp.j AND pv = tp.u AND cv = tp.v"
 
 
@@ -439,7 +527,13 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT {k} AS k, unnest(range({c.levels}))::INT AS ell, round({c.tau}::DOUBLE * pow({1 + c.gamma}::DOUBLE, unnest(range({c.levels}))), 10) AS value" for k in (2, 3, 4, 5) for c in [weights.constants(3, k, 1, EPSILON)]
     )
     moved = lambda c: f"CASE WHEN {c} IN (1, 3) THEN 2 WHEN {c} > 1 THEN {c} - 1 ELSE {c} END"
-    perturbed = f"pert AS (SELECT i, j, cum_phi + (({mixed_sql(f'(n * {N} + i) * {N} + j', SEED)}) / 2147483647::DOUBLE) * {N} * sqrt(n / 2) AS weight FROM term, (SELECT count(*) AS n FROM wide))"
+    perturbed_sql = lambda vars, source: f"pert AS (SELECT i, j, cum_phi + (({mixed_sql(f'(n * {vars} + i) * {vars} + j', SEED)}) / 2147483647::DOUBLE) * {vars} * sqrt(n / 2) AS weight FROM term, (SELECT count(*) AS n FROM {source}))"
+    perturbed = perturbed_sql(N, "wide")
+    nat = f"{natural_wide}, {long_sql('nat', NATURAL)}, {pairs_sql('nat', NATURAL)}"
+    nat_split = f"WITH RECURSIVE {natural_wide}, train AS (SELECT * FROM nat WHERE (t - 1) % 10 < 7), test AS (SELECT * FROM nat WHERE (t - 1) % 10 >= 7), {pairs_sql('train', NATURAL)}, {pairs_sql('test', NATURAL, 'tp')}, {long_sql('train', NATURAL)}, {CPT.format(n='cpt', pairs='pairs', vars=NATURAL, k=FOUR)}, {mi_sql()}, {tree_sql('mi', 'mi', True)}"
+    directed = f"""sides AS (SELECT i AS a, j AS b FROM tree UNION ALL SELECT j, i FROM tree), away(node, parent) AS (SELECT {ROOT}, NULL::INT UNION ALL SELECT b, node FROM away JOIN sides ON a = node WHERE parent IS NULL OR b <> parent),
+cells AS (SELECT i AS p, j AS c, u AS pv, v AS cv FROM tp UNION ALL SELECT j, i, v, u FROM tp), own AS (SELECT val, count(*) / (SELECT count(*) FROM train) AS prob FROM long WHERE var = {ROOT} GROUP BY val)"""
+    rooted = f"(SELECT sum(ln(greatest(coalesce(prob, 0), 1e-10::DOUBLE))) FROM cells JOIN away ON away.node = c AND away.parent = p LEFT JOIN cpt ON cpt.parent = p AND cpt.child = c AND cpt.pv = cells.pv AND cpt.cv = cells.cv) + (SELECT sum(ln(greatest(coalesce(prob, 0), 1e-10::DOUBLE))) FROM test LEFT JOIN own ON val = v{ROOT})"
     grid = """SELECT g.t AS t, g.var AS var, g.val AS val, (sum(CASE WHEN l.val = g.val THEN 1 ELSE 0 END) OVER (PARTITION BY g.var, g.val ORDER BY g.t))::BIGINT AS c
     FROM (SELECT t, var, unnest(range(3))::INT AS val FROM long) g JOIN long l ON l.t = g.t AND l.var = g.var"""
     scores = f"WITH RECURSIVE {SPLIT}, {TRUE}, {mi_sql()}, {tree_sql('mi', 'mi', True)} SELECT round(({SCORE.format(tree='tree')}), 6) AS log_likelihood, (SELECT count(*) FROM (SELECT * FROM true_edges ANTI JOIN tree USING (i, j))) + (SELECT count(*) FROM (SELECT * FROM tree ANTI JOIN true_edges USING (i, j))) AS shd"
@@ -455,7 +549,7 @@ def oracle_sql() -> dict[str, str]:
         "marginal_counts": f"{w}, {long_sql()} SELECT var, val, count(*) AS c FROM long GROUP BY ALL",
         "pair_counts": f"{w}, {pairs_sql()} SELECT i, j, u, v, count(*) AS c FROM pairs GROUP BY ALL",
         "contingency_pivot": f"{w} SELECT v1 AS cv, count(*) FILTER (v0 = 0) AS p0, count(*) FILTER (v0 = 1) AS p1, count(*) FILTER (v0 = 2) AS p2 FROM wide GROUP BY v1",
-        "cpt": f"{w}, {pairs_sql()}, {CPT.format(n='cpt', pairs='pairs')} SELECT parent, child, pv, cv, round(prob, 8) AS prob FROM cpt",
+        "cpt": f"{w}, {pairs_sql()}, {CPT.format(n='cpt', pairs='pairs', vars=N, k=K)} SELECT parent, child, pv, cv, round(prob, 8) AS prob FROM cpt",
         "mutual_information": f"{w}, {pairs_sql()}, {mi_sql()} {mi_out}",
         "mutual_information_natural": f"WITH {natural_wide}, {pairs_sql('nat', 5)}, {mi_sql()} {mi_out}",
         "mutual_information_lineitem": f"WITH {line_wide}, {pairs_sql('lw', 3)}, {mi_sql()} {mi_out}",
@@ -482,6 +576,10 @@ def oracle_sql() -> dict[str, str]:
         "rwm_tree": f"{RUN_EDGES}, {determinants_sql('rw', 0.1)} {DRAWN} ",
         "rwm_final_tree": f"WITH RECURSIVE {wide_sql()}, {pairs_sql()}, upto AS (SELECT * FROM pairs WHERE t < (SELECT count(*) FROM wide)), {draws_sql('(SELECT count(*) FROM wide)', 'upto')}, {log_sum_sql()}, rw AS (SELECT (SELECT count(*) FROM wide) AS run, i, j, exp(log_weight - max(log_weight) OVER ()) AS weight FROM finals), {determinants_sql('rw', 0)} {DRAWN.replace('run, ', '')}",
         "weights_lead": f"WITH {TRAJ} SELECT t, i, j, round(log_weight, 6) AS log_weight, round(lead(log_weight) OVER (PARTITION BY i, j ORDER BY t), 6) AS next_log_weight FROM traj",
+        "stream_phi_state": f"WITH {nat}, {terminal_sql(FOUR)} SELECT i, j, round(cum_phi, 4) AS cum_phi FROM term",
+        "chow_liu_natural": f"WITH RECURSIVE {nat}, {mi_sql()}, {tree_sql('mi', 'mi', True)} SELECT i, j FROM tree",
+        "ofde_natural": f"WITH RECURSIVE {nat}, {terminal_sql(FOUR)}, {perturbed_sql(NATURAL, 'nat')}, {tree_sql('pert', 'weight', False)} SELECT i, j FROM tree",
+        "natural_scores": f"{nat_split}, {directed} SELECT round(({SCORE.format(tree='tree')}), 6) AS log_likelihood, round(({rooted}) / (SELECT count(*) FROM test), 6) AS rooted",
         "stream_weights": f"WITH {TRAJ} SELECT i, j, round(arg_max(log_weight, t), 6) AS log_weight FROM traj GROUP BY i, j",
         "symmetrize": f"{EDGES} SELECT u, v, round(weight, 8) AS weight FROM sym",
         "neighbour_map": f"WITH {TRUE}, s AS (SELECT i AS u, j AS v FROM true_edges UNION SELECT j, i FROM true_edges) SELECT u, list_sort(list(v)) AS near FROM s GROUP BY u",
@@ -494,6 +592,8 @@ def oracle_sql() -> dict[str, str]:
         "walk_cdf": f"{EDGES} SELECT u, v, round(sum(weight / s) OVER (PARTITION BY u ORDER BY v), 8) AS cdf FROM (SELECT *, sum(weight) OVER (PARTITION BY u) AS s FROM sym)",
         "mix_vector": f"{POINT} SELECT i, j, round(x, 8) AS x FROM x",
         "fractional_entries": f"{POINT} SELECT i, j, round(x, 8) AS x FROM x WHERE x > 1e-10 AND x < 1 - 1e-10",
+        "popped_tree": f"WITH RECURSIVE {TRADE}, {popped_sql('trade', NATIONS)} SELECT least(v, n)::INT AS i, greatest(v, n)::INT AS j FROM (SELECT unnest(range({NATIONS})) AS v, unnest(nxt) AS n FROM pops ORDER BY k DESC LIMIT {NATIONS}) WHERE v <> 0",
+        "block_log_partition": f"WITH RECURSIVE {TRADE}, {eliminated_sql('trade', NATIONS)} SELECT round(z, 8) AS log_z FROM steps WHERE k = {NATIONS - 1}",
         "wilson_tree": f"{RUN_EDGES}, {walks_sql('rw', 'run', 2 * N * N)} {WALKED.format(run='run')}",
         "wilson_fast_tree": f"{RUN_EDGES}, {walks_sql('rw', 'run', FEW_STEPS)} {WALKED.format(run='run')}",
         "swap_rounding": f"{POINT.replace('WITH', 'WITH RECURSIVE', 1)}, trades(key, k, x) AS (SELECT unnest(range({RUNS}))::BIGINT, 0, (SELECT list(x ORDER BY i, j) FROM x) UNION ALL {rounding_sql('trades', 'key', len(PAIRS))}), {LAST_POINTS} SELECT key AS run, i, j, round(x, 6) + 0.0::DOUBLE AS x FROM points",

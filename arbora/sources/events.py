@@ -33,9 +33,13 @@ def true_tree(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TREE), "i int, j int")
 
 
-def natural(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five variables of up to four values: type, user, event, quarter of the day, size."""
+def natural_columns(rows: DataFrame) -> DataFrame:
+    """Five variables of up to four values of rows of events: type, user, event, quarter of the day, size."""
     kind = F.when(F.col("event_type") == "click", 0).when(F.col("event_type") == "view", 1).when(F.col("event_type") == "error", 2).otherwise(3)
     size = F.when(F.col("value") < 2, 0).when(F.col("value") < 6, 1).when(F.col("value") < 12, 2).otherwise(3)
     cols = (kind, F.pmod("user_id", F.lit(4)), F.pmod("event_id", F.lit(4)), F.floor(F.hour("ts") / 6), size)
-    return events(spark, sf_dir).select((F.col("event_id") + 1).alias("t"), *(c.cast("int").alias(f"v{i}") for i, c in enumerate(cols)))
+    return rows.select((F.col("event_id") + 1).alias("t"), *(c.cast("int").alias(f"v{i}") for i, c in enumerate(cols)))
+
+
+def natural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return natural_columns(events(spark, sf_dir))
