@@ -2,7 +2,7 @@
 
 A block that reads like a licence is compressed alone and with each template as a raw zstandard
 dictionary. The template that saves the most is the candidate; the exact differences in wording
-then confirm or refuse it. Blocks are sentences, runs of them, and places found by aligning the
+then confirm or refuse it: words that name a licence, its version or a negation must agree. Blocks are sentences, runs of them, and places found by aligning the
 templates' words to the text, which line breaks and neighbouring text don't disturb. An SPDX tag
 with the identifier behind it is such a place; of an expression the first identifier counts.
 """
@@ -44,6 +44,8 @@ WORDINGS = (
     ),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     (
         "BSD-2-Clause",
@@ -57,6 +59,8 @@ WORDINGS = (
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "All rights reserved."),
@@ -80,6 +84,15 @@ HEADINGS = (
 #: The notice of a GNU licence of another kind or version than the one above.
 GNU = (("GPL-2.0", "General", "2"), ("LGPL-2.1", "Lesser General", "2.1"), ("LGPL-3.0", "Lesser General", "3"), ("AGPL-3.0", "Affero General", "3"))
 GNU_NOTICE = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} Public License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} Public License for more details."
+#: Identifiers that are known by their SPDX tag alone.
+TAGGED = ("0BSD", "AFL-3.0", "Apache-1.1", "Artistic-2.0", "BSL-1.0", "CC-BY-3.0", "CC-BY-NC-ND-4.0", "CC-BY-NC-SA-4.0", "EPL-1.0", "EPL-2.0", "EUPL-1.2", "LGPL-2.0", "MIT-0", "MPL-1.1", "MS-PL", "NCSA", "OFL-1.1", "PostgreSQL", "Python-2.0", "WTFPL", "Zlib", "ZPL-2.1")
+#: Words that tell one licence from another, and words that turn a grant into its opposite.
+NAMES = frozenset("affero afl apache artistic attribution boost bsd cc cc0 clause creative commons eclipse epl eupl general gnu gpl isc lesser lgpl agpl library mit mozilla mpl nc nd noderivatives noderivs noncommercial psf python sa sharealike unlicense wtfpl zero zlib".split())
+NEGATIONS = frozenset("cannot except excluding isn never neither no none nor not unlicensed".split())
+#: A number that is a version by its looks; others are versions behind one of these words.
+VERSION, VERSIONED = re.compile(r"v?[0-9]+(\.[0-9]+)+|v[0-9]+"), frozenset(("version", "v"))
+#: Words before a block, in its sentence, that may turn it into its opposite.
+BEFORE = 3
 #: A licence's words that any may stand beside: they name none where another is found.
 NOBODYS = "Proprietary"
 TAG = "SPDX-License-Identifier"
@@ -96,7 +109,7 @@ def templates() -> tuple[tuple[str, str], ...]:
         *((name, GNU_NOTICE.format(kind=kind, version=version)) for name, kind, version in GNU),
     ]
     tags = []
-    for name in dict.fromkeys(name for name, _ in listed if name != NOBODYS):
+    for name in dict.fromkeys([*(name for name, _ in listed if name != NOBODYS), *TAGGED]):
         tags += [(name, f"{TAG}: {name}{end}") for end in (("", "-only", "-or-later") if "GPL" in name else ("",))]
     return (*listed, *tags)
 
@@ -125,11 +138,11 @@ HINT, GOES_ON = re.compile(HINTS, re.I), re.compile(MORE, re.I)
 
 
 class Found(NamedTuple):
-    """A block's best template. ``differences`` has - template words and + words of the text."""
+    """A block's best template, and its licence if it is confirmed. ``differences`` has - template words and + words of the text."""
 
     start: int
     end: int
-    license: str
+    license: str | None
     template: int
     size_alone: int
     size_given: int
@@ -154,21 +167,57 @@ def template_words() -> list[list[str]]:
     return [words(t) for _, t in TEMPLATES]
 
 
+def deciding(own: list[str]) -> list[set[str]]:
+    """For each word what it says of a licence's name, version or negation; mostly nothing."""
+    out = []
+    for before, word in zip(["", *own], own, strict=False):
+        parts = {word, *word.split("-")}
+        numbers = {p for p in parts if VERSION.fullmatch(p) or (before in VERSIONED and p[:1].isdigit())}
+        out.append((parts & NAMES) | (parts & NEGATIONS) | {p.removeprefix("v") for p in numbers})
+    return out
+
+
+@lru_cache(1)
+def template_deciding() -> list[tuple[list[set[str]], set[str]]]:
+    """What each template's words say, and all that its wording or its licence's name says anywhere."""
+    out = []
+    for (name, _), own in zip(TEMPLATES, template_words(), strict=True):
+        said = deciding(own)
+        named = set(name.lower().split("-")) if name != NOBODYS else set()
+        out.append((said, set().union(*said, named)))
+    return out
+
+
+def agrees(k: int, own: list[set[str]], ops: list[tuple]) -> bool:
+    """No difference touches what tells licences apart: of the template's such words none is missing or
+    replaced, and the block has none that neither the template nor its licence's name has."""
+    said, anywhere = template_deciding()[k]
+    return all(not set().union(*said[a:b]) and not set().union(*own[c:d]) - (anywhere - NEGATIONS) for _, a, b, c, d in ops)
+
+
+def negated(text: str, start: int) -> bool:
+    """A word shortly before, in the same sentence, says the opposite."""
+    before = BREAK.split(text[max(0, start - 80) : start])[-1]
+    return bool(NEGATIONS & {p for w in words(before)[-BEFORE:] for p in w.split("-")})
+
+
 def best(text: str, start: int, end: int) -> Found:
-    """Templates are ranked by what they save, then by how little their wording differs."""
+    """Templates are ranked by what they save; a draw goes to one that agrees in names, versions and negations,
+    then to the one whose wording differs least. Only one that agrees can be confirmed."""
     alone, given = compressors()
     block = text[start:end].encode()
     own, size = words(text[start:end]), len(alone.compress(block))
+    told = deciding(own)
     sizes = [len(c.compress(block)) for c in given]
     # what saves nearly as much as the best is a draw, which wording decides
     most, scored = min(sizes) + max(DRAW, int(DRAW_SHARE * size)), []
     for k in (k for k, x in enumerate(sizes) if x <= most):
         ops = [o for o in SequenceMatcher(None, template_words()[k], own, autojunk=False).get_opcodes() if o[0] != "equal"]
-        scored.append((sum(max(b - a, d - c) for _, a, b, c, d in ops), sizes[k], k, ops))
-    n, given_size, k, ops = min(scored, key=lambda x: x[:3])
+        scored.append((not agrees(k, told, ops), sum(max(b - a, d - c) for _, a, b, c, d in ops), sizes[k], k, ops))
+    differs, n, given_size, k, ops = min(scored, key=lambda x: x[:4])
     shown = "; ".join(f"-[{' '.join(template_words()[k][a:b])}] +[{' '.join(own[c:d])}]" for _, a, b, c, d in ops)
-    confirmed = n <= DIFFERING * len(template_words()[k]) and size - given_size >= SAVING * size
-    return Found(start, end, TEMPLATES[k][0], k, size, given_size, n, shown, confirmed)
+    confirmed = not differs and n <= DIFFERING * len(template_words()[k]) and size - given_size >= SAVING * size and not negated(text, start)
+    return Found(start, end, TEMPLATES[k][0] if confirmed else None, k, size, given_size, n, shown, confirmed)
 
 
 def sentences(text: str) -> Iterator[tuple[int, int]]:
@@ -260,12 +309,14 @@ def scan(text: str) -> list[Found]:
     out += [f for f in single if not f.confirmed and free(f)]
     named = [f for f in out if f.confirmed and f.license != NOBODYS]
     beside = [(r[0][0], r[-1][1]) for r in runs if any(f.start < r[-1][1] and r[0][0] < f.end for f in named)]
-    return sorted((f for f in out if f.license != NOBODYS or not any(a <= f.start < b for a, b in beside)), key=lambda f: f.start)
+    return sorted((f for f in out if TEMPLATES[f.template][0] != NOBODYS or not any(a <= f.start < b for a, b in beside)), key=lambda f: f.start)
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, block and the fields of Found: one row per block of each text, null texts have none.
 
+    A block that no template confirms has a null licence; its template is the nearest one.
+
     Very long texts are read whole; repeated rows repeat in the result, other columns are ignored.
     Texts without a hint are left out by a filter in Spark, before any goes to Python; nothing is
     shuffled. Ids may be null or repeat. An empty table gives none.
