@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from arbora.functions import tables
 from arbora.functions.portable import mixed_sql, uniform, uniform_sql
 from arbora.operators import counts, graph, information, large_graphs, metrics, trees, weights
 from arbora.operators.encode import codebook, renamed, split
@@ -209,6 +210,25 @@ def order_tree(s: SparkSession, d: str) -> DataFrame:
     return information.mutual_information(wide)
 
 
+def sql_trajectory(s: SparkSession, d: str) -> DataFrame:
+    """The perturbed leader's trees of all steps, by one SQL statement over its weights."""
+    tables.register(s)
+    w = ForestDensity(planted(s, d), K, SEED).all_weights()
+    return s.sql("SELECT run AS t, i, j FROM minimum_tree(TABLE(SELECT t AS run, i, j, weight FROM {w}) PARTITION BY run ORDER BY (weight, i, j))", w=w)
+
+
+def sql_random_trees(s: SparkSession, d: str) -> DataFrame:
+    """Random trees of all runs, by one SQL statement over the graph."""
+    tables.register(s)
+    return s.sql(f"SELECT * FROM random_tree(TABLE(SELECT run, i, j, ln(weight) AS log_weight FROM {{w}}) PARTITION BY run ORDER BY (i, j), {N}, {SEED})", w=runs(edges(s, d)))
+
+
+def sql_rounding(s: SparkSession, d: str) -> DataFrame:
+    """Rounded points of all runs, by one SQL statement."""
+    tables.register(s)
+    return s.sql(f"SELECT run, i, j, round(x, 6) AS x FROM rounded_vector(TABLE(SELECT run, i, j, x FROM {{p}}) PARTITION BY run ORDER BY (i, j), {SEED})", p=runs(mixed_point(s, d)))
+
+
 def trade(s: SparkSession, d: str) -> DataFrame:
     """i, j, weight: nations linked by the lines that one's suppliers deliver to the other's customers."""
     read = lambda name: s.read.parquet(f"{d}/{name}.parquet")
@@ -262,6 +282,9 @@ def queries() -> dict[str, Query]:
         "rwm_tree": lambda s, d: trees.determinant_tree(runs(edges(s, d)), N, SEED, run="run"),
         "wilson_tree": lambda s, d: trees.walk_tree(runs(edges(s, d)), N, SEED, run="run").select("run", "i", "j"),
         "wilson_fast_tree": lambda s, d: trees.walk_tree(runs(edges(s, d)), N, SEED, most_steps=FEW_STEPS, run="run").select("run", "i", "j"),
+        "sql_trajectory": sql_trajectory,
+        "sql_random_trees": sql_random_trees,
+        "sql_rounding": sql_rounding,
         "popped_tree": lambda s, d: large_graphs.popped_tree(trade(s, d), NATIONS, SEED),
         "block_log_partition": lambda s, d: rounded(large_graphs.log_partition(trade(s, d), NATIONS, block=ROWS_OF_BLOCK)),
         "swap_rounding": lambda s, d: rounded(trees.swap_rounding(runs(mixed_point(s, d)), SEED, "run"), 6),
@@ -538,7 +561,7 @@ cells AS (SELECT i AS p, j AS c, u AS pv, v AS cv FROM tp UNION ALL SELECT j, i,
     FROM (SELECT t, var, unnest(range(3))::INT AS val FROM long) g JOIN long l ON l.t = g.t AND l.var = g.var"""
     scores = f"WITH RECURSIVE {SPLIT}, {TRUE}, {mi_sql()}, {tree_sql('mi', 'mi', True)} SELECT round(({SCORE.format(tree='tree')}), 6) AS log_likelihood, (SELECT count(*) FROM (SELECT * FROM true_edges ANTI JOIN tree USING (i, j))) + (SELECT count(*) FROM (SELECT * FROM tree ANTI JOIN true_edges USING (i, j))) AS shd"
     chow_liu = f"WITH RECURSIVE {wide_sql()}, {pairs_sql()}, {mi_sql()}, {tree_sql('mi', 'mi', True)} SELECT i, j FROM tree"
-    return {
+    stated = {
         "csv_round_trip": f"{w} SELECT t, {', '.join(f'v{i}' for i in range(N))} FROM wide",
         "edge_text_round_trip": chow_liu,
         "results_round_trip": scores,
@@ -610,6 +633,8 @@ cells AS (SELECT i AS p, j AS c, u AS pv, v AS cv FROM tp UNION ALL SELECT j, i,
         "random_graph": f"SELECT i::INT AS i, j::INT AS j FROM (SELECT unnest(range(12)) AS i), (SELECT unnest(range(12)) AS j) WHERE i < j AND ({mixed_sql('i * 12 + j', 42)}) / 2147483647::DOUBLE < 0.6",
         "stream_event_counts": "SELECT event_type, sum(n)::BIGINT AS n, count(*) AS windows FROM (SELECT event_type, date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY ALL) GROUP BY event_type",
     }
+    same = {"sql_trajectory": "ofde_trajectory", "sql_random_trees": "wilson_tree", "sql_rounding": "swap_rounding"}
+    return {**stated, **{name: stated[other] for name, other in same.items()}}
 
 
 def log_partition_sql() -> str:
