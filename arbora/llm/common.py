@@ -17,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH = 4 << 20
 #: Groups of a larger share of all rows than one in so many are joined apart from the others.
 HOT = 1000
+#: Parts that the rows of such a group are dealt to where they are to be read once only.
+PARTS = 64
 #: A run of those characters.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -107,3 +109,18 @@ def join_by_size(rows: DataFrame, groups: DataFrame, keys: list[str], size: str)
     near = rows.join(large, same)
     rest = rows.join(large.select(*names), same, "left_anti").join(groups.where(~hot), same, "left")
     return near.unionByName(rest).drop(*names)
+
+
+def join_spread(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: list[str]) -> DataFrame:
+    """``rows`` joined with their group, those without one left out, in one pass over the rows.
+
+    As in join_by_size ``size`` is the number of rows of each group. Rows of groups of over 1/HOT of all rows are
+    dealt by their ``spread`` columns to PARTS parts, each of which gets a copy of the group's row. Null keys have no group.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) * HOT > total
+    often = groups.where(hot).select(*keys, F.lit(True).alias("__often"))
+    part = F.when(F.col("__often"), F.pmod(F.xxhash64(*spread), F.lit(PARTS)).cast("int")).otherwise(0)
+    parts = F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0))))
+    dealt = rows.join(F.broadcast(often), keys, "left").withColumn("__part", part).drop("__often")
+    return dealt.join(groups.withColumn("__part", parts), [*keys, "__part"]).drop("__part")

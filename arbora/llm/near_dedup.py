@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.llm.common import cut, for_python, small_enough, text_of, written
+from arbora.llm.common import cut, for_python, join_by_size, small_enough, text_of, written
 from arbora.llm.components import components
 from arbora.llm.simhash import fingerprint, shingle_hashes, spanning
 
@@ -326,5 +326,6 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float
     groups = cut(components(stars(groups).unionByName(joined(members, groups, shingle, similarity, lanes, text_block))))
     ids = docs.select(node_of().alias("node"), F.col("doc_id").alias("id"), F.col("doc_id").isNull().alias("no_id")).join(groups, "node")
     best = ids.groupBy("label").agg(F.min(F.struct("no_id", "id", "node")).getField("node").alias("best"))
-    gone = cut(groups.join(best, "label").where("node <> best").select(F.col("node").alias("__gone")))
+    best = cut(best.join(groups.groupBy("label").agg(F.count("*").alias("members")), "label"))
+    gone = cut(join_by_size(groups, best, ["label"], "members").where("node <> best").select(F.col("node").alias("__gone")))
     return docs.join(small_enough(gone, BROADCAST_NODES), node_of() == F.col("__gone"), "left_anti").select(*docs.columns)

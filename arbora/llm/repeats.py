@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.llm.common import cut, for_python, join_by_size, text_of, written
+from arbora.llm.common import cut, for_python, join_by_size, join_spread, text_of, written
 
 #: Units that are hashed at once; places in such a chunk take 18 bits of the keys below.
 CHUNK = 1 << 18
@@ -373,9 +373,9 @@ def crowded_spans(crowded: DataFrame, job: Job, shard: int) -> DataFrame:
     who, same = F.xxhash64("k1", "k2", "place"), ["c1", "c2"]
     rows = written(crowded.withColumn("c1", F.xxhash64("context", "before")).withColumn("c2", F.xxhash64(F.lit(1), "context", "before")))
     one = F.first(F.struct("k1", "k2", "place", "before", "context", "low", "high")).alias("one")
-    kinds = written(rows.groupBy(*same).agg(F.min(who).alias("a"), F.max(who).alias("b"), one))
+    kinds = written(rows.groupBy(*same).agg(F.min(who).alias("a"), F.max(who).alias("b"), F.count("*").alias("n"), one))
     start = (F.col("place") - F.col("before")).cast("long")
-    twins = rows.where(F.col("units") >= job.width).drop("context").join(kinds.where("a <> b").select(*same), same)
+    twins = join_spread(rows.where(F.col("units") >= job.width).select("k1", "k2", "place", "before", "units", *same), kinds.where("a <> b").select(*same, "n"), same, "n", ["k1", "k2", "place"])
     spans = twins.select("k1", "k2", F.shiftleft(start, 31).bitwiseOR(start + F.col("units")).alias("span"))
     return spans.unionByName(dealt_again(kinds.select("one.*"), job, shard))
 
@@ -384,9 +384,9 @@ def marks_of(rows: DataFrame, job: Job, shard: int) -> DataFrame:
     """k1, k2, marks: each text's anchors whose gram occurs in another place, in it or elsewhere."""
     found = anchor_rows(rows, job)
     who = F.xxhash64("k1", "k2", "place")
-    grams = cut(found.groupBy("gram").agg(F.count("*").alias("n"), F.min(who).alias("a"), F.max(who).alias("b")).where("a <> b").select("gram", (F.col("n") > shard).alias("crowded")))
-    # each text has one entry, however many copies it has
-    return found.join(grams, "gram").groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "gram", "crowded")).alias("marks"))
+    grams = cut(found.groupBy("gram").agg(F.count("*").alias("n"), F.min(who).alias("a"), F.max(who).alias("b")).where("a <> b").select("gram", "n", (F.col("n") > shard).alias("crowded")))
+    # a line that many texts share brings its grams to as many places; each text has one entry, however many copies it has
+    return join_spread(found, grams, ["gram"], "n", ["k1", "k2", "place"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "gram", "crowded")).alias("marks"))
 
 
 def spans_of(marked: DataFrame, job: Job, shard: int) -> DataFrame:

@@ -221,8 +221,9 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, s
     """
     rows = cut(fingerprints(docs, shingle))
     per = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")))
-    linked = classes(per, radius, shard).join(per, F.col("node") == F.col("fp")).select("fp", "label", "least")
-    named = linked.join(linked.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("fp", "component_id")
+    linked = cut(classes(per, radius, shard).join(per, F.col("node") == F.col("fp")).select("fp", "label", "least"))
+    whole = cut(linked.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("members")))
+    named = join_by_size(linked, whole, ["label"], "members").select("fp", "component_id")
     ids = cut(per.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "size"))
     out = join_by_size(rows, ids, ["fp"], "size")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

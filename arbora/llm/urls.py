@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbora.llm.common import cut, join_by_size
+from arbora.llm.common import cut, join_by_size, join_spread
 
 
 class UrlRule(NamedTuple):
@@ -124,11 +124,12 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     )
     whole = hosts.agg(*sums()).first()
     mean = whole["bad"] / whole["n"] if whole["n"] else 0.5
-    suffixes = shrunk(hosts.groupBy("suffix").agg(*sums()).withColumn("prior", F.lit(float(mean))))
     prior = F.col("a") / (F.col("a") + F.col("b"))
-    domains = hosts.groupBy("suffix", "domain").agg(*sums()).join(suffixes.select("suffix", prior.alias("prior")), "suffix")
-    domains = cut(shrunk(domains))
-    each = shrunk(hosts.join(domains.select("suffix", "domain", prior.alias("prior")), ["suffix", "domain"]))
+    # a suffix may have a third of all domains, and a domain that gives each user a host a third of all hosts
+    domains = cut(hosts.groupBy("suffix", "domain").agg(*sums(), F.count("*").alias("hosts")))
+    suffixes = cut(shrunk(domains.groupBy("suffix").agg(*sums(), F.count("*").alias("domains")).withColumn("prior", F.lit(float(mean)))))
+    domains = cut(shrunk(join_by_size(domains, suffixes.select("suffix", "domains", prior.alias("prior")), ["suffix"], "domains")))
+    each = shrunk(join_by_size(hosts, domains.select("suffix", "domain", "hosts", prior.alias("prior")), ["suffix", "domain"], "hosts"))
     total = F.col("a") + F.col("b")
     sd = F.sqrt(F.col("a") * F.col("b") / (total * total * (total + 1)))
     return each.select("host", "pages", "n", "bad", (F.col("a") / total).alias("mean"), (F.col("a") / total - F.lit(Z) * sd).alias("bound"))
@@ -155,12 +156,14 @@ def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     A page is bad if its document is labelled low quality or toxic. A document with several
     labels counts as bad if any says so; null labels and unlabelled documents count for nothing.
     Pages are counted by host and document before they meet the labels; those without a number, of
-    which there may be any share, don't meet them.
+    which there may be any share, don't meet them. A document that many hosts name meets them in many tasks.
     """
     number = F.regexp_extract("path", r"/([0-9]{1,18})[^/]*/?$", 1)
-    docs = parsed(pages.select("url")).groupBy("host", F.when(number != "", number.cast("long")).alias("doc_id")).agg(F.count("*").alias("pages"))
+    docs = cut(parsed(pages.select("url")).groupBy("host", F.when(number != "", number.cast("long")).alias("doc_id")).agg(F.count("*").alias("pages")))
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
     marks = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(F.max(bad).alias("bad"))
     none = F.lit(0).cast("long")
-    marked = docs.where("doc_id is not null").join(marks, "doc_id").select("host", none.alias("pages"), F.col("pages").alias("labelled"), (F.col("pages") * F.col("bad")).alias("bad"))
+    numbered = docs.where("doc_id is not null")
+    named = cut(numbered.groupBy("doc_id").agg(F.count("*").alias("hosts")).join(marks, "doc_id"))
+    marked = join_spread(numbered, named, ["doc_id"], "hosts", ["host"]).select("host", none.alias("pages"), F.col("pages").alias("labelled"), (F.col("pages") * F.col("bad")).alias("bad"))
     return docs.select("host", "pages", none.alias("labelled"), none.alias("bad")).unionByName(marked)

@@ -160,3 +160,15 @@ def test_filter_audit_by_taking_every_order(spark):
     assert len(got) == len(want) == 4 * 600 and set(got) == want
     assert filter_audit.audit(left.where("doc_id < -9"), right).count() == 0
     assert {r["good_lost"] + r["toxic_lost"] for r in filter_audit.audit(left, right.where("doc_id > 999")).collect()} == {0}
+
+
+def test_join_spread(spark):
+    """A group with most of the rows is dealt to many tasks; the result is that of a plain join."""
+    from arbora.llm.common import PARTS, join_spread
+
+    rows = spark.createDataFrame([(7 if k % 3 else k, k) for k in range(6000)] + [(None, 1)], "g long, x long")
+    groups = rows.where("g % 2 = 1").groupBy("g").agg(F.count("*").alias("n"))
+    out = join_spread(rows, groups, ["g"], "n", ["x"])
+    assert rows_of(out) == rows_of(rows.join(groups, "g"))
+    dealt = rows.where("g = 7").select(F.pmod(F.xxhash64("x"), F.lit(PARTS)).alias("p")).groupBy("p").count()
+    assert dealt.count() == PARTS and dealt.agg(F.max("count")).first()[0] < 4 * 4000 / PARTS
