@@ -12,6 +12,7 @@ from arbora.functions.special import RATIO_FLOOR, floored_ln, lgamma
 from arbora.operators.counts import marginal_counts, pair_counts
 from arbora.operators.encode import cell, pair_form
 from arbora.operators.running import running_sums
+from arbora.session import cut
 
 #: Mutual information below this is that of an independent pair.
 MI_ZERO = 1e-12
@@ -26,6 +27,32 @@ def mutual_information(wide: DataFrame) -> DataFrame:
     return x.groupBy("i", "j").agg(F.greatest(F.sum(term), F.lit(0.0)).alias("mi"))
 
 
+def pair_scores(wide: DataFrame, k: int) -> DataFrame:
+    """i, j, mi, cum_phi: mutual information and final loss of each pair, from one pass over the rows.
+
+    GROUPING SETS count cells of pairs and values of their first and second variables at once. A variable is
+    first in as many pairs as there are variables behind it, and second in as many as before it.
+    """
+    n = len(wide.columns) - 1
+    cells = pair_form(wide).groupingSets([["i", "u"], ["j", "v"], ["i", "j", "u", "v"]], "i", "j", "u", "v")
+    c = cut(cells.agg(F.grouping_id().alias("set"), F.count("*").cast("double").alias("c")))
+    first = c.where("set = 5").select("i", "u", (F.col("c") / (F.lit(n - 1) - F.col("i"))).alias("ci"))
+    second = c.where("set = 10").select("j", "v", (F.col("c") / F.col("j")).alias("cj"))
+    joint = c.where("set = 0").select("i", "j", "u", "v", "c").join(F.broadcast(first), ["i", "u"]).join(F.broadcast(second), ["j", "v"])
+    x = joint.withColumn("n", F.sum("c").over(Window.partitionBy("i", "j")))
+    term = F.col("c") / F.col("n") * (F.ln("c") + F.ln("n") - F.ln("ci") - F.ln("cj"))
+    both = x.groupBy("i", "j").agg(F.greatest(F.sum(term), F.lit(0.0)).alias("mi"), _code("c", k * k).alias("s"))
+    one = lambda d, var, count, name: d.groupBy(var).agg(_code(count, k).alias(name))
+    out = both.join(one(first, "i", "ci", "si"), "i").join(one(second, "j", "cj", "sj"), "j")
+    return out.select("i", "j", "mi", (F.col("si") + F.col("sj") - F.col("s")).alias("cum_phi"))
+
+
+def _code(count: str, cells: float) -> Column:
+    """The sum of ln theta over all rows, telescoped to sums of ln Gamma over the final counts of a code's values."""
+    half, n = math.lgamma(0.5), F.sum(count)
+    return F.sum(lgamma(F.col(count) + 0.5) - half) - (lgamma(n + cells / 2) - math.lgamma(cells / 2))
+
+
 def theta(count: Column, before: Column, cells: float) -> Column:
     """The Krichevsky-Trofimov estimate after ``before`` rows, for a code of ``cells`` values."""
     return (count + 0.5) / (before + cells / 2)

@@ -17,7 +17,7 @@ from arbora.operators.encode import codebook, renamed, split
 from arbora.operators.local_trees import is_tree
 from arbora.plans.learners import RETRIES, ChowLiu, ForestDensity, WalkMajority, WeightedMajority, evaluate
 from arbora.session import cut, shared_folder
-from arbora.sources import files, synthetic
+from arbora.sources import files, formats, synthetic
 from arbora.sources.events import K, N, TREE, events, natural, natural_columns, plant, planted, true_tree
 from arbora.streaming import online, stateful
 
@@ -210,6 +210,33 @@ def order_tree(s: SparkSession, d: str) -> DataFrame:
     return information.mutual_information(wide)
 
 
+def source_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """The planted rows, written and read by the session's own format for observations."""
+    formats.register(s)
+    folder = scratch(s)
+    planted(s, d).write.format("observations").mode("append").save(folder)
+    return s.read.format("observations").option("n", N).load(folder)
+
+
+def source_edges(s: SparkSession, d: str) -> DataFrame:
+    """The nations' pairs of trade, written and read by the session's own format for edge lists."""
+    formats.register(s)
+    folder = scratch(s)
+    trade(s, d).select("i", "j").write.format("edge_list").mode("append").save(folder)
+    return s.read.format("edge_list").load(folder)
+
+
+def quarantine(s: SparkSession, d: str) -> DataFrame:
+    """reason, line of the lines that were spoiled in a CSV of the planted rows, and the number of good ones."""
+    lines, bad = scratch(s), scratch(s)
+    t, v0 = F.col("t") - 1, F.col("v0").cast("string")
+    spoiled = F.when(t % 97 == 3, "x").when(t % 89 == 5, "").when(t % 83 == 7, "9").otherwise(v0)
+    tail = F.when(t % 79 == 11, F.lit("")).otherwise(F.concat(F.lit(","), F.col("v5").cast("string")))
+    planted(s, d).select(F.concat(F.concat_ws(",", t, spoiled, *(f"v{i}" for i in range(1, N - 1))), tail).alias("value")).write.text(lines)
+    good = files.quarantined_observations(s, lines, N, K, bad, header=False)
+    return s.read.parquet(bad).select("reason", "line").unionByName(good.agg(F.lit("kept").alias("reason"), F.count("*").cast("string").alias("line")))
+
+
 def sql_trajectory(s: SparkSession, d: str) -> DataFrame:
     """The perturbed leader's trees of all steps, by one SQL statement over its weights."""
     tables.register(s)
@@ -282,6 +309,10 @@ def queries() -> dict[str, Query]:
         "rwm_tree": lambda s, d: trees.determinant_tree(runs(edges(s, d)), N, SEED, run="run"),
         "wilson_tree": lambda s, d: trees.walk_tree(runs(edges(s, d)), N, SEED, run="run").select("run", "i", "j"),
         "wilson_fast_tree": lambda s, d: trees.walk_tree(runs(edges(s, d)), N, SEED, most_steps=FEW_STEPS, run="run").select("run", "i", "j"),
+        "source_round_trip": source_round_trip,
+        "source_edges": source_edges,
+        "quarantine": quarantine,
+        "pair_scores": lambda s, d: rounded(information.pair_scores(natural(s, d), FOUR), 6),
         "sql_trajectory": sql_trajectory,
         "sql_random_trees": sql_random_trees,
         "sql_rounding": sql_rounding,
@@ -474,6 +505,9 @@ mergers(run, k, m, spot, w, names, taken) AS (
               FROM (SELECT s.*, forest, list_filter(range(1, s.m), lambda y: w[y + 1] > 0) AS near FROM mergers s JOIN forests f ON f.m = s.m))))"""
 
 
+#: Lines with planted faults: a letter, an empty field, a value outside, a field too few.
+SPOILED = f"""spoiled AS (SELECT t - 1 AS t, CASE WHEN (t - 1) % 97 = 3 THEN 'x' WHEN (t - 1) % 89 = 5 THEN '' WHEN (t - 1) % 83 = 7 THEN '9' ELSE v0::VARCHAR END AS v, concat_ws(',', {', '.join(f'v{i}' for i in range(1, N - 1))}) AS mid, CASE WHEN (t - 1) % 79 = 11 THEN '' ELSE ',' || v5 END AS tail FROM wide),
+judged AS (SELECT t || ',' || v || ',' || mid || tail AS line, CASE WHEN v = 'x' OR tail = '' THEN 'malformed' WHEN v = '' THEN 'missing' WHEN v = '9' THEN 'outside' END AS reason FROM spoiled)"""
 #: The nations' graph; the most draws of a vertex that popped_sql lists.
 TRADE = "trade AS (SELECT least(c_nationkey, s_nationkey)::INT AS i, greatest(c_nationkey, s_nationkey)::INT AS j, count(*)::DOUBLE AS weight FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey WHERE c_nationkey <> s_nationkey GROUP BY ALL)"
 LISTED = 300
@@ -563,6 +597,10 @@ cells AS (SELECT i AS p, j AS c, u AS pv, v AS cv FROM tp UNION ALL SELECT j, i,
     chow_liu = f"WITH RECURSIVE {wide_sql()}, {pairs_sql()}, {mi_sql()}, {tree_sql('mi', 'mi', True)} SELECT i, j FROM tree"
     stated = {
         "csv_round_trip": f"{w} SELECT t, {', '.join(f'v{i}' for i in range(N))} FROM wide",
+        "source_round_trip": f"{w} SELECT t, {', '.join(f'v{i}' for i in range(N))} FROM wide",
+        "source_edges": f"WITH {TRADE} SELECT i, j FROM trade",
+        "quarantine": f"{w}, {SPOILED} SELECT reason, line FROM judged WHERE reason IS NOT NULL UNION ALL SELECT 'kept', count(*)::VARCHAR FROM judged WHERE reason IS NULL",
+        "pair_scores": f"WITH {nat}, {mi_sql()}, {terminal_sql(FOUR)} SELECT i, j, round(mi, 6) AS mi, round(cum_phi, 6) AS cum_phi FROM mi JOIN term USING (i, j)",
         "edge_text_round_trip": chow_liu,
         "results_round_trip": scores,
         "walk_counters": f"{RUN_EDGES}, {walks_sql('rw', 'run', FEW_STEPS)} SELECT run, max(fell)::INT AS fallbacks, max(walks)::INT AS walks FROM moves GROUP BY run",

@@ -17,6 +17,40 @@ def read_observations(spark: SparkSession, path: str, n: int) -> DataFrame:
     return rows.select((F.col("at") + 1).alias("t"), *(f"v{i}" for i in range(n)))
 
 
+def quarantined_observations(spark: SparkSession, path: str, n: int, k: int, quarantine: str, header: bool = True) -> DataFrame:
+    """The wide form of the good rows of a CSV; the others are written as a table to the folder ``quarantine``.
+
+    That table has file, line and reason: malformed (another number of fields, or one that is no number), missing (a
+    field is empty) or outside (a value is not in 0..k-1). One bad line fails no job and loses no other line.
+    """
+    names = [f"v{i}" for i in range(n)]
+    schema = T.StructType([T.StructField("at", T.LongType()), *(T.StructField(v, T.IntegerType()) for v in names), T.StructField("malformed", T.StringType())])
+    rows = spark.read.schema(schema).option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "malformed").csv(path)
+    missing, inside = F.lit(False), F.lit(True)
+    for c in ("at", *names):
+        missing |= F.col(c).isNull()
+    for c in names:
+        inside &= F.col(c).between(0, k - 1)
+    reason = F.when(F.col("malformed").isNotNull(), "malformed").when(missing, "missing").when(~inside, "outside")
+    line = F.coalesce("malformed", F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("at", *names))))
+    judged = rows.select("at", *names, F.col("_metadata.file_path").alias("file"), line.alias("line"), reason.alias("reason"))
+    judged.where("reason is not null").select("file", "line", "reason").write.mode("overwrite").parquet(quarantine)
+    return judged.where("reason is null").select((F.col("at") + 1).alias("t"), *names)
+
+
+def quarantined_edges(spark: SparkSession, path: str, quarantine: str) -> DataFrame:
+    """i, j of the good pairs of a text as read_edges takes it; what else stands in brackets goes to the folder ``quarantine``.
+
+    That table has file, item (the number of the pair in its file, from 0) and text.
+    """
+    items = F.posexplode(F.regexp_extract_all("value", F.lit(r"\(([^()]*)\)"), F.lit(1))).alias("item", "text")
+    found = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file")).select("file", items)
+    good = F.col("text").rlike(r"^\s*-?\d{1,9}\s*,\s*-?\d{1,9}\s*$")
+    found.where(~good).write.mode("overwrite").parquet(quarantine)
+    ends = F.split("text", ",")
+    return found.where(good).select(F.trim(ends[0]).cast("int").alias("i"), F.trim(ends[1]).cast("int").alias("j"))
+
+
 def read_observations_parquet(spark: SparkSession, path: str, columns: list[str], t: str) -> DataFrame:
     rows = spark.read.parquet(path)
     return rows.select(F.col(t).cast("long").alias("t"), *(F.col(c).cast("int").alias(f"v{i}") for i, c in enumerate(columns)))
