@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,10 +27,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 SEED, RUNS = 7, 50
 #: Steps of a walk in the query of walks that fall back to uniform steps.
 FEW_STEPS = 3
-#: The synthetic data set: columns, rows, seed and noise. Scores of two methods that are compared.
-SAMPLES = (10, 500, 42, 0.3)
-SCORES = ([-3.1, -2.9, -4.0, -3.6, -3.3], [-3.0, -2.7, -4.1, -3.2, -3.1])
+#: The synthetic data set: columns, seed and noise; it has a row for each event.
+SAMPLES = (10, 42, 0.3)
+#: Two trees of the natural columns that are compared, on so many parts of the rows.
+STAR, PATH, FOLDS = ((0, 1), (0, 2), (0, 3), (0, 4)), ((0, 1), (1, 2), (2, 3), (3, 4)), 8
 DRAWS, BINS = 50_000, 4
+ALPHABETS = (("events", "event_type"), ("lineitem", "l_returnflag"), ("lineitem", "l_linestatus"), ("lineitem", "l_linenumber"))
 EPSILON = 0.9
 #: Variables of the natural columns, and values of each.
 NATURAL, FOUR = 5, 4
@@ -134,9 +137,28 @@ def stream_event_counts(s: SparkSession, d: str) -> DataFrame:
     return counted.groupBy("event_type").agg(F.sum("n").alias("n"), F.count("*").alias("windows"))
 
 
+def level_tables(s: SparkSession, d: str) -> DataFrame:
+    """The levels for alphabets as large as those of some columns."""
+    sizes = {s.read.parquet(f"{d}/{name}.parquet").agg(F.countDistinct(c)).first()[0] for name, c in ALPHABETS}
+    return reduce(DataFrame.unionByName, (weights.level_table(s, k) for k in sorted(sizes)))
+
+
 def synthetic_samples(s: SparkSession, d: str) -> DataFrame:
-    n, rows, seed, noise = SAMPLES
-    return synthetic.dataset(s, n, rows, 2, True, seed, noise=noise)[0]
+    n, seed, noise = SAMPLES
+    return synthetic.dataset(s, n, events(s, d).count(), 2, True, seed, noise=noise)[0]
+
+
+def fold_scores(s: SparkSession, d: str) -> DataFrame:
+    """fold, star, path: scores of two trees on parts of the natural rows."""
+    wide = natural(s, d)
+    table = cut(counts.cpt(wide, NATURAL, FOUR))
+    score = lambda tree, name: metrics.fold_scores(wide, table, s.createDataFrame(list(tree), "i int, j int"), FOLDS).withColumnRenamed("score", name)
+    return score(STAR, "star").join(score(PATH, "path"), "fold")
+
+
+def fold_lists(s: SparkSession, d: str) -> tuple[list[float], list[float]]:
+    rows = sorted(tuple(r) for r in fold_scores(s, d).collect())
+    return [r[1] for r in rows], [r[2] for r in rows]
 
 
 def command_line(s: SparkSession, d: str) -> DataFrame:
@@ -289,14 +311,14 @@ def queries() -> dict[str, Query]:
         "phi_trajectory": lambda s, d: rounded(information.phi_trajectory(p(s, d), K), 4),
         "phi_terminal": lambda s, d: rounded(information.phi_terminal(p(s, d), K), 4),
         "ofde_tree": lambda s, d: ForestDensity(p(s, d), K, SEED).tree(),
-        "level_table": lambda s, d: rounded(weights.level_table(s, 2).unionByName(weights.level_table(s, 3)).unionByName(weights.level_table(s, 4)).unionByName(weights.level_table(s, 5)), 10),
+        "level_table": lambda s, d: rounded(level_tables(s, d), 10),
         "level_draws": lambda s, d: rounded(weights.level_draws(p(s, d), N, K, events(s, d).count(), EPSILON, SEED), 10),
         "rwm_weights_trajectory": lambda s, d: rounded(weights.weights_trajectory(p(s, d), N, K, events(s, d).count(), EPSILON, SEED), 6),
         "rwm_weights_terminal": lambda s, d: rounded(weights.weights_terminal(p(s, d), N, K, events(s, d).count(), EPSILON, SEED), 6),
         "rwm_weights_natural": lambda s, d: rounded(weights.weights_terminal(natural(s, d), NATURAL, FOUR, events(s, d).count(), EPSILON, SEED, RETRIES), 6),
         "weights_lead": lambda s, d: rounded(weights.weights_lead(weights.weights_trajectory(p(s, d), N, K, events(s, d).count(), EPSILON, SEED)), 6),
         "symmetrize": lambda s, d: rounded(graph.symmetrize(edges(s, d))),
-        "neighbour_map": lambda s, d: graph.neighbours(true_tree(s)),
+        "neighbour_map": lambda s, d: graph.neighbours(trade(s, d)),
         "weighted_degree": lambda s, d: rounded(graph.weighted_degree(edges(s, d))),
         "laplacian": lambda s, d: rounded(graph.laplacian(edges(s, d))),
         "laplacian_minor": lambda s, d: rounded(graph.laplacian_minor(edges(s, d))),
@@ -325,17 +347,18 @@ def queries() -> dict[str, Query]:
         "tree_log_partition": lambda s, d: rounded(trees.tree_log_partition(graph.contract_edge(graph.contract_edge(edges(s, d), 0, 1), 0, 1), N - 2)),
         "tree_log_partition_floor": lambda s, d: rounded(singular_partition(s, d)),
         "rounding_steps": lambda s, d: rounded(trees.rounding_steps(ForestDensity(p(s, d), K, SEED).trajectory(), N, events(s, d).count(), SEED), 6),
-        "random_tree": lambda s, d: synthetic.random_tree(s, SAMPLES[0], SAMPLES[2]),
-        "random_graph": lambda s, d: synthetic.random_graph(s, 12, 42),
+        "random_tree": lambda s, d: synthetic.random_tree(s, s.read.parquet(f"{d}/nation.parquet").count(), SAMPLES[1]),
+        "random_graph": lambda s, d: synthetic.random_graph(s, s.read.parquet(f"{d}/supplier.parquet").count(), 42),
         "synthetic_samples": synthetic_samples,
-        "signed_rank": lambda s, d: metrics.signed_rank(s, *SCORES, draws=DRAWS),
-        "difference_histogram": lambda s, d: rounded(metrics.difference_histogram(s, *SCORES, bins=BINS)),
+        "fold_scores": lambda s, d: rounded(fold_scores(s, d)),
+        "signed_rank": lambda s, d: metrics.signed_rank(s, *fold_lists(s, d), draws=DRAWS),
+        "difference_histogram": lambda s, d: rounded(metrics.difference_histogram(s, *fold_lists(s, d), bins=BINS)),
         "command_line_scores": lambda s, d: rounded(command_line(s, d), 6),
         "csv_round_trip": csv_round_trip,
         "edge_text_round_trip": edge_text_round_trip,
         "results_round_trip": lambda s, d: rounded(results_round_trip(s, d), 6),
         "walk_counters": walk_counters,
-        "initial_weights": lambda s, d: weights.initial_weights(s, N),
+        "initial_weights": lambda s, d: weights.initial_weights(s, s.read.parquet(f"{d}/nation.parquet").count()),
         "contraction_map": lambda s, d: rounded(contraction_steps(s, d)),
         "stream_phi": lambda s, d: rounded(stream_phi(s, d), 4),
         "stream_phi_state": lambda s, d: rounded(stream_phi_state(s, d), 4),
@@ -580,14 +603,17 @@ def oracle_sql() -> dict[str, str]:
     floor(hour(ts) / 6) AS v3, CASE WHEN value < 2 THEN 0 WHEN value < 6 THEN 1 WHEN value < 12 THEN 2 ELSE 3 END AS v4 FROM events)"""
     line_wide = "lw AS (SELECT 0 AS t, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS v0, (l_linestatus = 'O')::INT AS v1, l_linenumber - 1 AS v2 FROM lineitem)"
     mi_out = "SELECT i, j, round(mi, 8) AS mi FROM mi"
-    levels = " UNION ALL ".join(
-        f"SELECT {k} AS k, unnest(range({c.levels}))::INT AS ell, round({c.tau}::DOUBLE * pow({1 + c.gamma}::DOUBLE, unnest(range({c.levels}))), 10) AS value" for k in (2, 3, 4, 5) for c in [weights.constants(3, k, 1, EPSILON)]
-    )
+    sizes = " UNION ".join(f"SELECT count(DISTINCT {c}) AS k FROM {name}" for name, c in ALPHABETS)
+    levels = f"""WITH ks AS ({sizes}), taus AS (SELECT k, {EPSILON / 2}::DOUBLE / (4 * k * k) AS tau FROM ks), tops AS (SELECT *, floor(ln(1 / (2 * tau)) / ln({1 + EPSILON / 8}::DOUBLE)) AS top FROM taus)
+    SELECT k::INT AS k, ell::INT AS ell, round(tau * pow({1 + EPSILON / 8}::DOUBLE, ell), 10) AS value FROM (SELECT k, tau, unnest(range(top::BIGINT + 1)) AS ell FROM tops)"""
     moved = lambda c: f"CASE WHEN {c} IN (1, 3) THEN 2 WHEN {c} > 1 THEN {c} - 1 ELSE {c} END"
     perturbed_sql = lambda vars, source: f"pert AS (SELECT i, j, cum_phi + (({mixed_sql(f'(n * {vars} + i) * {vars} + j', SEED)}) / 2147483647::DOUBLE) * {vars} * sqrt(n / 2) AS weight FROM term, (SELECT count(*) AS n FROM {source}))"
     perturbed = perturbed_sql(N, "wide")
     nat = f"{natural_wide}, {long_sql('nat', NATURAL)}, {pairs_sql('nat', NATURAL)}"
     nat_split = f"WITH RECURSIVE {natural_wide}, train AS (SELECT * FROM nat WHERE (t - 1) % 10 < 7), test AS (SELECT * FROM nat WHERE (t - 1) % 10 >= 7), {pairs_sql('train', NATURAL)}, {pairs_sql('test', NATURAL, 'tp')}, {long_sql('train', NATURAL)}, {CPT.format(n='cpt', pairs='pairs', vars=NATURAL, k=FOUR)}, {mi_sql()}, {tree_sql('mi', 'mi', True)}"
+    listed = lambda tree: " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j" for i, j in tree)
+    scored = lambda tree: f"(SELECT (p.t - 1) % {FOLDS} AS fold, sum(ln(greatest(coalesce(prob, 0), 1e-10::DOUBLE))) / count(DISTINCT p.t) AS score FROM pairs p JOIN ({listed(tree)}) e ON e.i = p.i AND e.j = p.j LEFT JOIN cpt ON parent = p.i AND child = p.j AND pv = u AND cv = v GROUP BY fold)"
+    folds = f"{natural_wide}, {pairs_sql('nat', NATURAL)}, {CPT.format(n='cpt', pairs='pairs', vars=NATURAL, k=FOUR)}, folds AS (SELECT a.fold::INT AS fold, a.score AS star, b.score AS path FROM {scored(STAR)} a JOIN {scored(PATH)} b USING (fold))"
     directed = f"""sides AS (SELECT i AS a, j AS b FROM tree UNION ALL SELECT j, i FROM tree), away(node, parent) AS (SELECT {ROOT}, NULL::INT UNION ALL SELECT b, node FROM away JOIN sides ON a = node WHERE parent IS NULL OR b <> parent),
 cells AS (SELECT i AS p, j AS c, u AS pv, v AS cv FROM tp UNION ALL SELECT j, i, v, u FROM tp), own AS (SELECT val, count(*) / (SELECT count(*) FROM train) AS prob FROM long WHERE var = {ROOT} GROUP BY val)"""
     rooted = f"(SELECT sum(ln(greatest(coalesce(prob, 0), 1e-10::DOUBLE))) FROM cells JOIN away ON away.node = c AND away.parent = p LEFT JOIN cpt ON cpt.parent = p AND cpt.child = c AND cpt.pv = cells.pv AND cpt.cv = cells.cv) + (SELECT sum(ln(greatest(coalesce(prob, 0), 1e-10::DOUBLE))) FROM test LEFT JOIN own ON val = v{ROOT})"
@@ -605,7 +631,7 @@ cells AS (SELECT i AS p, j AS c, u AS pv, v AS cv FROM tp UNION ALL SELECT j, i,
         "results_round_trip": scores,
         "walk_counters": f"{RUN_EDGES}, {walks_sql('rw', 'run', FEW_STEPS)} SELECT run, max(fell)::INT AS fallbacks, max(walks)::INT AS walks FROM moves GROUP BY run",
         "command_line_scores": scores,
-        "initial_weights": f"SELECT i::INT AS i, j::INT AS j, 1.0::DOUBLE AS weight FROM (SELECT unnest(range({N})) AS i), (SELECT unnest(range({N})) AS j) WHERE i < j",
+        "initial_weights": "WITH n AS (SELECT count(*) AS n FROM nation) SELECT i::INT AS i, j::INT AS j, 1.0::DOUBLE AS weight FROM (SELECT unnest(range(n)) AS i FROM n), (SELECT unnest(range(n)) AS j FROM n) WHERE i < j",
         "contraction_map": f"{EDGES}, m0 AS (SELECT i, j, weight, i AS from_i, j AS from_j FROM w), {mapped_sql('m0', 'm1', 1, 3, SEED)}, {mapped_sql('m1', 'm2', 0, 1, SEED + 1)} SELECT i::INT AS i, j::INT AS j, round(weight, 8) AS weight, from_i::INT AS from_i, from_j::INT AS from_j FROM m2",
         "marginal_counts": f"{w}, {long_sql()} SELECT var, val, count(*) AS c FROM long GROUP BY ALL",
         "pair_counts": f"{w}, {pairs_sql()} SELECT i, j, u, v, count(*) AS c FROM pairs GROUP BY ALL",
@@ -643,7 +669,7 @@ cells AS (SELECT i AS p, j AS c, u AS pv, v AS cv FROM tp UNION ALL SELECT j, i,
         "natural_scores": f"{nat_split}, {directed} SELECT round(({SCORE.format(tree='tree')}), 6) AS log_likelihood, round(({rooted}) / (SELECT count(*) FROM test), 6) AS rooted",
         "stream_weights": f"WITH {TRAJ} SELECT i, j, round(arg_max(log_weight, t), 6) AS log_weight FROM traj GROUP BY i, j",
         "symmetrize": f"{EDGES} SELECT u, v, round(weight, 8) AS weight FROM sym",
-        "neighbour_map": f"WITH {TRUE}, s AS (SELECT i AS u, j AS v FROM true_edges UNION SELECT j, i FROM true_edges) SELECT u, list_sort(list(v)) AS near FROM s GROUP BY u",
+        "neighbour_map": f"WITH {TRADE}, s AS (SELECT i AS u, j AS v FROM trade UNION SELECT j, i FROM trade) SELECT u, list_sort(list(v)) AS near FROM s GROUP BY u",
         "weighted_degree": f"{EDGES} SELECT u, round(sum(weight), 8) AS degree FROM sym GROUP BY u",
         "laplacian": f"{EDGES} SELECT u, u AS v, round(sum(weight), 8) AS value FROM sym GROUP BY u UNION ALL SELECT u, v, round(-weight, 8) FROM sym WHERE weight <> 0",
         "laplacian_minor": f"{EDGES} SELECT * FROM (SELECT u, u AS v, round(sum(weight), 8) AS value FROM sym GROUP BY u UNION ALL SELECT u, v, round(-weight, 8) FROM sym WHERE weight <> 0) WHERE u <> 0 AND v <> 0",
@@ -664,11 +690,12 @@ cells AS (SELECT i AS p, j AS c, u AS pv, v AS cv FROM tp UNION ALL SELECT j, i,
         "stream_walk_trees": f"WITH RECURSIVE {TRAJ}, rw AS (SELECT t + 1 AS t, i, j, log_weight FROM traj), {walks_sql('rw', 't', 2 * N * N)} {WALKED.format(run='t')}",
         "tree_log_partition_floor": singular_sql(),
         "tree_log_partition": log_partition_sql(),
-        "random_tree": f"WITH RECURSIVE {random_tree_sql()} SELECT i, j FROM planted",
+        "random_tree": f"WITH RECURSIVE {random_tree_sql(NATIONS)} SELECT i, j FROM planted",
         "synthetic_samples": samples_sql(),
-        "signed_rank": signed_rank_sql(),
-        "difference_histogram": histogram_sql(),
-        "random_graph": f"SELECT i::INT AS i, j::INT AS j FROM (SELECT unnest(range(12)) AS i), (SELECT unnest(range(12)) AS j) WHERE i < j AND ({mixed_sql('i * 12 + j', 42)}) / 2147483647::DOUBLE < 0.6",
+        "fold_scores": f"WITH {folds} SELECT fold, round(star, 8) AS star, round(path, 8) AS path FROM folds",
+        "signed_rank": signed_rank_sql(folds),
+        "difference_histogram": histogram_sql(folds),
+        "random_graph": f"WITH n AS (SELECT count(*) AS n FROM supplier) SELECT i::INT AS i, j::INT AS j FROM n, (SELECT unnest(range(n)) AS i FROM n), (SELECT unnest(range(n)) AS j FROM n) WHERE i < j AND ({mixed_sql('i * n + j', 42)}) / 2147483647::DOUBLE < 0.6",
         "stream_event_counts": "SELECT event_type, sum(n)::BIGINT AS n, count(*) AS windows FROM (SELECT event_type, date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY ALL) GROUP BY event_type",
     }
     same = {"sql_trajectory": "ofde_trajectory", "sql_random_trees": "wilson_tree", "sql_rounding": "swap_rounding"}
@@ -701,9 +728,9 @@ def singular_sql() -> str:
     return f"{EDGES}, m AS (SELECT {to.format(c='i')} AS a, {to.format(c='j')} AS b, weight FROM w), s AS (SELECT {pick} FROM m) SELECT round(ln(((w01 + w12 + 0.1::DOUBLE) * (w02 + w12 + 0.1::DOUBLE) - w12 * w12) * 0.1::DOUBLE), 8) AS log_z FROM s"
 
 
-def random_tree_sql() -> str:
+def random_tree_sql(n: int) -> str:
     """planted(i, j): Pruefer's decoding, a row for each leaf that is taken off."""
-    n, _, seed, _ = SAMPLES
+    seed = SAMPLES[1]
     code = f"[{', '.join(f'floor({uniform_sql(0, k, seed)} * {n})::INT' for k in range(n - 2))}]"
     leaf = f"list_min(list_filter(range({n}), lambda y: deg[y + 1] = 1))"
     return f"""code AS (SELECT {code} AS code),
@@ -717,7 +744,7 @@ planted AS (SELECT least(leaf, x)::INT AS i, greatest(leaf, x)::INT AS j FROM ta
 
 def samples_sql() -> str:
     """A value for each vertex in order, the root first: mostly that of a neighbour that has one."""
-    n, rows, seed, noise = SAMPLES
+    n, seed, noise = SAMPLES
     draw = lambda k: uniform_sql("t", k, seed)
     # the draws: 0 the root, 1 its value, one for each other vertex in order, then one for each column's noise
     own = f"SELECT s.*, (SELECT list(CASE WHEN e.i = s.v THEN e.j ELSE e.i END) FROM planted e WHERE e.i = s.v OR e.j = s.v) AS near FROM state s WHERE v < {n}"
@@ -725,24 +752,23 @@ def samples_sql() -> str:
     zero = f"CASE WHEN len(seen) = 0 THEN 0.5::DOUBLE ELSE {synthetic.INFLUENCE}::DOUBLE * len(list_filter(seen, lambda y: y = 0)) / len(seen) + {1 - synthetic.INFLUENCE}::DOUBLE / 2 END"
     value = f"CASE WHEN {draw('2 + v - CASE WHEN v > root THEN 1 ELSE 0 END')} < {zero} THEN 0 ELSE 1 END"
     flip = ", ".join(f"CASE WHEN {draw(1 + n + v)} > {noise}::DOUBLE THEN x[{v + 1}] ELSE 1 - x[{v + 1}] END::INT AS v{v}" for v in range(n))
-    return f"""WITH RECURSIVE {random_tree_sql()},
-roots AS (SELECT t, floor({draw(0)} * {n})::INT AS root, CASE WHEN {draw(1)} > {synthetic.ROOT_ZERO}::DOUBLE THEN 1 ELSE 0 END AS first FROM (SELECT unnest(range(1, {rows + 1})) AS t)),
+    return f"""WITH RECURSIVE {random_tree_sql(n)},
+roots AS (SELECT t, floor({draw(0)} * {n})::INT AS root, CASE WHEN {draw(1)} > {synthetic.ROOT_ZERO}::DOUBLE THEN 1 ELSE 0 END AS first FROM (SELECT unnest(range(1, (SELECT count(*) + 1 FROM events))) AS t)),
 state(t, root, v, x) AS (SELECT t, root, 0, list_transform(range({n}), lambda y: CASE WHEN y = root THEN first ELSE -1 END) FROM roots
   UNION ALL SELECT t, root, v + 1, CASE WHEN v = root THEN x ELSE x[1:v] || [{value}] || x[v + 2:] END FROM (SELECT *, {seen} AS seen FROM ({own})))
 SELECT t, {flip} FROM state WHERE v = {n}"""
 
 
-def signed_rank_sql() -> str:
-    m = len(SCORES[0]) + 1
-    z = f"[0.0::DOUBLE, {', '.join(f'{b}::DOUBLE - {a}::DOUBLE' for a, b in zip(*SCORES, strict=True))}]"
-    return f"""WITH w AS (SELECT d, k, -ln(1 - ({mixed_sql(f'd * {m} + k', 1)}) / 2147483647::DOUBLE) AS w, {z}[k + 1] AS z FROM (SELECT unnest(range({DRAWS})) AS d), (SELECT unnest(range({m})) AS k)),
+def signed_rank_sql(folds: str) -> str:
+    m = FOLDS + 1
+    return f"""WITH {folds}, zs AS (SELECT [0.0::DOUBLE] || list(path - star ORDER BY fold) AS z FROM folds),
+w AS (SELECT d, k, -ln(1 - ({mixed_sql(f'd * {m} + k', 1)}) / 2147483647::DOUBLE) AS w, z[k + 1] AS z FROM zs, (SELECT unnest(range({DRAWS})) AS d), (SELECT unnest(range({m})) AS k)),
 sums AS (SELECT a.d, sum(CASE WHEN (a.z + b.z) / 2 < 0 THEN a.w * b.w ELSE 0 END) AS l, sum(CASE WHEN (a.z + b.z) / 2 = 0 THEN a.w * b.w ELSE 0 END) AS e, sum(CASE WHEN (a.z + b.z) / 2 > 0 THEN a.w * b.w ELSE 0 END) AS r FROM w a JOIN w b ON a.d = b.d GROUP BY a.d)
 SELECT avg((l >= e AND l >= r)::INT) AS p_left, avg((e > l AND e >= r)::INT) AS p_rope, avg((r > l AND r > e)::INT) AS p_right FROM sums"""
 
 
-def histogram_sql() -> str:
-    z = ", ".join(f"({b}::DOUBLE - {a}::DOUBLE)" for a, b in zip(*SCORES, strict=True))
-    return f"""WITH z AS (SELECT unnest([{z}]) AS z), e AS (SELECT min(z) AS a, (max(z) - min(z)) / {BINS} AS h FROM z), b AS (SELECT unnest(range({BINS})) AS k)
+def histogram_sql(folds: str) -> str:
+    return f"""WITH {folds}, z AS (SELECT path - star AS z FROM folds), e AS (SELECT min(z) AS a, (max(z) - min(z)) / {BINS} AS h FROM z), b AS (SELECT unnest(range({BINS})) AS k)
 SELECT round(a + k * h, 8) AS low, round(a + (k + 1) * h, 8) AS high, (SELECT count(*) FROM z WHERE least(floor((z - a) / h), {BINS - 1}) = k) AS n FROM b, e"""
 
 

@@ -63,7 +63,7 @@ def test_terminal_weights_of_all_events(spark):
 def test_signed_rank_takes_the_default_draws(spark):
     from arbora.operators import metrics
 
-    assert rows_of(queries.queries()["signed_rank"](spark, DATA)) == rows_of(metrics.signed_rank(spark, *queries.SCORES))
+    assert rows_of(queries.queries()["signed_rank"](spark, DATA)) == rows_of(metrics.signed_rank(spark, *queries.fold_lists(spark, DATA)))
 
 
 @pytest.mark.parametrize("name", ["ofde_trajectory", "tree_trajectory", "stream_trees", "stream_walk_trees"])
