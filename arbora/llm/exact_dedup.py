@@ -82,7 +82,9 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all columns of ``docs`` and no others.
 
-    One row of each group stays. The texts move once, to the group's winner; a winner that
+    One row of each group stays: that with the longest text, then the smallest id; a null id comes last. Null
+    texts equal empty ones and those of white space only. Very long texts are compared whole; an empty table
+    gives none. The texts move once, to the group's winner; a winner that
     several entirely repeated rows match is settled in a second, small pass over those alone.
     """
     kept = cut(mark_copies(docs, id_col, text_col).groupBy("text_sha256", "n_points", "doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("ties")).where("kept").drop("kept"))

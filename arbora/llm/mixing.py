@@ -108,7 +108,11 @@ def mix_counts(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns of ``docs``."""
+    """The documents of the mix, each as often as it is taken, with the columns of ``docs`` and no others.
+
+    Nulls, sizes and repeated ids count as in mix_counts, so a text without words is taken as often as its
+    source's rate says. Very long texts are counted and kept whole. An empty table gives none.
+    """
     sizes = cut(docs.select("doc_id", "source", word_count().alias("size")))
     plan = rates(sizes, **options).select("source", F.col("rate").alias("__rate"), F.col("seed").alias("__seed"))
     n = copies(F.col("__rate"), F.col("__seed"))

@@ -153,5 +153,10 @@ def _taking(table: np.ndarray, columns: list[str]):
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` of the documents, packed."""
+    """``pieces`` of the documents, packed.
+
+    A null or empty text is one piece of one id. Very long texts are encoded whole and cut to pieces. Rows that
+    repeat are packed each on its own, ids may be null. Columns of ``docs`` other than id and text are ignored,
+    whatever they are named. An empty table gives none.
+    """
     return pack(pieces(docs, path, capacity), capacity)

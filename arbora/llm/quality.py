@@ -81,7 +81,8 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the measures that rules may name, one projection over each whole text.
 
     Null texts have no words and count as empty. Columns of ``docs`` named like a measure are
-    replaced.
+    replaced. Very long texts are measured whole, in time n log n of their words. Rows that repeat are all
+    measured, an empty table gives none.
     """
     words, text = F.col("__words"), text_of(text_col)
     steps: list[tuple[str, Column]] = [
@@ -104,13 +105,18 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE, text_col: str = "text") -> DataFrame:
-    """``measure`` and base_failed, kept. Texts without words fail the base rules."""
+    """``measure`` and base_failed, kept: never null, whatever is null in ``docs``.
+
+    Texts without words fail the base rules. Rows, also ones that repeat, are judged one by one; what lies on a
+    bound is within it. An empty table gives none.
+    """
     return measure(docs, text_col).withColumn("base_failed", ~compiled(base)).withColumn("kept", ~F.col("base_failed") & compiled(rules))
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE) -> DataFrame:
-    """The rows of ``docs`` that pass, with all columns of ``docs`` unchanged.
+    """The rows of ``docs`` that pass, with all columns of ``docs`` unchanged, also those named like a measure.
 
+    Null, empty and very long texts are judged as judge() does; rows that repeat stay or go together.
     The filter also reads the partition's number, as Spark moves no filter below a projection that
     has it: moved, the filter would repeat the measures once for each place that they are used.
     """
