@@ -22,6 +22,8 @@ from arbora.session import cut
 
 #: Parts that the edges of one vertex are dealt to, and exits of vertices up to which one task finds cycles.
 PARTS, LOCAL = 32, 1 << 16
+#: Exits that each vertex draws at once where one task pops the cycles.
+AHEAD = 16
 #: Rows and columns of a block of a matrix, and bytes of blocks that go to Python together.
 BLOCK, BATCH = 256, 16 << 20
 
@@ -44,14 +46,11 @@ def exits(vertices: DataFrame, edges: DataFrame, n: int, seed: int, most: int) -
     first = drawn.groupBy("v", "pops").agg(F.min(F.struct(waiting(F.col("u"), F.col("to"), F.col("pops"), F.col("weight"), seed).alias("at"), "to")).alias("first"))
     other = F.floor(uniform(F.col("v") + mixed(F.col("pops"), seed), seed + 3) * (n - 1))
     other = F.least(other, F.lit(n - 2)) + (F.least(other, F.lit(n - 2)) >= F.col("v")).cast("long")
-    return vertices.join(first.select("v", F.col("first.to").alias("to")), "v", "left").select("v", "pops", F.coalesce("to", other).alias("nxt"))
+    return vertices.join(first.select("v", "pops", F.col("first.to").alias("to")), ["v", "pops"], "left").select("v", "pops", F.coalesce("to", other).alias("nxt"))
 
 
-def _cycles_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vertices on cycles of exits (v, nxt), at most LOCAL of them."""
-    to: dict[int, int] = {}
-    for b in batches:
-        to.update(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+def cycles(to: dict[int, int]) -> list[int]:
+    """Vertices that their exits lead back to."""
     known, out = set(), []
     for v in to:
         path = {}
@@ -61,7 +60,30 @@ def _cycles_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if v in path:
             out += [x for x, k in path.items() if k >= path[v]]
         known.update(path)
-    yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["v"])
+    return out
+
+
+def _cycles_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vertices on cycles of exits (v, nxt), at most LOCAL of them."""
+    to: dict[int, int] = {}
+    for b in batches:
+        to.update(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+    yield pa.RecordBatch.from_arrays([pa.array(cycles(to), pa.int64())], ["v"])
+
+
+def _popped_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """v, pops, nxt, short of at most LOCAL vertices with their next draws (v, pops, nxt): cycles are popped until there are none, or a vertex runs short of draws."""
+    drawn: dict[int, list[tuple[int, int]]] = {}
+    for b in batches:
+        for v, pops, nxt in zip(*(b.column(c).to_pylist() for c in ("v", "pops", "nxt")), strict=True):
+            drawn.setdefault(v, []).append((pops, nxt))
+    for x in drawn.values():
+        x.sort(reverse=True)
+    while all(drawn.values()) and (loops := cycles({v: x[-1][1] for v, x in drawn.items()})):
+        last = {v: drawn[v].pop()[0] for v in loops}
+    rows = [(v, *x[-1], False) if x else (v, last[v] + 1, -1, True) for v, x in drawn.items()]
+    columns = zip(*rows, strict=True) if rows else [[]] * 4
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["v", "pops", "nxt", "short"])
 
 
 def on_cycles(exit_of: DataFrame, n: int, root: int, local: int = LOCAL) -> DataFrame:
@@ -84,17 +106,25 @@ def popped_tree(w: DataFrame, n: int, seed: int, root: int = 0, most: int | None
     ``w`` has i, j and log_weight, or weight; vertices are 0..n-1. Every vertex but the root draws an exit. Where
     exits close a cycle all of its vertices draw anew, and what is left without cycles is the tree: its law
     doesn't depend on the order in which cycles are popped, so all go at once. After ``most`` draws (2 * n * n) a
-    vertex goes anywhere, uniformly, as one without edges does at once. A round is a few joins, cut by checkpoint().
+    vertex goes anywhere, uniformly, as one without edges does at once. A round is a few joins, cut by checkpoint(). Up to
+    ``local`` vertices draw AHEAD exits each at a time, and one task pops their cycles, with the same result.
     """
     most = 2 * n * n if most is None else most
     both = symmetrize(logs(w).where(F.col("weight") > float("-inf")).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "weight"))
     edges = cut(both.select("u", F.col("v").alias("to"), "weight", F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int").alias("__part")))
     fresh = w.sparkSession.range(n).where(F.col("id") != root).select(F.col("id").alias("v"), F.lit(0).cast("long").alias("pops"))
+    done = lambda x: x.select(F.least("v", "nxt").cast("int").alias("i"), F.greatest("v", "nxt").cast("int").alias("j"))
+    while n <= local:
+        ahead = fresh.withColumn("pops", F.explode(F.sequence(F.col("pops"), F.col("pops") + AHEAD - 1)))
+        state = cut(exits(ahead, edges, n, seed, most).repartition(1).mapInArrow(_popped_here, "v long, pops long, nxt long, short boolean"))
+        if state.where("short").isEmpty():
+            return done(state)
+        fresh = state.select("v", "pops")
     state = cut(exits(fresh, edges, n, seed, most))
     while True:
         popped = on_cycles(state, n, root, local)
         if popped.isEmpty():
-            return state.select(F.least("v", "nxt").cast("int").alias("i"), F.greatest("v", "nxt").cast("int").alias("j"))
+            return done(state)
         again = state.join(popped, "v", "left_semi").select("v", (F.col("pops") + 1).alias("pops"))
         state = cut(state.join(popped, "v", "left_anti").unionByName(exits(again, edges, n, seed, most)))
 
