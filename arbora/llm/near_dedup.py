@@ -7,9 +7,13 @@ threshold needs to meet in one of them with the probability asked for. Where the
 finds the pairs within the radius, and a minimum spanning forest of them gives links. What links
 connect is a crowd: all pairs that meet within the radius lie in one. A crowd's texts come to one
 task, which compares all pairs within the radius and joins the groups of a similar pair at once, so
-that no pair within a group is looked at again and no pair is a row. The texts of a crowd that is
-too large for that are dealt to blocks, of which each two meet; its links are confirmed before,
-and a large group that they give doesn't meet itself.
+that no pair within a group is looked at again and no pair is a row.
+
+A crowd that is too large for that has its links confirmed first. Then it is cut to parts by its rare
+shingles: of a text's shingles in one order, the rarest in the crowd first, two similar texts share one
+at places that leave enough shingles behind for their similarity. Texts that can't be similar to
+another one by that drop out, so a crowd around a template costs in proportion to its texts. Parts that are still
+too large are dealt to blocks, of which each two meet, and a large group doesn't meet itself.
 """
 
 from __future__ import annotations
@@ -19,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbora.llm.common import cut, for_python, join_by_size, small_enough, text_of, written
+from arbora.llm.common import cut, for_python, join_by_size, join_spread, small_enough, text_of, written
 from arbora.llm.components import components
 from arbora.llm.simhash import fingerprint, shingle_hashes, spanning
 
@@ -39,6 +43,8 @@ FIRST = 6
 BLOCK = 4096
 #: Bytes of texts in a block of a crowd, each counted as so many more for the time that it takes.
 TEXT_BLOCK, TEXT_BYTES = 1 << 22, 1 << 12
+#: What the size that a place allows may be off by rounding.
+SLACK = 1e-6
 
 
 def differing(similarity: float) -> float:
@@ -192,6 +198,13 @@ def links_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1))], ["a", "b"])
 
 
+def joined_to(k: int, near: np.ndarray, label: np.ndarray) -> list[int]:
+    """One place of each label of ``near``; from now on those labels are that of ``k``."""
+    others, first = np.unique(label[near], return_index=True)
+    label[np.isin(label, others)] = label[k]
+    return near[first].tolist()
+
+
 def across(most: int):
     """Links that join the labels of each (key, part) as all its pairs within ``most`` bits would."""
 
@@ -202,10 +215,25 @@ def across(most: int):
             lanes, label, found = bits_of(fps), np.array(labels, dtype=np.int64), []
             for k in range(len(nodes) - 1):
                 near, _ = apart(lanes, label, k, most)
-                if len(near):
-                    others, first = np.unique(label[near], return_index=True)
-                    found += [(nodes[k], nodes[j]) for j in near[first].tolist()]
-                    label[np.isin(label, others)] = label[k]
+                found += [(nodes[k], nodes[j]) for j in joined_to(k, near, label)]
+            yield links_of(found)
+
+    return run
+
+
+def overlapping(most: int):
+    """The same for pairs that also allow each other's size by their ``reach``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nodes, labels, sizes, reaches, fps in tiles(batches, ("node", "label", "size", "reach", "fp")):
+            if len(set(labels)) < 2:
+                continue
+            lanes, label, found = bits_of(fps), np.array(labels, dtype=np.int64), []
+            size, reach = np.array(sizes), np.array(reaches)
+            for k in range(len(nodes) - 1):
+                near, _ = apart(lanes, label, k, most)
+                near = near[(size[near] <= reach[k]) & (reach[near] >= size[k])]
+                found += [(nodes[k], nodes[j]) for j in joined_to(k, near, label)]
             yield links_of(found)
 
     return run
@@ -285,6 +313,61 @@ def joined(members: DataFrame, groups: DataFrame, shingle: int = SHINGLE, simila
     return for_python(met(named, block)).mapInArrow(joining(radius(similarity, lanes), shingle, similarity), "a long, b long")
 
 
+def shingle_rows(named: DataFrame, shingle: int) -> DataFrame:
+    """key, node, label, size, h: a row for the hash of each different shingle of each text, of which it has ``size``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(x.as_py(), shingle)) for x in b.column("text")]
+            size = np.array([len(x) for x in sets], dtype=np.int64)
+            if size.sum():
+                ids = [np.repeat(b.column(c).to_numpy(zero_copy_only=False), size) for c in ("key", "node", "label")]
+                columns = [*ids, np.repeat(size, size), np.concatenate(sets).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "label", "size", "h"])
+
+    return for_python(named.select("key", "node", "label", "text")).mapInArrow(run, "key long, node long, label long, size long, h long")
+
+
+def meeting_lists(named: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """key (of a list), node, label, size, reach: texts that share a shingle of a crowd at a place where they may be similar.
+
+    A text's shingles come in the order of (texts of the crowd that have it, hash). Of texts of a and b shingles,
+    at least similarity / (1 + similarity) * (a + b) are common if they are similar. From the first common one on,
+    both have that many left, so with p shingles before it the first text allows the second at most ``reach`` =
+    (a - p) * (1 + similarity) / similarity - a of them, and the second one the first. Shingles that no other text has take
+    the first places but are no rows. Lists of one label, and those where no text is allowed a partner of its own
+    size or more, hold no such pair.
+    """
+    rows = written(shingle_rows(named, shingle))
+    often = written(rows.groupBy("key", "h").agg(F.count("*").alias("texts")).where("texts > 1"))
+    text = Window.partitionBy("key", "node")
+    shared = join_spread(rows, often, ["key", "h"], "texts", ["node"])
+    place = F.col("size") - F.count("*").over(text) + F.row_number().over(text.orderBy("texts", "h")) - 1
+    reach = (F.col("size") - F.col("place")) * ((1 + similarity) / similarity) - F.col("size") + SLACK
+    placed = shared.withColumn("place", place).select(F.xxhash64("key", "h").alias("list"), "node", "label", "size", reach.alias("reach"))
+    placed = written(placed.where(F.col("reach") >= similarity * F.col("size")))
+    lists = placed.groupBy("list").agg(F.count("*").alias("rows"), F.min("label").alias("a"), F.max("label").alias("b"), F.max(F.col("reach") >= F.col("size")).alias("may"))
+    lists = written(lists.where("a <> b and may").select("list", "rows"))
+    return join_spread(placed, lists, ["list"], "rows", ["node"]).drop("rows").withColumnRenamed("list", "key")
+
+
+def finer(members: DataFrame, large: DataFrame, groups: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, lanes: int = LANES, block: int = BLOCK) -> DataFrame:
+    """``members`` with the crowds of ``large`` (key) cut to the parts that rare shingles leave together.
+
+    All pairs that ``joined`` looks for lie in one part; texts of no such pair are left out. ``groups`` (node, label) are
+    the groups found before, which stay together.
+    """
+    inside = members.join(small_enough(large, BROADCAST_NODES), "key")
+    named = inside.join(small_enough(groups, BROADCAST_NODES), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = cut(named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key"))
+    lists = meeting_lists(named.join(small_enough(mixed, BROADCAST_NODES), "key"), shingle, similarity)
+    lists = lists.join(members.select("node", "fp"), "node").withColumn("weight", F.lit(1))
+    links = cut(met(lists, block).mapInArrow(overlapping(radius(similarity, lanes)), "a long, b long").distinct())
+    parts = cut(components(stars(groups).unionByName(links)))
+    again = inside.drop("key").join(small_enough(parts, BROADCAST_NODES), "node").withColumnRenamed("label", "key")
+    return members.join(small_enough(large, BROADCAST_NODES), "key", "left_anti").unionByName(again)
+
+
 def shingle_set(text: str, shingle: int) -> set:
     words = text.encode().lower().split()
     return set(zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) >= shingle else {tuple(words)}
@@ -323,6 +406,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float
     if not large.isEmpty():
         inside = crowds.join(small_enough(large, BROADCAST_NODES), F.col("label") == F.col("key")).select(F.col("node").alias("a"))
         groups = cut(components(confirmed(links.join(inside, "a"), members, shingle, similarity)))
+        members = finer(members, large, groups, shingle, similarity, lanes, block)
     groups = cut(components(stars(groups).unionByName(joined(members, groups, shingle, similarity, lanes, text_block))))
     ids = docs.select(node_of().alias("node"), F.col("doc_id").alias("id"), F.col("doc_id").isNull().alias("no_id")).join(groups, "node")
     best = ids.groupBy("label").agg(F.min(F.struct("no_id", "id", "node")).getField("node").alias("best"))

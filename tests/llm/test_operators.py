@@ -511,6 +511,49 @@ def test_near_stage_finds_pairs_just_over_the_threshold(spark):
     assert want <= got and len(got - want) <= 0.05 * 500
 
 
+def members_of(spark, texts):
+    """The members of one crowd, key 0."""
+    rows = [(0, k, simhash.fingerprint(t.encode(), 5, 8, repeats=False), t.encode(), len(t)) for k, t in texts.items()]
+    return spark.createDataFrame(rows, "key long, node long, fp binary, text binary, weight long")
+
+
+def test_a_crowd_around_a_template_is_cut_to_its_similar_pairs(spark):
+    """Ten times the texts leave as many to be compared as there are pairs, not a hundred times the work."""
+    left, lists = [], []
+    for n in (30, 300):
+        texts = {d: t for d, t, _ in crowd(3, n, 5)}
+        members, none = members_of(spark, texts), spark.createDataFrame([], "node long, label long")
+        parts = near_dedup.finer(members, spark.createDataFrame([(0,)], "key long"), none)
+        left.append({r["node"] for r in parts.select("node").collect()})
+        lists.append(near_dedup.meeting_lists(members.withColumn("label", members["node"]), 5, 0.8).count())
+    assert left == [{*range(5), *range(n, n + 5)} for n in (30, 300)]
+    assert lists[1] <= 12 * lists[0]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_parts_of_a_crowd_hold_all_its_similar_pairs(spark, seed):
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(160)]
+    texts = {k: " ".join([*base[rng.randint(0, 12) : rng.randint(60, 160)], *(f"x{rng.randint(0, 40)}" for _ in range(rng.randint(0, 25)))]) for k in range(150)}
+    texts |= {200: "", 201: "one two", 202: "One  two", 203: base[0]}
+    given = {k: min(k, k ^ 1) for k in range(0, 20)}
+    members, most = members_of(spark, texts), near_dedup.radius()
+    groups = spark.createDataFrame(list(given.items()), "node long, label long")
+    sets = {k: near_dedup.shingle_set(t, 5) for k, t in texts.items() if t}
+    fps = {r["node"]: int.from_bytes(r["fp"]) for r in members.collect()}
+
+    def parts(pairs):
+        up = {k: k for k in texts}
+        for a, c in pairs:
+            up = {k: up[a] if x == up[c] else x for k, x in up.items()}
+        return {tuple(k for k in up if up[k] == x) for x in set(up.values())}
+
+    near = [(a, c) for a in sets for c in sets if a < c and (fps[a] ^ fps[c]).bit_count() <= most and len(sets[a] & sets[c]) >= 0.8 * len(sets[a] | sets[c])]
+    cut_up = near_dedup.finer(members, spark.createDataFrame([(0,)], "key long"), groups, block=16)
+    found = [tuple(r) for r in near_dedup.joined(cut_up, groups, block=1 << 12).collect()]
+    assert len(near) > 20 and parts([*found, *given.items()]) == parts([*near, *given.items()])
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_joining_gives_the_components_of_similar_pairs(seed):
     rng = random.Random(seed)
