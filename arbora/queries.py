@@ -18,7 +18,7 @@ from arbora.operators.encode import codebook, renamed, split
 from arbora.operators.local_trees import is_tree
 from arbora.plans.learners import RETRIES, ChowLiu, ForestDensity, WalkMajority, WeightedMajority, evaluate
 from arbora.session import cut, shared_folder
-from arbora.sources import files, formats, synthetic
+from arbora.sources import files, formats, history, synthetic
 from arbora.sources.events import K, N, TREE, events, natural, natural_columns, plant, planted, true_tree
 from arbora.streaming import online, stateful
 
@@ -38,6 +38,8 @@ EPSILON = 0.9
 NATURAL, FOUR = 5, 4
 #: Nations, and rows of the blocks that their matrix is eliminated by.
 NATIONS, ROWS_OF_BLOCK = 25, 7
+#: The edge whose history is looked up.
+HISTORY_EDGE = (1, 3)
 #: The vertex that a tree of the natural columns is directed away from.
 ROOT = 3
 
@@ -75,6 +77,21 @@ def scratch(s: SparkSession) -> str:
     return f"{shared_folder(s)}/{uuid.uuid4().hex}"
 
 
+def kept_history(df: DataFrame) -> str:
+    """Name of a new table that holds the trajectory ``df``."""
+    name = f"history_{uuid.uuid4().hex}"
+    history.write_history(df, name, scratch(df.sparkSession))
+    return name
+
+
+def weight_history(s: SparkSession, d: str) -> str:
+    return kept_history(weights.weights_trajectory(planted(s, d), N, K, events(s, d).count(), EPSILON, SEED))
+
+
+def phi_history(s: SparkSession, d: str) -> str:
+    return kept_history(information.phi_trajectory(planted(s, d), K))
+
+
 def streamed(s: SparkSession, d: str) -> DataFrame:
     schema = T.StructType([T.StructField("event_id", T.LongType())])
     return plant(online.read_stream(s, d, "events*.parquet", schema))
@@ -317,6 +334,9 @@ def queries() -> dict[str, Query]:
         "rwm_weights_terminal": lambda s, d: rounded(weights.weights_terminal(p(s, d), N, K, events(s, d).count(), EPSILON, SEED), 6),
         "rwm_weights_natural": lambda s, d: rounded(weights.weights_terminal(natural(s, d), NATURAL, FOUR, events(s, d).count(), EPSILON, SEED, RETRIES), 6),
         "weights_lead": lambda s, d: rounded(weights.weights_lead(weights.weights_trajectory(p(s, d), N, K, events(s, d).count(), EPSILON, SEED)), 6),
+        "edge_history": lambda s, d: rounded(history.edge_history(s, weight_history(s, d), *HISTORY_EDGE, 1, events(s, d).count()), 6),
+        "histories_joined": lambda s, d: rounded(history.side_by_side(s, weight_history(s, d), phi_history(s, d)).withColumn("cum_phi", F.round("cum_phi", 4)).select("t", "i", "j", "log_weight", "cum_phi"), 6),
+        "tree_edge_history": lambda s, d: rounded(history.looked_up(ForestDensity(planted(s, d), K, SEED).trajectory(), phi_history(s, d)).select("t", "i", "j", "cum_phi"), 4),
         "symmetrize": lambda s, d: rounded(graph.symmetrize(edges(s, d))),
         "neighbour_map": lambda s, d: graph.neighbours(trade(s, d)),
         "weighted_degree": lambda s, d: rounded(graph.weighted_degree(edges(s, d))),
@@ -668,6 +688,9 @@ cells AS (SELECT i AS p, j AS c, u AS pv, v AS cv FROM tp UNION ALL SELECT j, i,
         "ofde_natural": f"WITH RECURSIVE {nat}, {terminal_sql(FOUR)}, {perturbed_sql(NATURAL, 'nat')}, {tree_sql('pert', 'weight', False)} SELECT i, j FROM tree",
         "natural_scores": f"{nat_split}, {directed} SELECT round(({SCORE.format(tree='tree')}), 6) AS log_likelihood, round(({rooted}) / (SELECT count(*) FROM test), 6) AS rooted",
         "stream_weights": f"WITH {TRAJ} SELECT i, j, round(arg_max(log_weight, t), 6) AS log_weight FROM traj GROUP BY i, j",
+        "edge_history": f"WITH {TRAJ} SELECT t, i, j, round(log_weight, 6) AS log_weight FROM traj WHERE i = {HISTORY_EDGE[0]} AND j = {HISTORY_EDGE[1]}",
+        "histories_joined": f"SELECT w.t, w.i, w.j, round(log_weight, 6) AS log_weight, round(cum_phi, 4) + 0.0::DOUBLE AS cum_phi FROM (WITH {TRAJ} SELECT * FROM traj) w JOIN (WITH {PHI} SELECT * FROM traj) p ON w.t = p.t AND w.i = p.i AND w.j = p.j",
+        "tree_edge_history": f"WITH RECURSIVE {PHI}, {STEP_PERTURBED}, {step_trees_sql('pert')} SELECT s.t, s.i, s.j, round(cum_phi, 4) + 0.0::DOUBLE AS cum_phi FROM (SELECT t, i, j FROM steps) s JOIN traj p ON s.t = p.t AND s.i = p.i AND s.j = p.j",
         "symmetrize": f"{EDGES} SELECT u, v, round(weight, 8) AS weight FROM sym",
         "neighbour_map": f"WITH {TRADE}, s AS (SELECT i AS u, j AS v FROM trade UNION SELECT j, i FROM trade) SELECT u, list_sort(list(v)) AS near FROM s GROUP BY u",
         "weighted_degree": f"{EDGES} SELECT u, round(sum(weight), 8) AS degree FROM sym GROUP BY u",
