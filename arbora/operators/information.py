@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbora.functions.portable import uniform
+from arbora.functions.portable import numbers, uniform
 from arbora.functions.special import RATIO_FLOOR, floored_ln, lgamma
+from arbora.operators import blocks
 from arbora.operators.counts import marginal_counts, pair_counts
-from arbora.operators.encode import cell, pair_form
-from arbora.operators.running import running_sums
+from arbora.operators.encode import cell, in_domain, pair_form, size
 from arbora.session import cut
 
 #: Mutual information below this is that of an independent pair.
@@ -53,29 +55,47 @@ def _code(count: str, cells: float) -> Column:
     return F.sum(lgamma(F.col(count) + 0.5) - half) - (lgamma(n + cells / 2) - math.lgamma(cells / 2))
 
 
-def theta(count: Column, before: Column, cells: float) -> Column:
-    """The Krichevsky-Trofimov estimate after ``before`` rows, for a code of ``cells`` values."""
-    return (count + 0.5) / (before + cells / 2)
+def _losses(b: blocks.Block, n: int, k: int) -> np.ndarray:
+    """ln(theta_i * theta_j / theta_ij), a row for each step of the block and a column for each pair."""
+    inside, at, out = b.inside(k), np.arange(len(b.t)), []
+    one, two = b.t - 1 + k / 2, b.t - 1 + k * k / 2
+    for i, j in blocks.pairs_of(n):
+        both = inside[i] & inside[j]
+        u, v = np.where(both, b.values[i], 0), np.where(both, b.values[j], 0)
+        hit = blocks.hits(u * k + v, both, k * k)
+        before = (b.earlier[i, j][: k * k] + np.cumsum(hit, axis=0) - hit).reshape(-1, k, k)
+        ci, cj, cij = before[at, u].sum(axis=1), before[at, :, v].sum(axis=1), before[at, u, v]
+        ratio = (ci + 0.5) / one * ((cj + 0.5) / one) / ((cij + 0.5) / two)
+        out.append(np.log(np.maximum(np.where(both, ratio, 0.0), RATIO_FLOOR)))
+    return np.stack(out, axis=1) if out else np.zeros((len(b.t), 0))
 
 
-def phi_trajectory(wide: DataFrame, k: int) -> DataFrame:
-    """t, i, j, phi, cum_phi: ln(theta_i * theta_j / theta_ij) at each step, and its running sum.
+def phi_paths(wide: DataFrame, k: int, columns: Callable[[np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]], schema: str, steps: int = blocks.STEPS) -> DataFrame:
+    """``columns(t, phi, cum_phi)`` of each block of steps: phi and cum_phi have a row for each step and a column for each pair.
 
-    Pairs come from the row. The k * k cells of a pair are running sums over one dealing of the
-    rows, by pair and block of time; the counts of its two variables are sums of cells.
+    Counts before a block come from one grouping, sums of phi before it from a first pass over the blocks.
     """
-    cells = [(u, v) for u in range(k) for v in range(k)]
-    hit = {f"c{u}_{v}": ((F.col("u") == u) & (F.col("v") == v)).cast("long") for u, v in cells}
-    counts = running_sums(pair_form(wide), ["i", "j"], hit, exclusive=True)
-    total = lambda names: sum((F.col(x) for x in names[1:]), F.col(names[0]))
-    pick = lambda columns, at: F.get(F.array(*columns), at)
-    ci = pick([total([f"c{u}_{v}" for v in range(k)]) for u in range(k)], F.col("u"))
-    cj = pick([total([f"c{u}_{v}" for u in range(k)]) for v in range(k)], F.col("v"))
-    cij = pick([F.col(f"c{u}_{v}") for u, v in cells], cell(F.col("u"), F.col("v"), k))
-    before = F.col("t") - 1
-    value = theta(ci, before, k) * theta(cj, before, k) / theta(cij, before, k * k)
-    rows = counts.select("t", "i", "j", floored_ln(value, RATIO_FLOOR).alias("phi"))
-    return running_sums(rows, ["i", "j"], {"cum_phi": F.col("phi")})
+    n = size(wide)
+    rows, pair = blocks.dealt(wide, steps), pair_form(wide)
+    inside = F.when(in_domain(k, "u", "v"), cell(F.col("u"), F.col("v"), k))
+    counts = blocks.sums_by_cell(pair, ["i", "j"], inside, k * k, F.lit(1), steps)
+
+    def totals(b: blocks.Block) -> list[np.ndarray]:
+        i, j = np.array(blocks.pairs_of(n)).reshape(-1, 2).T
+        return [np.full(len(i), b.number), i, j, _losses(b, n, k).sum(axis=0)]
+
+    def paths(b: blocks.Block) -> list[np.ndarray]:
+        phi = _losses(b, n, k)
+        return columns(b.t, phi, np.array([b.earlier[p][-1] for p in blocks.pairs_of(n)]) + np.cumsum(phi, axis=0))
+
+    sums = blocks.by_block(rows, counts, 2, totals, "block long, i int, j int, phi double")
+    return blocks.by_block(rows, counts.join(blocks.earlier_sums(sums, ["i", "j"], ["phi"]), ["block", "i", "j"]), 2, paths, schema)
+
+
+def phi_trajectory(wide: DataFrame, k: int, steps: int = blocks.STEPS) -> DataFrame:
+    """t, i, j, phi, cum_phi: ln(theta_i * theta_j / theta_ij) at each step, and its running sum."""
+    n = size(wide)
+    return phi_paths(wide, k, lambda t, phi, total: blocks.long_columns(t, n, phi, total), "t long, i int, j int, phi double, cum_phi double", steps)
 
 
 def phi_terminal(wide: DataFrame, k: int) -> DataFrame:
@@ -100,3 +120,10 @@ def perturbed(phi: DataFrame, n: int, t: Column, seed: int) -> DataFrame:
     """t, i, j, weight: cum_phi plus a uniform draw from [0, n * sqrt(t / 2)), by edge and step."""
     key = (t * n + F.col("i")) * n + F.col("j")
     return phi.select(t.cast("long").alias("t"), "i", "j", (F.col("cum_phi") + uniform(key, seed) * n * F.sqrt(t / 2)).alias("weight"))
+
+
+def perturbed_paths(t: np.ndarray, cum_phi: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """``perturbed`` of all pairs of the steps ``t``, a row for each step."""
+    i, j = np.array(blocks.pairs_of(n), dtype=np.int64).reshape(-1, 2).T
+    key = (t[:, None] * n + i) * n + j
+    return cum_phi + numbers(key, seed) * n * np.sqrt(t / 2)[:, None]
