@@ -81,7 +81,7 @@ def phi_paths(wide: DataFrame, k: int, columns: Callable[[np.ndarray, np.ndarray
     counts = blocks.sums_by_cell(pair, ["i", "j"], inside, k * k, F.lit(1), steps)
 
     def totals(b: blocks.Block) -> list[np.ndarray]:
-        i, j = np.array(blocks.pairs_of(n)).reshape(-1, 2).T
+        i, j = blocks.pair_ends(n)
         return [np.full(len(i), b.number), i, j, _losses(b, n, k).sum(axis=0)]
 
     def paths(b: blocks.Block) -> list[np.ndarray]:
@@ -124,6 +124,6 @@ def perturbed(phi: DataFrame, n: int, t: Column, seed: int) -> DataFrame:
 
 def perturbed_paths(t: np.ndarray, cum_phi: np.ndarray, n: int, seed: int) -> np.ndarray:
     """``perturbed`` of all pairs of the steps ``t``, a row for each step."""
-    i, j = np.array(blocks.pairs_of(n), dtype=np.int64).reshape(-1, 2).T
+    i, j = blocks.pair_ends(n)
     key = (t[:, None] * n + i) * n + j
     return cum_phi + numbers(key, seed) * n * np.sqrt(t / 2)[:, None]
