@@ -27,7 +27,9 @@ CALL_BYTES = 1 << 18
 #: Characters of texts that are split and numbered together.
 GROUP = 1 << 22
 #: Segments in each half of a memo of counts, and words in one of ids.
-MEMO, MEMO_WORDS = 70_000, 240_000
+MEMO, MEMO_WORDS = 70_000, 180_000
+#: Different segments of a group of texts that Python holds apart at once.
+SEGMENTS = 1 << 12
 
 
 def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
@@ -221,13 +223,20 @@ class WordEncoder:
             yield from zip(owners, self._packed(parts), strict=True)
 
     def _packed(self, parts: list[str]) -> Iterator[bytes]:
-        """Arrow splits the parts and numbers their different segments; only those come to Python."""
+        """Arrow splits the parts and numbers their different segments; only those come to Python, SEGMENTS at a time.
+
+        What Arrow held for the group goes back to the system: its pool would keep it beside the memo.
+        """
         split = pc.split_pattern(pc.replace_substring(pa.array(parts, pa.large_string()), "\n", " "), " ")
         segments = split.flatten().dictionary_encode()
-        ids = pa.array(self._segments(segments.dictionary.to_pylist()), pa.large_binary()).take(segments.indices)
+        different = segments.dictionary
+        own = [pa.array(self._segments(different.slice(a, SEGMENTS).to_pylist()), pa.large_binary()) for a in range(0, len(different), SEGMENTS)]
+        ids = pa.concat_arrays(own).take(segments.indices)
         _, ends, data = ids.buffers()
         cuts = np.frombuffer(ends, dtype=np.int64)[split.offsets.to_numpy()].tolist()
         data = memoryview(data) if data else memoryview(b"")
+        del split, segments, different, own
+        pa.default_memory_pool().release_unused()
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield bytes(data[a:b])
 

@@ -268,6 +268,19 @@ def test_segments_have_the_texts_tokens(text, stretch):
     assert np.frombuffer(ids, "<u4").tolist() == encoder.model.encode(text, add_special_tokens=False).ids
 
 
+def test_word_encoder_holds_few_segments_at_once(monkeypatch):
+    encoder, seen = tokens.WordEncoder(vocabulary("word_bpe_49k.json"), 5000), []
+    plain = encoder._segments
+    monkeypatch.setattr(encoder, "_segments", lambda x: (seen.append(len(x)), plain(x))[1])
+    texts = [" ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}{k}," for i in range(9000)) for k in ("", "x", "")] + ["", "last  one\n"]
+    got = [b""] * len(texts)
+    for i, ids in encoder.packed(texts):
+        got[i] += ids
+    assert max(seen) <= 4096 and sum(seen) >= 18000
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [encoder.model.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(encoder.words.young) <= 5000 and len(encoder.words.old) <= 5000
+
+
 def test_memo_stays_small():
     memo = tokens.Memo(lambda keys: [k * 2 for k in keys], 10)
     for i in range(100):
