@@ -98,6 +98,12 @@ def phi_trajectory(wide: DataFrame, k: int, steps: int = blocks.STEPS) -> DataFr
     return phi_paths(wide, k, lambda t, phi, total: blocks.long_columns(t, n, phi, total), "t long, i int, j int, phi double, cum_phi double", steps)
 
 
+def phi_grids(wide: DataFrame, k: int, steps: int = blocks.STEPS, grid: int = blocks.GRID) -> DataFrame:
+    """The trajectory in rows of many steps: grid, i, j and lists of phi and cum_phi. ``steps`` is a multiple of ``grid``."""
+    n = size(wide)
+    return phi_paths(wide, k, lambda t, phi, total: blocks.grids(t, n, phi, total, grid=grid), "grid long, i int, j int, phi array<double>, cum_phi array<double>", steps)
+
+
 def phi_terminal(wide: DataFrame, k: int) -> DataFrame:
     """i, j, cum_phi after all rows, in closed form from the final counts: no window over time.
 

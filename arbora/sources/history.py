@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arbora.operators.blocks import GRID
+
 #: Steps of a stretch, and buckets of a table unless told otherwise.
 STEPS, BUCKETS = 1 << 16, 64
 #: Bits of a stretch's number that hold the steps, and those of a vertex.
@@ -36,6 +38,15 @@ def write_history(trajectory: DataFrame, name: str, path: str, buckets: int = BU
     rows.write.bucketBy(buckets, "stretch").sortBy("stretch", "t").option("path", path).saveAsTable(name)
 
 
+def write_grids(paths: DataFrame, name: str, path: str, buckets: int = BUCKETS, grid: int = GRID) -> None:
+    """``paths`` (grid, i, j and lists of the values at the steps of a grid) as the table ``name``, dealt by stretch as in write_history.
+
+    A row holds ``grid`` steps of an edge, so rows are dealt and sorted that many steps at a time. STEPS is a multiple of ``grid``.
+    """
+    rows = paths.withColumn("stretch", stretch(F.col("i"), F.col("j"), F.col("grid") * grid)).repartition(buckets, "stretch")
+    rows.write.bucketBy(buckets, "stretch").sortBy("stretch", "grid").option("path", path).saveAsTable(name)
+
+
 def edge_history(spark: SparkSession, name: str, i: int, j: int, first: int, last: int) -> DataFrame:
     """The rows of one edge from step ``first`` to ``last``; reads the buckets of their stretches only."""
     numbers = [stretch_of(i, j, t) for t in range(first // STEPS * STEPS, last + 1, STEPS)]
@@ -54,6 +65,22 @@ def side_by_side(spark: SparkSession, left: str, right: str) -> DataFrame:
     return own.table(left).hint("merge").join(own.table(right), ["stretch", "t", "i", "j"]).drop("stretch")
 
 
+def grids_side_by_side(spark: SparkSession, left: str, right: str, grid: int = GRID) -> DataFrame:
+    """side_by_side of tables of grids: grids are joined, and their steps come apart after the join.
+
+    A step is in the result where the first values of both histories aren't null.
+    """
+    keys = ["stretch", "grid", "i", "j"]
+    one, two = ([c for c in spark.table(x).columns if c not in keys] for x in (left, right))
+    own = spark.newSession()
+    own.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    both = own.table(left).hint("merge").join(own.table(right), keys)
+    steps = both.select("grid", "i", "j", *one[1:], *two, F.posexplode(one[0]).alias("step", one[0]))
+    values = (F.col(c) if c == one[0] else F.get(c, F.col("step")).alias(c) for c in (*one, *two))
+    at = steps.select((F.col("grid") * grid + F.col("step")).alias("t"), "i", "j", *values)
+    return at.where(F.col(one[0]).isNotNull() & F.col(two[0]).isNotNull())
+
+
 def looked_up(rows: DataFrame, name: str) -> DataFrame:
     """``rows`` (t, i, j and others) with the values that the history has there; rows without any are left out.
 

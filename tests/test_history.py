@@ -5,6 +5,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from arbora.operators import information, weights
 from arbora.sources import history
 from conftest import rows_of
 
@@ -51,3 +52,20 @@ def test_histories_are_joined_where_they_lie(spark, tmp_path):
     assert rows_of(history.looked_up(some, a)) == rows_of(spark.createDataFrame(ROWS[5:50], "t long, i int, j int, x double"))
     empty = kept(spark, tmp_path, [])
     assert history.looked_up(some, empty).count() == 0 == history.side_by_side(spark, a, empty).count()
+
+
+def test_grids_hold_what_rows_hold(spark, tmp_path):
+    # steps are missing, values lie outside of the domain or are null, blocks and grids end in the middle
+    rows = [(t, t * 7 % 3, t * 5 % 4 if t % 11 else None, t * 3 % 3) for t in range(1, 200) if t % 13 and not 64 <= t < 96]
+    wide = spark.createDataFrame(rows, "t long, v0 int, v1 int, v2 int")
+    a, b = f"h_{uuid.uuid4().hex}", f"h_{uuid.uuid4().hex}"
+    w, p = weights.weight_grids(wide, 3, 3, 180, steps=32, grid=8), information.phi_grids(wide, 3, steps=32, grid=8)
+    assert w.count() <= 3 * 25 >= p.count()
+    history.write_grids(w, a, str(tmp_path / a), 8, 8)
+    history.write_grids(p, b, str(tmp_path / b), 8, 8)
+    both = history.grids_side_by_side(spark, a, b, 8)
+    assert "Exchange" not in plan(both) and "SortMergeJoin" in plan(both)
+    names = ["t", "i", "j", "log_weight", "phi", "cum_phi"]
+    want = weights.weights_trajectory(wide, 3, 3, 180, steps=32).join(information.phi_trajectory(wide, 3, steps=32), ["t", "i", "j"])
+    assert both.columns == names and rows_of(both) == rows_of(want.select(names))
+    assert both.where("i = 0 and j = 1").count() < both.where("i = 0 and j = 2").count() == len(rows)
