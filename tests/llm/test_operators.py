@@ -702,6 +702,25 @@ def test_very_long_repetitive_texts(spark):
     assert got == {0: 0, 1: 2_500_000, 2: 1_000_000, 3: 0, 4: 0, 5: 40, 6: 36, 7: 0}
 
 
+def test_passages_of_over_fifty_words_are_judged_by_bytes(spark):
+    """51 to 120 words that two texts share are removed from both, and nothing else, if they have 400 bytes or more."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij\u00e9") for _ in range(rng.randint(2, 8)))
+    rows, want = [], {}
+    for k, n in enumerate([51, 51, 55, 60, 65, 70, 80, 120]):
+        passage = " ".join(word() for _ in range(n))
+        if k < 2:  # 51 words of 399 and of 400 bytes
+            passage += "z" * (399 + k - len(passage.encode()))
+        size = len(passage.encode())
+        for d, (before, after) in enumerate(["<>", "[]"]):
+            rows.append((2 * k + d, " ".join(word() for _ in range(30)) + before + passage + after + " ".join(word() for _ in range(200))))
+            want[2 * k + d] = (size, 1) if size >= 400 else (0, 0)
+    assert want[0] == (0, 0) and want[2] == (400, 1) and want[14][0] > 400
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.strip_substrings(df).collect()}
+    assert got == want
+
+
 def test_long_words_and_texts(monkeypatch):
     monkeypatch.setattr(rlz_dedup, "STRETCH", 50)
     text = b"a " * 40 + b"L" * 1000 + b" b" * 40
