@@ -84,29 +84,37 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Slots],
     return slots, first, sequences
 
 
+def _cut(words: WordEncoder, keys: list[int | None], texts: list[str], capacity: int, end: int) -> list[tuple]:
+    """The rows of ``pieces`` of some texts. A text that follows its copy has the copy's pieces."""
+    last, step, out = np.array([end], dtype="<u4").tobytes(), 4 * capacity, []
+    firsts = [i for i, x in enumerate(texts) if not i or x != texts[i - 1]]
+    ends, own, now, rest, piece = [*firsts[1:], len(keys)], [], 0, b"", 0
+    for i, packed in chain(words.packed([texts[i] for i in firsts]), [(len(firsts), b"")]):
+        if i > now:  # the text before has ended
+            rest += last
+            own += [(piece + k, (piece + k) * capacity, len(ids := rest[a : a + step]) // 4, zlib.crc32(ids)) for k, a in enumerate(range(0, len(rest), step))]
+            out += [(key, *x) for key in keys[firsts[now] : ends[now]] for x in own]
+            own, now, rest, piece = [], i, b"", 0
+        rest += packed
+        while len(rest) >= step + 4:
+            own.append((piece, piece * capacity, capacity, zlib.crc32(rest[:step])))
+            rest, piece = rest[step:], piece + 1
+    return out
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids, then ``end``, cut to pieces.
 
     Only documents of more than ``capacity`` ids are cut; the last piece may be shorter. A null
-    or empty text is the end token alone. Long texts are encoded and cut stretch by stretch.
+    or empty text is the end token alone. Long texts are encoded and cut stretch by stretch. Copies that follow
+    each other, as the mix gives them, are encoded once.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last, step = encoder(WordEncoder, path), np.array([end], dtype="<u4").tobytes(), 4 * capacity
+        words = encoder(WordEncoder, path)
         for b in batches:
-            out: list[tuple] = []
-            keys, now, rest, piece = b.column(0).to_pylist(), 0, b"", 0
-            for i, packed in chain(words.packed(b.column(1).to_pylist()), [(len(keys), b"")]):
-                if i > now:  # the text before has ended
-                    rest += last
-                    cuts = range(0, len(rest), step)
-                    out += [(keys[now], piece + k, (piece + k) * capacity, len(own := rest[a : a + step]) // 4, zlib.crc32(own)) for k, a in enumerate(cuts)]
-                    now, rest, piece = i, b"", 0
-                rest += packed
-                while len(rest) >= step + 4:
-                    out.append((keys[i], piece, piece * capacity, capacity, zlib.crc32(rest[:step])))
-                    rest, piece = rest[step:], piece + 1
+            out = _cut(words, b.column(0).to_pylist(), b.column(1).to_pylist(), capacity, end)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema) if out else pa.RecordBatch.from_pylist([], schema)
 
     return for_python(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
